@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS, SAMPLE, GRADES = 1 << 18, 16_000, 4
+BUCKETS, SAMPLE, GRADES = 1 << 18, 10_000, 4
 #: Distinct indicators from which a toxic row has grade 2 and 3.
 STEPS = (4, 8)
 #: A feature needs this many sampled rows to have a weight; from this P(grade > 0) a row is toxic.
@@ -60,24 +60,25 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None], -60, 60)))
 
 
-def grades(x: list, toxic: np.ndarray) -> np.ndarray:
-    """Grades of sampled rows: 0, or by how many indicators a toxic row holds."""
-    n = np.array([toxic.sum(), (~toxic).sum()])
-    seen = [np.bincount(np.concatenate([a for a, t in zip(x, toxic) if t == want] or [np.empty(0, np.int32)]), minlength=BUCKETS) for want in (True, False)]
-    odds = np.log((seen[0] + 0.5) / (n[0] + 1)) - np.log((seen[1] + 0.5) / (n[1] + 1))
-    marks = (odds > np.log(20)) & (seen[0] >= max(3, 0.003 * n[0]))
-    hits = np.array([marks[a].sum() for a in x])
+def grades(at: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades of sampled rows: 0, or by how many indicators a toxic row holds. at, row: the feature and
+    the row of each entry."""
+    n = toxic.sum()
+    of_toxic = np.bincount(at[toxic[row]], minlength=BUCKETS)
+    of_rest = np.bincount(at, minlength=BUCKETS) - of_toxic
+    odds = np.log((of_toxic + 0.5) / (n + 1)) - np.log((of_rest + 0.5) / (len(toxic) - n + 1))
+    marks = (odds > np.log(20)) & (of_toxic >= max(3, 0.003 * n))
+    hits = np.bincount(row[marks[at]], minlength=len(toxic))
     return np.where(toxic, 1 + (hits[:, None] >= np.array(STEPS)[None]).sum(axis=1), 0)
 
 
-def fit_ordinal(x: list, y: np.ndarray, levels: int = GRADES, ridge: float = 1e-4, rounds: int = 100) -> OrdinalModel:
+def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GRADES, ridge: float = 1e-4, rounds: int = 100) -> OrdinalModel:
     """Weights and thresholds of greatest penalised likelihood, by Adam over all rows at once."""
-    at = np.concatenate([*x, np.empty(0, np.int32)]).astype(np.int64)
-    row = np.repeat(np.arange(len(x)), [len(a) for a in x])
-    frequent = np.bincount(at, minlength=BUCKETS) >= LEAST_ROWS
-    row, at = row[frequent[at]], at[frequent[at]]
-    used = np.flatnonzero(frequent)
-    col = (np.cumsum(frequent) - 1)[at]
+    x = len(y)
+    often = np.bincount(at, minlength=BUCKETS) >= LEAST_ROWS
+    row, at = row[often[at]], at[often[at]]
+    used = np.flatnonzero(often)
+    col = (np.cumsum(often, dtype=np.int32) - 1)[at]
     share = np.array([(y > j).mean() for j in range(levels - 1)]).clip(1e-4, 1 - 1e-4)
     first = np.log((1 - share) / share)
     params = np.concatenate([np.zeros(len(used)), [first[0]], np.log(np.maximum(np.diff(first), 0.05))])
@@ -86,13 +87,13 @@ def fit_ordinal(x: list, y: np.ndarray, levels: int = GRADES, ridge: float = 1e-
     for i in range(1, rounds + 1):
         gaps = np.exp(params[k + 1 :])
         t = params[k] + np.concatenate([[0], np.cumsum(gaps)])
-        s = np.bincount(row, params[col], len(x))
-        cdf = np.concatenate([np.zeros((len(x), 1)), 1 / (1 + np.exp(-np.clip(t[None] - s[:, None], -60, 60))), np.ones((len(x), 1))], axis=1)
-        own = np.arange(len(x))
+        s = np.bincount(row, params[col], x)
+        cdf = np.concatenate([np.zeros((x, 1)), 1 / (1 + np.exp(-np.clip(t[None] - s[:, None], -60, 60))), np.ones((x, 1))], axis=1)
+        own = np.arange(x)
         p = np.maximum(cdf[own, y + 1] - cdf[own, y], 1e-12)
         slope = cdf * (1 - cdf)
-        by_score = (1 - cdf[own, y + 1] - cdf[own, y]) / len(x)
-        by_t = np.array([(np.where(y == j, -slope[:, j + 1], 0) + np.where(y == j + 1, slope[:, j + 1], 0)) @ (1 / p) / len(x) for j in range(levels - 1)])
+        by_score = (1 - cdf[own, y + 1] - cdf[own, y]) / x
+        by_t = np.array([(np.where(y == j, -slope[:, j + 1], 0) + np.where(y == j + 1, slope[:, j + 1], 0)) @ (1 / p) / x for j in range(levels - 1)])
         g = np.concatenate([np.bincount(col, by_score[row], k) + ridge * params[:k], [by_t.sum()], [by_t[j + 1 :].sum() * gaps[j] for j in range(levels - 2)]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         params -= step * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
@@ -126,8 +127,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
     toxic = rows["toxic"].to_numpy() > 0
     if not toxic.any() or toxic.all():
         return OrdinalModel(np.zeros(BUCKETS), np.arange(1, GRADES) * 50.0)
-    x = [np.asarray(a, np.int32) for a in rows["x"]]
-    return fit_ordinal(x, grades(x, toxic))
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in rows["x"]])
+    at = np.concatenate([*rows.pop("x"), np.empty(0, np.int32)]).astype(np.int32)
+    return fit_ordinal(at, row, grades(at, row, toxic))
 
 
 SCORES = T.StructType([T.StructField("p_toxic", T.DoubleType()), T.StructField("severity", T.DoubleType()), T.StructField("grade", T.IntegerType())])
