@@ -16,7 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spatialis.llm.common import staged
+
 PART, SEED = 32.0, 17
+#: Sources up to which their table (some 60 numbers each) is broadcast; beyond, documents are salted.
+BROADCAST_SOURCES, SALTS = 10_000, 64
 
 
 def uniform(*parts: Column) -> Column:
@@ -55,11 +59,13 @@ def _table(rate: Column) -> Column:
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, rows: float | None = None, seed: int = SEED, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with each row as often as drawn, with its copy number from 1 and its shuffle_key, dealt
-    out at random. Sources are joined to rows on their name; whether that table is small enough to be
-    broadcast is left to Spark's own check of its size."""
+    out at random. The sources are counted: up to BROADCAST_SOURCES their table is broadcast, beyond that
+    it is joined by name and salt, so the rows of a large source are spread over SALTS tasks."""
     docs = docs.drop("copy", "shuffle_key")
     rates = source_rates(docs, weights, power, rows, source)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
+    rates = staged(rates, "rates")
+    few = rates.count() <= BROADCAST_SOURCES
     rates = rates.select("mix_source", parts.alias("mix_parts"), _table(F.col("rate") / parts).alias("mix_table"))
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     drawn = F.aggregate(
@@ -67,9 +73,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
         F.lit(0),
         lambda acc, i: acc + F.size(F.filter(F.col("mix_table"), lambda c: c <= uniform(F.lit(str(seed)), i.cast("string"), F.col("mix_key")))),
     )
+    named = docs.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
+    if few:
+        joined = named.join(F.broadcast(rates), "mix_source")
+    else:
+        salts = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = named.withColumn("mix_salt", F.pmod(F.xxhash64(F.col(doc_id), F.length(text)), F.lit(SALTS)).cast("int")).join(salts, ["mix_source", "mix_salt"]).drop("mix_salt")
     return (
-        docs.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-        .join(rates, "mix_source")
+        joined
         .withColumn("mix_key", key)
         .withColumn("mix_count", drawn)
         .where("mix_count > 0")
