@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatialis.llm import ann, bpe, licenses, minhash, mixing, pivot_topk, substrings, toxicity
+from spatialis.llm import ann, bpe, licenses, minhash, mixing, pii, pivot_topk, substrings, toxicity
 from spatialis.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spanned = pii.with_spans(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return spanned.select("doc_id", *counts, F.sha2(pii.span_string(pii.KINDS[:4]), 256).alias("base_sha256"), pii.span_string(pii.KINDS).alias("spans"))
+
+
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return substrings.drop_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_ann": op3_ann,
     "op4_mixing": op4_mixing,
+    "op5_pii": op5_pii,
     "op6_substrings": op6_substrings,
     "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
