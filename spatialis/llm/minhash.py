@@ -190,9 +190,16 @@ def _chunk(round_no: int, chunks: str = "chunks") -> Column:
     return F.pmod(F.xxhash64(F.lit(round_no), "node"), F.col(chunks)).cast("int")
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that stay: of each component the document of the smallest id, once."""
+    own = docs.withColumns({"_node": node_of(F.col("doc_id"), F.col("text")), "_text": F.xxhash64("text")})
+    stay = staged(near_duplicates(docs.select("doc_id", "text"), size, percent).where("kept").select(F.col("node").alias("_node")).distinct(), "stay")
+    return own.join(stay, "_node", "left_semi").dropDuplicates(["_node", "_text"]).select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text): documents whose sets
-    share `percent` of their union are linked; component_id is the smallest doc_id reachable."""
+    """node, doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text): documents whose
+    sets share `percent` of their union are linked; component_id is the smallest doc_id reachable."""
     sketch = staged(sketches(docs, size, bands, band_rows), "sketches")
     some = sketch.where("n_shingles > 0")
     # A class for each distinct set; its node is the smallest of its rows.
@@ -229,7 +236,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
         .select("node", "doc_id", "n_shingles", "component")
         .unionByName(sketch.where("n_shingles = 0").select("node", "doc_id", "n_shingles", F.col("node").alias("component")))
     )
-    return own.select("doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
+    return own.select("node", "doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
 
 
 def _strays(large: DataFrame, links: DataFrame, entries: DataFrame, size: int, percent: int) -> DataFrame:

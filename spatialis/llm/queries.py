@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatialis.llm import ann, bpe, licenses, minhash, mixing, pii, pivot_topk, substrings, toxicity
+from spatialis.llm import ann, bpe, chat, licenses, minhash, mixing, pii, pivot_topk, substrings, toxicity
 from spatialis.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,13 +43,17 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.drop_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked_calls(table(spark, sf_dir, "conversations"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return licenses.scan_licenses(docs).drop("text", "notices")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, percent=85).drop("node")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_pii": op5_pii,
     "op6_substrings": op6_substrings,
+    "op7_chat": op7_chat,
     "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_pivot_topk": pivot_topk.SQL, "op4_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_pivot_topk": pivot_topk.SQL, "op4_mixing": mixing.SQL, "op7_chat": chat.SQL}
