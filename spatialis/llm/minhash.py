@@ -248,9 +248,12 @@ def _strays(large: DataFrame, links: DataFrame, entries: DataFrame, size: int, p
     main = counts.groupBy("root").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"))
     main = staged(main.select("root", F.col("m.component").alias("main"), F.ceil((F.col("total") - F.col("m.n")) / CHUNK).cast("int").alias("stray_blocks")), "main")
     strays = staged(labelled.join(main, "root").where("component <> main").select("node", "root", "stray_blocks"), "strays")
-    # Where each bucket's documents are: (key, chunk), not documents.
-    places = staged(entries.join(labelled.select("node", "root", "chunks"), "node").select("key", "root", _chunk(0).alias("chunk")).distinct(), "places")
-    visits = staged(entries.join(strays, "node").join(places.select("key", "chunk"), "key").select("node", "root", "stray_blocks", "chunk").distinct(), "visits")
+    # The chunks that hold a bucket's documents, as a list for each bucket: a stray meets a row for each of
+    # its own buckets, not for each document in them.
+    asked_keys = entries.join(strays, "node").select("key", "node", "root", "stray_blocks")
+    places = staged(entries.join(labelled.select("node", "chunks"), "node").groupBy("key").agg(F.collect_set(_chunk(0)).alias("there")), "places")
+    own = asked_keys.join(places, "key").groupBy("node", "root", "stray_blocks").agg(F.array_distinct(F.flatten(F.collect_list("there"))).alias("there"))
+    visits = staged(own.select("node", "root", "stray_blocks", F.explode("there").alias("chunk")), "visits")
     block = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("stray_blocks")).cast("int")
     asked = visits.select("root", "chunk", block.alias("block")).distinct()
     here = large.withColumn("chunk", _chunk(0)).join(asked, ["root", "chunk"]).select("root", "chunk", "block", "node", "text", "asks")
