@@ -186,11 +186,6 @@ def _listed(runs: DataFrame) -> DataFrame:
     return runs.groupBy("node").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, text): the node stands for id and text; equal rows share it."""
-    return docs.select(F.xxhash64("doc_id", "text").alias("node"), "doc_id", "text")
-
-
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """Runs (node, start, size) of places at which a repeated window starts, from docs (node, text)."""
     buckets = max(LEAST_BUCKETS, partitions(docs.sparkSession, 16))
@@ -203,7 +198,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text and others) with n_words, n_removed and kept: the words outside repeated
     windows, joined by one space."""
-    docs = docs.drop("n_words", "n_removed", "kept").withColumn("node", F.xxhash64("doc_id", "text"))
+    aside = {c: f"_own_{c}" for c in docs.columns if c in ("node", "runs")}
+    docs = docs.drop("n_words", "n_removed", "kept").withColumnsRenamed(aside).withColumn("node", F.xxhash64("doc_id", "text"))
     runs = staged(_listed(repeated_windows(docs.select("node", "text"))), "repeats")
     joined = docs.join(runs, "node", "left")
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
@@ -221,6 +217,6 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                 covered = np.cumsum(edge[:-1]) > 0
                 kept = [w for w, gone in zip(words, covered) if not gone] if covered.any() else words
                 rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
-            yield b.drop(columns=["runs", "node"]).assign(**dict(zip([f.name for f in added], zip(*rows))))
+            yield b.drop(columns=["runs", "node"]).assign(**{f.name: [r[i] for r in rows] for i, f in enumerate(added)})
 
-    return joined.mapInPandas(run, T.StructType([*docs.drop("node").schema.fields, *added]))
+    return joined.mapInPandas(run, T.StructType([*docs.drop("node").schema.fields, *added])).withColumnsRenamed({v: k for k, v in aside.items()})

@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 
 BUCKETS, SAMPLE, GRADES = 1 << 18, 10_000, 4
 #: Distinct indicators from which a toxic row has grade 2 and 3.
-STEPS = (4, 8)
+STEPS = (2, 5)
 #: A feature needs this many sampled rows to have a weight; from this P(grade > 0) a row is toxic.
-LEAST_ROWS, CUT = 2, 0.2
+LEAST_ROWS, CUT = 2, 0.15
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,7 +72,7 @@ def grades(at: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + (hits[:, None] >= np.array(STEPS)[None]).sum(axis=1), 0)
 
 
-def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GRADES, ridge: float = 1e-4, rounds: int = 100) -> OrdinalModel:
+def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GRADES, ridge: float = 2e-3, rounds: int = 100) -> OrdinalModel:
     """Weights and thresholds of greatest penalised likelihood, by Adam over all rows at once."""
     x = len(y)
     often = np.bincount(at, minlength=BUCKETS) >= LEAST_ROWS
