@@ -12,7 +12,7 @@ from spatialis.sources.standins import with_standins
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("matrix", "mapping", "space", "transfer", "perturbation")
+_MODULES = ("matrix", "mapping", "space", "transfer", "perturbation", "jobs")
 
 
 def query(name: str, sql: str | None = None, *standins: str) -> Callable[[Query], Query]:
