@@ -79,6 +79,10 @@ def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GR
     row, at = row[often[at]], at[often[at]]
     used = np.flatnonzero(often)
     col = (np.cumsum(often, dtype=np.int32) - 1)[at]
+    # Blocks of rows keep what a round computes small beside the sample itself.
+    cuts = [*range(0, x, 1000), x]
+    ends = np.searchsorted(row, cuts).tolist()
+    blocks = list(zip(cuts, cuts[1:], ends, ends[1:]))
     share = np.array([(y > j).mean() for j in range(levels - 1)]).clip(1e-4, 1 - 1e-4)
     first = np.log((1 - share) / share)
     params = np.concatenate([np.zeros(len(used)), [first[0]], np.log(np.maximum(np.diff(first), 0.05))])
@@ -87,14 +91,14 @@ def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GR
     for i in range(1, rounds + 1):
         gaps = np.exp(params[k + 1 :])
         t = params[k] + np.concatenate([[0], np.cumsum(gaps)])
-        s = np.bincount(row, params[col], x)
+        s = np.concatenate([np.bincount(row[a:b] - i, params[col[a:b]], j - i) for i, j, a, b in blocks])
         cdf = np.concatenate([np.zeros((x, 1)), 1 / (1 + np.exp(-np.clip(t[None] - s[:, None], -60, 60))), np.ones((x, 1))], axis=1)
         own = np.arange(x)
         p = np.maximum(cdf[own, y + 1] - cdf[own, y], 1e-12)
         slope = cdf * (1 - cdf)
         by_score = (1 - cdf[own, y + 1] - cdf[own, y]) / x
         by_t = np.array([(np.where(y == j, -slope[:, j + 1], 0) + np.where(y == j + 1, slope[:, j + 1], 0)) @ (1 / p) / x for j in range(levels - 1)])
-        g = np.concatenate([np.bincount(col, by_score[row], k) + ridge * params[:k], [by_t.sum()], [by_t[j + 1 :].sum() * gaps[j] for j in range(levels - 2)]])
+        g = np.concatenate([sum(np.bincount(col[a:b], by_score[row[a:b]], k) for _, _, a, b in blocks) + ridge * params[:k], [by_t.sum()], [by_t[j + 1 :].sum() * gaps[j] for j in range(levels - 2)]])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         params -= step * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     weights = np.zeros(BUCKETS)
