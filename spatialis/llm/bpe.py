@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Characters of text that are encoded at a time, and words that a Python worker remembers.
-CHUNK_CHARS, REMEMBERED = 6_000_000, 400_000
+CHUNK_CHARS, REMEMBERED = 4_000_000, 250_000
 
 
 def byte_letters() -> dict[str, int]:

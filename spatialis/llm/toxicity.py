@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS, SAMPLE, GRADES = 1 << 18, 10_000, 4
+BUCKETS, SAMPLE, GRADES = 1 << 18, 8_000, 4
 #: Distinct indicators from which a toxic row has grade 2 and 3.
 STEPS = (2, 5)
 #: A feature needs this many sampled rows to have a weight; from this P(grade > 0) a row is toxic.
@@ -43,7 +43,7 @@ _buckets: dict[str, tuple[int, ...]] = {}
 def features(text: str | None) -> list[int]:
     """The distinct features of a text, sorted."""
     words = set(_WORD.findall((text or "").lower()))
-    if len(_buckets) > 200_000:
+    if len(_buckets) > 100_000:
         _buckets.clear()
     for w in words.difference(_buckets):
         _buckets[w] = tuple(zlib.crc32(x.encode()) % BUCKETS for x in (w, *(f"{w[:n]}*" for n in (3, 4, 5) if len(w) > n)))

@@ -19,7 +19,7 @@ def words_of(text: str | None, lower: bool) -> list[bytes]:
 
 def hash_words(lists: list[list[bytes]]) -> np.ndarray:
     """64-bit hashes of the words of all lists, one after another. A bounded number is remembered."""
-    if len(_hashes) > 500_000:
+    if len(_hashes) > 200_000:
         _hashes.clear()
     for w in set(chain.from_iterable(lists)).difference(_hashes):
         _hashes[w] = xxhash.xxh3_64_intdigest(w)
