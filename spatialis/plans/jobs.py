@@ -131,7 +131,7 @@ def s8(spark, d):
     return tables.read_many(spark, *paths).select("cell_id", "slice")
 
 
-@query("S9_read_vec", "select vec_id, label, round(embedding[1]::double, 6) as first from vec", "vec")
+@query("S9_read_vec", "select vec_id, label, round(embedding[1]::double, 6) + 0.0 as first from vec", "vec")
 def s9(spark, d):
     path = _out(spark, "vec")
     standin(spark, d, "vec").write.parquet(path)

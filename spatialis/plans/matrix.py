@@ -54,9 +54,9 @@ def f3(spark, d):
     return Q.filter_cells_min_counts(standin(spark, d, "expr"), 1000)
 
 
-@query("F4_clean_batches", "with g as (select c.* from cells c where cell_id in (select cell_id from expr group by cell_id having sum(value) >= 900)) select * from g where slice in (select slice from g group by slice having count(*) >= 50)", "cells", "expr")
+@query("F4_clean_batches", "with g as (select c.* from cells c where cell_id in (select cell_id from expr group by cell_id having sum(value) >= 500)) select * from g where slice in (select slice from g group by slice having count(*) >= 20)", "cells", "expr")
 def f4(spark, d):
-    return Q.clean_batches(standin(spark, d, "cells"), standin(spark, d, "expr"), "slice", 900, 50)
+    return Q.clean_batches(standin(spark, d, "cells"), standin(spark, d, "expr"), "slice", 500, 20)
 
 
 @query("F5_filter_split", "select * from cells where platform = 'XENIUM'", "cells")
@@ -176,7 +176,7 @@ def a14(spark, d):
     return N.gene_zero_rate(standin(spark, d, "expr")).withColumn("zero_rate", F.round("zero_rate", 6))
 
 
-@query("W7_zscore_by_gene", "select cell_id, gene_id, round(coalesce((value - avg(value) over g) / (stddev_samp(value) over g + 1e-6), 0), 6) as value from expr window g as (partition by gene_id)", "expr")
+@query("W7_zscore_by_gene", "select cell_id, gene_id, round(coalesce((value - avg(value) over g) / (stddev_samp(value) over g + 1e-6), 0), 6) + 0.0 as value from expr window g as (partition by gene_id)", "expr")
 def w7(spark, d):
     return N.zscore_by_gene(standin(spark, d, "expr")).select("cell_id", "gene_id", F.round("value", 6).alias("value"))
 

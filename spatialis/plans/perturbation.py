@@ -15,7 +15,8 @@ from spatialis.plans.registry import query
 from spatialis.sources.standins import standin
 
 GV = "gv as (select g.gene_id, g.gene_symbol, v.embedding from genes g join vec v on v.vec_id = g.gene_id % (select count(*) from vec))"
-ROUND = "list_transform({}, lambda x: round(x, 6))"
+#: Adding 0.0 makes a rounded -0.0 the 0.0 that Spark gives.
+ROUND = "list_transform({}, lambda x: round(x, 6) + 0.0)"
 
 
 def _gene_vec(spark, d):
@@ -33,13 +34,13 @@ def _rounded(df, c="embedding"):
     return df.withColumn(c, F.transform(c, lambda x: F.round(x, 6)))
 
 
-@query("J15_token_vectors", f"with {RANKED}, {GV} select t.cell_id, t.pos, round(gv.embedding[1]::double, 6) as first from tok t join gv using (gene_id)", "expr", "genes", "vec")
+@query("J15_token_vectors", f"with {RANKED}, {GV} select t.cell_id, t.pos, round(gv.embedding[1]::double, 6) + 0.0 as first from tok t join gv using (gene_id)", "expr", "genes", "vec")
 def j15(spark, d):
     return V.token_vectors(_tokens(spark, d), _gene_vec(spark, d)).select("cell_id", "pos", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
 def _pool_sql(weight):
-    return f"with {RANKED}, {GV}, w as (select t.cell_id, {weight} as w, gv.embedding from tok t join gv using (gene_id)), l as (select cell_id, w, unnest(range(1, 65)) as dim, unnest(embedding)::double as v from w), m as (select cell_id, dim, sum(w * v) / sum(w) as v from l group by 1, 2) select cell_id, list(round(v, 6) order by dim) as embedding from m group by 1"
+    return f"with {RANKED}, {GV}, w as (select t.cell_id, {weight} as w, gv.embedding from tok t join gv using (gene_id)), l as (select cell_id, w, unnest(range(1, 65)) as dim, unnest(embedding)::double as v from w), m as (select cell_id, dim, sum(w * v) / sum(w) as v from l group by 1, 2) select cell_id, list(round(v, 6) + 0.0 order by dim) as embedding from m group by 1"
 
 
 @query("B1_pool_mean", _pool_sql("1.0::double"), "expr", "genes", "vec")
@@ -58,12 +59,12 @@ def b4(spark, d):
     return V.score_tokens(rows, lambda b: b.assign(score=b["X"].map(sum).astype(float))[["cell_id", "score"]], "cell_id long, score double")
 
 
-@query("B5_gene_vector_embed", f"with {GV}, l as (select e.cell_id, ln(1 + e.value) as w, unnest(range(1, 65)) as dim, unnest(gv.embedding)::double as v from expr e join gv using (gene_id)), m as (select cell_id, dim, sum(w * v) as v from l group by 1, 2) select cell_id, list(round(v, 6) order by dim) as embedding from m group by 1", "expr", "genes", "vec")
+@query("B5_gene_vector_embed", f"with {GV}, l as (select e.cell_id, ln(1 + e.value) as w, unnest(range(1, 65)) as dim, unnest(gv.embedding)::double as v from expr e join gv using (gene_id)), m as (select cell_id, dim, sum(w * v) as v from l group by 1, 2) select cell_id, list(round(v, 6) + 0.0 order by dim) as embedding from m group by 1", "expr", "genes", "vec")
 def b5(spark, d):
     return _rounded(V.gene_vector_embed(standin(spark, d, "expr"), _gene_vec(spark, d).drop("gene_symbol")))
 
 
-@query("B6_combine_gene_vectors", "select g.gene_id, list_transform(list_zip(a.embedding, b.embedding, c.embedding), lambda p: round(p[1]::double + p[2]::double + p[3]::double, 6)) as embedding from genes g join vec a on a.vec_id = g.gene_id % 100 join vec b on b.vec_id = g.homo_connect_id join vec c on c.vec_id = g.gene_type_id", "genes", "vec")
+@query("B6_combine_gene_vectors", "select g.gene_id, list_transform(list_zip(a.embedding, b.embedding, c.embedding), lambda p: round(p[1]::double + p[2]::double + p[3]::double, 6) + 0.0) as embedding from genes g join vec a on a.vec_id = g.gene_id % 100 join vec b on b.vec_id = g.homo_connect_id join vec c on c.vec_id = g.gene_type_id", "genes", "vec")
 def b6(spark, d):
     genes, vec = standin(spark, d, "genes"), standin(spark, d, "vec").select("vec_id", "embedding")
     gene = genes.select("gene_id", (F.col("gene_id") % 100).alias("vec_id")).join(vec, "vec_id")
@@ -165,7 +166,7 @@ def _delta(spark, d):
     return X.gene_delta(expr, expr.where("gene_id % 50 <> 0").withColumn("value", F.col("value") * (1 + F.col("gene_id") % 3)), 1000)
 
 
-@query("A10_gene_delta", f"with {DELTA} select gene_id, round(before, 6) as before, round(after, 6) as after, round(delta, 6) as delta, round(abs_delta, 6) as abs_delta from d", "expr")
+@query("A10_gene_delta", f"with {DELTA} select gene_id, round(before, 6) as before, round(after, 6) as after, round(delta, 6) + 0.0 as delta, round(abs_delta, 6) as abs_delta from d", "expr")
 def a10(spark, d):
     return _delta(spark, d).select("gene_id", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta", "abs_delta")])
 
@@ -175,7 +176,7 @@ def t4(spark, d):
     return X.top_delta_genes(_delta(spark, d), 25).select("gene_id")
 
 
-@query("X15_recon_change", f"with {DELTA} select gene_id, round(delta, 6) as delta from d order by round(delta, 9) desc, gene_id limit 10", "expr")
+@query("X15_recon_change", f"with {DELTA} select gene_id, round(delta, 6) + 0.0 as delta from d order by round(delta, 9) desc, gene_id limit 10", "expr")
 def x15(spark, d):
     return X.top_delta_genes(_delta(spark, d), 10, "delta").select("gene_id", F.round("delta", 6).alias("delta"))
 
@@ -183,7 +184,7 @@ def x15(spark, d):
 COND = f"{GV}, sy as (select gene_symbol, min_by(embedding, gene_id) as e from gv group by 1), cond as (select gene_id, gene_symbol || ' + nosuch' as condition from genes where gene_id % 40 = 1 union all select gene_id, 'ctrl' from genes where gene_id % 40 = 2)"
 
 
-@query("X16_condition_vectors", f"with {COND}, one as (select distinct condition from cond) select o.condition, case when o.condition = 'ctrl' then list_transform(range(64), lambda i: 0.0::double) else list_transform(sy.e, lambda x: round(x::double / 2, 6)) end as vector from one o left join sy on o.condition = sy.gene_symbol || ' + nosuch'", "genes", "vec")
+@query("X16_condition_vectors", f"with {COND}, one as (select distinct condition from cond) select o.condition, case when o.condition = 'ctrl' then list_transform(range(64), lambda i: 0.0::double) else list_transform(sy.e, lambda x: round(x::double / 2, 6) + 0.0) end as vector from one o left join sy on o.condition = sy.gene_symbol || ' + nosuch'", "genes", "vec")
 def x16(spark, d):
     genes = standin(spark, d, "genes")
     cond = genes.where("gene_id % 40 = 1").select(F.concat("gene_symbol", F.lit(" + nosuch")).alias("condition")).union(genes.where("gene_id % 40 = 2").select(F.lit("ctrl")))
@@ -233,13 +234,13 @@ def e9(spark, d):
     return out.select(F.round("cos_before", 6).alias("cos"), F.round("dist_before", 6).alias("dist"))
 
 
-@query("X13_delta_cosine", f"with {YC}, s as (select vec_id, label, slice, {CC} as k from (select *, embedding::double[] as e from vec), yc), b as (select label, avg(k) as base from s where slice = 'old' group by 1) select vec_id, round(k - base, 6) as delta from s join b using (label)", "vec")
+@query("X13_delta_cosine", f"with {YC}, s as (select vec_id, label, slice, {CC} as k from (select *, embedding::double[] as e from vec), yc), b as (select label, avg(k) as base from s where slice = 'old' group by 1) select vec_id, round(k - base, 6) + 0.0 as delta from s join b using (label)", "vec")
 def x13(spark, d):
     vec = standin(spark, d, "vec")
     return X.delta_cosine(vec, _center(spark, d), vec.where("slice = 'old'"), "label").select("vec_id", F.round("delta", 6).alias("delta"))
 
 
-@query("X14_centroid_coords", f"with {YC}, oc as (select list(v order by dim) as oc from (select dim, avg(v) as v from (select unnest(range(1, 65)) as dim, unnest(embedding)::double as v from vec where slice = 'old') group by 1)) select vec_id, round({CC}, 6) as cos_young, round(list_dot_product(e, oc) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(oc, oc))), 6) as cos_old from (select vec_id, embedding::double[] as e from vec), yc, oc", "vec")
+@query("X14_centroid_coords", f"with {YC}, oc as (select list(v order by dim) as oc from (select dim, avg(v) as v from (select unnest(range(1, 65)) as dim, unnest(embedding)::double as v from vec where slice = 'old') group by 1)) select vec_id, round({CC}, 6) + 0.0 as cos_young, round(list_dot_product(e, oc) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(oc, oc))), 6) as cos_old from (select vec_id, embedding::double[] as e from vec), yc, oc", "vec")
 def x14(spark, d):
     out = X.centroid_coords(standin(spark, d, "vec"), _center(spark, d), _center(spark, d, "old"))
     return out.select("vec_id", F.round("cos_young", 6).alias("cos_young"), F.round("cos_old", 6).alias("cos_old"))

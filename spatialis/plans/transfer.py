@@ -27,7 +27,7 @@ def _near(spark, d, metric="euclidean"):
     return L.top_neighbours(*_parts(spark, d), 10, metric)
 
 
-@query("A5_centroids", f"with {CENTER} select label, list_transform(centroid, lambda x: round(x, 6)) as centroid from center", "vec")
+@query("A5_centroids", f"with {CENTER} select label, list_transform(centroid, lambda x: round(x, 6) + 0.0) as centroid from center", "vec")
 def a5(spark, d):
     return L.centroids(_parts(spark, d)[0], ["label"]).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
 
