@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -27,6 +28,8 @@ def plain(v):
         v = v.item()
     if isinstance(v, list | tuple):
         return tuple(map(plain, v))
+    if isinstance(v, Decimal):
+        v = float(v)
     if isinstance(v, float):
         return int(v) if v.is_integer() else v
     return v
