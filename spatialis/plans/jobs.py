@@ -8,7 +8,8 @@ from spatialis.operators import genes as G
 from spatialis.operators import jobs as J
 from spatialis.operators import normalize as N
 from spatialis.operators import tokens as T
-from spatialis.operators.transfer import nearest_centroid, centroids, scale_pca
+from spatialis.operators.transfer import centroids, nearest_centroid, scale_pca
+from spatialis.plans.matrix import MODEL_INPUT_SQL, k3
 from spatialis.plans.registry import query
 from spatialis.sources import tables
 from spatialis.sources.staging import shared_folder
@@ -151,3 +152,24 @@ def e13(spark, d):
     ref, asked = vec.where("role = 'ref'"), vec.where("role = 'query'")
     said = nearest_centroid(centroids(ref, ["label"]), asked).join(asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth")), "query_id")
     return J.downstream_eval("annotation", df=said)
+
+
+@query("S7_write_model_input", MODEL_INPUT_SQL, "expr", "genes")
+def s7(spark, d):
+    path = _out(spark, "model_input")
+    k3(spark, d).repartition("batch_id").write.partitionBy("batch_id").parquet(path)
+    return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+@query("S10_read_json_meta", "select slice as batch_id, min(n_regionkey)::bigint as dataset_id, count(*) as batch_size, count(*) * 2 as n_genes from (select slice, substr(region, 2)::int as n_regionkey from cells) group by slice", "cells")
+def s10(spark, d):
+    path = _out(spark, "meta")
+    cells = standin(spark, d, "cells").withColumn("dataset_id", F.substring("region", 2, 9).cast("long"))
+    own = cells.groupBy(F.col("slice").alias("batch_id")).agg(F.min("dataset_id").alias("dataset_id"), F.first("platform").alias("platform"), F.count(F.lit(1)).alias("batch_size"))
+    # One row for each batch: metadata, as few as there are slices.
+    lists = own.select(F.col("batch_id").alias("id"), F.transform(F.sequence(F.lit(1), F.col("batch_size") * 2), lambda i: F.concat(F.lit("g"), i.cast("string"))).alias("gene_list"))
+    whole = own.agg(F.collect_list(F.struct("batch_id", "dataset_id", "platform", "batch_size")).alias("batches")).crossJoin(lists.agg(F.collect_list(F.struct("id", "gene_list")).alias("datasets")))
+    whole.write.json(path)
+    batches, genes = tables.read_json_meta(spark, path)
+    n = genes.groupBy(F.col("dataset_id").alias("batch_id")).agg(F.count(F.lit(1)).alias("n_genes"))
+    return batches.join(n, "batch_id").select("batch_id", "dataset_id", "batch_size", "n_genes")

@@ -232,7 +232,10 @@ def m9(spark, d):
     return T.mask_tokens(_ranked(spark, d), 3000).select("cell_id", "pos", "token", "masked", "mask", "attention")
 
 
-@query("K3_model_input", f"""with {RANKED}, {MASKED} select cell_id, list(masked::bigint order by pos) as masked_indices, list((case when hit then 0 else 1 end)::int order by pos) as mask, list(token order by pos) as real_indices, (cell_id // 100)::bigint as batch_id from masked where pos < 10 group by cell_id""", "expr", "genes")
+MODEL_INPUT_SQL = f"""with {RANKED}, {MASKED} select cell_id, list(masked::bigint order by pos) as masked_indices, list((case when hit then 0 else 1 end)::int order by pos) as mask, list(token order by pos) as real_indices, (cell_id // 100)::bigint as batch_id from masked where pos < 10 group by cell_id"""
+
+
+@query("K3_model_input", MODEL_INPUT_SQL, "expr", "genes")
 def k3(spark, d):
     t = T.mask_tokens(_ranked(spark, d), 3000).where("pos < 10")
     own = F.array_sort(F.collect_list(F.struct("pos", "masked", "mask", "token")))
