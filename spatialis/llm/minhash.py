@@ -251,7 +251,8 @@ def _strays(large: DataFrame, links: DataFrame, entries: DataFrame, size: int, p
     # The chunks that hold a bucket's documents, as a list for each bucket: a stray meets a row for each of
     # its own buckets, not for each document in them.
     asked_keys = entries.join(strays, "node").select("key", "node", "root", "stray_blocks")
-    places = staged(entries.join(labelled.select("node", "chunks"), "node").groupBy("key").agg(F.collect_set(_chunk(0)).alias("there")), "places")
+    asked_for = entries.join(asked_keys.select("key").distinct(), "key", "left_semi")
+    places = staged(asked_for.join(labelled.select("node", "chunks"), "node").groupBy("key").agg(F.collect_set(_chunk(0)).alias("there")), "places")
     own = asked_keys.join(places, "key").groupBy("node", "root", "stray_blocks").agg(F.array_distinct(F.flatten(F.collect_list("there"))).alias("there"))
     visits = staged(own.select("node", "root", "stray_blocks", F.explode("there").alias("chunk")), "visits")
     block = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("stray_blocks")).cast("int")
