@@ -99,7 +99,7 @@ def _out(spark, name):
 
 def _rows(spark, d):
     expr = standin(spark, d, "expr")
-    return T.token_rows(T.token_long(expr, standin(spark, d, "genes"), N.gene_nonzero_mean(expr), max_length=20))
+    return T.token_rows(T.token_long(expr, standin(spark, d, "genes"), N.gene_nonzero_mean(expr)))
 
 
 @query("S4_read_csv_maps", "select source_gene, target_gene, ord from homology", "homology")

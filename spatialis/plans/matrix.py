@@ -19,7 +19,7 @@ scaled as (select n.cell_id, n.gene_id, n.value, round(n.value / m.mean, 9) as s
 tok as (select * from (select *, (row_number() over (partition by cell_id order by scaled desc, gene_id) - 1)::int as pos from scaled where scaled > 0) where pos < 20)"""
 
 
-def _ranked(spark, d, n=20):
+def _ranked(spark, d, n=T.MAX_LENGTH):
     expr, genes = standin(spark, d, "expr"), standin(spark, d, "genes")
     return T.token_long(expr, genes, N.gene_nonzero_mean(expr), max_length=n)
 
@@ -237,7 +237,7 @@ MODEL_INPUT_SQL = f"""with {RANKED}, {MASKED} select cell_id, list(masked::bigin
 
 @query("K3_model_input", MODEL_INPUT_SQL, "expr", "genes")
 def k3(spark, d):
-    t = T.mask_tokens(_ranked(spark, d), 3000).where("pos < 10")
+    t = T.mask_tokens(_ranked(spark, d), 3000).where(F.col("pos") < T.CONTEXT)
     own = F.array_sort(F.collect_list(F.struct("pos", "masked", "mask", "token")))
     rows = t.groupBy("cell_id").agg(own.alias("t"))
     part = lambda k: F.transform("t", lambda s: s[k])

@@ -27,7 +27,7 @@ def _gene_vec(spark, d):
 
 def _tokens(spark, d):
     expr = standin(spark, d, "expr")
-    return T.token_long(expr, standin(spark, d, "genes"), N.gene_nonzero_mean(expr), max_length=20)
+    return T.token_long(expr, standin(spark, d, "genes"), N.gene_nonzero_mean(expr))
 
 
 def _rounded(df, c="embedding"):
