@@ -89,24 +89,37 @@ def condition_vectors(conditions: DataFrame, gene_vec: DataFrame, dim: int) -> D
     return long.groupBy("condition").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("vector"))
 
 
+def _numbered(donors: DataFrame, salt: str, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The donors with `k` from 0, in the order of a hash and cell_id, and their number `m` as one row. Buckets
+    of the hash, of a fixed number, are numbered each by itself and begin after the counts of those before."""
+    own = donors.withColumn("h", hashed("cell_id", salt=salt)).withColumn("bucket", F.floor(F.col("h") * buckets))
+    counts = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "cell_id")) - 1
+    numbered = own.withColumn("place", place).join(F.broadcast(starts), "bucket").withColumn("k", F.col("start") + F.col("place"))
+    return numbered.drop("h", "bucket", "place", "start"), F.broadcast(donors.agg(F.count(F.lit(1)).alias("m")))
+
+
+def _drawn(key: str, salt: str):
+    """A number from 0 below `m`; without donors there is nothing to draw."""
+    return F.when(F.col("m") > 0, F.floor(hashed(key, salt=salt) * F.col("m"))).otherwise(F.raise_error(F.lit("no donors")).cast("bigint"))
+
+
 def inject_random(cells: DataFrame, donors: DataFrame, n: int, seed: str = "inject") -> DataFrame:
-    """n cells drawn from the donors with replacement, placed uniformly in the cells' bounding box. Donors
-    are numbered by hash within a bound of n, so the draw is an equi join on a number."""
-    ranked = donors.orderBy(hashed("cell_id", salt=f"{seed}-order"), "cell_id").limit(n)
-    numbered = ranked.withColumn("k", F.row_number().over(Window.orderBy(hashed("cell_id", salt=f"{seed}-order"), "cell_id")) - 1)
-    size = F.broadcast(numbered.agg(F.count(F.lit(1)).alias("m")))
+    """n cells drawn from all donors with replacement, placed uniformly in the cells' bounding box. Donors
+    are numbered by hash, so the draw is an equi join on a number."""
+    numbered, size = _numbered(donors, f"{seed}-order")
     box = F.broadcast(cells.agg(*[f(c).alias(f"{k}{c}") for c in ("x", "y") for k, f in (("lo", F.min), ("hi", F.max))]))
-    draws = cells.sparkSession.range(n).crossJoin(size).withColumn("k", F.floor(hashed("id", salt=f"{seed}-donor") * F.col("m")).cast("int")).drop("m")
+    draws = cells.sparkSession.range(n).crossJoin(size).withColumn("k", _drawn("id", f"{seed}-donor")).drop("m")
     at = lambda c: F.col(f"lo{c}") + hashed("id", salt=f"{seed}-{c}") * (F.col(f"hi{c}") - F.col(f"lo{c}"))
     return draws.join(numbered.select("k", "cell_id", "cell_type"), "k").crossJoin(box).select(F.concat(F.col("cell_id").cast("string"), F.lit("_inj"), F.col("id").cast("string")).alias("cell_name"), "cell_type", at("x").alias("x"), at("y").alias("y"))
 
 
 def inject_replace(cells: DataFrame, cell_type: str, donors: DataFrame, seed: str = "replace") -> DataFrame:
-    """(cell_id, x, y, donor_id): all cells of a type keep their place and get a donor's identity, drawn with
-    replacement; the others stay."""
-    pool = F.broadcast(donors.select(F.col("cell_id").alias("donor_id")).orderBy(hashed("donor_id", salt=f"{seed}-order"), "donor_id").limit(1000).withColumn("k", F.row_number().over(Window.orderBy(hashed("donor_id", salt=f"{seed}-order"), "donor_id")) - 1))
-    size = F.broadcast(pool.agg(F.count(F.lit(1)).alias("m")))
-    drawn = cells.where(F.col("cell_type") == cell_type).crossJoin(size).withColumn("k", F.floor(hashed("cell_id", salt=seed) * F.col("m")).cast("int")).join(pool, "k").select("cell_id", "x", "y", "donor_id")
+    """(cell_id, x, y, donor_id): all cells of a type keep their place and get the identity of a donor of that
+    type, drawn with replacement; the others stay."""
+    pool, size = _numbered(donors.where(F.col("cell_type") == cell_type), f"{seed}-order")
+    drawn = cells.where(F.col("cell_type") == cell_type).crossJoin(size).withColumn("k", _drawn("cell_id", seed)).join(pool.select("k", F.col("cell_id").alias("donor_id")), "k").select("cell_id", "x", "y", "donor_id")
     return cells.where(F.col("cell_type") != cell_type).select("cell_id", "x", "y", F.lit(None).cast("bigint").alias("donor_id")).unionByName(drawn)
 
 

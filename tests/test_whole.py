@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
+from pyspark.sql import functions as F
 
+from spatialis.operators import perturb as X
 from spatialis.operators import tokens as T
 from spatialis.plans import registry
 from tests.conftest import SF
@@ -31,3 +35,24 @@ def test_all_tokens_are_written(spark, con, name):  # noqa: F811
     df = registry.queries()[name](spark, SF)
     n = con.sql(f"select count(*) from ({SQL['W1_rank_tokens'].replace('pos < 20', f'pos < {T.MAX_LENGTH}')})").fetchone()[0]
     assert df.selectExpr(f"sum({'n' if 'n' in df.columns else 'size(X)'})").first()[0] == n
+
+
+def drawn(*keys, salt):
+    return int(hashlib.md5("|".join(map(str, (salt, *keys))).encode()).hexdigest()[:8], 16) / 4294967296.0
+
+
+def test_donors_of_the_type(spark, con):  # noqa: F811
+    equals(spark, con, "X10_inject_replace", {"from cells where slice = 2)": "from cells where slice = 2 and cell_type = 'BUILDING')"})
+
+
+def test_every_donor_can_be_drawn(spark):
+    kinds = F.when(F.col("id") % 5 < 4, "t").otherwise("u")
+    donors = spark.range(3000).select(F.col("id").alias("cell_id"), kinds.alias("cell_type"))
+    cells = spark.range(5000, 9000).select(F.col("id").alias("cell_id"), F.lit("t").alias("cell_type"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
+    order = sorted((i for i in range(3000) if i % 5 < 4), key=lambda i: (drawn(i, salt="replace-order"), i))
+    got = {r.cell_id: r.donor_id for r in X.inject_replace(cells, "t", donors).collect()}
+    assert got == {i: order[int(drawn(i, salt="replace") * len(order))] for i in range(5000, 9000)}
+    assert len(set(got.values())) > 1000
+    order = sorted(range(3000), key=lambda i: (drawn(i, salt="inject-order"), i))
+    names = {r.cell_name for r in X.inject_random(cells, donors, 7).collect()}
+    assert names == {f"{order[int(drawn(i, salt='inject-donor') * 3000)]}_inj{i}" for i in range(7)}
