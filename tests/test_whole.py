@@ -56,3 +56,8 @@ def test_every_donor_can_be_drawn(spark):
     order = sorted(range(3000), key=lambda i: (drawn(i, salt="inject-order"), i))
     names = {r.cell_name for r in X.inject_random(cells, donors, 7).collect()}
     assert names == {f"{order[int(drawn(i, salt='inject-donor') * 3000)]}_inj{i}" for i in range(7)}
+
+
+def test_all_genes_of_a_batch(spark, con):  # noqa: F811
+    equals(spark, con, "J16_batch_dataset", {" where e.gene_id % 50 = 0": ""})
+    equals(spark, con, "J12_gene_mask", {" where gene_id % 20 = 0": ""})
