@@ -58,10 +58,12 @@ def top_changed(changes: DataFrame, by: str, key: str, k: int) -> DataFrame:
     return changes.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def gene_delta(before: DataFrame, after: DataFrame, n_cells: int) -> DataFrame:
-    """(gene_id, before, after, delta, abs_delta): means over all cells, zeros included."""
-    mean = lambda df, name: df.groupBy("gene_id").agg((F.sum("value") / n_cells).alias(name))
-    both = mean(before, "before").join(mean(after, "after"), "gene_id", "full_outer").na.fill(0.0, ["before", "after"])
+def gene_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(gene_id, before, after, delta, abs_delta): means over all cells of the two tables, zeros included."""
+    cells = before.select("cell_id").union(after.select("cell_id")).agg(F.countDistinct("cell_id").alias("n_cells"))
+    total = lambda df, name: df.groupBy("gene_id").agg(F.sum("value").alias(name))
+    sums = total(before, "before").join(total(after, "after"), "gene_id", "full_outer").na.fill(0.0, ["before", "after"])
+    both = sums.crossJoin(F.broadcast(cells)).select("gene_id", *[(F.col(c) / F.col("n_cells")).alias(c) for c in ("before", "after")])
     delta = F.col("after") - F.col("before")
     return both.withColumns({"delta": delta, "abs_delta": F.abs(delta)})
 

@@ -163,7 +163,7 @@ DELTA = "a as (select gene_id, sum(value) / 1000 as before from expr group by 1)
 
 def _delta(spark, d):
     expr = standin(spark, d, "expr")
-    return X.gene_delta(expr, expr.where("gene_id % 50 <> 0").withColumn("value", F.col("value") * (1 + F.col("gene_id") % 3)), 1000)
+    return X.gene_delta(expr, expr.where("gene_id % 50 <> 0").withColumn("value", F.col("value") * (1 + F.col("gene_id") % 3)))
 
 
 @query("A10_gene_delta", f"with {DELTA} select gene_id, round(before, 6) as before, round(after, 6) as after, round(delta, 6) + 0.0 as delta, round(abs_delta, 6) as abs_delta from d", "expr")

@@ -61,3 +61,8 @@ def test_every_donor_can_be_drawn(spark):
 def test_all_genes_of_a_batch(spark, con):  # noqa: F811
     equals(spark, con, "J16_batch_dataset", {" where e.gene_id % 50 = 0": ""})
     equals(spark, con, "J12_gene_mask", {" where gene_id % 20 = 0": ""})
+
+
+@pytest.mark.parametrize("name", ["A10_gene_delta", "T4_top_delta_genes", "X15_recon_change"])
+def test_means_over_the_cells_of_the_table(spark, con, name):  # noqa: F811
+    equals(spark, con, name, {"sum(value) / 1000": "sum(value) / (select count(distinct cell_id) from expr)"})
