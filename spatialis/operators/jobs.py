@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spatialis.functions.scalars import cosine, dot, hashed
+from spatialis.functions.scalars import cosine, distance2, hashed
 from spatialis.operators import genes as G
 from spatialis.operators import metrics as E
 from spatialis.operators import normalize as N
@@ -131,24 +133,83 @@ def inject_niche(cells: DataFrame, donors: DataFrame, n: int, spread: float = 1.
     return drawn.select(F.concat(F.col("cell_id").cast("string"), F.lit("_inj")).alias("cell_name"), "cell_type", (F.col("x") + radius * F.cos(angle)).alias("x"), (F.col("y") + radius * F.sin(angle)).alias("y"))
 
 
-def shift_ot(source: DataFrame, target: DataFrame, rounds: int = 20, reg: float = 1.0, penalty: float = 10.0) -> DataFrame:
-    """(i, projection): barycentric projection of each source vector by an unbalanced Sinkhorn plan of squared
-    Euclidean cost. Scalings are tables, written every round; the cost table holds all pairs of the two groups
-    compared, which callers keep to the groups' representatives."""
-    a = source.select(F.col("vec_id").alias("i"), F.col("embedding").cast("array<double>").alias("e"))
-    b = target.select(F.col("vec_id").alias("j"), F.col("embedding").cast("array<double>").alias("f"))
-    d2 = dot("e", "e") + dot("f", "f") - 2 * dot("e", "f")
-    na, nb = a.count(), b.count()
-    kernel = staged(a.crossJoin(b).select("i", "j", F.exp(-d2 / reg).alias("k")), "kernel")
+def _in_blocks(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """Rows in their hashed block `own`, once for each block of the other side."""
+    block = F.floor(hashed("id", salt="ot-block") * n_own).cast("int")
+    return rows.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+
+def _log_kernel(rows, others, reg):
+    e, f = np.array(rows["e"].tolist()), np.array(others["e"].tolist())
+    return -np.maximum((e * e).sum(1)[:, None] + (f * f).sum(1)[None, :] - 2 * e @ f.T, 0.0) / reg
+
+
+def _scaled(rows: DataFrame, others: DataFrame, logs: DataFrame, reg: float, power: float, n: int, blocks: tuple[int, int]) -> DataFrame:
+    """(side, id, log) of the rows: power * (-log n - log sum over the others of kernel * scaling), the sum by
+    pairs of blocks."""
+    keys = ["side", "r", "o"]
+    left = _in_blocks(rows, "r", blocks[0], "o", blocks[1])
+    right = _in_blocks(others.join(logs, ["side", "id"]), "o", blocks[1], "r", blocks[0])
+
+    def part(a, b):
+        x = _log_kernel(a, b, reg) + b["log"].to_numpy()[None, :] if len(a) and len(b) else np.zeros((0, 1))
+        if not len(x):
+            return pd.DataFrame({"side": [], "id": [], "l": []}).astype({"side": "int32", "id": "int64", "l": "float64"})
+        top = x.max(axis=1)
+        return pd.DataFrame({"side": a["side"], "id": a["id"], "l": top + np.log(np.exp(x - top[:, None]).sum(axis=1))})
+
+    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(part, "side int, id long, l double")
+    whole = sums.groupBy("side", "id").agg(F.max("l").alias("top"), F.collect_list("l").alias("ls"))
+    total = F.col("top") + F.log(F.aggregate("ls", F.lit(0.0), lambda s, l: s + F.exp(l - F.col("top"))))
+    return staged(whole.select("side", "id", (F.lit(power) * (F.lit(-math.log(n)) - total)).alias("log")), "scaling")
+
+
+def shift_ot(young: DataFrame, old: DataFrame, perturbed: DataFrame, reg: float = 1.0, penalty: float = 10.0, tolerance: float = 1e-9, block: int = 1000) -> DataFrame:
+    """(vec_id, projection, projection_after, cos_before, cos_after, cos_change, dist_before, dist_after,
+    dist_change) of each old vector before and after perturbation: its similarity to its barycentric projection
+    from the young ones by an unbalanced Sinkhorn plan of squared Euclidean cost.
+
+    The cost is computed anew each round in pairs of hashed blocks; scalings are tables of logarithms, written
+    every round. A projection hangs on the young scalings up to a factor, so rounds end when their logarithms
+    change by the same number within the tolerance; each round shrinks the spread by (penalty / (penalty + reg))^2."""
+    vectors = lambda df, side: df.select(F.lit(side).alias("side"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    sources = vectors(young, 0).unionByName(vectors(young, 1))
+    targets = vectors(old, 0).unionByName(vectors(perturbed, 1))
+    ny, no, both = young.count(), old.count(), old.select("vec_id").join(perturbed.select("vec_id"), "vec_id").count()
+    if not no == both == perturbed.count():
+        raise ValueError("old and perturbed vectors differ in their ids")
+    by, bo = -(-ny // block), -(-no // block)
     power = penalty / (penalty + reg)
-    v = staged(b.select("j", F.lit(1.0).alias("v")), "v")
-    u = None
-    for _ in range(rounds):
-        u = staged(kernel.join(v, "j").groupBy("i").agg(F.sum(F.col("k") * F.col("v")).alias("s")).select("i", F.pow(F.lit(1.0 / na) / F.greatest("s", F.lit(1e-300)), F.lit(power)).alias("u")), "u")
-        v = staged(kernel.join(u, "i").groupBy("j").agg(F.sum(F.col("k") * F.col("u")).alias("s")).select("j", F.pow(F.lit(1.0 / nb) / F.greatest("s", F.lit(1e-300)), F.lit(power)).alias("v")), "v")
-    plan = kernel.join(u, "i").join(v, "j").select("i", "j", (F.col("u") * F.col("k") * F.col("v")).alias("p"))
-    long = plan.join(b, "j").select("i", "p", F.posexplode("f").alias("dim", "x")).groupBy("i", "dim").agg((F.sum(F.col("p") * F.col("x")) / F.sum("p")).alias("x"))
-    return long.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("projection"))
+    v, u, spread = targets.select("side", "id", F.lit(0.0).alias("log")), None, math.inf
+    while ny and no and spread > tolerance:
+        last, u = u, _scaled(sources, targets, v, reg, power, ny, (by, bo))
+        if last is not None:
+            step = u.join(last.withColumnRenamed("log", "last"), ["side", "id"]).withColumn("d", F.col("log") - F.col("last"))
+            spread = step.groupBy("side").agg((F.max("d") - F.min("d")).alias("s")).agg(F.max("s")).first()[0]
+        v = _scaled(targets, sources, u, reg, power, no, (bo, by)) if spread > tolerance else v
+    if u is None:
+        raise ValueError("no vectors to compare")
+
+    def part(a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({"side": [], "id": [], "top": [], "w": [], "p": []}).astype({"side": "int32", "id": "int64", "top": "float64", "w": "float64"})
+        x = _log_kernel(a, b, reg) + b["log"].to_numpy()[None, :]
+        top = x.max(axis=1)
+        w = np.exp(x - top[:, None])
+        return pd.DataFrame({"side": a["side"], "id": a["id"], "top": top, "w": w.sum(axis=1), "p": list(w @ np.array(b["e"].tolist()))})
+
+    keys = ["side", "r", "o"]
+    left, right = _in_blocks(targets, "r", bo, "o", by), _in_blocks(sources.join(u, ["side", "id"]), "o", by, "r", bo)
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(part, "side int, id long, top double, w double, p array<double>")
+    share = F.exp(F.col("top") - F.max("top").over(Window.partitionBy("side", "id")))
+    long = parts.withColumn("share", share).select("side", "id", (F.col("share") * F.col("w")).alias("w"), "share", F.posexplode("p").alias("dim", "x"))
+    dims = long.groupBy("side", "id", "dim").agg((F.sum(F.col("share") * F.col("x")) / F.sum("w")).alias("x"))
+    made = dims.groupBy("side", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("projection"))
+    scored = made.join(targets, ["side", "id"]).select("side", "id", "projection", cosine("e", "projection").alias("cos"), F.sqrt(distance2("e", "projection")).alias("dist"))
+    a = scored.where("side = 0").select(F.col("id").alias("vec_id"), "projection", F.col("cos").alias("cos_before"), F.col("dist").alias("dist_before"))
+    b = scored.where("side = 1").select(F.col("id").alias("vec_id"), F.col("projection").alias("projection_after"), F.col("cos").alias("cos_after"), F.col("dist").alias("dist_after"))
+    change = lambda c: [f"{c}_before", f"{c}_after", (F.col(f"{c}_after") - F.col(f"{c}_before")).alias(f"{c}_change")]
+    return a.join(b, "vec_id").select("vec_id", "projection", "projection_after", *change("cos"), *change("dist"))
 
 
 def downstream_eval(task: str, **tables: DataFrame) -> DataFrame:

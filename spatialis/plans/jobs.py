@@ -10,6 +10,7 @@ from spatialis.operators import normalize as N
 from spatialis.operators import tokens as T
 from spatialis.operators.transfer import centroids, nearest_centroid, scale_pca
 from spatialis.plans.matrix import MODEL_INPUT_SQL, k3
+from spatialis.plans.perturbation import _after
 from spatialis.plans.registry import query
 from spatialis.sources import tables
 from spatialis.sources.staging import shared_folder
@@ -73,8 +74,8 @@ def x8(spark, d):
 
 @query("X12_shift_ot")
 def x12(spark, d):
-    vec = standin(spark, d, "vec").where("label = 3")
-    return J.shift_ot(vec.where("slice = 'young'"), vec.where("slice = 'old'"), 5)
+    vec, old = standin(spark, d, "vec").where("label = 3"), "label = 3 and slice = 'old'"
+    return J.shift_ot(vec.where("slice = 'young'"), vec.where("slice = 'old'"), _after(spark, d).where(old))
 
 
 @query("X2_resolve_symbol", "select gene_id from genes where gene_symbol = (select min(gene_symbol) from (select gene_symbol from genes group by 1 having count(*) = 1))", "genes")

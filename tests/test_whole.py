@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spatialis.operators import jobs as J
 from spatialis.operators import perturb as X
 from spatialis.operators import tokens as T
 from spatialis.plans import registry
@@ -66,3 +68,24 @@ def test_all_genes_of_a_batch(spark, con):  # noqa: F811
 @pytest.mark.parametrize("name", ["A10_gene_delta", "T4_top_delta_genes", "X15_recon_change"])
 def test_means_over_the_cells_of_the_table(spark, con, name):  # noqa: F811
     equals(spark, con, name, {"sum(value) / 1000": "sum(value) / (select count(distinct cell_id) from expr)"})
+
+
+def test_transport_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    y, o = 0.4 * rng.normal(size=(13, 4)), 0.4 * rng.normal(size=(9, 4)) + 0.2
+    sets = [y, o, o + 0.2 * rng.normal(size=(9, 4))]
+    tables = [spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(s)], "vec_id long, embedding array<double>") for s in sets]
+    got = {r.vec_id: r for r in J.shift_ot(*tables, block=5).collect()}
+    cos, dist = [], []
+    for t in sets[1:]:
+        k = np.exp(-((y[:, None] - t[None]) ** 2).sum(2))
+        v = np.ones(9)
+        for _ in range(1000):
+            u = (1 / 13 / (k @ v)) ** (10 / 11)
+            v = (1 / 9 / (k.T @ u)) ** (10 / 11)
+        plan = u[:, None] * k
+        p = (plan / plan.sum(0)).T @ y
+        cos.append((t * p).sum(1) / np.linalg.norm(t, axis=1) / np.linalg.norm(p, axis=1))
+        dist.append(np.linalg.norm(t - p, axis=1))
+    assert np.allclose([[got[i].cos_before, got[i].cos_after, got[i].cos_change] for i in range(9)], np.array([*cos, cos[1] - cos[0]]).T, atol=1e-6)
+    assert np.allclose([[got[i].dist_before, got[i].dist_after, got[i].dist_change] for i in range(9)], np.array([*dist, dist[1] - dist[0]]).T, atol=1e-6)
