@@ -35,7 +35,7 @@ def test_all_tokens_of_a_cell(spark, con, name):  # noqa: F811
 @pytest.mark.parametrize("name", ["S5_write_tokens", "S6_read_tokens"])
 def test_all_tokens_are_written(spark, con, name):  # noqa: F811
     df = registry.queries()[name](spark, SF)
-    n = con.sql(f"select count(*) from ({SQL['W1_rank_tokens'].replace('pos < 20', f'pos < {T.MAX_LENGTH}')})").fetchone()[0]
+    n = con.sql(f"select count(*) from ({SQL['W1_rank_tokens'].replace('pos < 20', f'pos < {T.MAX_LENGTH}')})").fetchall()[0][0]
     assert df.selectExpr(f"sum({'n' if 'n' in df.columns else 'size(X)'})").first()[0] == n
 
 
