@@ -7,16 +7,22 @@ candidates. Candidate groups are verified on their full sets of shingles, and th
 up components.
 
 How large groups are kept apart: equal sets are one class from the start. Candidates are tied to the
-smallest document of their bucket (a star, never all pairs), and the stars' components are the groups.
-A group beyond CHUNK classes or CHUNK_CHARS characters is dealt into chunks by a hash; within a chunk all
-pairs are verified. Chunks are dealt anew once, which joins what is densely linked; every document that
-is still outside its group's largest component is then verified against all documents with which it
-shares a bucket. So each pair that shares a bucket is either verified or already in one component.
+smallest document of their bucket (a star, never all pairs), and the stars' components are the groups. A
+group of at most CHUNK classes and CHUNK_CHARS characters is verified in one piece. Larger groups are
+mostly chained by common passages, so they are taken apart first by a filter that loses nothing: two sets
+that share t of their union share one of their (1 - t) n + 1 rarest shingles, in the order of how many
+documents of large groups hold a shingle. Documents that share such a shingle make up the new groups.
+What is still large is dense. It is dealt into chunks by a hash, twice, each chunk along with the group's
+hubs (those that share most rare shingles); that joins what is linked to a hub or densely. Each document
+that is still outside its group's largest component is then verified against all documents of about its
+size with which it shares a rare shingle. So each pair that shares a bucket is verified, already in one
+component, or too far apart to be linked.
 
 Results: one row for each input row. Null and empty texts have no shingles and are linked with nothing.
 Copies have the same component. Rows of null id are nodes by their text; their component_id is the
-smallest id reachable, or null if there is none. Rows that share an id are one node, whatever their
-texts. Very long texts are taken whole. An empty table gives an empty result.
+smallest id reachable, or null if there is none; they are not `kept`, as no id is theirs. Rows that share
+an id are one node, whatever their texts. Very long texts are taken whole. Only doc_id and text are read,
+so other columns don't matter. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,17 +31,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatialis.llm.common import staged
+from spatialis.llm.common import free_name, staged, text_chunks
 from spatialis.llm.components import connected_components
 from spatialis.llm.words import hash_words, mix, window_hashes, words_of
 
 BANDS, BAND_ROWS = 32, 4
 CHUNK, CHUNK_CHARS = 256, 2_000_000
+#: Hubs of a large group, one for each slice of its documents.
+HUBS = 8
 #: Nodes of null doc_id lie from here on.
 NO_ID = 1 << 62
+#: Characters of text that are sketched at a time.
+SKETCH_CHARS = 400_000
 _U32 = np.uint32
 
 
@@ -98,8 +109,8 @@ def node_of(doc_id: Column, text: Column) -> Column:
 def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     """For each row: size of the set, 128 bits that stand for the set, and the keys of its bands."""
 
-    def part(b: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_hashes([words_of(t, lower=True) for t in b["text"]], size)
+    def part(b: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+        sets = shingle_hashes([words_of(t, lower=True) for t in texts], size)
         n = np.array([len(s) for s in sets], np.int64)
         some = np.flatnonzero(n)
         keys: list = [None] * len(sets)
@@ -112,17 +123,14 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             sb[some] = np.add.reduceat(mix(every, np.full_like(every, 2)), starts).view(np.int64)
             for i, k in zip(some, band_keys(signatures(every, starts, bands * rows), bands, rows)):
                 keys[i] = k
-        return pd.DataFrame({"node": b["node"], "doc_id": b["doc_id"].astype("Int64"), "n_shingles": n, "sa": sa, "sb": sb, "chars": [len(t or "") for t in b["text"]], "bands": keys})
+        columns = [b.column("node"), b.column("doc_id"), pa.array(n), pa.array(sa), pa.array(sb), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "doc_id", "n_shingles", "sa", "sb", "chars", "bands"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sizes = np.cumsum([len(t or "") for t in b["text"]])
-            cut = np.searchsorted(sizes, np.arange(400_000, sizes[-1] if len(sizes) else 0, 400_000))
-            for i, j in zip([0, *(cut + 1)], [*(cut + 1), len(b)]):
-                if j > i:
-                    yield part(b.iloc[i:j])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in text_chunks(batches, SKETCH_CHARS):
+            yield part(b, texts)
 
-    return docs.select(node_of(F.col("doc_id"), F.col("text")).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SKETCH)
+    return docs.select(node_of(F.col("doc_id"), F.col("text")).alias("node"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
 
 def shared_sizes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,88 +183,147 @@ def _spanning(links: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _verify(rows: DataFrame, keys: list[str], size: int, percent: int) -> DataFrame:
-    """Links (a, b) within each group of `rows`(node, text, asks): with rows that ask, of those with all
-    rows; else of all rows with each other."""
+    """Links (a, b) within each group of `rows`(node, text)."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["node", "asks"], kind="stable").drop_duplicates(["node", "text"])
+        g = g.sort_values("node", kind="stable").drop_duplicates(["node", "text"])
         links = linked_pairs(list(g["text"]), size, percent)
         return pd.DataFrame(_spanning(links, g["node"].to_numpy()), columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy(*keys).applyInPandas(run, "a long, b long")
+    return rows.select(*keys, "node", "text").groupBy(*keys).applyInPandas(run, "a long, b long")
 
 
 def _chunk(round_no: int, chunks: str = "chunks") -> Column:
-    return F.pmod(F.xxhash64(F.lit(round_no), "node"), F.col(chunks)).cast("int")
+    return F.pmod(F.xxhash64(F.lit(round_no), "unit"), F.col(chunks)).cast("int")
+
+
+def _stars(entries: DataFrame, node: str, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """What ties the nodes of each key to the smallest of them: edges (a, b), and (key, lead, n)."""
+    leads = staged(entries.groupBy(key).agg(F.min(node).alias("lead"), F.max(node).alias("last"), F.count(F.lit(1)).alias("n")).where("lead <> last").select(key, "lead", "n"), "leads")
+    return entries.join(leads, key).where(F.col(node) != F.col("lead")).select(F.col(node).alias("a"), F.col("lead").alias("b")).distinct(), leads
+
+
+def _chunks_of(rows: DataFrame) -> DataFrame:
+    """(root, chunks) of rows (root, chars), one for each unit."""
+    return rows.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("chars") / CHUNK_CHARS)).cast("int").alias("chunks"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that stay: of each component the document of the smallest id, once."""
-    own = docs.withColumns({"_node": node_of(F.col("doc_id"), F.col("text")), "_text": F.xxhash64("text")})
-    stay = staged(near_duplicates(docs.select("doc_id", "text"), size, percent).where("kept").select(F.col("node").alias("_node")).distinct(), "stay")
-    return own.join(stay, "_node", "left_semi").dropDuplicates(["_node", "_text"]).select(docs.columns)
+    """The rows of `docs` that stay: of each component the document of the smallest id, once. Components
+    without any id keep the smallest node, once. Columns of any name pass through."""
+    node, text = (free_name(docs, x) for x in ("node", "text_hash"))
+    own = docs.withColumns({node: node_of(F.col("doc_id"), F.col("text")), text: F.xxhash64("text")})
+    stay = staged(_components(docs.select("doc_id", "text"), size, percent).where("node = component").select(F.col("node").alias(node)).distinct(), "stay")
+    return own.join(stay, node, "left_semi").dropDuplicates([node, text]).select(docs.columns)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """node, doc_id, n_shingles, component_id, kept for each row of `docs` (doc_id, text): documents whose
     sets share `percent` of their union are linked; component_id is the smallest doc_id reachable."""
+    own = _components(docs, size, percent, bands, band_rows)
+    named = F.when(F.col("component") < NO_ID, F.col("component"))
+    return own.select("node", "doc_id", "n_shingles", named.alias("component_id"), F.coalesce(F.col("doc_id") == named, F.lit(False)).alias("kept"))
+
+
+def _components(docs: DataFrame, size: int, percent: int, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """node, doc_id, n_shingles and component, the smallest node reachable, of each row."""
     sketch = staged(sketches(docs, size, bands, band_rows), "sketches")
     some = sketch.where("n_shingles > 0")
     # A class for each distinct set; its node is the smallest of its rows.
     classes = staged(some.groupBy("sa", "sb").agg(F.min("node").alias("node"), F.max("chars").alias("chars"), F.count(F.lit(1)).alias("n")), "classes")
     head = classes.select("node", "sa", "sb")
     entries = staged(some.join(head, ["node", "sa", "sb"]).dropDuplicates(["node", "sa", "sb"]).select("node", F.explode("bands").alias("key")), "entries")
-    # Stars: every entry of a bucket with its smallest.
-    leads = staged(entries.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("key", "lead"), "leads")
-    stars = entries.join(leads, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    stars, _ = _stars(entries, "node")
     groups = staged(connected_components(stars).select("node", F.col("component").alias("root")), "groups")
-    sizes = (
-        groups.join(classes.groupBy("node").agg(F.max("chars").alias("chars")), "node")
-        .groupBy("root")
-        .agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("chars") / CHUNK_CHARS)).cast("int").alias("chunks"))
-    )
-    sizes = staged(sizes, "sizes")
+    sizes = staged(_chunks_of(groups.join(classes.groupBy("node").agg(F.max("chars").alias("chars")), "node")), "sizes")
+    # Only the texts of candidates travel on, each once: a unit is a node and one of its texts.
+    texts = docs.select(node_of(F.col("doc_id"), F.col("text")).alias("node"), F.xxhash64("text").alias("th"), "text")
     member = groups.join(sizes, "root")
-    texts = docs.select(node_of(F.col("doc_id"), F.col("text")).alias("node"), "text")
-    # Only the texts of candidates travel on.
-    rows = staged(texts.join(member, "node").withColumn("asks", F.lit(False)), "texts")
-    links = [staged(_verify(rows.withColumn("chunk", _chunk(0)), ["root", "chunk"], size, percent), "links")]
-    large = rows.where("chunks > 1")
+    rows = texts.join(member, "node").dropDuplicates(["node", "th"]).withColumns({"unit": F.xxhash64("node", "th"), "chars": F.length("text")})
+    rows = staged(rows.select("unit", "node", "root", "chunks", "chars", "text"), "texts")
+    links = [staged(_verify(rows.where("chunks = 1"), ["root"], size, percent), "links")]
     if not sizes.where("chunks > 1").isEmpty():
-        links.append(staged(_verify(large.withColumn("chunk", _chunk(1)), ["root", "chunk"], size, percent), "links"))
-        links.append(staged(_strays(large, links[0].unionByName(links[1]), entries, size, percent), "links"))
+        links += _large_groups(rows.where("chunks > 1").select("unit", "node", "chars", "text"), size, percent)
     every = links[0]
     for x in links[1:]:
         every = every.unionByName(x)
     found = staged(connected_components(every), "components")
     named = staged(classes.select("sa", "sb", "node").join(found, "node", "left").select("sa", "sb", F.coalesce("component", "node").alias("component")), "named")
-    own = (
+    return (
         some.select("node", "doc_id", "n_shingles", "sa", "sb")
         .join(named, ["sa", "sb"])
         .select("node", "doc_id", "n_shingles", "component")
         .unionByName(sketch.where("n_shingles = 0").select("node", "doc_id", "n_shingles", F.col("node").alias("component")))
     )
-    return own.select("node", "doc_id", "n_shingles", F.when(F.col("component") < NO_ID, F.col("component")).alias("component_id"), (F.col("node") == F.col("component")).alias("kept"))
 
 
-def _strays(large: DataFrame, links: DataFrame, entries: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links of the documents of large groups that lie outside their group's largest component: each is
-    verified with every chunk that holds a document of a bucket of its own."""
+def rare_keys(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(unit, n, most, key): of each of `rows` (unit, text) the shingles, hashed, by which a set can be
+    linked: those of its (1 - percent) n + 1 rarest that another row holds too. n is the size of the set,
+    most that of the largest set it can be linked with: of t (n + m) / (1 + t) shingles that the two
+    must share, none is among those that no other row holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in text_chunks(batches, SKETCH_CHARS):
+            sets = shingle_hashes([words_of(t, lower=True) for t in texts], size)
+            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["unit", "keys"])
+
+    sets = staged(rows.select("unit", "text").mapInArrow(run, "unit long, keys array<long>"), "sets")
+    often = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = sets.select("unit", F.size("keys").alias("n"), F.explode("keys").alias("key")).join(often, "key")
+    listed = shared.groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("keys"))
+    # Shingles that no other row holds are the rarest, and come first without being listed.
+    left = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - size(keys))").cast("int")
+    most = F.expr(f"size(keys) * {100 + percent}L div {percent} - n").cast("int")
+    return listed.withColumns({"left": left, "most": most}).where("left > 0").select("unit", "n", "most", F.explode(F.slice("keys", 1, F.col("left"))["key"]).alias("key"))
+
+
+def _large_groups(large: DataFrame, size: int, percent: int) -> list[DataFrame]:
+    """Links among the documents of groups that are too large to be verified in one piece."""
+    keys = staged(rare_keys(large, size, percent), "keys")
+    stars, leads = _stars(keys.select("unit", "key"), "unit")
+    groups = staged(connected_components(stars).select(F.col("node").alias("unit"), F.col("component").alias("root")), "groups")
+    rows = staged(large.join(groups, "unit"), "texts")
+    sizes = staged(_chunks_of(rows), "sizes")
+    rows = rows.join(sizes, "root")
+    dense = sizes.where("chunks > 1")
+    hubs = _hubs(keys, leads, groups.join(dense, "root")).join(rows.select("unit", "node", "text"), "unit")
+    hubs = staged(hubs.select("root", "node", "text", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")), "hubs")
+    links = []
+    for i in range(1 if dense.isEmpty() else 2):
+        own = rows.where(f"chunks > {i}").select("root", "node", "text", _chunk(i).alias("chunk"))
+        links.append(staged(_verify(own.unionByName(hubs), ["root", "chunk"], size, percent), "links"))
+    if len(links) > 1:
+        links.append(staged(_verify(_stray_visits(rows.where("chunks > 1"), links[0].unionByName(links[1]), keys, percent), ["root", "chunk", "block"], size, percent), "links"))
+    return links
+
+
+def _hubs(keys: DataFrame, leads: DataFrame, member: DataFrame) -> DataFrame:
+    """(root, chunks, unit): at most HUBS units of each group of `member` (root, chunks, unit)."""
+    score = keys.select("unit", "key").join(leads, "key").groupBy("unit").agg(F.sum("n").alias("score"))
+    part = F.pmod(F.xxhash64(F.lit(3), "unit"), F.lit(HUBS))
+    return member.join(score, "unit").groupBy("root", part).agg(F.max(F.struct("score", "unit")).alias("m"), F.max("chunks").alias("chunks")).select("root", "chunks", F.col("m.unit").alias("unit"))
+
+
+def _stray_visits(rows: DataFrame, links: DataFrame, keys: DataFrame, percent: int) -> DataFrame:
+    """root, chunk, block, node, text: each document outside its group's largest component, beside the
+    chunks that hold a document of about its size with which it shares a key."""
     label = connected_components(links)
-    labelled = staged(large.select("node", "root", "chunks").distinct().join(label, "node", "left").select("node", "root", "chunks", F.coalesce("component", "node").alias("component")), "labelled")
+    labelled = staged(rows.select("unit", "node", "root", "chunks").join(label, "node", "left").select("unit", "root", "chunks", F.coalesce("component", "node").alias("component")), "labelled")
     counts = labelled.groupBy("root", "component").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("root").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("total"))
-    main = staged(main.select("root", F.col("m.component").alias("main"), F.ceil((F.col("total") - F.col("m.n")) / CHUNK).cast("int").alias("stray_blocks")), "main")
-    strays = staged(labelled.join(main, "root").where("component <> main").select("node", "root", "stray_blocks"), "strays")
-    # The chunks that hold a bucket's documents, as a list for each bucket: a stray meets a row for each of
-    # its own buckets, not for each document in them.
-    asked_keys = entries.join(strays, "node").select("key", "node", "root", "stray_blocks")
-    asked_for = entries.join(asked_keys.select("key").distinct(), "key", "left_semi")
-    places = staged(asked_for.join(labelled.select("node", "chunks"), "node").groupBy("key").agg(F.collect_set(_chunk(0)).alias("there")), "places")
-    own = asked_keys.join(places, "key").groupBy("node", "root", "stray_blocks").agg(F.array_distinct(F.flatten(F.collect_list("there"))).alias("there"))
-    visits = staged(own.select("node", "root", "stray_blocks", F.explode("there").alias("chunk")), "visits")
-    block = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("stray_blocks")).cast("int")
-    asked = visits.select("root", "chunk", block.alias("block")).distinct()
-    here = large.withColumn("chunk", _chunk(0)).join(asked, ["root", "chunk"]).select("root", "chunk", "block", "node", "text", "asks")
-    there = large.select("node", "text").join(visits.withColumn("block", block), "node").select("root", "chunk", "block", "node", "text", F.lit(True).alias("asks"))
-    return _verify(here.unionByName(there), ["root", "chunk", "block"], size, percent)
+    main = staged(main.select("root", F.col("m.component").alias("main"), F.ceil((F.col("total") - F.col("m.n")) / CHUNK).cast("int").alias("blocks")), "main")
+    block = F.pmod(F.xxhash64(F.lit(2), "unit"), F.col("blocks")).cast("int").alias("block")
+    strays = staged(labelled.join(main, "root").where("component <> main").select("unit", "root", block), "strays")
+    asked = keys.join(strays, "unit").select("key", "n", "most", "unit", "root", "block")
+    # A list of places for each key: a stray meets a row for each of its own keys, not for each document.
+    there = keys.join(asked.select("key").distinct(), "key", "left_semi").join(labelled.select("unit", "chunks"), "unit").withColumn("chunk", _chunk(0))
+    there = there.groupBy("key", "chunk").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("most").alias("most"))
+    places = staged(there.groupBy("key").agg(F.collect_list(F.struct("chunk", "least_n", "most_n", "most")).alias("there")), "places")
+    # Of a place, some document has to be of a size that the stray can be linked with, and the other way.
+    fits = lambda x: (x["least_n"] <= F.col("most")) & (x["most_n"] * 100 >= F.col("n") * percent) & (x["most"] >= F.col("n"))
+    near = F.transform(F.filter("there", fits), lambda x: x["chunk"])
+    own = asked.join(places, "key").groupBy("unit", "root", "block").agg(F.array_distinct(F.flatten(F.collect_list(near))).alias("there"))
+    visits = staged(own.select("unit", "root", "block", F.explode("there").alias("chunk")), "visits")
+    here = rows.withColumn("chunk", _chunk(0)).join(visits.select("root", "chunk", "block").distinct(), ["root", "chunk"]).select("root", "chunk", "block", "node", "text")
+    return here.unionByName(rows.select("unit", "node", "text").join(visits, "unit").select("root", "chunk", "block", "node", "text"))

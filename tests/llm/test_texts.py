@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spatialis.llm import bpe, licenses, minhash, mixing, pii, substrings, toxicity
 from spatialis.llm.queries import TOKENIZER
 from tests.conftest import SF
+from tests.llm.conftest import PASSAGE
 
 
 def texts(df):
@@ -163,6 +164,34 @@ def test_near_duplicates(spark, odd, chunk):
         minhash.CHUNK = kept
 
 
+def test_near_duplicates_of_large_and_missing_ids(spark):
+    rows = [(9007199254740993, PASSAGE), (None, PASSAGE + " tail"), (9007199254740995, "alone"), (None, "lost words"), (None, None)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = [(None, None, False)] * 2 + [(None, 9007199254740993, False), (9007199254740993, 9007199254740993, True), (9007199254740995, 9007199254740995, True)]
+    assert collections.Counter((r.doc_id, r.component_id, r.kept) for r in got) == collections.Counter(want)
+
+
+def test_rows_to_verify_grow_with_near_copies(spark, monkeypatch):
+    """Near copies a little below the threshold: twice the documents, about twice the rows."""
+    words = [f"t{i}" for i in range(120)]
+    near = [(i, " ".join(f"e{i}" if j % 30 == i % 30 else w for j, w in enumerate(words))) for i in range(640)]
+    counted = []
+    verify = minhash._verify
+
+    def counting(rows, *rest):
+        counted[-1] += rows.count()
+        return verify(rows, *rest)
+
+    monkeypatch.setattr(minhash, "CHUNK", 32)
+    monkeypatch.setattr(minhash, "_verify", counting)
+    for n in (320, 640):
+        counted.append(0)
+        docs = spark.createDataFrame(near[:n], "doc_id long, text string")
+        got = minhash.near_duplicates(docs, 3, 85).collect()
+        assert all(r.kept for r in got)
+    assert 0 < counted[0] and counted[1] <= 2.2 * counted[0]
+
+
 def test_drop_near_duplicates(odd, empty, clashing):
     out = minhash.drop_near_duplicates(clashing).collect()
     assert sorted(r.doc_id for r in out if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 9, 11]
