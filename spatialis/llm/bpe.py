@@ -6,8 +6,11 @@ of the rank's pair is merged, and the lists of the pairs that arise beside it ar
 comes of one merge alone (checked on loading), a merge can only bring up higher ranks, so each word
 sees exactly the order of merges that it would see by itself.
 
+Letters and numbers are those of Unicode 16, as the vocabulary's own library has them.
+
 Null texts count as empty; empty texts have no tokens; repeated rows are encoded alike; texts of any
-length are taken whole. Columns that clash with an output column are replaced.
+length are taken whole. Columns that clash with an output column are replaced, all others pass through
+unchanged. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,15 +21,19 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain, islice
+from functools import cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spatialis.llm.common import text_chunks
+
 #: Characters of text that are encoded at a time, and words that a Python worker remembers.
 CHUNK_CHARS, REMEMBERED = 4_000_000, 250_000
 
@@ -40,6 +47,9 @@ def byte_letters() -> dict[str, int]:
 
 #: How byte-level BPE splits text into words before the merges.
 WORDS = r"'(?:[stmd]|re|ve|ll)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: What Unicode 16 added to the letters and numbers of Unicode 15.1, as ranges.
+LETTERS_16 = ((0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0))
+NUMBERS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 #: Characters below this are split by the standard library, which is faster over so few classes.
 LATIN_END = 0x250
 
@@ -54,12 +64,42 @@ def latin_pattern() -> re.Pattern[str]:
     return re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def _ranges(points: np.ndarray) -> str:
+    """A character class's inside for code points in ascending order."""
+    cuts = np.flatnonzero(np.diff(points) != 1)
+    first, last = points[np.concatenate([[0], cuts + 1])], points[np.concatenate([cuts, [len(points) - 1]])]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last.tolist()))
+
+
+@cache
+def pinned_pattern() -> tuple[regex.Pattern[str], re.Pattern[str] | None]:
+    """WORDS with letters and numbers of Unicode 16 written out, and a pattern of the characters that the
+    regex library, whose tables are of another version, puts elsewhere (None: it has no such)."""
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])
+    every = "".join(map(chr, points))
+    kind = np.array([unicodedata.category(c)[0] for c in every])
+    odd = np.zeros(len(points), bool)
+    inside = {}
+    for name, added in (("L", LETTERS_16), ("N", NUMBERS_16)):
+        own = kind == name
+        for a, b in added:
+            own |= (points >= a) & (points <= b)
+        there = np.zeros(len(points), bool)
+        for m in regex.finditer(rf"\p{{{name}}}+", every):
+            there[m.start() : m.end()] = True
+        odd |= own != there
+        inside[name] = _ranges(points[own])
+    pinned = WORDS.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"[^\p{{White_Space}}{inside['L']}{inside['N']}]")
+    for name in inside:
+        pinned = pinned.replace(rf"\p{{{name}}}", f"[{inside[name]}]")
+    return regex.compile(pinned), re.compile(f"[{_ranges(points[odd])}]") if odd.any() else None
+
+
 class Codec:
-    """A vocabulary file's encoder and decoder."""
+    """A vocabulary's encoder and decoder, from the bytes of its file."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: bytes) -> None:
+        spec = json.loads(content)
         vocab, byte_of = spec["model"]["vocab"], byte_letters()
         self.first = np.array([vocab[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])])
         pairs = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
@@ -77,6 +117,7 @@ class Codec:
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.text_of = {i: str(i) for i in self.bytes_of}
         self.latin, self.any, self.beyond = latin_pattern(), regex.compile(WORDS), re.compile(f"[^\\0-{chr(LATIN_END - 1)}]")
+        self.pinned, self.odd = pinned_pattern()
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str | int, tuple[int, ...]] = {}
 
@@ -146,7 +187,9 @@ class Codec:
             at = end + 1
 
     def words(self, text: str) -> list[str]:
-        return (self.any if self.beyond.search(text) else self.latin).findall(text)
+        if not self.beyond.search(text):
+            return self.latin.findall(text)
+        return (self.pinned if self.odd and self.odd.search(text) else self.any).findall(text)
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
@@ -178,52 +221,50 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """One codec for each file and Python process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def shipped(df: DataFrame, tokenizer: str) -> tuple[str, Broadcast[bytes]]:
+    """The vocabulary file's bytes (some MB, whatever the data) for executors, and their digest. Only the
+    driver reads the file."""
+    with open(tokenizer, "rb") as f:
+        content = f.read()
+    return hashlib.sha256(content).hexdigest(), df.sparkSession.sparkContext.broadcast(content)
+
 
+def codec(digest: str, content: Broadcast[bytes]) -> Codec:
+    """One codec for each vocabulary and Python process."""
+    if digest not in _codecs:
+        _codecs[digest] = Codec(content.value)
+    return _codecs[digest]
 
-def chunks(texts: pd.Series) -> Iterator[list[str]]:
-    """Texts in order, about CHUNK_CHARS at a time; null is empty."""
-    own: list[str] = []
-    size = 0
-    for t in texts:
-        own.append(t if isinstance(t, str) else "")
-        size += len(own[-1])
-        if size >= CHUNK_CHARS:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
+
+def _added(b: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*b.columns, values], names=[*b.schema.names, name])
 
 
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """`df` with the array column `ids`."""
     rest = df.drop(ids)
+    digest, content = shipped(df, tokenizer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(tokenizer)
-        for b in batches:
-            at = 0
-            for part in chunks(b[text]):
-                yield b.iloc[at : at + len(part)].assign(**{ids: list(own.encode(part))})
-                at += len(part)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(digest, content)
+        for b, texts in text_chunks(batches, CHUNK_CHARS, text):
+            yield _added(b, ids, pa.array(own.encode([t or "" for t in texts]), pa.list_(pa.int32())))
 
-    return rest.mapInPandas(run, T.StructType([*rest.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`df` with the column `text` of what `ids` decode to; null ids give the empty text."""
     rest = df.drop(text)
+    digest, content = shipped(df, tokenizer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(tokenizer)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(digest, content)
         for b in batches:
-            yield b.assign(**{text: [own.decode([] if x is None else list(x)) for x in b[ids]]})
+            values = b.column(b.schema.get_field_index(ids)).to_pylist()
+            yield _added(b, text, pa.array([own.decode(x or []) for x in values], pa.string()))
 
-    return rest.mapInPandas(run, T.StructType([*rest.schema.fields, T.StructField(text, T.StringType())]))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(text, T.StringType())]))
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -235,17 +276,16 @@ def bpe_round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     One row for each input row. The ids themselves don't leave the Python worker, as they are several
     times the size of the text.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = codec(tokenizer)
-        for b in batches:
-            keys = iter(b["doc_id"])
-            for part in chunks(b["text"]):
-                rows = []
-                for key, ids in zip(islice(keys, len(part)), own.encode(part)):
-                    joined = ",".join(map(own.text_of.__getitem__, ids))
-                    rows.append((key, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
-                out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, DIGEST)
+    digest, content = shipped(docs, tokenizer)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(digest, content)
+        for b, texts in text_chunks(batches, CHUNK_CHARS):
+            rows = []
+            for ids in own.encode([t or "" for t in texts]):
+                joined = ",".join(map(own.text_of.__getitem__, ids))
+                rows.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()))
+            n, first, second = zip(*rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(first), pa.array(second)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DIGEST)
