@@ -14,7 +14,8 @@ smallest of the window's 5-word hashes, so that neighbouring windows travel toge
 
 Null texts have no words. Windows are judged on the input; texts are taken whole; copies and repeated rows
 count as places of their own, so all windows of a repeated row repeat. Texts shorter than a window are
-kept. Columns n_words, n_removed and kept are replaced. Hashes have 64 bits; a collision can only matter
+kept. Columns n_words, n_removed and kept are replaced, all others pass through unchanged. An empty table
+gives an empty result. Hashes have 64 bits; a collision can only matter
 between windows that share an anchor with some other window and fall into the same bucket.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spatialis.llm.common import partitions, staged
+from spatialis.llm.common import free_name, partitions, staged, text_chunks
 from spatialis.llm.words import hash_words, mix, window_hashes, words_of
 
 WINDOW, PERIOD = 35, 21
@@ -107,6 +108,10 @@ def find_twice(group: pa.Table) -> pa.Table:
         node, place = node[twice], place[twice]
         order = np.lexsort((place, node))
         node, place = node[order], place[order]
+        # Repeated rows are one node: a place counts once.
+        new = np.ones(len(node), bool)
+        new[1:] = (node[1:] != node[:-1]) | (place[1:] != place[:-1])
+        node, place = node[new], place[new]
         at, size = _runs(node, place)
         nodes.append(node[at]), starts.append(place[at]), sizes.append(size)
     return pa.table(
@@ -183,7 +188,8 @@ def _windows(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Dat
 
 
 def _listed(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("node").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    """The distinct runs of each node; repeated rows, which are one node, bring the same runs."""
+    return runs.distinct().groupBy("node").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -198,25 +204,27 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text and others) with n_words, n_removed and kept: the words outside repeated
     windows, joined by one space."""
-    aside = {c: f"_own_{c}" for c in docs.columns if c in ("node", "runs")}
-    docs = docs.drop("n_words", "n_removed", "kept").withColumnsRenamed(aside).withColumn("node", F.xxhash64("doc_id", "text"))
-    runs = staged(_listed(repeated_windows(docs.select("node", "text"))), "repeats")
-    joined = docs.join(runs, "node", "left")
+    node, runs = (free_name(docs, x) for x in ("node", "runs"))
+    docs = docs.drop("n_words", "n_removed", "kept")
+    keyed = docs.withColumn(node, F.xxhash64("doc_id", "text"))
+    found = staged(_listed(repeated_windows(keyed.select(F.col(node).alias("node"), "text"))), "repeats")
+    joined = keyed.join(found.select(F.col("node").alias(node), F.col("runs").alias(runs)), node, "left").select(*docs.columns, runs)
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in chunked(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in text_chunks(batches, CHUNK_CHARS):
             rows = []
-            for text, own in zip(b["text"], b["runs"]):
+            for text, own in zip(texts, b.column(b.num_columns - 1).to_pylist()):
                 words = words_of(text, lower=False)
                 edge = np.zeros(len(words) + 1, np.int64)
-                for start, size in ((r["start"], r["size"]) for r in ([] if own is None else own)):
+                for start, size in ((r["start"], r["size"]) for r in own or []):
                     if start + size - 1 + WINDOW <= len(words):
                         edge[start] += 1
                         edge[start + size - 1 + WINDOW] -= 1
                 covered = np.cumsum(edge[:-1]) > 0
                 kept = [w for w, gone in zip(words, covered) if not gone] if covered.any() else words
                 rows.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
-            yield b.drop(columns=["runs", "node"]).assign(**{f.name: [r[i] for r in rows] for i, f in enumerate(added)})
+            out = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], names=[*b.schema.names[:-1], *(f.name for f in added)])
 
-    return joined.mapInPandas(run, T.StructType([*docs.drop("node").schema.fields, *added])).withColumnsRenamed({v: k for k, v in aside.items()})
+    return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
