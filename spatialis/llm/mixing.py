@@ -8,7 +8,7 @@ dealt out by a hashed shuffle key, in whose order each partition is written: a g
 A rate above PART is the sum of equal Poisson parts, each with a hash of its own, so the inversion
 table of a source stays short. Null sources count as the source ''. Rows of null id are hashed by their
 text (null: empty); repeated rows draw alike. A source without a weight gets none of the output; empty
-tables give empty tables. Columns named copy or shuffle_key are replaced.
+tables give empty tables. Columns named copy or shuffle_key are replaced, all others pass through.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatialis.llm.common import staged
+from spatialis.llm.common import free_name, staged
 
 PART, SEED = 32.0, 17
 #: Sources up to which their table (some 60 numbers each) is broadcast; beyond, documents are salted.
@@ -62,31 +62,32 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, power:
     out at random. The sources are counted: up to BROADCAST_SOURCES their table is broadcast, beyond that
     it is joined by name and salt, so the rows of a large source are spread over SALTS tasks."""
     docs = docs.drop("copy", "shuffle_key")
+    name, part, cdf, salt, key, count = (free_name(docs, f"mix_{x}") for x in ("source", "parts", "table", "salt", "key", "count"))
     rates = source_rates(docs, weights, power, rows, source)
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")
     rates = staged(rates, "rates")
     few = rates.count() <= BROADCAST_SOURCES
-    rates = rates.select("mix_source", parts.alias("mix_parts"), _table(F.col("rate") / parts).alias("mix_table"))
-    key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text), F.lit("")))))
+    rates = rates.select(F.col("mix_source").alias(name), parts.alias(part), _table(F.col("rate") / parts).alias(cdf))
+    hashed = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("mix_parts")),
+        F.sequence(F.lit(1), F.col(part)),
         F.lit(0),
-        lambda acc, i: acc + F.size(F.filter(F.col("mix_table"), lambda c: c <= uniform(F.lit(str(seed)), i.cast("string"), F.col("mix_key")))),
+        lambda acc, i: acc + F.size(F.filter(F.col(cdf), lambda c: c <= uniform(F.lit(str(seed)), i.cast("string"), F.col(key)))),
     )
-    named = docs.withColumn("mix_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
+    named = docs.withColumn(name, F.coalesce(F.col(source).cast("string"), F.lit("")))
     if few:
-        joined = named.join(F.broadcast(rates), "mix_source")
+        joined = named.join(F.broadcast(rates), name)
     else:
-        salts = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = named.withColumn("mix_salt", F.pmod(F.xxhash64(F.col(doc_id), F.length(text)), F.lit(SALTS)).cast("int")).join(salts, ["mix_source", "mix_salt"]).drop("mix_salt")
+        salts = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = named.withColumn(salt, F.pmod(F.xxhash64(F.col(doc_id), F.length(text)), F.lit(SALTS)).cast("int")).join(salts, [name, salt])
     return (
         joined
-        .withColumn("mix_key", key)
-        .withColumn("mix_count", drawn)
-        .where("mix_count > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_count"))))
-        .withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("shuffle"), F.lit(str(seed)), "mix_key", F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long"))
-        .drop("mix_source", "mix_parts", "mix_table", "mix_key", "mix_count")
+        .withColumn(key, hashed)
+        .withColumn(count, drawn)
+        .where(F.col(count) > 0)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(count))))
+        .withColumn("shuffle_key", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("shuffle"), F.lit(str(seed)), key, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long"))
+        .select(*docs.columns, "copy", "shuffle_key")
         .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shuffle_key")
         .sortWithinPartitions("shuffle_key")
     )
