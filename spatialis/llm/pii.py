@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatialis.llm.common import staged
+from spatialis.llm.common import free_name, staged
 
 #: Possessive repeats take what the plain ones would and don't backtrack; a run of characters is entered
 #: at its beginning or where the last match ended, which is where a leftmost match begins.
@@ -32,6 +32,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 LETTERS, GENERALISE, REMOVE = 4, 0.75, 0.9
+#: Terms of texts with shared entities up to which they are broadcast to the count over all texts.
+BROADCAST_TERMS = 200_000
 KINDS = ("email", "ip", "card", "phone", "term")
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalised": "[TERM]", "removed": ""}
 _SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -90,10 +92,10 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\p{{L}}{{{LETTERS},}}"), F.lit(0)))
 
 
-def detected(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with a column of spans for each base kind and the key (pii_a, pii_b) of the text."""
+def detected(docs: DataFrame, text: str = "text", key: tuple[str, str] = ("pii_a", "pii_b")) -> DataFrame:
+    """`docs` with a column of spans for each base kind and the key of the text, in two columns."""
     t = F.col(text)
-    return docs.withColumns({**base_spans(t), "pii_a": F.xxhash64(F.lit(11), t), "pii_b": F.xxhash64(t, F.lit(29), F.length(t))})
+    return docs.withColumns({**base_spans(t), key[0]: F.xxhash64(F.lit(11), t), key[1]: F.xxhash64(t, F.lit(29), F.length(t))})
 
 
 def disclosing_terms(found: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -116,9 +118,14 @@ def disclosing_terms(found: DataFrame, text: str = "text", generalise: float = G
         "pairs",
     )
     both = staged(pairs.groupBy("entity", "t").agg(F.sum("copies").alias("n_et"), F.count(F.lit(1)).alias("texts")).where("texts > 1").drop("texts"), "both")
-    wanted = both.select("t").distinct()
-    counts = found.select(F.explode(_terms(F.coalesce(F.col(text), F.lit("")))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
-    counts = staged(counts.join(wanted, "t", "left_semi"), "terms")
+    wanted = staged(both.select("t").distinct(), "wanted")
+    every = found.select(F.explode(_terms(F.coalesce(F.col(text), F.lit("")))).alias("t"))
+    count = lambda df: df.groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    if wanted.count() <= BROADCAST_TERMS:  # few terms: no other is counted
+        counts = count(every.join(F.broadcast(wanted), "t", "left_semi"))
+    else:
+        counts = count(every).join(wanted, "t", "left_semi")
+    counts = staged(counts, "terms")
     n = float(found.count())
     ic = F.log(F.lit(n) / F.col("n_e"))
     pmi = F.log(F.col("n_et") * F.lit(n) / (F.col("n_e").cast("double") * F.col("n_t")))
@@ -140,14 +147,16 @@ def disclosing_terms(found: DataFrame, text: str = "text", generalise: float = G
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the spans of each kind of KINDS; those of terms lie apart from the base ones."""
-    docs = docs.drop(*KINDS, "pii_a", "pii_b")
-    found = detected(docs, text)
-    terms = disclosing_terms(found.select(text, *KINDS[:4], "pii_a", "pii_b"), text)
+    docs = docs.drop(*KINDS)
+    a, b = key = free_name(docs, "pii_a"), free_name(docs, "pii_b")
+    found = detected(docs, text, key)
+    own = found.select(F.col(text).alias("text"), *KINDS[:4], F.col(a).alias("pii_a"), F.col(b).alias("pii_b"))
+    terms = disclosing_terms(own).withColumnsRenamed({"pii_a": a, "pii_b": b})
     base = F.concat(*[F.col(k) for k in KINDS[:4]])
     has = F.size(base) > 0
     apart = F.filter("term", lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     none = F.array().cast("array<struct<start:int,end:int,value:string,removed:boolean>>")
-    return found.join(terms, ["pii_a", "pii_b"], "left").withColumn("term", F.when(has & F.col("term").isNotNull(), apart).otherwise(none)).drop("pii_a", "pii_b")
+    return found.join(terms, [a, b], "left").withColumn("term", F.when(has & F.col("term").isNotNull(), apart).otherwise(none)).drop(a, b)
 
 
 def span_string(kinds: tuple[str, ...]) -> Column:
