@@ -7,29 +7,34 @@ them, which catch compounds), hashed into BUCKETS. `labels` only say toxic or no
 toxic row comes from how many distinct indicators it holds: features that toxic rows have clearly more
 often than others in the same sample (a word and its beginnings are up to four).
 
-The model is fitted on at most SAMPLE labelled rows, those of the smallest hash of their id; this bound
-is all that the driver ever holds of the corpus. Every row of the documents is scored.
+The model is fitted on at most SAMPLE labelled rows, those of the smallest hash of their id, as far as
+their texts have SAMPLE_CHARS characters together; these bounds are all that the driver ever holds of the
+corpus. Every row of the documents is scored.
 
 Null texts count as empty, and empty texts score as clean rows do by the thresholds alone; labels that
 are null, or that contradict each other for one id, are left out; without any labelled row of either
-kind nothing is rejected. Repeated rows score alike; very long texts are scored whole.
+kind nothing is rejected. Of an id with several texts the smallest is learned from. Repeated rows score
+alike; very long texts are scored whole. Columns p_toxic, severity, grade and toxic are replaced, all
+others pass through. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS, SAMPLE, GRADES = 1 << 18, 8_000, 4
+from spatialis.llm.common import free_name, staged
+
+BUCKETS, SAMPLE, SAMPLE_CHARS, GRADES = 1 << 18, 8_000, 120_000_000, 4
 #: Distinct indicators from which a toxic row has grade 2 and 3.
 STEPS = (2, 5)
 #: A feature needs this many sampled rows to have a weight; from this P(grade > 0) a row is toxic.
@@ -72,8 +77,9 @@ def grades(at: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + (hits[:, None] >= np.array(STEPS)[None]).sum(axis=1), 0)
 
 
-def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GRADES, ridge: float = 2e-3, rounds: int = 100) -> OrdinalModel:
-    """Weights and thresholds of greatest penalised likelihood, by Adam over all rows at once."""
+def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GRADES, ridge: float = 2e-3, rounds: int = 100, watch: Callable | None = None) -> OrdinalModel:
+    """Weights and thresholds of greatest penalised likelihood, by Adam over all rows at once. `watch` gets
+    the function that is minimised and where it starts."""
     x = len(y)
     often = np.bincount(at, minlength=BUCKETS) >= LEAST_ROWS
     row, at = row[often[at]], at[often[at]]
@@ -88,7 +94,9 @@ def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GR
     params = np.concatenate([np.zeros(len(used)), [first[0]], np.log(np.maximum(np.diff(first), 0.05))])
     step, m, v = 0.05, np.zeros_like(params), np.zeros_like(params)
     k = len(used)
-    for i in range(1, rounds + 1):
+
+    def value(params: np.ndarray) -> tuple[float, np.ndarray]:
+        """The penalised negative log-likelihood of a row, and its gradient."""
         gaps = np.exp(params[k + 1 :])
         t = params[k] + np.concatenate([[0], np.cumsum(gaps)])
         s = np.concatenate([np.bincount(row[a:b] - i, params[col[a:b]], j - i) for i, j, a, b in blocks])
@@ -99,6 +107,12 @@ def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GR
         by_score = (1 - cdf[own, y + 1] - cdf[own, y]) / x
         by_t = np.array([(np.where(y == j, -slope[:, j + 1], 0) + np.where(y == j + 1, slope[:, j + 1], 0)) @ (1 / p) / x for j in range(levels - 1)])
         g = np.concatenate([sum(np.bincount(col[a:b], by_score[row[a:b]], k) for _, _, a, b in blocks) + ridge * params[:k], [by_t.sum()], [by_t[j + 1 :].sum() * gaps[j] for j in range(levels - 2)]])
+        return float(-np.log(p).mean() + ridge / 2 * (params[:k] ** 2).sum()), g
+
+    if watch is not None:
+        watch(value, params)
+    for i in range(1, rounds + 1):
+        _, g = value(params)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         params -= step * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     weights = np.zeros(BUCKETS)
@@ -106,8 +120,9 @@ def fit_ordinal(at: np.ndarray, row: np.ndarray, y: np.ndarray, levels: int = GR
     return OrdinalModel(weights, params[k] + np.concatenate([[0], np.cumsum(np.exp(params[k + 1 :]))]))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Texts and flags of at most `sample` labelled ids: those of the smallest hash."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """Texts and flags of at most `sample` labelled ids, those of the smallest hash, a text for each and
+    `chars` characters at most."""
     ids = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy("doc_id")
@@ -117,7 +132,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(sample)
     )
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+    # Copies of one id would make the sample longer than its bound; a text each is enough.
+    texts = staged(texts.groupBy("label_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    # A running sum over at most `sample` lengths.
+    order = Window.orderBy(F.xxhash64("label_id"), "label_id")
+    size = F.sum(F.length(F.coalesce("text", F.lit("")))).over(order)
+    held = texts.select("label_id", size.alias("size")).where(F.col("size") <= chars).select("label_id")
+    return texts.join(F.broadcast(held), "label_id").select("label_id", "text", "toxic")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
@@ -125,8 +147,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Or
         for b in batches:
             yield pd.DataFrame({"label_id": b["label_id"], "toxic": b["toxic"], "x": [features(t) for t in b["text"]]})
 
-    # Copies of one id would make the sample longer than its bound; a text each is enough.
-    rows = labelled_sample(docs, labels, sample).dropDuplicates(["label_id"]).mapInPandas(run, "label_id long, toxic int, x array<int>").toPandas()
+    rows = labelled_sample(docs, labels, sample).mapInPandas(run, "label_id long, toxic int, x array<int>").toPandas()
     rows = rows.sort_values("label_id", kind="stable")
     toxic = rows["toxic"].to_numpy() > 0
     if not toxic.any() or toxic.all():
@@ -152,5 +173,6 @@ def score_toxicity(spark: SparkSession, docs: DataFrame, model: OrdinalModel, te
             above = own.above(np.array(scores))
             yield pd.DataFrame({"p_toxic": above[:, 0], "severity": above.sum(axis=1), "grade": (above >= 0.5).sum(axis=1).astype("int32")})
 
-    scored = docs.withColumn("_tox", F.pandas_udf(run, SCORES)(F.col(text)))
-    return scored.withColumns({c: F.col(f"_tox.{c}") for c in SCORES.names} | {"toxic": F.col("_tox.p_toxic") >= CUT}).drop("_tox")
+    name = free_name(docs, "tox")
+    scored = docs.withColumn(name, F.pandas_udf(run, SCORES)(F.col(text)))
+    return scored.withColumns({c: F.col(f"{name}.{c}") for c in SCORES.names} | {"toxic": F.col(f"{name}.p_toxic") >= CUT}).drop(name)
