@@ -12,7 +12,10 @@ is capped and none is one task. Recall is measured in tests against brute force.
 
 Rows with a null id, or a vector that is null, empty, zero or has null or non-finite components, take
 no part. Vectors of another length than most of the sample's take no part either. A query finds no rows
-of its own id. Equal scores are ordered by id. An empty table gives an empty result.
+of its own id. Rows that share an id are one to a search: it is found once, at its highest score, and asks
+with each of its vectors. Equal scores are ordered by id. A sample of under four rows for each part can't
+be cut: all rows are then one part, and the search is exact. Other columns are not read. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatialis.llm.vectors import blocks, matrix, usable
+from spatialis.llm.vectors import best, blocks, matrix, usable
 
 SAMPLE, NEIGHBOURS, TARGET = 4096, 10, 0.96
 #: Rows a part should hold, the range of the number of parts, and rows in a block.
-PART_ROWS, LEAST_PARTS, MOST_PARTS, BLOCK, QUERY_BLOCK = 4096, 16, 128, 16_384, 4_096
+PART_ROWS, LEAST_PARTS, MOST_PARTS, BLOCK, QUERY_BLOCK = 4096, 16, 128, 32_768, 32_768
 RESULT = "query_id long, vec_id long, score double"
 
 
@@ -143,19 +146,21 @@ def rerank(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k:
     """Each query's k nearest rows of a block. The matrix product only preselects, as its rounding
     depends on a row's place; scores are summed row by row in one order."""
     out: tuple[list, list, list] = ([], [], [])
+    held = k + len(x_id) - len(np.unique(x_id))  # rows that surely hold k ids
     for at in range(0, len(q), 256):
         rough = q[at : at + 256] @ x.T
         for i, s in enumerate(rough, at):
             s[x_id == q_id[i]] = -np.inf
             there = np.flatnonzero(s > -np.inf)
-            if len(there) > k:
-                least = np.partition(s, len(s) - k)[len(s) - k]
+            if len(there) > held:
+                least = np.partition(s, len(s) - held)[len(s) - held]
                 there = np.flatnonzero((s >= least - 1e-9 * (1 + abs(least))) & (s > -np.inf))
             exact = (x[there] * q[i]).sum(axis=1)
-            best = np.lexsort((x_id[there], -exact))[:k]
-            out[0].extend([int(q_id[i])] * len(best))
-            out[1].extend(x_id[there[best]].tolist())
-            out[2].extend(exact[best].tolist())
+            top = np.lexsort((x_id[there], -exact))
+            top = top[np.sort(np.unique(x_id[there[top]], return_index=True)[1])[:k]]
+            out[0].extend([int(q_id[i])] * len(top))
+            out[1].extend(x_id[there[top]].tolist())
+            out[2].extend(exact[top].tolist())
     return out
 
 
@@ -168,7 +173,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_i
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(index)
-    n_queries = queries.count()
+    asked = usable(queries, vec_id, embedding, zero=False).distinct()
+    n_queries = asked.count()
     n_query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
 
     def routed(probes: int):
@@ -186,10 +192,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_i
     indexed = data.where(same).mapInArrow(routed(1), schema).withColumn("part", F.col("parts")[0]).drop("parts")
     sizes = {r["part"]: -(-r["n"] // BLOCK) for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_blocks = F.element_at(F.create_map(*[F.lit(x) for i in range(index.parts) for x in (i, max(1, sizes.get(i, 1)))]), F.col("part"))
-    rows = indexed.withColumn("block", blocks("vec_id", n_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).withColumn("asks", F.lit(False))
+    rows = indexed.withColumn("block", blocks("vec_id", n_blocks, spread=True)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).withColumn("asks", F.lit(False))
     asking = (
-        usable(queries, vec_id, embedding, zero=False)
-        .where(same)
+        asked.where(same)
         .mapInArrow(routed(index.probes), schema)
         .withColumn("part", F.explode("parts"))
         .drop("parts")
@@ -204,6 +209,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_i
         found = rerank(v[asks], ids[asks], v[~asks], ids[~asks], k) if asks.any() and not asks.all() else ([], [], [])
         return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = rows.unionByName(asking, allowMissingColumns=True).groupBy("part", "block", "qb").applyInArrow(search, RESULT)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best(rows.unionByName(asking, allowMissingColumns=True).groupBy("part", "block", "qb").applyInArrow(search, RESULT), k)

@@ -10,23 +10,25 @@ Queries and candidates are dealt into blocks, a task for each pair of blocks, so
 anywhere whole; the blocks' best are merged by query.
 
 Rows with a null id or a vector that is null, empty or holds null or non-finite components take no part.
-Only vectors of equal length are compared. A repeated id is the same vector to its queries: a query
-never finds rows of its own id, and equal rows of another id are found once each. Ties go to the
-smaller id. An empty table gives an empty result.
+Only vectors of equal length are compared. A query never finds rows of its own id. Rows that share an id
+are one to a search: it is found once, at its highest score, and asks with each of its vectors. Ties go
+to the smaller id. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spatialis.llm.vectors import blocks, matrix, usable
+from spatialis.llm.vectors import best, blocks, matrix, usable
 
 PIVOTS, SAMPLE = 48, 2048
-#: Rows of a block of candidates and of queries.
-BLOCK, QUERY_BLOCK = 16_384, 4_096
+#: Rows of a block of candidates and of queries: some 30 MB each in a task. Candidates are copied once for
+#: each block of queries, and queries once for each block of candidates.
+BLOCK, QUERY_BLOCK = 32_768, 32_768
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -65,7 +67,8 @@ def best_of_block(q: np.ndarray, q_table: np.ndarray, q_id: np.ndarray, x: np.nd
             part = by_bound[at : at + size]
             part = part[bound[part] > -np.inf]
             found, scores = np.concatenate([found, part]), np.concatenate([scores, x[part] @ q[i]])
-            keep = np.lexsort((found, -scores))[:k]  # positions are in the order of ids
+            keep = np.lexsort((found, -scores))  # positions are in the order of ids
+            keep = keep[np.sort(np.unique(x_id[found[keep]], return_index=True)[1])[:k]]
             found, scores, at, size = found[keep], scores[keep], at + size, size * 2
         out[0].extend([int(q_id[i])] * len(found))
         out[1].extend(x_id[found].tolist())
@@ -85,25 +88,23 @@ def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "v
         by_size.setdefault(len(v), []).append(v)
     pivots = {n: far_pivots(np.array(v, np.float64), PIVOTS) for n, v in by_size.items()}
     n_rows = data.count()
-    n_queries = whole(queries).count()
+    asked = whole(queries).distinct()
+    n_queries = asked.count()
     n_blocks, n_query_blocks = max(1, -(-n_rows // BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
 
     def table(batches):
         for b in batches:
-            rows = []
-            for v in b.column("v").to_pylist():
-                rows.append(v)
-            out = [None] * len(rows)
-            for n in {len(v) for v in rows}:
-                at = [i for i, v in enumerate(rows) if len(v) == n]
+            sizes = pc.list_value_length(b.column("v")).to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes).tolist():
+                own = b.filter(pa.array(sizes == n))
                 p = pivots.get(n, np.empty((0, n)))
-                for i, d in zip(at, distances(np.array([rows[i] for i in at], np.float64), p)):
-                    out[i] = d
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(out, pa.list_(pa.float64()))], names=["vec_id", "v", "d"])
+                d = distances(matrix(own.column("v")), p)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1]), pa.array(d.ravel()))
+                yield pa.RecordBatch.from_arrays([own.column("vec_id"), own.column("v"), lists], names=["vec_id", "v", "d"])
 
     tabled = lambda df: df.mapInArrow(table, "vec_id long, v array<bigint>, d array<double>").withColumn("n", F.size("v"))
-    candidates = tabled(data).withColumn("db", blocks("vec_id", n_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).withColumn("asks", F.lit(False))
-    asking = tabled(whole(queries)).withColumn("qb", blocks("vec_id", n_query_blocks)).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("asks", F.lit(True))
+    candidates = tabled(data).withColumn("db", blocks("vec_id", n_blocks, spread=True)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).withColumn("asks", F.lit(False))
+    asking = tabled(asked).withColumn("qb", blocks("vec_id", n_query_blocks)).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("asks", F.lit(True))
 
     def search(group: pa.Table) -> pa.Table:
         asks = group["asks"].to_numpy(zero_copy_only=False)
@@ -111,15 +112,13 @@ def pivot_top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "v
         found = best_of_block(v[asks], d[asks], ids[asks], v[~asks], d[~asks], ids[~asks], k)
         return pa.table([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    found = candidates.unionByName(asking).groupBy("n", "qb", "db").applyInArrow(search, RESULT)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best(candidates.unionByName(asking).groupBy("n", "qb", "db").applyInArrow(search, RESULT), k)
 
 
 SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-p as (select q.vec_id as query_id, x.vec_id, list_dot_product(q.v, x.v)::bigint as score from v q join v x on q.vec_id % 50 = 0 and q.vec_id <> x.vec_id),
+p as (select q.vec_id as query_id, x.vec_id, max(list_dot_product(q.v, x.v))::bigint as score from v q join v x on q.vec_id % 50 = 0 and q.vec_id <> x.vec_id group by 1, 2),
 r as (select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from p)
 select query_id, rank, vec_id, score from r where rank <= 5
 """

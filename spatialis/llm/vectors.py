@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,5 +25,15 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype: type = np.float64) -> np.n
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(n, -1) if n else np.empty((0, 0), dtype)
 
 
-def blocks(id_column: str, n: Column | int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(5), id_column), n if isinstance(n, Column) else F.lit(n)).cast("int")
+def blocks(id_column: str, n: Column | int, spread: bool = False) -> Column:
+    """The block of a row by its id; with `spread`, rows of one id in other partitions lie elsewhere, so an
+    id that very many rows share fills no block."""
+    salt = [F.spark_partition_id()] if spread else []
+    return F.pmod(F.xxhash64(F.lit(5), id_column, *salt), n if isinstance(n, Column) else F.lit(n)).cast("int")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k highest scores, each id at its highest."""
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -52,9 +52,38 @@ def test_pivot_search_is_exact(vectors, block):
         pivot_topk.BLOCK, pivot_topk.QUERY_BLOCK = kept, kept_q
 
 
-def test_pivot_search_of_repeated_and_no_rows(vectors):
-    got = pivot_topk.pivot_top_k(vectors, vectors.where("vec_id = 7"), 5).collect()
-    assert got and all(r.vec_id != 7 for r in got)
+def by_id(rows, wanted, k):
+    """Each wanted id's k best other ids, an id at its highest score over all pairs of rows."""
+    out = []
+    for q in sorted({i for i, _ in rows if wanted(i)}):
+        top = collections.defaultdict(lambda: -np.inf)
+        for i, a in rows:
+            for j, b in rows if i == q else ():
+                if j != q:
+                    top[j] = max(top[j], a @ b)
+        out += [(q, n, j, -s) for n, (s, j) in enumerate(sorted((-s, j) for j, s in top.items())[:k], 1)]
+    return out
+
+
+@pytest.mark.parametrize("block", [16, 32_768])
+def test_repeated_ids_are_one_to_a_search(spark, monkeypatch, block):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), rng.normal(size=8).round(3).tolist()) for i in rng.integers(0, 60, 200)]
+    rows += rows[:40] + [(50, [3.0] * 8)] * 30
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for module in (pivot_topk, ann):
+        monkeypatch.setattr(module, "BLOCK", block)
+        monkeypatch.setattr(module, "QUERY_BLOCK", block)
+    whole = [(i, np.floor(256 * np.array(v)).astype(np.int64)) for i, v in rows]
+    got = pivot_topk.pivot_top_k(docs, docs.where("vec_id % 10 = 0"), 5).collect()
+    assert sorted(map(tuple, got)) == sorted(by_id(whole, lambda i: i % 10 == 0, 5))
+    # One part (a sample of three rows): exact.
+    got = ann.nearest(docs, docs.where("vec_id % 10 = 0"), 5, sample=3).collect()
+    want = by_id([(i, np.array(v)) for i, v in rows], lambda i: i % 10 == 0, 5)
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted(x[:3] for x in want)
+
+
+def test_pivot_search_of_no_rows(vectors):
     assert pivot_topk.pivot_top_k(vectors.where("false"), vectors.where("false"), 5).count() == 0
     assert len(pivot_topk.pivot_top_k(vectors.where("vec_id < 3"), vectors.where("vec_id = 0"), 5).collect()) == 2
 
@@ -103,3 +132,19 @@ def test_nearest_of_awkward_vectors(vectors):
     assert all(x == sorted(x) and q not in [i for _, i in x] for q, x in by.items())
     assert ann.nearest(vectors.where("false"), vectors.where("false"), 20).count() == 0
     assert len(ann.nearest(vectors.where("vec_id < 4"), vectors.where("vec_id = 0"), 20).collect()) == 3
+
+
+def test_recall_beyond_the_sample(spark):
+    """More rows than the sample that the parts are learned from."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12_000, 16))
+    docs = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    got = collections.defaultdict(set)
+    for r in ann.nearest(docs, docs.where("vec_id % 100 = 0"), 20, sample=2_000).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for i in range(0, len(x), 100):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[i])
+    assert hits >= 0.9 * 20 * len(range(0, len(x), 100))
