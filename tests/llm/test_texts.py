@@ -35,6 +35,28 @@ def test_bpe_equals_the_library(spark, odd):
         assert collections.Counter(map(tuple, bpe.bpe_round_trip(docs, TOKENIZER).collect())) == want
 
 
+def test_words_of_all_characters():
+    """Every character is split as the library splits it."""
+    from tokenizers import pre_tokenizers
+
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    own = bpe.Codec(open(TOKENIZER, "rb").read())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 64):
+        text = "".join(f"a{chr(c)}1!{chr(c)}! {chr(c)} " for c in points[i : i + 64])
+        assert [(len(w)) for w in own.words(text)] == [b - a for _, (a, b) in library.pre_tokenize_str(text)], hex(points[i])
+
+
+def test_ids_beside_nulls(spark):
+    """Ids that doubles can't hold, beside a null in the same batch."""
+    rows = [(9007199254740993, "one two"), (None, "three"), (9007199254740995, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("other", F.col("doc_id"))
+    ids = {9007199254740993, None, 9007199254740995}
+    for out in (bpe.bpe_round_trip(docs, TOKENIZER), bpe.bpe_decode(bpe.bpe_encode(docs, TOKENIZER), TOKENIZER), substrings.drop_repeats(docs)):
+        got = out.collect()
+        assert {r.doc_id for r in got} == ids and ("other" not in out.columns or all(r.doc_id == r.other for r in got))
+
+
 def test_bpe_columns(odd, empty, clashing):
     out = bpe.bpe_decode(bpe.bpe_encode(clashing, TOKENIZER), TOKENIZER)
     assert [(r.text or "") for r in out.collect()] == [r.decoded for r in out.collect()]
@@ -114,6 +136,69 @@ def test_pii_terms_and_text(spark, odd, empty):
     assert {r.doc_id: r.text for r in pii.sanitised(pii.with_spans(odd)).collect()}[3] is None
 
 
+def told(rows, generalise=pii.GENERALISE, remove=pii.REMOVE):
+    """Spans of disclosing terms by brute force: (doc_id, start, end, removed)."""
+    import math
+
+    held = []
+    for k, t in rows:
+        t = t or ""
+        spans = [x.split(":") for x in base(t).split(",") if x]
+        own = set()
+        for kind, a, b in spans:
+            v = t[int(a) : int(b)]
+            own.add((kind, v.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", v)))
+        held.append((k, t, own, {w.lower() for w in re.findall(r"[^\W\d_]{4,}", t)}, [(int(a), int(b)) for _, a, b in spans]))
+    n = len(rows)
+    n_e, n_t, n_et = collections.Counter(), collections.Counter(), collections.Counter()
+    texts = collections.defaultdict(set)
+    for _, t, own, words, _ in held:
+        n_e.update(own)
+        n_t.update(words)
+        for e in own:
+            texts[e].add(t)
+            for w in words:
+                n_et[e, w] += 1
+                texts[e, w].add(t)
+    out = collections.Counter()
+    for k, t, own, words, spans in held:
+        share = collections.defaultdict(float)
+        for e in own:
+            for w in words:
+                ic = math.log(n / n_e[e])
+                if len(texts[e]) > 1 and len(texts[e, w]) > 1 and ic > 0:
+                    s = round(math.log(n_et[e, w] * n / (n_e[e] * n_t[w])) / ic, 9)
+                    if s >= generalise:
+                        share[w] = max(share[w], s)
+        for m in re.finditer(r"[^\W\d_]+", t):
+            w = m.group().lower()
+            if w in share and not any(a < m.end() and m.start() < b for a, b in spans):
+                out[k, m.start(), m.end(), share[w] >= remove] += 1
+    return out
+
+
+def test_pii_terms_against_brute_force(spark, odd):
+    import random
+
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in ("alpha", "bravo", "delta", "zeta", "kilo") for b in "abcdefghij"]
+    people = [("ann@x.org", "Annette Harbour"), ("+44 20 7946 0958", "Bertram cellar"), ("10.1.2.3", "router")]
+    rows = []
+    for i in range(400):
+        text = " ".join(rng.sample(words, 8))
+        for mail, about in people:
+            if rng.random() < 0.03:
+                text += f" {mail} {about if rng.random() < 0.8 else rng.choice(words)} {rng.choice(words)}"
+            elif rng.random() < 0.004:
+                text += f" {about}"
+        rows.append((i, text, "en", "s"))
+    rows += rows[:20]
+    for docs in (spark.createDataFrame(rows, odd.schema), odd):
+        got = collections.Counter((r.doc_id, s.start, s.end, s.removed) for r in pii.with_spans(docs).collect() for s in r.term)
+        assert got == told(texts(docs))
+    assert any(x[3] for x in told([r[:2] for r in rows])) and any(not x[3] for x in told([r[:2] for r in rows]))
+
+
 def repeats(rows, n=substrings.WINDOW):
     words = [(k, [w for w in re.split("[\x20\x09-\x0d]+", t or "") if w]) for k, t in rows]
     seen = collections.Counter(tuple(w[i : i + n]) for _, w in words for i in range(len(w) - n + 1))
@@ -135,6 +220,14 @@ def test_substrings(spark, odd, empty, clashing):
     assert substrings.drop_repeats(empty).count() == 0
 
 
+def test_repeated_rows_bring_their_runs_once(spark, odd):
+    for n in (200, 400):
+        docs = spark.createDataFrame([(1, PASSAGE, "en", "a")] * n, odd.schema).repartition(7)
+        runs = substrings._listed(substrings.repeated_windows(docs.withColumn("node", F.xxhash64("doc_id", "text")))).collect()
+        assert len(runs) == 1 and len(runs[0].runs) <= 7
+        assert substrings.drop_repeats(docs).where("n_removed <> n_words").count() == 0
+
+
 def components(rows, size, percent):
     sets = []
     for k, t in rows:
@@ -227,14 +320,47 @@ def test_licenses(spark, odd, empty, clashing):
     assert licenses.scan_licenses(empty).count() == 0
 
 
-def test_fuzzy_notices_equal_a_full_search():
-    """Seeds lose nothing: the pattern over the whole text finds the same notices."""
-    samples = ["this is licenced under teh apache licence version 2 0 today", "gnu lessr general publik license", "mozila public licens here", "nothing at all", "permision is hereby grantd free of charge to any person"]
-    _, notices = licenses._searcher()
-    for s in samples:
-        want = {label for _, label, _, pattern in notices if pattern.search(s)}
-        assert {x[0] for x in licenses.fuzzy_notices(s)} == want
+def edits_from(notice, text):
+    """d[s][t]: edits between the notice and text[s:t]."""
+    out = []
+    for s in range(len(text) + 1):
+        row = list(range(len(notice) + 1))
+        ends = [row[-1]]
+        for c in text[s:]:
+            new = [row[0] + 1]
+            for i, p in enumerate(notice, 1):
+                new.append(min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (p != c)))
+            row = new
+            ends.append(row[-1])
+        out.append([None] * s + ends)
+    return out
+
+
+def test_fuzzy_spans_against_edit_distances():
+    """Every span has its edits, and no match is left before, between or behind the spans."""
+    samples = [
+        "mozila public license mozilla public license",
+        "x mozilla public licensee and mozzila publik license mozilla public license end",
+        "mozilla public license" * 3,
+        "the general public licence general public license of general purpose",
+        "nothing at all",
+        "all rights reservd al rights reserved all rigths reserved",
+        "cmozilla public licensmozilla public licens",
+    ]
+    for notice in ("mozilla public license", "general public license", "all rights reserved"):
+        e = licenses.edits_of(notice)
+        for text in samples:
+            d = edits_from(notice, text)
+            at = 0
+            found = licenses.fuzzy_notices(text, {notice: "x"})
+            for _, a, b, edits in found:
+                assert at <= a and d[a][b] == edits <= e
+                assert not any(d[s][t] <= e for s in range(at, a) for t in range(s, a + 1))
+                at = b
+            assert not any(d[s][t] <= e for s in range(at, len(text)) for t in range(s, len(text) + 1)), (text, found)
+    assert len(licenses.fuzzy_notices(samples[0], {"mozilla public license": "mpl"})) == 2
     assert licenses.scan("Licensed under the Apache Licence, Version 2.0")[5] == "apache-2.0"
+    assert licenses.scan("free for all uses", {"free for all uses": "own"})[5] == "own"
 
 
 def test_toxicity_held_out(spark, odd, empty, clashing):
@@ -252,3 +378,40 @@ def test_toxicity_held_out(spark, odd, empty, clashing):
     assert toxicity.score_toxicity(spark, empty, model).count() == 0
     none = toxicity.fit_toxicity(odd, labels.where("false"))
     assert toxicity.score_toxicity(spark, odd, none).where("toxic").count() == 0
+
+
+def test_likelihood_and_gradient():
+    """What is minimised against a plain sum over rows, its gradient against differences."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    rows, features = 60, [sorted(rng.choice(30, 5, replace=False).tolist()) for _ in range(60)]
+    at, row = np.concatenate(features).astype(np.int32), np.repeat(np.arange(rows, dtype=np.int32), 5)
+    y = rng.integers(0, 4, rows)
+    seen = []
+    toxicity.fit_ordinal(at, row, y, rounds=1, watch=lambda value, start: seen.extend([value, start]))
+    value, start = seen
+    used = np.flatnonzero(np.bincount(at) >= toxicity.LEAST_ROWS)
+    for params in (start, start + rng.normal(size=len(start)) * 0.3):
+        w, t = dict(zip(used.tolist(), params)), params[len(used)] + np.concatenate([[0], np.cumsum(np.exp(params[len(used) + 1 :]))])
+        plain = 0.0
+        for f, grade in zip(features, y):
+            below = [0.0, *(1 / (1 + np.exp(-(x - sum(w.get(i, 0.0) for i in f)))) for x in t), 1.0]
+            plain -= np.log(below[grade + 1] - below[grade]) / rows
+        plain += 1e-3 * (params[: len(used)] ** 2).sum()
+        got, slope = value(params)
+        assert abs(got - plain) < 1e-10
+        for j in range(len(params)):
+            step = np.eye(len(params))[j] * 1e-6
+            assert abs((value(params + step)[0] - value(params - step)[0]) / 2e-6 - slope[j]) < 1e-6
+
+
+def test_toxicity_learns_from_one_text_of_an_id(spark):
+    rows = [(i, f"vile awful w{i % 7}" if i % 2 else f"kind fair w{i % 7}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    more = docs.union(spark.createDataFrame([(i, "z" + t) for i, t in rows], docs.schema)).repartition(5)
+    a, b = toxicity.fit_toxicity(docs, labels), toxicity.fit_toxicity(more, labels)
+    assert (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()
+    sample = toxicity.labelled_sample(docs, labels, chars=100).collect()
+    assert 0 < len(sample) < 60 and sum(len(r.text) for r in sample) <= 100
