@@ -27,7 +27,7 @@ so other columns don't matter. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spatialis.llm.common import free_name, staged, text_chunks
+from spatialis.llm.common import free_name, partitions, staged, text_chunks
 from spatialis.llm.components import connected_components
 from spatialis.llm.words import hash_words, mix, window_hashes, words_of
 
@@ -45,8 +45,8 @@ CHUNK, CHUNK_CHARS = 256, 2_000_000
 HUBS = 8
 #: Nodes of null doc_id lie from here on.
 NO_ID = 1 << 62
-#: Characters of text that are sketched at a time.
-SKETCH_CHARS = 400_000
+#: Characters of text that are sketched, and searched for rare shingles, at a time.
+SKETCH_CHARS, KEY_CHARS = 400_000, 2_000_000
 _U32 = np.uint32
 
 
@@ -257,25 +257,87 @@ def _components(docs: DataFrame, size: int, percent: int, bands: int = BANDS, ba
     )
 
 
+KEYS = "unit long, n int, most int, key long"
+PACKED = "chunk long, bucket int, hashes binary, counts binary, units binary, sizes binary"
+
+
+def _packed(size: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of PACKED for each chunk of documents: one with its units and their shingles, and for each
+    bucket one with the chunk's distinct shingles of that bucket and how many units hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, texts in text_chunks(batches, KEY_CHARS):
+            units = b.column("unit").to_numpy()
+            sets = shingle_hashes([words_of(t, lower=True) for t in texts], size)
+            every = np.concatenate([*sets, np.empty(0, np.uint64)])
+            chunk = int(units.min())
+            rows = [(chunk, None, every.tobytes(), None, units.tobytes(), np.array([len(s) for s in sets], np.int64).tobytes())]
+            h, n = np.unique(every, return_counts=True)
+            to = (mix(h, np.full_like(h, 3)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            h, n, to = h[order], n[order], to[order]
+            edges = np.flatnonzero(np.diff(to, prepend=-1)).tolist()
+            for i, j in zip(edges, [*edges[1:], len(to)]):
+                rows.append((chunk, int(to[i]), h[i:j].tobytes(), n[i:j].tobytes(), None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.int32(), *[pa.binary()] * 4])], names=["chunk", "bucket", "hashes", "counts", "units", "sizes"])
+
+    return run
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """Of one bucket: for each chunk those of its shingles that more than one unit holds, and how many do."""
+    chunks, hashes, counts = group["chunk"].to_pylist(), group["hashes"].to_pylist(), group["counts"].to_pylist()
+    parts = [np.frombuffer(h, np.uint64) for h in hashes]
+    h, at = np.unique(np.concatenate(parts), return_inverse=True)
+    n = np.bincount(at, np.concatenate([np.frombuffer(c, np.int64) for c in counts])).astype(np.int64)[at]
+    rows, i = [], 0
+    for chunk, own in zip(chunks, parts):
+        c = n[i : i + len(own)]
+        rows.append((chunk, own[c > 1].tobytes(), c[c > 1].tobytes()))
+        i += len(own)
+    return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int64(), pa.binary(), pa.binary()])], names=["chunk", "hashes", "counts"])
+
+
+def _rarest(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Rows of KEYS from what the buckets said of one chunk and the chunk's own row."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        told = [r for r in rows if r["units"] is None]
+        h = np.concatenate([*(np.frombuffer(r["hashes"], np.uint64) for r in told), np.empty(0, np.uint64)])
+        c = np.concatenate([*(np.frombuffer(r["counts"], np.int64) for r in told), np.empty(0, np.int64)])
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        out: list[tuple] = []
+        for r in (r for r in rows if r["units"] is not None):
+            every, at = np.frombuffer(r["hashes"], np.uint64), 0
+            for unit, n in zip(np.frombuffer(r["units"], np.int64).tolist(), np.frombuffer(r["sizes"], np.int64).tolist()):
+                own = every[at : at + n]
+                at += n
+                i = np.minimum(np.searchsorted(h, own), max(0, len(h) - 1))
+                held = h[i] == own if len(h) else np.zeros(n, bool)
+                own, often = own[held], c[i[held]] if len(h) else c
+                # Shingles that no other unit holds are the rarest, and come first without being listed.
+                left = n - -(-percent * n // 100) + 1 - (n - len(own))
+                if left > 0:
+                    most = len(own) * (100 + percent) // percent - n
+                    out.extend((unit, n, most, k) for k in own[np.lexsort((own, often))[:left]].view(np.int64).tolist())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.int32(), pa.int32(), pa.int64()])], names=["unit", "n", "most", "key"])
+
+    return run
+
+
 def rare_keys(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(unit, n, most, key): of each of `rows` (unit, text) the shingles, hashed, by which a set can be
     linked: those of its (1 - percent) n + 1 rarest that another row holds too. n is the size of the set,
     most that of the largest set it can be linked with: of t (n + m) / (1 + t) shingles that the two
-    must share, none is among those that no other row holds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in text_chunks(batches, SKETCH_CHARS):
-            sets = shingle_hashes([words_of(t, lower=True) for t in texts], size)
-            yield pa.RecordBatch.from_arrays([b.column("unit"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["unit", "keys"])
+    must share, none is among those that no other row holds.
 
-    sets = staged(rows.select("unit", "text").mapInArrow(run, "unit long, keys array<long>"), "sets")
-    often = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = sets.select("unit", F.size("keys").alias("n"), F.explode("keys").alias("key")).join(often, "key")
-    listed = shared.groupBy("unit", "n").agg(F.array_sort(F.collect_list(F.struct("c", "key"))).alias("keys"))
-    # Shingles that no other row holds are the rarest, and come first without being listed.
-    left = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - size(keys))").cast("int")
-    most = F.expr(f"size(keys) * {100 + percent}L div {percent} - n").cast("int")
-    return listed.withColumns({"left": left, "most": most}).where("left > 0").select("unit", "n", "most", F.explode(F.slice("keys", 1, F.col("left"))["key"]).alias("key"))
+    Shingles are counted in two steps, so that a very common one reaches its bucket once for each chunk."""
+    packed = staged(rows.select("unit", "text").mapInArrow(_packed(size, max(64, partitions(rows.sparkSession, 4))), PACKED), "packed")
+    told = packed.where("bucket is not null").select("chunk", "bucket", "hashes", "counts").groupBy("bucket").applyInArrow(_counted, "chunk long, hashes binary, counts binary")
+    own = packed.where("bucket is null").select("chunk", "hashes", "units", "sizes")
+    return own.unionByName(told, allowMissingColumns=True).groupBy("chunk").applyInArrow(_rarest(percent), KEYS)
 
 
 def _large_groups(large: DataFrame, size: int, percent: int) -> list[DataFrame]:
@@ -317,8 +379,9 @@ def _stray_visits(rows: DataFrame, links: DataFrame, keys: DataFrame, percent: i
     strays = staged(labelled.join(main, "root").where("component <> main").select("unit", "root", block), "strays")
     asked = keys.join(strays, "unit").select("key", "n", "most", "unit", "root", "block")
     # A list of places for each key: a stray meets a row for each of its own keys, not for each document.
-    there = keys.join(asked.select("key").distinct(), "key", "left_semi").join(labelled.select("unit", "chunks"), "unit").withColumn("chunk", _chunk(0))
+    there = keys.join(labelled.select("unit", "chunks"), "unit").withColumn("chunk", _chunk(0))
     there = there.groupBy("key", "chunk").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("most").alias("most"))
+    there = there.join(asked.select("key").distinct(), "key", "left_semi")
     places = staged(there.groupBy("key").agg(F.collect_list(F.struct("chunk", "least_n", "most_n", "most")).alias("there")), "places")
     # Of a place, some document has to be of a size that the stray can be linked with, and the other way.
     fits = lambda x: (x["least_n"] <= F.col("most")) & (x["most_n"] * 100 >= F.col("n") * percent) & (x["most"] >= F.col("n"))
