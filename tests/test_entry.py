@@ -23,3 +23,8 @@ def test_without_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+def test_without_a_dependency_of_the_corpus_operators():
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'K1_tokenize' in q and not any(k.startswith('op') for k in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=HERE, check=True)
