@@ -36,6 +36,15 @@ def resolve_symbol(genes: DataFrame, symbol: str) -> DataFrame:
     return require(hits, F.col("n") != 1, f"the symbol {symbol} isn't that of one gene").select("gene_id")
 
 
+def condition_lookup(conditions: DataFrame, genes: DataFrame, name: str) -> DataFrame:
+    """`hit`: the gene of a condition's name as it is written, else in lower case, else null; of a repeated
+    symbol the smallest gene."""
+    exact = genes.groupBy(F.col("gene_symbol").alias(name)).agg(F.min("gene_id").alias("_exact"))
+    low = genes.groupBy(F.lower("gene_symbol").alias("_name")).agg(F.min("gene_id").alias("_low"))
+    found = conditions.join(exact, name, "left").withColumn("_name", F.lower(name)).join(low, "_name", "left")
+    return found.withColumn("hit", F.coalesce("_exact", "_low")).drop("_exact", "_low", "_name")
+
+
 def homolog_pairs(homology: DataFrame) -> DataFrame:
     """(source_gene, target_gene), one to one: of a repeated source the first, then of a repeated target."""
     first = dedupe_first(homology.where("source_gene is not null and target_gene is not null"), ["source_gene"], ["ord"])

@@ -16,6 +16,7 @@ from spatialis.functions.scalars import cosine, distance2, hashed
 from spatialis.operators import genes as G
 from spatialis.operators import metrics as E
 from spatialis.operators import normalize as N
+from spatialis.operators import perturb as X
 from spatialis.operators import qc as Q
 from spatialis.operators import spatial as S
 from spatialis.operators import tokens as T
@@ -120,17 +121,17 @@ def enrichment(genes: DataFrame, sets: DataFrame, universe: DataFrame) -> DataFr
 
 
 def inject_niche(cells: DataFrame, donors: DataFrame, n: int, spread: float = 1.0, seed: str = "niche") -> DataFrame:
-    """n donors, without replacement, each near a target cell: Gaussian noise of the targets' median distance
-    to their nearest neighbour times `spread`."""
+    """(cell_name, cell_type, x, y, injected): the cells, and n donors (without replacement), each near a target
+    cell drawn from all with replacement: Gaussian noise of the targets' median distance to their nearest
+    neighbour times `spread`."""
     near = S.knn_in_group(cells, 2, ["slice"]).where("rank = 2").agg(F.median(F.sqrt("dist2")).alias("d"))
-    taken = donors.orderBy(hashed("cell_id", salt=f"{seed}-donor"), "cell_id").limit(n)
-    numbered = taken.select("cell_id", "cell_type", (F.row_number().over(Window.orderBy(hashed("cell_id", salt=f"{seed}-donor"), "cell_id")) - 1).alias("i"))
-    places = cells.orderBy(hashed("cell_id", salt=f"{seed}-place"), "cell_id").limit(n).select("x", "y", (F.row_number().over(Window.orderBy(hashed("cell_id", salt=f"{seed}-place"), "cell_id")) - 1).alias("k"))
-    m = F.broadcast(places.agg(F.count(F.lit(1)).alias("m")))
-    drawn = numbered.crossJoin(m).withColumn("k", F.col("i") % F.col("m")).join(places, "k").crossJoin(F.broadcast(near))
+    taken = donors.orderBy(hashed("cell_id", salt=f"{seed}-donor"), "cell_id").limit(n).select("cell_id", "cell_type")
+    places, size = X.numbered(cells.select("cell_id", "x", "y"), f"{seed}-place")
+    chosen = taken.crossJoin(size).withColumn("k", X.drawn_number("cell_id", f"{seed}-target")).join(places.select("k", "x", "y"), "k").crossJoin(F.broadcast(near))
     radius = F.sqrt(-2 * F.log(F.greatest(hashed("cell_id", salt=f"{seed}-r"), F.lit(1e-12)))) * F.col("d") * spread
     angle = 2 * math.pi * hashed("cell_id", salt=f"{seed}-a")
-    return drawn.select(F.concat(F.col("cell_id").cast("string"), F.lit("_inj")).alias("cell_name"), "cell_type", (F.col("x") + radius * F.cos(angle)).alias("x"), (F.col("y") + radius * F.sin(angle)).alias("y"))
+    new = chosen.select(F.concat(F.col("cell_id").cast("string"), F.lit("_inj")).alias("cell_name"), "cell_type", (F.col("x") + radius * F.cos(angle)).alias("x"), (F.col("y") + radius * F.sin(angle)).alias("y"))
+    return X.with_cells(new, cells)
 
 
 def _in_blocks(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:

@@ -97,6 +97,11 @@ def _scores() -> dict[str, Column]:
     }
 
 
+def unassigned_ratio(votes: DataFrame, column: str = "pred") -> DataFrame:
+    """One row: the percentage of votes that are 'unassigned'."""
+    return votes.agg((100 * F.avg((F.col(column) == "unassigned").cast("int"))).alias("ratio"))
+
+
 def impute_eval(pred: DataFrame, true: DataFrame, by: str = "gene_id", relu: bool = True) -> DataFrame:
     """One row: mean over genes (or cells) of mse, rmse, mae, corr, cosine, zeros included."""
     return _sums(pred, true, by, relu).agg(*[F.avg(c).alias(k) for k, c in _scores().items()])

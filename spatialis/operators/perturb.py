@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spatialis.functions.scalars import cosine, dot, hashed, norm
 from spatialis.operators.qc import drop_other_types
 from spatialis.operators.tokens import PAD
+from spatialis.operators.transfer import centroids
 
 
 def perturb_expr(expr: DataFrame, genes: list[int], mode: str, targets: DataFrame | None = None, value: float | None = None, multiplier: float | None = 2.0) -> DataFrame:
@@ -72,9 +73,11 @@ def top_delta_genes(deltas: DataFrame, n: int, column: str = "abs_delta") -> Dat
     return deltas.orderBy(F.desc(F.round(column, 9)), "gene_id").limit(n)
 
 
-def top_gene_frequency(top: DataFrame, n_cells: int) -> DataFrame:
-    """(gene_id, n, percent): how often a gene is among cells' most changed."""
-    return top.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")).withColumn("percent", 100 * F.col("n") / n_cells)
+def top_gene_frequency(top: DataFrame) -> DataFrame:
+    """(gene_id, n, percent): how often a gene is among cells' most changed, of the cells that have any."""
+    cells = top.agg(F.countDistinct("cell_id").alias("n_cells"))
+    counts = top.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(cells))
+    return counts.select("gene_id", "n", (100 * F.col("n") / F.col("n_cells")).alias("percent"))
 
 
 def condition_vectors(conditions: DataFrame, gene_vec: DataFrame, dim: int) -> DataFrame:
@@ -91,37 +94,44 @@ def condition_vectors(conditions: DataFrame, gene_vec: DataFrame, dim: int) -> D
     return long.groupBy("condition").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("vector"))
 
 
-def _numbered(donors: DataFrame, salt: str, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
+def numbered(donors: DataFrame, salt: str, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
     """The donors with `k` from 0, in the order of a hash and cell_id, and their number `m` as one row. Buckets
     of the hash, of a fixed number, are numbered each by itself and begin after the counts of those before."""
     own = donors.withColumn("h", hashed("cell_id", salt=salt)).withColumn("bucket", F.floor(F.col("h") * buckets))
     counts = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("start"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("h", "cell_id")) - 1
-    numbered = own.withColumn("place", place).join(F.broadcast(starts), "bucket").withColumn("k", F.col("start") + F.col("place"))
-    return numbered.drop("h", "bucket", "place", "start"), F.broadcast(donors.agg(F.count(F.lit(1)).alias("m")))
+    placed = own.withColumn("place", place).join(F.broadcast(starts), "bucket").withColumn("k", F.col("start") + F.col("place"))
+    return placed.drop("h", "bucket", "place", "start"), F.broadcast(donors.agg(F.count(F.lit(1)).alias("m")))
 
 
-def _drawn(key: str, salt: str):
+def drawn_number(key: str, salt: str):
     """A number from 0 below `m`; without donors there is nothing to draw."""
     return F.when(F.col("m") > 0, F.floor(hashed(key, salt=salt) * F.col("m"))).otherwise(F.raise_error(F.lit("no donors")).cast("bigint"))
 
 
 def inject_random(cells: DataFrame, donors: DataFrame, n: int, seed: str = "inject") -> DataFrame:
-    """n cells drawn from all donors with replacement, placed uniformly in the cells' bounding box. Donors
-    are numbered by hash, so the draw is an equi join on a number."""
-    numbered, size = _numbered(donors, f"{seed}-order")
+    """(cell_name, cell_type, x, y, injected): the cells, and n drawn from all donors with replacement, placed
+    uniformly in the cells' bounding box. Donors are numbered by hash, so the draw is an equi join on a number."""
+    pool, size = numbered(donors, f"{seed}-order")
     box = F.broadcast(cells.agg(*[f(c).alias(f"{k}{c}") for c in ("x", "y") for k, f in (("lo", F.min), ("hi", F.max))]))
-    draws = cells.sparkSession.range(n).crossJoin(size).withColumn("k", _drawn("id", f"{seed}-donor")).drop("m")
+    draws = cells.sparkSession.range(n).crossJoin(size).withColumn("k", drawn_number("id", f"{seed}-donor")).drop("m")
     at = lambda c: F.col(f"lo{c}") + hashed("id", salt=f"{seed}-{c}") * (F.col(f"hi{c}") - F.col(f"lo{c}"))
-    return draws.join(numbered.select("k", "cell_id", "cell_type"), "k").crossJoin(box).select(F.concat(F.col("cell_id").cast("string"), F.lit("_inj"), F.col("id").cast("string")).alias("cell_name"), "cell_type", at("x").alias("x"), at("y").alias("y"))
+    new = draws.join(pool.select("k", "cell_id", "cell_type"), "k").crossJoin(box).select(F.concat(F.col("cell_id").cast("string"), F.lit("_inj"), F.col("id").cast("string")).alias("cell_name"), "cell_type", at("x").alias("x"), at("y").alias("y"))
+    return with_cells(new, cells)
+
+
+def with_cells(injected: DataFrame, cells: DataFrame) -> DataFrame:
+    """The injected cells and those that were there, marked by `injected`."""
+    there = cells.select(F.col("cell_id").cast("string").alias("cell_name"), "cell_type", "x", "y", F.lit(False).alias("injected"))
+    return injected.withColumn("injected", F.lit(True)).unionByName(there)
 
 
 def inject_replace(cells: DataFrame, cell_type: str, donors: DataFrame, seed: str = "replace") -> DataFrame:
     """(cell_id, x, y, donor_id): all cells of a type keep their place and get the identity of a donor of that
     type, drawn with replacement; the others stay."""
-    pool, size = _numbered(donors.where(F.col("cell_type") == cell_type), f"{seed}-order")
-    drawn = cells.where(F.col("cell_type") == cell_type).crossJoin(size).withColumn("k", _drawn("cell_id", seed)).join(pool.select("k", F.col("cell_id").alias("donor_id")), "k").select("cell_id", "x", "y", "donor_id")
+    pool, size = numbered(donors.where(F.col("cell_type") == cell_type), f"{seed}-order")
+    drawn = cells.where(F.col("cell_type") == cell_type).crossJoin(size).withColumn("k", drawn_number("cell_id", seed)).join(pool.select("k", F.col("cell_id").alias("donor_id")), "k").select("cell_id", "x", "y", "donor_id")
     return cells.where(F.col("cell_type") != cell_type).select("cell_id", "x", "y", F.lit(None).cast("bigint").alias("donor_id")).unionByName(drawn)
 
 
@@ -133,6 +143,12 @@ def shift_to_reference(before: DataFrame, after: DataFrame, center: DataFrame) -
     return side(before, "before").crossJoin(side(after, "after"))
 
 
+def unit_centroid(vectors: DataFrame) -> DataFrame:
+    """One row, `centroid`: the mean of the vectors at length one, itself at length one."""
+    unit = lambda c: F.transform(F.col(c).cast("array<double>"), lambda x: x / F.coalesce(F.nullif(norm(c), F.lit(0.0)), F.lit(1.0)))
+    return centroids(vectors.select(unit("embedding").alias("embedding")), []).select(unit("centroid").alias("centroid"))
+
+
 def delta_cosine(vectors: DataFrame, center: DataFrame, baseline: DataFrame, by: str = "cell_type") -> DataFrame:
     """Each vector's cosine to the centroid less the baseline's mean of its type."""
     scored = lambda df: df.crossJoin(F.broadcast(center)).withColumn("c", dot("embedding", "centroid") / F.nullif(norm("embedding") * norm("centroid"), F.lit(0.0)))

@@ -80,6 +80,15 @@ def mask_tokens(tokens: DataFrame, n_tokens: int, p: float = MASK_P, n_aux: int
     return tokens.withColumns({"masked": masked.cast("long"), "mask": F.when(hit, 0).otherwise(1), "attention": masked == PAD})
 
 
+def model_input(tokens: DataFrame, n_tokens: int, batch: int, context: int = CONTEXT) -> DataFrame:
+    """(cell_id, masked_indices, mask, real_indices, attention_mask, batch_id): what a model reads of each
+    cell, its first `context` tokens after masking; `batch` ids in a row make up a batch."""
+    own = F.array_sort(F.collect_list(F.struct("pos", "masked", "mask", "token", "attention")))
+    rows = mask_tokens(tokens, n_tokens).where(F.col("pos") < context).groupBy("cell_id").agg(own.alias("t"))
+    part = lambda k: F.transform("t", lambda s: s[k])
+    return rows.select("cell_id", part("masked").alias("masked_indices"), part("mask").alias("mask"), part("token").alias("real_indices"), part("attention").alias("attention_mask"), F.floor(F.col("cell_id") / batch).alias("batch_id"))
+
+
 def rank_weights(tokens: DataFrame, mode: str = "linear", length: int | None = None) -> DataFrame:
     """`weight` of each token by its place: linear 1 - r/L, decay 0.998^r, softmax exp(-r/300) / sum * L;
     L is the cell's number of tokens, or `length`."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +19,8 @@ BLOCK = 2048
 
 def centroids(vectors: DataFrame, by: list[str], embedding: str = "embedding") -> DataFrame:
     """The mean vector of each group, `centroid`."""
-    long = vectors.select(*by, F.posexplode(F.col(embedding).cast("array<double>")).alias("dim", "v"))
-    means = long.groupBy(*by, "dim").agg(F.avg("v").alias("v"))
-    return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("centroid"))
+    rows = vectors.where(F.col(embedding).isNotNull()).select(*by, array_to_vector(embedding).alias("v"))
+    return rows.groupBy(*by).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centroid"))
 
 
 def top_neighbours(ref: DataFrame, query: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
@@ -30,10 +32,25 @@ def top_neighbours(ref: DataFrame, query: DataFrame, k: int, metric: str = "eucl
     n_ref = max(1, -(-ref.count() // BLOCK))
     n_query = max(1, -(-query.count() // BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    r = ref.select("vec_id", "label", F.col("embedding").alias("e")).withColumn("rb", block("vec_id", n_ref)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    q = query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe")).withColumn("qb", block("query_id", n_query)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_ref - 1))))
-    d = F.sqrt(distance2("e", "qe")) if metric == "euclidean" else 1 - cosine("e", "qe")
-    pairs = q.join(r, ["qb", "rb"]).select("query_id", "rb", "vec_id", "label", F.round(d, 9).alias("dist"))
+    vector = F.col("embedding").cast("array<double>").alias("e")
+    r = ref.select("vec_id", "label", vector).withColumn("rb", block("vec_id", n_ref)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
+    q = query.select(F.col("vec_id").alias("query_id"), vector).withColumn("qb", block("query_id", n_query)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_ref - 1))))
+    names = ["query_id", "rb", "vec_id", "label", "dist"]
+
+    def nearest(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out: list[pd.DataFrame] = []
+        x = np.array(there["e"].tolist(), np.float64)
+        ids = there[["rb", "vec_id", "label"]]
+        for query_id, v in zip(asked["query_id"], asked["e"]) if len(x) else ():
+            d = np.sqrt(((x - v) ** 2).sum(axis=1)) if metric == "euclidean" else 1 - x @ v / np.sqrt((x * x).sum(axis=1) * (v @ v))
+            d = np.nan_to_num(d, nan=np.inf)
+            # What may be among the first k once distances are rounded.
+            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + 1e-8) if len(d) > k else np.arange(len(d))
+            out.append(ids.iloc[near].assign(query_id=query_id, dist=d[near])[names])
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
+
+    types = f"query_id long, rb int, vec_id long, label {ref.schema['label'].dataType.simpleString()}, dist double"
+    pairs = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(nearest, types).withColumn("dist", F.round("dist", 9))
     own = Window.partitionBy("query_id", "rb").orderBy("dist", "vec_id")
     every = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     near = pairs.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,16 @@ def token_vectors(tokens: DataFrame, gene_vec: DataFrame) -> DataFrame:
     return tokens.join(gene_vec, "gene_id")
 
 
+def _weighted_sum(embedding: str, weight: Column) -> Column:
+    """The sum of weight * vector, without a row for each dimension. Weights of zero count as next to nothing,
+    as a sum of nothing has no length."""
+    return vector_to_array(Summarizer.sum(array_to_vector(embedding), F.greatest(weight, F.lit(1e-12))))
+
+
 def _pooled(rows: DataFrame, weight: Column) -> DataFrame:
     """(cell_id, embedding): sum of weight * vector / sum of weights, by dimension."""
-    long = rows.withColumn("_w", weight).select("cell_id", "_w", F.posexplode("embedding").alias("dim", "v"))
-    means = long.groupBy("cell_id", "dim").agg((F.sum(F.col("_w") * F.col("v").cast("double")) / F.greatest(F.sum("_w"), F.lit(1e-6))).alias("v"))
-    return means.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("embedding"))
+    sums = rows.where("embedding is not null").withColumn("_w", weight).groupBy("cell_id").agg(_weighted_sum("embedding", F.col("_w")).alias("s"), F.greatest(F.sum("_w"), F.lit(1e-6)).alias("w"))
+    return sums.select("cell_id", F.transform("s", lambda x: x / F.col("w")).alias("embedding"))
 
 
 def pool_mean(rows: DataFrame) -> DataFrame:
@@ -31,9 +38,8 @@ def pool_weighted(rows: DataFrame, weight: str = "weight") -> DataFrame:
 
 def gene_vector_embed(expr: DataFrame, gene_vec: DataFrame) -> DataFrame:
     """(cell_id, embedding): the sum of log1p(value) * vector over genes with a vector."""
-    long = expr.join(gene_vec, "gene_id").select("cell_id", F.log1p("value").alias("w"), F.posexplode("embedding").alias("dim", "v"))
-    sums = long.groupBy("cell_id", "dim").agg(F.sum(F.col("w") * F.col("v").cast("double")).alias("v"))
-    return sums.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"]).alias("embedding"))
+    rows = expr.join(gene_vec, "gene_id").where("embedding is not null and value is not null")
+    return rows.groupBy("cell_id").agg(_weighted_sum("embedding", F.log1p("value")).alias("embedding"))
 
 
 def add_vectors(df: DataFrame, name: str, *columns: str) -> DataFrame:

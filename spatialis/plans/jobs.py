@@ -9,8 +9,8 @@ from spatialis.operators import jobs as J
 from spatialis.operators import normalize as N
 from spatialis.operators import tokens as T
 from spatialis.operators.transfer import centroids, nearest_centroid, scale_pca
-from spatialis.plans.matrix import MODEL_INPUT_SQL, k3
-from spatialis.plans.perturbation import _after
+from spatialis.plans.matrix import MODEL_INPUT_SQL, RANKED, k3
+from spatialis.plans.perturbation import _R, PLAIN, _after
 from spatialis.plans.registry import query
 from spatialis.sources import tables
 from spatialis.sources.staging import shared_folder
@@ -66,10 +66,14 @@ def l14(spark, d):
     return J.enrichment(listed, genes.select(F.col("gene_type_id").alias("set"), "gene_id"), genes).select("set", "overlap", "size", F.round("p", 6).alias("p"))
 
 
-@query("X8_inject_niche")
+_ANGLE = f"2 * pi() * {_R('niche-a')}"
+_RADIUS = f"sqrt(-2 * ln(greatest({_R('niche-r')}, 1e-12))) * d"
+
+
+@query("X8_inject_niche", f"with t as (select * from cells where slice = 1), n as (select median(d) as d from (select a.cell_id, min(sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2)) as d from t a join t b on a.cell_id <> b.cell_id group by 1)), p as (select x, y, row_number() over (order by {_R('niche-place')}, cell_id) - 1 as k from t), m as (select count(*) as m from p), c as (select cell_id, cell_type, floor({_R('niche-target')} * m) as k from (select * from cells where slice = 2 order by {_R('niche-donor')}, cell_id limit 30), m) select cell_id || '_inj' as cell_name, cell_type, round(x + {_RADIUS} * cos({_ANGLE}), 6) as x, round(y + {_RADIUS} * sin({_ANGLE}), 6) as y, true as injected from c join p using (k), n union all {PLAIN}", "cells")
 def x8(spark, d):
     cells = standin(spark, d, "cells")
-    return J.inject_niche(cells.where("slice = 1"), cells.where("slice = 2"), 30)
+    return J.inject_niche(cells.where("slice = 1"), cells.where("slice = 2"), 30).withColumns({c: F.round(c, 6) for c in ("x", "y")})
 
 
 @query("X12_shift_ot")
@@ -85,11 +89,12 @@ def x2(spark, d):
     return G.resolve_symbol(genes, one)
 
 
-@query("J8_condition_lookup", "select gene_id, (select min(h.gene_id) from genes h where lower(h.gene_symbol) = lower(g.gene_symbol)) as hit from genes g", "genes")
+@query("J8_condition_lookup", "with c as (select gene_id, case gene_id % 3 when 0 then gene_symbol when 1 then lower(gene_symbol) else gene_symbol || '?' end as name from genes), e as (select gene_symbol, min(gene_id) as hit from genes group by 1), l as (select lower(gene_symbol) as low, min(gene_id) as hit from genes group by 1) select c.gene_id, coalesce(e.hit, l.hit) as hit from c left join e on c.name = e.gene_symbol left join l on lower(c.name) = l.low", "genes")
 def j8(spark, d):
     genes = standin(spark, d, "genes")
-    low = genes.groupBy(F.lower("gene_symbol").alias("low")).agg(F.min("gene_id").alias("hit"))
-    return genes.select("gene_id", F.lower("gene_symbol").alias("low")).join(low, "low", "left").select("gene_id", "hit")
+    third = F.col("gene_id") % 3
+    name = F.when(third == 0, F.col("gene_symbol")).when(third == 1, F.lower("gene_symbol")).otherwise(F.concat("gene_symbol", F.lit("?")))
+    return G.condition_lookup(genes.select("gene_id", name.alias("name")), genes, "name").select("gene_id", "hit")
 
 
 def _out(spark, name):
@@ -117,7 +122,7 @@ def s5(spark, d):
     return tables.read_tokens(spark, path)
 
 
-@query("S6_read_tokens")
+@query("S6_read_tokens", f"with {RANKED} select cell_id, (cell_id % 3)::int as slice, count(*)::int as n from tok group by cell_id", "expr", "genes")
 def s6(spark, d):
     path = _out(spark, "tokens")
     tables.write_tokens(_rows(spark, d).withColumn("slice", F.col("cell_id") % 3), path)

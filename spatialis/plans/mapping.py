@@ -83,14 +83,14 @@ def j11(spark, d):
     return expr.join(standin(spark, d, "cells").where("slice = 2"), "cell_id", "left_anti")
 
 
-@query("J12_gene_mask", "with b as (select distinct slice as batch_id from cells), l as (select distinct slice as batch_id, gene_id from cells join expr using (cell_id) where slice % 2 = 0) select b.batch_id, g.gene_id, (b.batch_id not in (select batch_id from l) or l.gene_id is not null) as available from b cross join (select gene_id from genes where gene_id % 20 = 0) g left join l on l.batch_id = b.batch_id and l.gene_id = g.gene_id", "cells", "expr", "genes")
+@query("J12_gene_mask", "with b as (select distinct slice as batch_id from cells), l as (select distinct slice as batch_id, gene_id from cells join expr using (cell_id) where slice % 2 = 0) select b.batch_id, g.gene_id, (b.batch_id not in (select batch_id from l) or l.gene_id is not null) as available from b cross join (select gene_id from genes) g left join l on l.batch_id = b.batch_id and l.gene_id = g.gene_id", "cells", "expr", "genes")
 def j12(spark, d):
     cells = standin(spark, d, "cells").select("cell_id", F.col("slice").alias("batch_id"))
     listed = cells.where("batch_id % 2 = 0").join(standin(spark, d, "expr"), "cell_id").select("batch_id", "gene_id")
     return G.gene_mask(listed, standin(spark, d, "genes"), cells)
 
 
-@query("J16_batch_dataset", "select distinct c.slice as batch_id, c.region as dataset_id, e.gene_id from cells c join expr e using (cell_id) where e.gene_id % 50 = 0", "cells", "expr")
+@query("J16_batch_dataset", "select distinct c.slice as batch_id, c.region as dataset_id, e.gene_id from cells c join expr e using (cell_id)", "cells", "expr")
 def j16(spark, d):
     batches = standin(spark, d, "cells").select("cell_id", F.col("slice").alias("batch_id"), F.col("region").alias("dataset_id"))
     return batches.join(standin(spark, d, "expr"), "cell_id").select("batch_id", "dataset_id", "gene_id").distinct()

@@ -16,7 +16,7 @@ NORM = "norm as (select cell_id, gene_id, value * 1e4 / sum(value) over (partiti
 MEAN = "gene_mean as (select gene_id, avg(value) as mean from norm where value > 0 group by gene_id)"
 RANKED = f"""{NORM}, {MEAN},
 scaled as (select n.cell_id, n.gene_id, n.value, round(n.value / m.mean, 9) as scaled, g.homo_connect_id, g.gene_type_id, g.ensembl_id from norm n join gene_mean m using (gene_id) join genes g using (gene_id) where m.mean <> 0),
-tok as (select * from (select *, (row_number() over (partition by cell_id order by scaled desc, gene_id) - 1)::int as pos from scaled where scaled > 0) where pos < 20)"""
+tok as (select * from (select *, (row_number() over (partition by cell_id order by scaled desc, gene_id) - 1)::int as pos from scaled where scaled > 0) where pos < 4096)"""
 
 
 def _ranked(spark, d, n=T.MAX_LENGTH):
@@ -232,16 +232,12 @@ def m9(spark, d):
     return T.mask_tokens(_ranked(spark, d), 3000).select("cell_id", "pos", "token", "masked", "mask", "attention")
 
 
-MODEL_INPUT_SQL = f"""with {RANKED}, {MASKED} select cell_id, list(masked::bigint order by pos) as masked_indices, list((case when hit then 0 else 1 end)::int order by pos) as mask, list(token order by pos) as real_indices, (cell_id // 100)::bigint as batch_id from masked where pos < 10 group by cell_id"""
+MODEL_INPUT_SQL = f"""with {RANKED}, {MASKED} select cell_id, list(masked::bigint order by pos) as masked_indices, list((case when hit then 0 else 1 end)::int order by pos) as mask, list(token order by pos) as real_indices, list(masked = 1 order by pos) as attention_mask, (cell_id // 100)::bigint as batch_id from masked where pos < 1000 group by cell_id"""
 
 
 @query("K3_model_input", MODEL_INPUT_SQL, "expr", "genes")
 def k3(spark, d):
-    t = T.mask_tokens(_ranked(spark, d), 3000).where(F.col("pos") < T.CONTEXT)
-    own = F.array_sort(F.collect_list(F.struct("pos", "masked", "mask", "token")))
-    rows = t.groupBy("cell_id").agg(own.alias("t"))
-    part = lambda k: F.transform("t", lambda s: s[k])
-    return rows.select("cell_id", part("masked").alias("masked_indices"), part("mask").alias("mask"), part("token").alias("real_indices"), F.floor(F.col("cell_id") / 100).alias("batch_id"))
+    return T.model_input(_ranked(spark, d), 3000, 100)
 
 
 for _mode, _sql in (("linear", "1 - pos / n"), ("decay", "power(0.998, pos)"), ("softmax", "exp(-pos / 300.0) / sum(exp(-pos / 300.0)) over (partition by cell_id) * n")):

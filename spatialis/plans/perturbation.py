@@ -152,13 +152,13 @@ def x7(spark, d):
     return _changes(spark, d).select("gene_id", "cell_id", F.round("change", 6).alias("change"))
 
 
-@query("A9_top_gene_frequency", f"with {CH}, t as (select cell_id, gene_id % 7 as gene_id from ch qualify row_number() over (partition by cell_id order by round(change, 9) desc, gene_id) <= 3) select gene_id, count(*) as n, round(100.0 * count(*) / 20, 6) as percent from t group by 1", "vec")
+@query("A9_top_gene_frequency", f"with {CH}, t as (select cell_id, gene_id % 7 as gene_id from ch qualify row_number() over (partition by cell_id order by round(change, 9) desc, gene_id) <= 3) select gene_id, count(*) as n, round(100.0 * count(*) / (select count(distinct cell_id) from ch), 6) as percent from t group by 1", "vec")
 def a9(spark, d):
     top = X.top_changed(_changes(spark, d), "cell_id", "gene_id", 3).withColumn("gene_id", F.col("gene_id") % 7)
-    return X.top_gene_frequency(top, 20).withColumn("percent", F.round("percent", 6))
+    return X.top_gene_frequency(top).withColumn("percent", F.round("percent", 6))
 
 
-DELTA = "a as (select gene_id, sum(value) / 1000 as before from expr group by 1), b as (select gene_id, sum(value) / 1000 as after from (select gene_id, value * (1 + gene_id % 3) as value from expr where gene_id % 50 <> 0) group by 1), d as (select gene_id, coalesce(before, 0) as before, coalesce(after, 0) as after, coalesce(after, 0) - coalesce(before, 0) as delta, abs(coalesce(after, 0) - coalesce(before, 0)) as abs_delta from a full join b using (gene_id))"
+DELTA = "a as (select gene_id, sum(value) / (select count(distinct cell_id) from expr) as before from expr group by 1), b as (select gene_id, sum(value) / (select count(distinct cell_id) from expr) as after from (select gene_id, value * (1 + gene_id % 3) as value from expr where gene_id % 50 <> 0) group by 1), d as (select gene_id, coalesce(before, 0) as before, coalesce(after, 0) as after, coalesce(after, 0) - coalesce(before, 0) as delta, abs(coalesce(after, 0) - coalesce(before, 0)) as abs_delta from a full join b using (gene_id))"
 
 
 def _delta(spark, d):
@@ -197,16 +197,17 @@ def x17(spark, d):
     return X.perturb_covariates(cells, cells.where("cell_id % 3 = 0").withColumn("perturb_gene_id", F.col("cell_id") % 50))
 
 
-@query("X9_inject_random")
-def x9(spark, d):
-    cells = standin(spark, d, "cells")
-    return X.inject_random(cells.where("slice = 1"), cells.where("slice = 2"), 40)
+_R = lambda salt, key="cell_id": hashed_sql(key, salt=salt)
+PLAIN = "select cell_id::varchar as cell_name, cell_type, x, y, false as injected from cells where slice = 1"
 
 
-_R = lambda salt: hashed_sql("cell_id", salt=salt)
+@query("X9_inject_random", f"with p as (select cell_id, cell_type, row_number() over (order by {_R('inject-order')}, cell_id) - 1 as k from cells where slice = 2), m as (select count(*) as m from p), box as (select min(x) as lox, max(x) as hix, min(y) as loy, max(y) as hiy from cells where slice = 1), dr as (select i, floor({_R('inject-donor', 'i')} * m) as k from range(40) t(i), m) select p.cell_id || '_inj' || i as cell_name, cell_type, round(lox + {_R('inject-x', 'i')} * (hix - lox), 6) as x, round(loy + {_R('inject-y', 'i')} * (hiy - loy), 6) as y, true as injected from dr join p using (k), box union all {PLAIN}", "cells")
+def x9(spark, d):
+    cells = standin(spark, d, "cells")
+    return X.inject_random(cells.where("slice = 1"), cells.where("slice = 2"), 40).withColumns({c: F.round(c, 6) for c in ("x", "y")})
 
 
-@query("X10_inject_replace", f"with p as (select cell_id as donor_id, row_number() over (order by {_R('replace-order')}, cell_id) - 1 as k from cells where slice = 2), m as (select count(*) as m from p) select c.cell_id, c.x, c.y, p.donor_id from (select *, floor({_R('replace')} * (select m from m)) as k from cells where slice = 1 and cell_type = 'BUILDING') c join p using (k) union all select cell_id, x, y, null from cells where slice = 1 and cell_type <> 'BUILDING'", "cells")
+@query("X10_inject_replace", f"with p as (select cell_id as donor_id, row_number() over (order by {_R('replace-order')}, cell_id) - 1 as k from cells where slice = 2 and cell_type = 'BUILDING'), m as (select count(*) as m from p) select c.cell_id, c.x, c.y, p.donor_id from (select *, floor({_R('replace')} * (select m from m)) as k from cells where slice = 1 and cell_type = 'BUILDING') c join p using (k) union all select cell_id, x, y, null from cells where slice = 1 and cell_type <> 'BUILDING'", "cells")
 def x10(spark, d):
     cells = standin(spark, d, "cells")
     return X.inject_replace(cells.where("slice = 1"), "BUILDING", cells.where("slice = 2"))
@@ -234,13 +235,22 @@ def e9(spark, d):
     return out.select(F.round("cos_before", 6).alias("cos"), F.round("dist_before", 6).alias("dist"))
 
 
-@query("X13_delta_cosine", f"with {YC}, s as (select vec_id, label, slice, {CC} as k from (select *, embedding::double[] as e from vec), yc), b as (select label, avg(k) as base from s where slice = 'old' group by 1) select vec_id, round(k - base, 6) + 0.0 as delta from s join b using (label)", "vec")
+def _unit_center(spark, d, age):
+    return X.unit_centroid(standin(spark, d, "vec").where(F.col("slice") == age))
+
+
+#: The mean of unit vectors; its own length doesn't matter to a cosine.
+_UC = lambda name, column, age: f"{name} as (select list(v order by dim) as {column} from (select dim, avg(v) as v from (select unnest(range(1, 65)) as dim, unnest(list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])))) as v from vec where slice = '{age}') group by 1))"
+UYC = _UC("yc", "c", "young")
+
+
+@query("X13_delta_cosine", f"with {UYC}, s as (select vec_id, label, slice, {CC} as k from (select *, embedding::double[] as e from vec), yc), b as (select label, avg(k) as base from s where slice = 'old' group by 1) select vec_id, round(k - base, 6) + 0.0 as delta from s join b using (label)", "vec")
 def x13(spark, d):
     vec = standin(spark, d, "vec")
-    return X.delta_cosine(vec, _center(spark, d), vec.where("slice = 'old'"), "label").select("vec_id", F.round("delta", 6).alias("delta"))
+    return X.delta_cosine(vec, _unit_center(spark, d, "young"), vec.where("slice = 'old'"), "label").select("vec_id", F.round("delta", 6).alias("delta"))
 
 
-@query("X14_centroid_coords", f"with {YC}, oc as (select list(v order by dim) as oc from (select dim, avg(v) as v from (select unnest(range(1, 65)) as dim, unnest(embedding)::double as v from vec where slice = 'old') group by 1)) select vec_id, round({CC}, 6) + 0.0 as cos_young, round(list_dot_product(e, oc) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(oc, oc))), 6) as cos_old from (select vec_id, embedding::double[] as e from vec), yc, oc", "vec")
+@query("X14_centroid_coords", f"with {UYC}, {_UC('oc', 'oc', 'old')} select vec_id, round({CC}, 6) + 0.0 as cos_young, round(list_dot_product(e, oc) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(oc, oc))), 6) + 0.0 as cos_old from (select vec_id, embedding::double[] as e from vec), yc, oc", "vec")
 def x14(spark, d):
-    out = X.centroid_coords(standin(spark, d, "vec"), _center(spark, d), _center(spark, d, "old"))
+    out = X.centroid_coords(standin(spark, d, "vec"), _unit_center(spark, d, "young"), _unit_center(spark, d, "old"))
     return out.select("vec_id", F.round("cos_young", 6).alias("cos_young"), F.round("cos_old", 6).alias("cos_old"))

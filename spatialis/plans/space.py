@@ -82,6 +82,9 @@ def n9(spark, d):
     return _grid(spark, d)
 
 
-@query("N10_sincos_features")
+_WAVE = lambda g: f"flatten(list_transform(range(4), lambda i: [round(sin({g} / power(10000.0, i / 4.0)), 6) + 0.0, round(cos({g} / power(10000.0, i / 4.0)), 6) + 0.0]))"
+
+
+@query("N10_sincos_features", f"with {GRID} select cell_id, grid, case when grid is not null then list_concat({_WAVE('(grid // 100)')}, {_WAVE('(grid % 100)')}) end as pe from g", "cells")
 def n10(spark, d):
-    return S.sincos_features(_grid(spark, d), 16)
+    return S.sincos_features(_grid(spark, d), 16).withColumn("pe", F.when(F.col("grid").isNotNull(), F.transform("pe", lambda x: F.round(x, 6))))

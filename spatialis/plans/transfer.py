@@ -42,7 +42,10 @@ def l3(spark, d):
     return L.knn_vote(_near(spark, d))
 
 
-@query("L4_knn_unassigned", f"with {NEAR}, {VOTE}, e as (select min(dist) as lo, max(dist) as hi from near), m as (select query_id, sum(1 / (dist + 1e-8) * (1 - (dist - lo) / (hi - lo + 1e-8))) / sum(1 / (dist + 1e-8)) as sim from near, e where rank <= 3 group by 1) select query_id, case when round(sim, 9) < 0.4 then 'unassigned' else pred::varchar end as pred from pred join m using (query_id)", "vec")
+UNASSIGNED = f"{NEAR}, {VOTE}, e as (select min(dist) as lo, max(dist) as hi from near), m as (select query_id, sum(1 / (dist + 1e-8) * (1 - (dist - lo) / (hi - lo + 1e-8))) / sum(1 / (dist + 1e-8)) as sim from near, e where rank <= 3 group by 1), said as (select query_id, case when round(sim, 9) < 0.4 then 'unassigned' else pred::varchar end as pred from pred join m using (query_id))"
+
+
+@query("L4_knn_unassigned", f"with {UNASSIGNED} select query_id, pred from said", "vec")
 def l4(spark, d):
     near = _near(spark, d)
     return L.knn_unassigned(near, L.knn_vote(near), 10, 0.4)
@@ -181,9 +184,9 @@ def e5(spark, d):
     return E.nmi(_pred(spark, d), "truth", "pred").withColumn("nmi", F.round("nmi", 6))
 
 
-@query("A12_unassigned_ratio", f"with {NEAR}, {VOTE} select round(100 * avg((pred < 5)::int), 6) as ratio from pred", "vec")
+@query("A12_unassigned_ratio", f"with {UNASSIGNED} select round(100 * avg((pred = 'unassigned')::int), 6) as ratio from said", "vec")
 def a12(spark, d):
-    return L.knn_vote(_near(spark, d)).agg(F.round(100 * F.avg((F.col("pred") < 5).cast("int")), 6).alias("ratio"))
+    return E.unassigned_ratio(l4(spark, d)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("A16_mean_metrics", "select metric, round(avg(value), 6) as value from (select 'x' as metric, avg(x) as value from cells group by slice union all select 'y', avg(y) from cells group by slice) group by metric", "cells")

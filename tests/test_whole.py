@@ -1,52 +1,19 @@
-"""Queries whose registered SQL holds a cut equal that SQL with the cut taken out."""
+"""Draws, transport and centroids against cases worked out apart from Spark."""
 
 from __future__ import annotations
 
 import hashlib
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from spatialis.operators import jobs as J
 from spatialis.operators import perturb as X
-from spatialis.operators import tokens as T
-from spatialis.plans import registry
-from tests.conftest import SF
-from tests.test_queries import SQL, con, rows  # noqa: F401
-
-TOKENS = "B1_pool_mean B2_pool_weighted B3_expr_weights B4_score_tokens F15_keep_perturbed J15_token_vectors J5_token_meta J6_token_to_ensembl K1_tokenize K3_model_input M9_mask_tokens P8_prefix_aux S7_write_model_input W1_rank_tokens W3_rank_weights_decay W3_rank_weights_linear W3_rank_weights_softmax X3_delete_tokens X4_perturb_info".split()
-
-
-def equals(spark, con, name, cuts):  # noqa: F811
-    sql = SQL[name]
-    for cut, whole in cuts.items():
-        sql = sql.replace(cut, whole)
-    df, want = registry.queries()[name](spark, SF), con.sql(sql)
-    assert sorted(df.columns) == sorted(want.columns)
-    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
-
-
-@pytest.mark.parametrize("name", TOKENS)
-def test_all_tokens_of_a_cell(spark, con, name):  # noqa: F811
-    equals(spark, con, name, {"pos < 20": f"pos < {T.MAX_LENGTH}", "where pos < 10 ": f"where pos < {T.CONTEXT} "})
-
-
-@pytest.mark.parametrize("name", ["S5_write_tokens", "S6_read_tokens"])
-def test_all_tokens_are_written(spark, con, name):  # noqa: F811
-    df = registry.queries()[name](spark, SF)
-    n = con.sql(f"select count(*) from ({SQL['W1_rank_tokens'].replace('pos < 20', f'pos < {T.MAX_LENGTH}')})").fetchall()[0][0]
-    assert df.selectExpr(f"sum({'n' if 'n' in df.columns else 'size(X)'})").first()[0] == n
-
 
 def drawn(*keys, salt):
     return int(hashlib.md5("|".join(map(str, (salt, *keys))).encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
-def test_donors_of_the_type(spark, con):  # noqa: F811
-    equals(spark, con, "X10_inject_replace", {"from cells where slice = 2)": "from cells where slice = 2 and cell_type = 'BUILDING')"})
-
-
 def test_every_donor_can_be_drawn(spark):
     kinds = F.when(F.col("id") % 5 < 4, "t").otherwise("u")
     donors = spark.range(3000).select(F.col("id").alias("cell_id"), kinds.alias("cell_type"))
@@ -56,18 +23,28 @@ def test_every_donor_can_be_drawn(spark):
     assert got == {i: order[int(drawn(i, salt="replace") * len(order))] for i in range(5000, 9000)}
     assert len(set(got.values())) > 1000
     order = sorted(range(3000), key=lambda i: (drawn(i, salt="inject-order"), i))
-    names = {r.cell_name for r in X.inject_random(cells, donors, 7).collect()}
+    names = {r.cell_name for r in X.inject_random(cells, donors, 7).where("injected").collect()}
     assert names == {f"{order[int(drawn(i, salt='inject-donor') * 3000)]}_inj{i}" for i in range(7)}
 
 
-def test_all_genes_of_a_batch(spark, con):  # noqa: F811
-    equals(spark, con, "J16_batch_dataset", {" where e.gene_id % 50 = 0": ""})
-    equals(spark, con, "J12_gene_mask", {" where gene_id % 20 = 0": ""})
-
-
-@pytest.mark.parametrize("name", ["A10_gene_delta", "T4_top_delta_genes", "X15_recon_change"])
-def test_means_over_the_cells_of_the_table(spark, con, name):  # noqa: F811
-    equals(spark, con, name, {"sum(value) / 1000": "sum(value) / (select count(distinct cell_id) from expr)"})
+def test_centroids_of_unit_vectors(spark):
+    """Long vectors count no more than short ones."""
+    vectors = spark.createDataFrame([(1, [10.0, 0.0], "a"), (2, [0.0, 1.0], "a"), (3, [0.0, 0.0], "a")], "vec_id long, embedding array<double>, label string")
+    center = X.unit_centroid(vectors.where("vec_id < 3"))
+    assert np.allclose(center.first().centroid, [0.5**0.5, 0.5**0.5])
+    out = {r.vec_id: r.delta for r in X.delta_cosine(vectors, center, vectors.where("vec_id = 1"), "label").collect()}
+    assert abs(out[1]) < 1e-12 and abs(out[2]) < 1e-12 and out[3] is None
+    both = {r.vec_id: (r.cos_young, r.cos_old) for r in X.centroid_coords(vectors, center, X.unit_centroid(vectors.where("vec_id = 2"))).collect()}
+    assert np.allclose(both[1], [0.5**0.5, 0.0]) and np.allclose(both[2], [0.5**0.5, 1.0])
+
+
+def test_niche_targets_are_drawn_from_all(spark):
+    cells = spark.range(50).select(F.col("id").alias("cell_id"), F.lit(1).alias("slice"), F.lit("t").alias("cell_type"), (F.col("id") * 100.0).alias("x"), F.lit(0.0).alias("y"))
+    donors = spark.range(100, 400).select(F.col("id").alias("cell_id"), F.lit("u").alias("cell_type"))
+    out = J.inject_niche(cells, donors, 200, spread=0.0).collect()
+    new = [r for r in out if r.injected]
+    assert len(new) == 200 == len({r.cell_name for r in new}) and len(out) == 250
+    assert {r.x for r in new} <= {100.0 * i for i in range(50)} and len({r.x for r in new}) > 25
 
 
 def test_transport_equals_brute_force(spark):
