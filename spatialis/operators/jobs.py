@@ -20,6 +20,7 @@ from spatialis.operators import perturb as X
 from spatialis.operators import qc as Q
 from spatialis.operators import spatial as S
 from spatialis.operators import tokens as T
+from spatialis.operators.running import running_sums
 from spatialis.operators.transfer import centroids
 from spatialis.sources.staging import staged
 
@@ -75,8 +76,7 @@ def celltype_auroc(ref: DataFrame, query: DataFrame) -> DataFrame:
     centers = centroids(ref, ["label"]).withColumnRenamed("label", "center")
     votes = query.select("vec_id", "label", "embedding").crossJoin(F.broadcast(centers)).select("vec_id", "label", "center", F.round(cosine("embedding", "centroid"), 9).alias("v"))
     counts = votes.groupBy("center", "v").agg(F.count(F.lit(1)).alias("k"))
-    before = F.sum("k").over(Window.partitionBy("center").orderBy("v")) - F.col("k")
-    ranks = counts.withColumn("rank", before + (F.col("k") + 1) / 2).select("center", "v", "rank")
+    ranks = running_sums(counts, ["center"], "v", "k").select("center", "v", (F.col("before_k") + (F.col("k") + 1) / 2).alias("rank"))
     own = votes.join(ranks, ["center", "v"]).groupBy("center", "label").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
     total = Window.partitionBy("center")
     n, every = F.col("n"), F.sum("n").over(total)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spatialis.functions.scalars import distance2
+from spatialis.operators.running import running_sums
+from spatialis.operators.transfer import BLOCK, centroids
+from spatialis.sources.staging import staged
 
 
 def confusion(df: DataFrame, true: str = "truth", pred: str = "pred") -> DataFrame:
@@ -129,15 +135,31 @@ def emd_per_dim(a: DataFrame, b: DataFrame) -> DataFrame:
     long = lambda df, s: df.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v")).withColumn("s", F.lit(s))
     n = F.broadcast(a.agg(F.count(F.lit(1)).alias("na")).crossJoin(b.agg(F.count(F.lit(1)).alias("nb"))))
     steps = long(a, 1).unionByName(long(b, 0)).groupBy("dim", "v").agg(F.sum("s").alias("ka"), F.sum(1 - F.col("s")).alias("kb")).crossJoin(n)
-    w = Window.partitionBy("dim").orderBy("v")
-    gap = F.abs(F.sum(F.col("ka") / F.col("na") - F.col("kb") / F.col("nb")).over(w))
-    return steps.withColumn("d", gap * (F.lead("v").over(w) - F.col("v"))).groupBy("dim").agg(F.sum("d").alias("d")).agg(F.avg("d").alias("emd"))
+    placed = running_sums(steps, ["dim"], "v", "ka", "kb")
+    gap = F.abs((F.col("before_ka") + F.col("ka")) / F.col("na") - (F.col("before_kb") + F.col("kb")) / F.col("nb"))
+    return placed.withColumn("d", gap * (F.col("following") - F.col("v"))).groupBy("dim").agg(F.sum("d").alias("d")).agg(F.avg("d").alias("emd"))
+
+
+def _kernel(a: DataFrame, b: DataFrame, gamma: float, name: str) -> DataFrame:
+    """One row: the mean of the Gaussian kernel over all pairs, in pairs of blocks of at most about BLOCK distinct
+    vectors. Equal vectors are one, with their number as weight."""
+    distinct = lambda df: staged(df.where("embedding is not null").groupBy(F.col("embedding").cast("array<double>").alias("e")).agg(F.count(F.lit(1)).cast("double").alias("w")), "vectors")
+    a, b = distinct(a), distinct(b)
+    na, nb = (max(1, -(-df.count() // BLOCK)) for df in (a, b))
+    block = lambda n: F.pmod(F.xxhash64("e"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = a.withColumn("i", block(na)).withColumn("j", every(nb))
+    other = b.withColumn("j", block(nb)).withColumn("i", every(na))
 
+    def part(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"s": [], "n": []}, dtype="float64")
+        e, f = np.array(x["e"].tolist()), np.array(y["e"].tolist())
+        d2 = np.maximum((e * e).sum(1)[:, None] + (f * f).sum(1)[None] - 2 * e @ f.T, 0.0)
+        return pd.DataFrame({"s": [x["w"].to_numpy() @ np.exp(-gamma * d2) @ y["w"].to_numpy()], "n": [x["w"].sum() * y["w"].sum()]})
 
-def _kernel(a: DataFrame, b: DataFrame, gamma: float, name: str, blocks: int = 16) -> DataFrame:
-    own = a.select(F.col("embedding").alias("e")).withColumn("i", F.pmod(F.xxhash64("e"), F.lit(blocks)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    other = b.select(F.col("embedding").alias("f")).withColumn("j", F.pmod(F.xxhash64("f"), F.lit(blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return own.join(other, ["i", "j"]).agg(F.avg(F.exp(-gamma * distance2("e", "f"))).alias(name))
+    sums = own.groupBy("i", "j").cogroup(other.groupBy("i", "j")).applyInPandas(part, "s double, n double")
+    return sums.agg((F.sum("s") / F.sum("n")).alias(name))
 
 
 def mmd_rbf(a: DataFrame, b: DataFrame, gamma: float = 1.0) -> DataFrame:
@@ -146,11 +168,29 @@ def mmd_rbf(a: DataFrame, b: DataFrame, gamma: float = 1.0) -> DataFrame:
     return every.select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("mmd"))
 
 
-def coral(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: the mean squared difference of the two covariance matrices (n - 1)."""
+def _covariance(vectors: DataFrame, name: str) -> DataFrame:
+    """(i, j, name): sample covariances of dimensions. A task sums the products of its vectors, less the mean of
+    all, so that one row for each pair of dimensions leaves it."""
+    rows = vectors.where("embedding is not null").select("embedding")
+    center = centroids(rows, []).first()
+    mean = np.array([] if center is None or center["centroid"] is None else center["centroid"], np.float64)
 
-    def cov(df: DataFrame, name: str) -> DataFrame:
-        pairs = df.select(F.posexplode("embedding").alias("i", "x"), "embedding").select("i", "x", F.posexplode("embedding").alias("j", "y"))
-        return pairs.groupBy("i", "j").agg(F.covar_samp(F.col("x").cast("double"), F.col("y").cast("double")).alias(name))
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, whole = 0, np.zeros(len(mean)), np.zeros((len(mean), len(mean)))
+        for b in batches:
+            if len(b):
+                x = np.array(b["embedding"].tolist(), np.float64) - mean
+                n, total, whole = n + len(x), total + x.sum(axis=0), whole + x.T @ x
+        if n:
+            i, j = np.indices(whole.shape).reshape(2, -1)
+            yield pd.DataFrame({"i": i, "j": j, "n": n, "si": total[i], "sj": total[j], "s": whole.ravel()})
 
-    return cov(a, "ca").join(cov(b, "cb"), ["i", "j"]).agg(F.avg((F.col("ca") - F.col("cb")) * (F.col("ca") - F.col("cb"))).alias("coral"))
+    sums = rows.mapInPandas(products, "i int, j int, n long, si double, sj double, s double")
+    whole = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "s")])
+    return whole.where("n > 1").select("i", "j", ((F.col("s") - F.col("si") * F.col("sj") / F.col("n")) / (F.col("n") - 1)).alias(name))
+
+
+def coral(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: the mean squared difference of the two covariance matrices (n - 1)."""
+    gap = F.col("ca") - F.col("cb")
+    return _covariance(a, "ca").join(_covariance(b, "cb"), ["i", "j"]).agg(F.avg(gap * gap).alias("coral"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialis.operators.running import running_sums
 from spatialis.sources.staging import staged
 
 #: Micrometres for a unit of coordinates, by platform.
@@ -99,10 +100,25 @@ def deviation(edges: DataFrame, expr: DataFrame, absolute: bool = False) -> Data
     return own.select("cell_id", "gene_id", F.round(F.abs(d) if absolute else d, 6).alias("deviation"))
 
 
+def quantile_edges(values: DataFrame, by: str, column: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, q): the quantiles of each group, linearly interpolated and rounded; the order runs over ranges of
+    values, so one group may hold all rows."""
+    counts = values.groupBy(by, column).agg(F.count(F.lit(1)).alias("k"))
+    placed = running_sums(counts, [by], column, "k").withColumn("upto", F.col("before_k") + F.col("k"))
+    size = placed.groupBy(by).agg(F.sum("k").alias("n"))
+    at = [F.lit(q) * (F.col("n") - 1) for q in shares]
+    found = lambda i: F.max(F.when((F.col("before_k") <= i) & (i < F.col("upto")), F.col(column)))
+    ends = [found(end(x)) for x in at for end in (F.floor, F.ceil)]
+    own = placed.join(size, by).groupBy(by, "n").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
+    between = lambda i, x: F.col(f"e{2 * i}") + (F.col(f"e{2 * i + 1}") - F.col(f"e{2 * i}")) * (x - F.floor(x))
+    return own.select(by, F.array(*[F.round(between(i, x), 6) for i, x in enumerate(at)]).alias("q"))
+
+
 def deviation_bin(dev: DataFrame) -> DataFrame:
     """`deviation_bin` 1 to 5 by the gene's quintiles (linear interpolation) over all cells; a value equal to
     an edge lies below it."""
-    edges = dev.groupBy("gene_id").agg(F.transform(F.percentile("deviation", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])), lambda q: F.round(q, 6)).alias("q"))
+    dev = staged(dev, "deviations")
+    edges = quantile_edges(dev, "gene_id", "deviation", (0.2, 0.4, 0.6, 0.8))
     return dev.join(edges, "gene_id").select("cell_id", "gene_id", "deviation", (F.size(F.filter("q", lambda q: q < F.col("deviation"))) + 1).alias("deviation_bin"))
 
 

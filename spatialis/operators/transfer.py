@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH
+from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialis.functions.scalars import cosine, distance2
+from spatialis.sources.staging import staged
 
 #: Rows of a reference block and of a query block in exact search.
 BLOCK = 2048
@@ -78,11 +79,18 @@ def knn_unassigned(near: DataFrame, votes: DataFrame, k: int, threshold: float,
 
 
 def ann_vote(ref: DataFrame, query: DataFrame, k: int, width: float = 1.0, tables: int = 6, radius: float = 2.0) -> DataFrame:
-    """Plain majority of approximate neighbours, by random projections."""
+    """Plain majority of approximate neighbours, by random projections; queries with fewer than k partners
+    within the radius are answered by the exact search."""
     vec = lambda df: df.select("vec_id", "label", array_to_vector("embedding").alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(vec(ref))
     pairs = model.approxSimilarityJoin(vec(ref), vec(query), radius, "dist").select(F.col("datasetB.vec_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), F.col("datasetA.label").alias("label"), "dist")
-    near = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))).where(F.col("rank") <= k)
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))).where(F.col("rank") <= k)
+    near = staged(ranked, "near")
+    whole = near.where(F.col("rank") == min(k, ref.count())).select(F.col("query_id").alias("vec_id"))
+    short = query.join(whole, "vec_id", "left_anti")
+    if not short.isEmpty():
+        exact = top_neighbours(ref, short, k)
+        near = near.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "vec_id", "label", "dist", "rank").unionByName(exact)
     return knn_vote(near, weighted=False)
 
 
@@ -117,11 +125,10 @@ def label_transfer(ref: DataFrame, query: DataFrame, method: str = "native", k:
 
 def scale_pca(vectors: DataFrame, n: int, clip: float = 10.0) -> DataFrame:
     """(vec_id, pc): components of z-scored, clipped vectors."""
-    long = vectors.select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "v"))
-    stats = long.groupBy("dim").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
-    z = long.join(F.broadcast(stats), "dim").withColumn("v", F.least(F.lit(clip), (F.col("v") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))))
-    rows = z.groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("e")).select("vec_id", array_to_vector("e").alias("v"))
-    return PCA(k=n, inputCol="v", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("pc"))
+    rows = vectors.where("embedding is not null").select("vec_id", array_to_vector("embedding").alias("raw"))
+    scaled = StandardScaler(inputCol="raw", outputCol="z", withMean=True, withStd=True).fit(rows).transform(rows)
+    clipped = scaled.select("vec_id", array_to_vector(F.transform(vector_to_array("z"), lambda x: F.least(F.lit(clip), x))).alias("v"))
+    return PCA(k=n, inputCol="v", outputCol="p").fit(clipped).transform(clipped).select("vec_id", vector_to_array("p").alias("pc"))
 
 
 def marker_dict(markers: DataFrame, cutoff: float, n: int) -> DataFrame:
