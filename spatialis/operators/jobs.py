@@ -213,6 +213,22 @@ def shift_ot(young: DataFrame, old: DataFrame, perturbed: DataFrame, reg: float
     return a.join(b, "vec_id").select("vec_id", "projection", "projection_after", *change("cos"), *change("dist"))
 
 
+def shift_to_young(before: DataFrame, after: DataFrame, young: str, old: str, cell_type: object, niche: bool = False, by: str = "label", gamma: float = 1.0) -> DataFrame:
+    """One row: cos, dist, emd and mmd of a type's old vectors to its young ones, before and after a
+    perturbation, and their changes. With `niche`, of all other types. NaN counts as zero; a side without
+    vectors is an error."""
+    mine = F.col(by) != F.lit(cell_type) if niche else F.col(by) == F.lit(cell_type)
+    clean = lambda df, slice_: df.where(mine & (F.col("slice") == slice_)).select(F.transform("embedding", lambda x: F.nanvl(x.cast("double"), F.lit(0.0))).alias("embedding"))
+    there = staged(clean(before, young), "young")
+    sides = {"before": staged(clean(before, old), "before"), "after": staged(clean(after, old), "after")}
+    if any(df.isEmpty() for df in (there, *sides.values())):
+        raise ValueError("no vectors to compare")
+    out = X.shift_to_reference(sides["before"], sides["after"], centroids(there, []))
+    for name, df in sides.items():
+        out = out.crossJoin(E.emd_per_dim(df, there).withColumnRenamed("emd", f"emd_{name}")).crossJoin(E.mmd_rbf(df, there, gamma).withColumnRenamed("mmd", f"mmd_{name}"))
+    return out.withColumns({f"{c}_change": F.col(f"{c}_after") - F.col(f"{c}_before") for c in ("cos", "dist", "emd", "mmd")})
+
+
 def downstream_eval(task: str, **tables: DataFrame) -> DataFrame:
     """The scores of a task by its name."""
     tasks: dict[str, Callable[..., DataFrame]] = {"annotation": E.class_metrics, "denoising": E.denoise_eval, "imputation": E.impute_eval}

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialis.operators.normalize import log_normalize
 from spatialis.operators.running import running_sums
 from spatialis.operators.transfer import BLOCK, centroids
 from spatialis.sources.staging import staged
@@ -113,11 +114,32 @@ def impute_eval(pred: DataFrame, true: DataFrame, by: str = "gene_id", relu: boo
     return _sums(pred, true, by, relu).agg(*[F.avg(c).alias(k) for k, c in _scores().items()])
 
 
-def pearson_rows(pred: DataFrame, true: DataFrame) -> DataFrame:
-    """One row: the mean over cells of the correlation over all genes."""
+def pearson_rows(pred: DataFrame, true: DataFrame, log: bool = False) -> DataFrame:
+    """One row: the mean over cells of the correlation over all genes, of log1p of the values with `log`."""
+    if log:
+        pred, true = (df.withColumn("value", F.log1p("value")) for df in (pred, true))
     return _sums(pred, true, "cell_id", False).agg(F.avg(_scores()["corr"]).alias("pearson"))
 
 
+def pearson_1d(pairs: DataFrame) -> DataFrame:
+    """One row: the correlation of all entries (pred, true)."""
+    return pairs.agg(F.corr("pred", "true").alias("pearson"))
+
+
+def denoise_matrices(pred: DataFrame, true: DataFrame, mask: DataFrame | None = None, normalize: bool = True) -> DataFrame:
+    """One row: mse, rmse, mae, corr, cosine of values, normalised to 1e4 a cell and log1p with `normalize`. With
+    a mask (cell_id, gene_id) over its entries; else errors over all cells and genes of `true`, correlation and
+    cosine by cell and averaged."""
+    if normalize:
+        pred, true = (log_normalize(df).withColumn("value", F.greatest("value", F.lit(0.0))) for df in (pred, true))
+    if mask is None:
+        s = _sums(pred, true, "cell_id", False).agg(*[F.avg(c).alias(k) for k, c in _scores().items() if k != "rmse"])
+        return s.select("mse", F.sqrt("mse").alias("rmse"), "mae", "corr", "cosine")
+    value = lambda df, name: df.select("cell_id", "gene_id", F.col("value").alias(name))
+    pairs = mask.select("cell_id", "gene_id").join(value(pred, "pred"), ["cell_id", "gene_id"], "left").join(value(true, "true"), ["cell_id", "gene_id"], "left")
+    return denoise_eval(pairs.na.fill(0.0, ["pred", "true"]))
+
+
 def denoise_eval(pairs: DataFrame) -> DataFrame:
     """One row over entries (pred, true): mse, rmse, mae, corr, cosine."""
     e = F.col("pred") - F.col("true")

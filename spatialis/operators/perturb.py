@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spatialis.functions.scalars import cosine, dot, hashed, norm
+from spatialis.functions.scalars import cosine, distance2, dot, hashed, norm
 from spatialis.operators.qc import drop_other_types
 from spatialis.operators.tokens import PAD
 from spatialis.operators.transfer import centroids
@@ -28,8 +28,10 @@ def perturb_expr(expr: DataFrame, genes: list[int], mode: str, targets: DataFram
     return rest.unionByName(cells.crossJoin(F.broadcast(most)).select("cell_id", "gene_id", new.alias("value")))
 
 
-def delete_tokens(rows: DataFrame, tokens: list[int], column: str = "X") -> DataFrame:
-    """Tokens become PAD in their place."""
+def delete_tokens(rows: DataFrame, tokens: list[int], column: str = "X", attention: str | None = None) -> DataFrame:
+    """Tokens become PAD in their place; in the array `attention`, if named, their places become true."""
+    if attention:
+        rows = rows.withColumn(attention, F.zip_with(attention, column, lambda a, t: a | t.isin(tokens)))
     return rows.withColumn(column, F.transform(column, lambda t: F.when(t.isin(tokens), F.lit(PAD).cast("bigint")).otherwise(t)))
 
 
@@ -53,6 +55,49 @@ def state_similarity(pairs: DataFrame, key: str = "cell_id") -> DataFrame:
     return pairs.select(key, cosine("before", "after").alias("cosine"), F.sqrt(dot(F.zip_with(F.col("before").cast("array<double>"), F.col("after").cast("array<double>"), lambda a, b: a - b), F.zip_with(F.col("before").cast("array<double>"), F.col("after").cast("array<double>"), lambda a, b: a - b))).alias("l2"))
 
 
+def token_similarity(before: DataFrame, after: DataFrame, info: DataFrame, skip: int = 2, max_rank: int | None = None) -> DataFrame:
+    """(cell_id, token, rank, n_expressed, is_perturbed, is_perturbed_gene, cos_gene, l2_gene, cos_cell): each
+    token's vector before and after (cell_id, pos, token, embedding), and the mean vectors of the cell's tokens
+    that are no padding. `rank` counts from the first token that isn't skipped; `info` is that of perturb_info."""
+    before, after = (df.where(F.col("pos") >= skip) for df in (before, after))
+    first, last = (centroids(df.where(F.col("token") != PAD), ["cell_id"]) for df in (before, after))
+    cells = first.join(last.withColumnRenamed("centroid", "last"), "cell_id", "left").select("cell_id", cosine("centroid", "last").alias("cos_cell"))
+    own = before.where(F.col("token") != PAD).select("cell_id", "pos", "token", F.col("embedding").alias("a"))
+    pairs = own.join(after.select("cell_id", "pos", F.col("embedding").alias("b")), ["cell_id", "pos"]).withColumn("rank", F.col("pos") - skip)
+    pairs = pairs if max_rank is None else pairs.where(F.col("rank") < max_rank)
+    return (
+        pairs.join(info.select("cell_id", "is_perturbed", "ranks", "n_expressed"), "cell_id")
+        .join(cells, "cell_id")
+        .select("cell_id", "token", "rank", "n_expressed", "is_perturbed", F.array_contains("ranks", F.col("pos")).alias("is_perturbed_gene"), cosine("a", "b").alias("cos_gene"), F.sqrt(distance2("a", "b")).alias("l2_gene"), "cos_cell")
+    )
+
+
+def _token_changes(before: DataFrame, after: DataFrame, info: DataFrame, metric: str) -> DataFrame:
+    """(cell_id, pos, gene_id, score, change) of perturbed cells with as many tokens before as after."""
+    if metric not in ("cosine", "l2"):
+        raise ValueError(f"unknown metric {metric}")
+    size = lambda df: df.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+    cells = size(before).join(size(after), ["cell_id", "n"]).join(info.where("is_perturbed"), "cell_id", "left_semi").select("cell_id")
+    pairs = before.join(cells, "cell_id", "left_semi").join(after.select("cell_id", "pos", F.col("embedding").alias("b")), ["cell_id", "pos"])
+    score = cosine("embedding", "b") if metric == "cosine" else F.sqrt(distance2("embedding", "b"))
+    scored = pairs.select("cell_id", "pos", "gene_id", score.alias("score"))
+    return scored.withColumn("change", 1 - F.col("score") if metric == "cosine" else F.col("score"))
+
+
+def gene_impact(before: DataFrame, after: DataFrame, info: DataFrame, metric: str = "cosine", k: int = 10) -> DataFrame:
+    """(cell_id, score, top_genes): of each perturbed cell the mean cosine or distance of its genes' vectors
+    (cell_id, pos, gene_id, embedding) and the k genes that change most."""
+    changes = _token_changes(before, after, info, metric)
+    top = top_changed(changes, "cell_id", "gene_id", k).groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("rank", "gene_id"))).alias("t"))
+    return changes.groupBy("cell_id").agg(F.avg("score").alias("score")).join(top, "cell_id").select("cell_id", "score", F.transform("t", lambda s: s["gene_id"]).alias("top_genes"))
+
+
+def gene_change_matrix(before: DataFrame, after: DataFrame, info: DataFrame, metric: str = "cosine", k: int | None = None) -> DataFrame:
+    """(gene_id, cell_id, change), of each cell all genes or the k that change most."""
+    changes = _token_changes(before, after, info, metric)
+    return (changes if k is None else top_changed(changes, "cell_id", "gene_id", k)).select("gene_id", "cell_id", "change")
+
+
 def top_changed(changes: DataFrame, by: str, key: str, k: int) -> DataFrame:
     """The k keys of greatest change in each group."""
     w = Window.partitionBy(by).orderBy(F.desc(F.round("change", 9)), key)
@@ -137,8 +182,6 @@ def inject_replace(cells: DataFrame, cell_type: str, donors: DataFrame, seed: st
 
 def shift_to_reference(before: DataFrame, after: DataFrame, center: DataFrame) -> DataFrame:
     """One row: mean cosine and distance to a centroid, before and after."""
-    from spatialis.functions.scalars import distance2
-
     side = lambda df, n: df.crossJoin(F.broadcast(center)).agg(F.avg(cosine("embedding", "centroid")).alias(f"cos_{n}"), F.avg(F.sqrt(distance2("embedding", "centroid"))).alias(f"dist_{n}"))
     return side(before, "before").crossJoin(side(after, "after"))
 
@@ -165,3 +208,8 @@ def centroid_coords(vectors: DataFrame, young: DataFrame, old: DataFrame) -> Dat
 def perturb_covariates(cells: DataFrame, perturbed: DataFrame) -> DataFrame:
     """perturb_flag and perturb_gene_id of each cell, 0 and null without a perturbation."""
     return cells.join(perturbed.select("cell_id", "perturb_gene_id"), "cell_id", "left").withColumn("perturb_flag", F.col("perturb_gene_id").isNotNull().cast("int"))
+
+
+def n_conditions(covariates: DataFrame) -> DataFrame:
+    """One row: how many genes are perturbed in some cell; cells without a perturbation are no condition."""
+    return covariates.agg(F.countDistinct("perturb_gene_id").alias("n_conditions"))

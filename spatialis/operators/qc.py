@@ -51,8 +51,23 @@ def check_ensembl(genes: DataFrame, column: str = "ensembl_id") -> DataFrame:
 
 
 def filter_vocab(expr: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Values of genes in the vocabulary."""
-    return expr.join(vocabulary.select("gene_id"), "gene_id", "left_semi")
+    """Values of genes in the vocabulary; that none matches is an error."""
+    kept = expr.join(vocabulary.select("gene_id"), "gene_id", "left_semi")
+    if kept.isEmpty():
+        raise ValueError("no gene is in the vocabulary")
+    return kept
+
+
+#: The covariates a model takes.
+COVARIATES = ("batch", "dataset", "platform")
+
+
+def check_covariates(covariates: list[str]) -> list[str]:
+    """The covariates, none of which a model doesn't take."""
+    unknown = [c for c in covariates if c not in COVARIATES]
+    if unknown:
+        raise ValueError(f"unknown covariates {', '.join(unknown)}")
+    return covariates
 
 
 def where_all(df: DataFrame, where: dict[str, object]) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialis.functions.scalars import hashed
+from spatialis.operators.perturb import numbered
 
 
 def _rank(by: list[str], salt: str, key: str = "cell_id") -> Column:
@@ -22,8 +25,13 @@ def split_by_slice(cells: DataFrame, group: str, share: float = 0.1) -> DataFram
     return cells.withColumn("split", F.when(_rank([group], "split") <= n, "valid").otherwise("train"))
 
 
-def split_random(cells: DataFrame, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """`split` by a threshold on the hash: about the share, without an order over all rows."""
+def split_random(cells: DataFrame, share: float = 0.1, seed: int = 42, exact: bool = False) -> DataFrame:
+    """`split` by a threshold on the hash: about the share, without an order over all rows. With `exact`,
+    ceil(share * n) cells of smallest hash are `valid`."""
+    if exact:
+        placed, size = numbered(cells, f"random-{seed}")
+        valid = F.col("k") < F.ceil(F.round(F.col("m") * share, 9))
+        return placed.crossJoin(size).withColumn("split", F.when(valid, "valid").otherwise("train")).drop("k", "m")
     return cells.withColumn("split", F.when(hashed("cell_id", salt=f"random-{seed}") < share, "valid").otherwise("train"))
 
 
@@ -94,10 +102,12 @@ def holdout_entries(expr: DataFrame, test: float, valid: float, scale: float | N
     return expr.withColumn("part", part)
 
 
-def mask_entries(expr: DataFrame, cell_share: float, entry_share: float) -> DataFrame:
-    """A share of the cells has a share of its values set to zero."""
-    gone = (hashed("cell_id", salt="mask-cell") < cell_share) & (hashed("cell_id", "gene_id", salt="mask-entry") < entry_share)
-    return expr.withColumn("value", F.when(gone, 0.0).otherwise(F.col("value")))
+def mask_entries(expr: DataFrame, cell_share: float, entry_share: float, renormalize: bool = False) -> DataFrame:
+    """A share of the cells has a share of its values set to zero. With `renormalize`, values are logarithms, and
+    those that stay in such a cell grow by -log(1 - entry_share)."""
+    cell, entry = hashed("cell_id", salt="mask-cell") < cell_share, hashed("cell_id", "gene_id", salt="mask-entry") < entry_share
+    kept = F.col("value") + F.when(cell, -math.log(1 - entry_share)).otherwise(0.0) if renormalize else F.col("value")
+    return expr.withColumn("value", F.when(cell & entry, 0.0).otherwise(kept))
 
 
 def drop_nodes(cells: DataFrame, rate: float, most: int) -> DataFrame:
@@ -106,6 +116,11 @@ def drop_nodes(cells: DataFrame, rate: float, most: int) -> DataFrame:
     return cells.orderBy(hashed("cell_id", salt="nodes"), "cell_id").limit(min(most, int(n * (1 - rate) + 1e-9)))
 
 
+def keep_aligned(kept: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """Each table's rows of the cells that were kept."""
+    return [t.join(kept.select("cell_id"), "cell_id", "left_semi") for t in tables]
+
+
 def shuffle_rows(cells: DataFrame, group: list[str]) -> DataFrame:
     """Rows of a group in hashed order."""
     return cells.repartition(*group).sortWithinPartitions(*group, hashed("cell_id", salt="shuffle"))

@@ -85,18 +85,22 @@ def density_token(cells: DataFrame, radius: float, group: str = "slice", bins: i
     return density.join(edges, group).select(group, "cell_id", "density", token.cast("int").alias("density_token"))
 
 
-def neighbor_mean(edges: DataFrame, expr: DataFrame) -> DataFrame:
-    """(cell_id, gene_id, nbr_mean): mean over a cell's neighbours, absent values as zeros."""
+def neighbor_mean(edges: DataFrame, expr: DataFrame, least: float = 0.0) -> DataFrame:
+    """(cell_id, gene_id, nbr_mean): mean over a cell's neighbours, absent values as zeros; a mean nearer to zero
+    than `least` is zero."""
     k = edges.groupBy("cell_id").agg(F.count(F.lit(1)).alias("k"))
     sums = edges.select("cell_id", "nbr_id").join(expr.withColumnRenamed("cell_id", "nbr_id"), "nbr_id").groupBy("cell_id", "gene_id").agg(F.sum("value").alias("s"))
-    return sums.join(k, "cell_id").select("cell_id", "gene_id", (F.col("s") / F.col("k")).alias("nbr_mean"))
+    mean = F.col("s") / F.col("k")
+    return sums.join(k, "cell_id").select("cell_id", "gene_id", F.when(F.abs(mean) < least, 0.0).otherwise(mean).alias("nbr_mean"))
 
 
-def deviation(edges: DataFrame, expr: DataFrame, absolute: bool = False) -> DataFrame:
-    """(cell_id, gene_id, deviation): value less neighbour mean wherever one of the two isn't zero. Rounded,
-    so that bin edges don't hang on the last digits of sums."""
+def deviation(edges: DataFrame, expr: DataFrame, absolute: bool = False, low: float | None = None) -> DataFrame:
+    """(cell_id, gene_id, deviation): value less neighbour mean wherever one of the two isn't zero, or, with
+    `low`, isn't below it. Rounded, so that bin edges don't hang on the last digits of sums."""
     own = expr.join(neighbor_mean(edges, expr), ["cell_id", "gene_id"], "full_outer")
-    d = F.coalesce("value", F.lit(0.0)) - F.coalesce("nbr_mean", F.lit(0.0))
+    value, mean = F.coalesce("value", F.lit(0.0)), F.coalesce("nbr_mean", F.lit(0.0))
+    d = value - mean
+    own = own if low is None else own.where((value >= low) | (mean >= low))
     return own.select("cell_id", "gene_id", F.round(F.abs(d) if absolute else d, 6).alias("deviation"))
 
 
@@ -122,11 +126,15 @@ def deviation_bin(dev: DataFrame) -> DataFrame:
     return dev.join(edges, "gene_id").select("cell_id", "gene_id", "deviation", (F.size(F.filter("q", lambda q: q < F.col("deviation"))) + 1).alias("deviation_bin"))
 
 
-def gaussian_smooth(edges: DataFrame, expr: DataFrame, sigma: float | None = None) -> DataFrame:
+def gaussian_smooth(edges: DataFrame, expr: DataFrame, sigma: float | str = "mean") -> DataFrame:
     """Values averaged over neighbours (self included) by a Gaussian of distance, weights summing to one;
-    sigma is the mean distance to others, unless given."""
-    far = edges.where("cell_id <> nbr_id").agg(F.avg(F.sqrt("dist2")).alias("sigma"))
-    s = F.lit(sigma) if sigma is not None else F.col("sigma")
+    sigma is the mean or the median distance to others, or a number."""
+    far = edges.where("cell_id <> nbr_id").select(F.lit(0).alias("all"), F.sqrt("dist2").alias("d"))
+    if sigma == "median":
+        far = quantile_edges(far, "all", "d", (0.5,)).select(F.col("q")[0].alias("sigma"))
+    else:
+        far = far.agg(F.avg("d").alias("sigma"))
+    s = F.col("sigma") if isinstance(sigma, str) else F.lit(sigma)
     weighted = edges.crossJoin(F.broadcast(far)).withColumn("w", F.exp(-F.col("dist2") / (2 * s * s)))
     total = weighted.groupBy("cell_id").agg(F.sum("w").alias("total"))
     joined = weighted.join(total, "cell_id").join(expr.withColumnRenamed("cell_id", "nbr_id"), "nbr_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -49,11 +50,27 @@ def add_vectors(df: DataFrame, name: str, *columns: str) -> DataFrame:
     return df.withColumn(name, out)
 
 
-def combine_gene_vectors(genes: DataFrame, gene: DataFrame, homology: DataFrame, rna_type: DataFrame) -> DataFrame:
-    """(gene_id, embedding): vector of the gene + of its homology group + of its type."""
+def projected(vectors: DataFrame, matrix: np.ndarray, key: str = "gene_id") -> DataFrame:
+    """(key, embedding): vectors times a model's matrix, in batches; the matrix is of a fixed size."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({key: b[key], "embedding": list(np.array(b["embedding"].tolist(), np.float64) @ matrix)})
+
+    return vectors.where("embedding is not null").select(key, "embedding").mapInPandas(run, f"{key} {vectors.schema[key].dataType.simpleString()}, embedding array<double>")
+
+
+def combine_gene_vectors(genes: DataFrame, gene: DataFrame, homology: DataFrame, rna_type: DataFrame, protein: DataFrame | None = None) -> DataFrame:
+    """(gene_id, embedding): vector of the gene + of its homology group + of its type + of its projected
+    protein, where it has one."""
     own = genes.join(gene.select("gene_id", F.col("embedding").alias("a")), "gene_id")
     own = own.join(homology.select("homo_connect_id", F.col("embedding").alias("b")), "homo_connect_id").join(rna_type.select("gene_type_id", F.col("embedding").alias("c")), "gene_type_id")
-    return add_vectors(own, "embedding", "a", "b", "c").select("gene_id", "embedding")
+    if protein is None:
+        return add_vectors(own, "embedding", "a", "b", "c").select("gene_id", "embedding")
+    own = own.join(protein.select("gene_id", F.col("embedding").cast("array<double>").alias("d")), "gene_id", "left")
+    zeros = F.transform("a", lambda x: F.lit(0.0))
+    return add_vectors(own.withColumn("d", F.coalesce("d", zeros)), "embedding", "a", "b", "c", "d").select("gene_id", "embedding")
 
 
 def reattach_vectors(cells: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:

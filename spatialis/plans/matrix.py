@@ -10,6 +10,7 @@ from spatialis.operators import qc as Q
 from spatialis.operators import sampling as M
 from spatialis.operators import tokens as T
 from spatialis.plans.registry import query
+from spatialis.sources import tables
 from spatialis.sources.standins import standin
 
 NORM = "norm as (select cell_id, gene_id, value * 1e4 / sum(value) over (partition by cell_id) as value from expr)"
@@ -36,7 +37,9 @@ def s2(spark, d):
 
 @query("S3_read_gene_mean", f"with {NORM}, {MEAN} select 'MERFISH' as assay, gene_id, round(mean, 6) as mean from gene_mean", "expr")
 def s3(spark, d):
-    return N.gene_nonzero_mean(standin(spark, d, "expr")).select(F.lit("MERFISH").alias("assay"), "gene_id", F.round("mean", 6).alias("mean"))
+    means = N.gene_nonzero_mean(standin(spark, d, "expr"))
+    every = means.crossJoin(F.broadcast(spark.createDataFrame([("MERFISH", False), ("STEREO", False), ("STEREO", True)], "assay string, metacell boolean")))
+    return tables.read_gene_mean(every, "merfish", metacell=True).select(F.lit("MERFISH").alias("assay"), "gene_id", F.round("mean", 6).alias("mean"))
 
 
 @query("F1_filter_cells_min_genes", "select * from expr where cell_id in (select cell_id from expr where value > 0 group by cell_id having count(*) >= 40)", "expr")
@@ -280,6 +283,11 @@ def m2(spark, d):
     return M.split_random(standin(spark, d, "cells"), 0.1, 42).select("cell_id", "split")
 
 
+@query("M2_split_random_exact", f"select cell_id, case when row_number() over (order by {_H('random-42')}, cell_id) <= ceil(round(0.1 * count(*) over (), 9)) then 'valid' else 'train' end as split from cells", "cells")
+def m2e(spark, d):
+    return M.split_random(standin(spark, d, "cells"), 0.1, 42, exact=True).select("cell_id", "split")
+
+
 @query("M3_subsample_fix", f"select cell_id, cell_type from (select *, row_number() over (partition by cell_type order by {_H('subsample')}, cell_id) as r, count(*) over (partition by cell_type) as n from cells) where r <= least(n, floor(least(50, n) * case when cell_type = 'BUILDING' then 2 else 1 end))", "cells")
 def m3(spark, d):
     return M.subsample_fix(standin(spark, d, "cells"), "cell_type", 50, {"BUILDING": 2.0}).select("cell_id", "cell_type")
@@ -315,11 +323,22 @@ def m11(spark, d):
     return M.mask_entries(standin(spark, d, "expr"), 0.5, 0.2)
 
 
+@query("M11_mask_renormalized", f"select cell_id, gene_id, round(case when {_H('mask-cell')} < 0.5 and {_H('mask-entry', 'cell_id', 'gene_id')} < 0.2 then 0 when {_H('mask-cell')} < 0.5 then ln(1 + value) - ln(0.8) else ln(1 + value) end, 6) as value from expr", "expr")
+def m11r(spark, d):
+    logs = standin(spark, d, "expr").withColumn("value", F.log1p("value"))
+    return M.mask_entries(logs, 0.5, 0.2, renormalize=True).withColumn("value", F.round("value", 6))
+
+
 @query("M12_drop_nodes", f"select cell_id from cells qualify row_number() over (order by {_H('nodes')}, cell_id) <= least(200, (select floor(count(*) * 0.7) from cells))", "cells")
 def m12(spark, d):
     return M.drop_nodes(standin(spark, d, "cells"), 0.3, 200).select("cell_id")
 
 
+@query("M12_drop_nodes_aligned", f"with k as (select cell_id from cells qualify row_number() over (order by {_H('nodes')}, cell_id) <= least(200, (select floor(count(*) * 0.7) from cells))) select * from expr where cell_id in (select cell_id from k)", "cells", "expr")
+def m12a(spark, d):
+    return M.keep_aligned(M.drop_nodes(standin(spark, d, "cells"), 0.3, 200), standin(spark, d, "expr"))[0]
+
+
 @query("M13_shuffle_rows", "select cell_id, slice from cells", "cells")
 def m13(spark, d):
     return M.shuffle_rows(standin(spark, d, "cells"), ["slice"]).select("cell_id", "slice")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spatialis.functions.scalars import hashed_sql
+from spatialis.operators import jobs as J
 from spatialis.operators import normalize as N
 from spatialis.operators import perturb as X
 from spatialis.operators import tokens as T
@@ -137,8 +138,36 @@ def _changes(spark, d):
 CH = f"{AFTER}, {SIM}, ch as (select vec_id as gene_id, vec_id % 20 as cell_id, 1 - cosine as change from sim)"
 
 
+def _token_states(spark, d):
+    """Vectors of tokens before and after, and which cells are perturbed: cell 3, 6, ... by every third gene."""
+    state = lambda df: df.select((F.col("vec_id") % 20).alias("cell_id"), F.floor(F.col("vec_id") / 20).cast("int").alias("pos"), F.col("vec_id").alias("gene_id"), (F.col("vec_id") + T.AUX).alias("token"), "embedding")
+    before, after = state(standin(spark, d, "vec")), state(_after(spark, d))
+    hit = (F.col("cell_id") % 3 == 0) & (F.col("pos") % 3 == 0)
+    info = before.groupBy("cell_id").agg(F.max(hit).alias("is_perturbed"), F.collect_list(F.when(hit, F.col("pos"))).alias("ranks"), F.count(F.lit(1)).alias("n_expressed"))
+    return before, after, info
+
+
+_MEANS = lambda t, name: f"{name} as (select cell_id, list(v order by dim) as c from (select vec_id % 20 as cell_id, dim, avg(v) as v from (select vec_id, unnest(range(1, 65)) as dim, unnest(embedding)::double as v from {t} where vec_id // 20 >= 2) group by 1, 2) group by 1)"
+
+
+@query("X5_token_similarity", f"with {AFTER}, {SIM}, {_MEANS('vec', 'm1')}, {_MEANS('after', 'm2')}, n as (select vec_id % 20 as cell_id, count(*) as n_expressed from vec group by 1) select s.vec_id % 20 as cell_id, s.vec_id + 20 as token, (s.vec_id // 20 - 2)::int as rank, n_expressed, s.vec_id % 20 % 3 = 0 as is_perturbed, s.vec_id % 20 % 3 = 0 and s.vec_id // 20 % 3 = 0 as is_perturbed_gene, round(s.cosine, 6) as cos_gene, round(s.l2, 6) as l2_gene, round(list_dot_product(m1.c, m2.c) / (sqrt(list_dot_product(m1.c, m1.c)) * sqrt(list_dot_product(m2.c, m2.c))), 6) as cos_cell from sim s join n on n.cell_id = s.vec_id % 20 join m1 on m1.cell_id = n.cell_id join m2 on m2.cell_id = n.cell_id where s.vec_id // 20 >= 2", "vec")
+def x5t(spark, d):
+    return X.token_similarity(*_token_states(spark, d)).withColumns({c: F.round(c, 6) for c in ("cos_gene", "l2_gene", "cos_cell")})
+
+
+for _metric, _score, _change in (("cosine", "cosine", "1 - cosine"), ("l2", "l2", "l2")):
+
+    @query(f"X6_gene_impact_{_metric}", f"with {AFTER}, {SIM} select vec_id % 20 as cell_id, round(avg({_score}), 6) as score, list(vec_id order by round({_change}, 9) desc, vec_id)[1:10] as top_genes from sim where vec_id % 20 % 3 = 0 group by 1", "vec")
+    def x6(spark, d, metric=_metric):
+        return X.gene_impact(*_token_states(spark, d), metric).withColumn("score", F.round("score", 6))
+
+    @query(f"X7_gene_change_matrix_{_metric}", f"with {AFTER}, {SIM}, ch as (select vec_id as gene_id, vec_id % 20 as cell_id, {_change} as change from sim where vec_id % 20 % 3 = 0) select gene_id, cell_id, round(change, 6) as change from ch qualify row_number() over (partition by cell_id order by round(change, 9) desc, gene_id) <= 5", "vec")
+    def x7k(spark, d, metric=_metric):
+        return X.gene_change_matrix(*_token_states(spark, d), metric, 5).withColumn("change", F.round("change", 6))
+
+
 @query("X6_gene_impact", f"with {CH} select cell_id, round(avg(1 - change), 6) as mean_cosine, count(*) as n_genes from ch group by 1", "vec")
-def x6(spark, d):
+def x6m(spark, d):
     return _changes(spark, d).groupBy("cell_id").agg(F.round(F.avg(1 - F.col("change")), 6).alias("mean_cosine"), F.count(F.lit(1)).alias("n_genes"))
 
 
@@ -197,6 +226,11 @@ def x17(spark, d):
     return X.perturb_covariates(cells, cells.where("cell_id % 3 = 0").withColumn("perturb_gene_id", F.col("cell_id") % 50))
 
 
+@query("X17_n_conditions", "select count(distinct cell_id % 50) as n_conditions from cells where cell_id % 3 = 0", "cells")
+def x17n(spark, d):
+    return X.n_conditions(x17(spark, d))
+
+
 _R = lambda salt, key="cell_id": hashed_sql(key, salt=salt)
 PLAIN = "select cell_id::varchar as cell_name, cell_type, x, y, false as injected from cells where slice = 1"
 
@@ -228,6 +262,11 @@ def x11(spark, d):
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+@query("X11_shift_to_young")
+def x11y(spark, d):
+    return J.shift_to_young(standin(spark, d, "vec"), _after(spark, d), "young", "old", 3, niche=True)
+
+
 @query("E9_to_centroid", f"with {YC}, b as (select embedding::double[] as e, c from vec, yc) select round(avg({CC}), 6) as cos, round(avg({DD}), 6) as dist from b", "vec")
 def e9(spark, d):
     vec = standin(spark, d, "vec")

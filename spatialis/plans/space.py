@@ -54,6 +54,11 @@ def n5(spark, d):
     return S.deviation(_edges(spark, d), standin(spark, d, "expr"))
 
 
+@query("N5_deviation_low", f"with {EDGES}, {NBR} select coalesce(e.cell_id, n.cell_id) as cell_id, coalesce(e.gene_id, n.gene_id) as gene_id, round(abs(coalesce(e.value, 0) - coalesce(n.nbr_mean, 0)), 6) as deviation from expr e full join nbr n on e.cell_id = n.cell_id and e.gene_id = n.gene_id where coalesce(e.value, 0) >= 2 or coalesce(n.nbr_mean, 0) >= 2", "cells", "expr")
+def n5low(spark, d):
+    return S.deviation(_edges(spark, d), standin(spark, d, "expr"), absolute=True, low=2.0)
+
+
 @query("N6_deviation_bin", f"with {EDGES}, {NBR}, {DEV}, q as (select gene_id, list_transform(quantile_cont(deviation, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) as q from dev group by 1) select cell_id, gene_id, deviation, (len(list_filter(q.q, lambda v: v < deviation)) + 1)::int as deviation_bin from dev join q using (gene_id)", "cells", "expr")
 def n6(spark, d):
     return S.deviation_bin(S.deviation(_edges(spark, d), standin(spark, d, "expr")))
@@ -64,6 +69,11 @@ def n7(spark, d):
     return S.gaussian_smooth(_edges(spark, d), standin(spark, d, "expr")).withColumn("value", F.round("value", 6))
 
 
+@query("N7_gaussian_smooth_median", f"with {EDGES}, s as (select round(median(sqrt(dist2)), 6) as s from edges where cell_id <> nbr_id), w as (select cell_id, nbr_id, exp(-dist2 / (2 * s * s)) as w from edges, s), t as (select *, w / sum(w) over (partition by cell_id) as p from w) select t.cell_id, e.gene_id, round(sum(t.p * e.value), 6) as value from t join expr e on e.cell_id = t.nbr_id group by 1, 2", "cells", "expr")
+def n7median(spark, d):
+    return S.gaussian_smooth(_edges(spark, d), standin(spark, d, "expr"), "median").withColumn("value", F.round("value", 6))
+
+
 @query("A17_minmax_coords", "select cell_id, round((x - min(x) over s) / (max(x) over s - min(x) over s + 1e-8), 6) as x, round((y - min(y) over s) / (max(y) over s - min(y) over s + 1e-8), 6) as y from cells window s as (partition by slice)", "cells")
 def a17(spark, d):
     return S.minmax_coords(standin(spark, d, "cells"), "slice").select("cell_id", F.round("x_FOV_px", 6).alias("x"), F.round("y_FOV_px", 6).alias("y"))

@@ -15,12 +15,16 @@ def read_csv_map(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
-def read_gene_mean(means: DataFrame, assay: str) -> DataFrame:
-    """(gene_id, mean) of an assay; stereo and snrna share one table; an unknown assay is an error."""
+def read_gene_mean(means: DataFrame, assay: str, metacell: bool = False) -> DataFrame:
+    """(gene_id, mean) of an assay; stereo and snrna share one table, of cells or of metacells (column
+    `metacell`); other assays have one of cells alone; an unknown assay is an error."""
     known = {"merfish": "MERFISH", "xenium": "XENIUM", "starmap": "STARMAP", "slideseqv2": "SLIDESEQV2", "stereo": "STEREO", "snrna": "STEREO"}
     if assay.lower() not in known:
         raise ValueError(f"unknown assay {assay}")
-    return means.where(F.col("assay") == known[assay.lower()]).select("gene_id", "mean")
+    own = means.where(F.col("assay") == known[assay.lower()])
+    if "metacell" in means.columns:
+        own = own.where(F.col("metacell") == (metacell and known[assay.lower()] == "STEREO"))
+    return own.select("gene_id", "mean")
 
 
 def write_tokens(tokens: DataFrame, path: str, mode: str = "errorifexists", partition: str | None = None) -> None:
