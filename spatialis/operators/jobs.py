@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,36 +21,127 @@ from spatialis.operators import qc as Q
 from spatialis.operators import spatial as S
 from spatialis.operators import tokens as T
 from spatialis.operators.running import running_sums
-from spatialis.operators.transfer import centroids
+from spatialis.operators.transfer import centroids, scale_pca
 from spatialis.sources.staging import staged
 
 
-def tokenize_dataset(cells: DataFrame, expr: DataFrame, genes: DataFrame, k: int = 5, min_genes: int = 20, min_cells: int = 3, max_length: int = T.MAX_LENGTH, niche: bool = True, radius: float = 100) -> DataFrame:
-    """Token rows of a dataset: quality control, ranks, deviation bins and density tokens; without a niche
-    (single nuclei) bins and density are 0."""
-    good = staged(Q.filter_genes_min_cells(Q.filter_cells_min_genes(expr, min_genes), min_cells), "good")
-    placed = Q.filter_finite_coords(cells).join(good.select("cell_id").distinct(), "cell_id", "left_semi")
+def tokenize_dataset(
+    cells: DataFrame,
+    expr: DataFrame,
+    genes: DataFrame,
+    species: str = "mouse",
+    assay: str = "merfish",
+    *,
+    split: str | None = None,
+    label: str | None = None,
+    codes: DataFrame | None = None,
+    means: DataFrame | None = None,
+    k: int = 50,
+    min_genes: int = 3,
+    min_cells: int = 3,
+    n_hvg: int | None = None,
+    impute: bool = False,
+    absolute: bool = False,
+    niche: bool = True,
+    density: bool = True,
+    max_length: int = T.MAX_LENGTH,
+    chunk: int = 10_000,
+) -> DataFrame:
+    """Token rows of a dataset with what is known of their cells: imputation (stereo alone), quality control, the
+    most variable genes, one split, label codes, species and assay tokens, density tokens, deviation bins among
+    the k nearest of a region key, ranks, and `chunk`, a number for each about `chunk` cells.
+
+    Single nuclei have no imputation, bins or densities. Codes (label, code) are made in the order of the labels
+    where none are given; without a label they are 0. `absolute` compares cells of a slice, else of a slice and
+    label; `means` (gene_id, mean) are those of the dataset where none are given. Coordinates are cell_x and
+    cell_y, as x and X are one name to Spark."""
+    assay = assay.lower()
+    if assay not in Q.TECHNOLOGY or species.lower() not in Q.SPECIES:
+        raise ValueError(f"unknown assay {assay} or species {species}")
+    nuclei = assay == "snrna"
+    placed = Q.xy_from_spatial(Q.default_obs(cells), F.lit(assay))
+    placed = placed if nuclei else Q.filter_finite_coords(placed)
+    if impute and assay == "stereo":
+        expr = impute_dataset(placed, expr, 50)
+    good = Q.filter_genes_min_cells(Q.filter_cells_min_genes(expr, min_genes), min_cells)
+    if n_hvg:
+        good = staged(good, "good")
+        good = good.join(N.highly_variable(N.log_normalize(good), n_hvg), "gene_id", "left_semi")
+    placed = placed if split is None else placed.where(F.col("split") == split)
+    good = staged(good.join(placed.select("cell_id"), "cell_id", "left_semi"), "good")
+    placed = placed.join(good.select("cell_id").distinct(), "cell_id", "left_semi")
+    if label is None:
+        placed = placed.withColumn("cell_label", F.lit(0).cast("bigint"))
+    else:
+        # As many labels as there are types of cells.
+        own = placed.select(label).distinct().withColumn("code", F.row_number().over(Window.orderBy(label)) - 1) if codes is None else codes
+        placed = G.label_encode(placed, label, own).withColumn("cell_label", F.col("code").cast("bigint"))
+    placed = Q.encode_codes(placed, F.lit(species), F.lit(assay)).withColumn("cell_type", F.col("cell_label").cast("string"))
+    placed = staged(Q.region_source(placed, absolute), "cells")
+    kept = ["cell_id", "slice", "region", "brain_region", "brain_region_main", "cell_x", "cell_y", "cell_label", "specie_token", "assay_token"]
+    numbered, _ = X.numbered(placed.withColumnsRenamed({"x": "cell_x", "y": "cell_y"}).select(*kept), "chunk")
+    obs = numbered.withColumn("chunk", F.floor(F.col("k") / chunk)).drop("k")
+    if density and not nuclei:
+        um = S.to_microns(placed.withColumn("platform", F.lit(assay.upper())), ["slice"]).select("cell_id", "slice", F.col("x_um").alias("x"), F.col("y_um").alias("y"))
+        level = S.density_token(um, S.RADIUS.get(assay.upper(), 200)).select("cell_id", (F.col("density_token") + T.DENSITY).alias("density_token"))
+        obs = obs.join(level, "cell_id")
     bins = None
-    if niche:
-        edges = S.knn_in_group(placed, k, ["slice"])
-        bins = S.deviation_bin(S.deviation(edges, N.normalize_total(good)))
-    rows = T.token_rows(T.token_long(good, genes, N.gene_nonzero_mean(good), bins, max_length))
-    if not niche:
-        return rows.withColumn("density_token", F.lit(0))
-    density = S.density_token(placed, radius).select("cell_id", (F.col("density_token") + T.DENSITY).alias("density_token"))
-    return rows.join(density, "cell_id")
-
-
-def prepare_dataset(cells: DataFrame, expr: DataFrame, genes: DataFrame, homology: DataFrame, n_hvg: int, smooth_k: int = 5) -> DataFrame:
-    """(cell_id, target_gene, value) for label transfer: finite coordinates, smoothing, quality control,
-    target genes, the most variable of them."""
+    if niche and not nuclei:
+        edges = S.knn_in_group(placed, k, ["brain_region", "brain_region_main"])
+        bins = S.deviation_bin(S.deviation(edges, N.normalize_total(good), absolute, 1e-4 if absolute else None))
+    else:
+        obs = obs.withColumn("density_token", F.lit(0))
+    tokens = T.token_long(good, Q.check_ensembl(genes), N.gene_nonzero_mean(good) if means is None else means, bins, max_length)
+    return T.token_rows(tokens).join(obs, "cell_id")
+
+
+def prepare_dataset(cells: DataFrame, expr: DataFrame, genes: DataFrame, homology: DataFrame | None, n_hvg: int, smooth_k: int | None = 25, symbols: DataFrame | None = None, force: list[str] | None = None) -> DataFrame:
+    """(cell_id, gene_id, value) for label transfer, gene_id being the gene's name: finite coordinates, smoothing
+    over smooth_k others (none without it), quality control, the target species' genes (none to map without
+    homology), those with an id in `symbols` (gene_symbol, ensembl_id), of a repeated name the first, and of
+    these the most variable and those named by `force`."""
     placed = Q.filter_finite_coords(cells)
-    smooth = S.gaussian_smooth(S.knn_in_group(placed, smooth_k, ["slice"]), expr)
+    values = expr.join(placed.select("cell_id"), "cell_id", "left_semi")
+    if smooth_k is not None:
+        values = S.gaussian_smooth(S.knn_in_group(placed, smooth_k + 1, ["slice"]), values, "median")
     least = F.least(F.lit(200), F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * 0.01)))
     n = int(genes.agg(least.alias("n")).first()["n"])
-    mapped = staged(G.map_homologs(Q.filter_cells_min_genes(smooth, n), genes, homology).withColumnRenamed("target_gene", "gene_id"), "mapped")
-    top = N.highly_variable(N.log_normalize(mapped), n_hvg)
-    return mapped.join(top, "gene_id", "left_semi")
+    good = staged(Q.filter_genes_min_cells(Q.filter_cells_min_genes(staged(values, "smooth"), n), 3), "good")
+    if homology is None:
+        first = G.dedupe_first(genes.select("gene_id", "gene_symbol").join(good.select("gene_id").distinct(), "gene_id", "left_semi"), ["gene_symbol"], ["gene_id"])
+        named = good.join(first, "gene_id").select("cell_id", F.col("gene_symbol").alias("gene_id"), "value")
+    else:
+        named = G.map_homologs(good, genes, homology).withColumnRenamed("target_gene", "gene_id")
+    if symbols is not None:
+        named = named.join(symbols.select(F.col("gene_symbol").alias("gene_id")).distinct(), "gene_id", "left_semi")
+    named = staged(named, "named")
+    forced = None if force is None else named.select("gene_id").distinct().where(F.col("gene_id").isin(force))
+    return named.join(N.highly_variable(N.log_normalize(named), n_hvg, forced), "gene_id", "left_semi")
+
+
+def expression_components(expr: DataFrame, genes: DataFrame, n: int) -> DataFrame:
+    """(vec_id, pc): n components of cells over the genes, a few thousand at most; absent values are zeros."""
+    index = staged(genes.select("gene_id", (F.row_number().over(Window.orderBy("gene_id")) - 1).alias("i")), "index")
+    width = index.count()
+    lists = expr.join(F.broadcast(index), "gene_id").groupBy("cell_id").agg(F.collect_list("i").alias("i"), F.collect_list("value").alias("v"))
+
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = np.zeros((len(b), width))
+            for row, i, v in zip(rows, b["i"], b["v"]):
+                row[i] = v
+            yield pd.DataFrame({"vec_id": b["cell_id"], "embedding": list(rows)})
+
+    return scale_pca(lists.mapInPandas(dense, "vec_id long, embedding array<double>"), min(n, width))
+
+
+def impute_dataset(cells: DataFrame, expr: DataFrame, k: int = 20, spatial_weight: float = 0.5, min_genes: int = 3, min_cells: int = 3, n_hvg: int = 2000, n_pcs: int = 50) -> DataFrame:
+    """(cell_id, gene_id, value): quality control, components of the most variable normalised genes, and values
+    imputed by them (spatial_impute). Cells that quality control leaves without values drop out."""
+    good = staged(Q.filter_genes_min_cells(Q.filter_cells_min_genes(expr, min_genes), min_cells), "good")
+    normal = N.normalize_total(good)
+    components = staged(expression_components(normal, N.highly_variable(normal, n_hvg), n_pcs), "components")
+    return spatial_impute(cells.join(components.select(F.col("vec_id").alias("cell_id")), "cell_id", "left_semi"), good, components, k, spatial_weight)
 
 
 def spatial_impute(cells: DataFrame, expr: DataFrame, components: DataFrame, k: int = 20, spatial_weight: float = 0.5) -> DataFrame:

@@ -8,7 +8,7 @@ from spatialis.operators import genes as G
 from spatialis.operators import jobs as J
 from spatialis.operators import normalize as N
 from spatialis.operators import tokens as T
-from spatialis.operators.transfer import centroids, nearest_centroid, scale_pca
+from spatialis.operators.transfer import centroids, nearest_centroid
 from spatialis.plans.matrix import MODEL_INPUT_SQL, RANKED, k3
 from spatialis.plans.perturbation import _R, PLAIN, _after
 from spatialis.plans.registry import query
@@ -21,20 +21,40 @@ def _all(spark, d, *names):
     return [standin(spark, d, n) for n in names]
 
 
-@query("K2_tokenize_dataset")
+_GOOD = "c1 as (select * from expr where cell_id in (select cell_id from expr where value > 0 group by 1 having count(*) >= 3)), good as (select * from c1 where gene_id in (select gene_id from c1 where value > 0 group by 1 having count(*) >= 3)), placed as (select *, dense_rank() over (order by cell_type) - 1 as cell_label from cells where cell_id in (select cell_id from good))"
+_D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
+K2_SQL = f"""with {_GOOD},
+norm as (select cell_id, gene_id, value * 1e4 / sum(value) over (partition by cell_id) as value from good),
+gene_mean as (select gene_id, avg(value) as mean from norm where value > 0 group by gene_id),
+near as (select * from (select a.cell_id, b.cell_id as nbr_id, row_number() over (partition by a.cell_id order by {_D2}, b.cell_id) as rank from placed a join placed b on a.slice = b.slice and a.cell_label = b.cell_label) where rank <= 50),
+nbr as (select n.cell_id, e.gene_id, sum(e.value) / n.k as nbr_mean from (select *, count(*) over (partition by cell_id) as k from near) n join norm e on e.cell_id = n.nbr_id group by n.cell_id, e.gene_id, n.k),
+dev as (select coalesce(e.cell_id, n.cell_id) as cell_id, coalesce(e.gene_id, n.gene_id) as gene_id, round(coalesce(e.value, 0) - coalesce(n.nbr_mean, 0), 6) as deviation from norm e full join nbr n on e.cell_id = n.cell_id and e.gene_id = n.gene_id),
+q as (select gene_id, list_transform(quantile_cont(deviation, [0.2, 0.4, 0.6, 0.8]), lambda v: round(v, 6)) as q from dev group by 1),
+bins as (select cell_id, gene_id, (len(list_filter(q.q, lambda v: v < deviation)) + 1)::int as bin from dev join q using (gene_id)),
+pair as (select a.slice, a.cell_id, {_D2} as d2, row_number() over (partition by a.cell_id order by {_D2}, b.cell_id) as r from placed a join placed b on a.slice = b.slice),
+unit as (select 20.0 / avg(sqrt(d2)) as f from pair where r = 2),
+den as (select slice, cell_id, ln(1 + count(*)) as ld from pair, unit where d2 * f * f <= 22500 group by 1, 2),
+edge as (select slice, greatest(0, min(ld)) as lo, max(ld) as hi from den group by 1),
+level as (select cell_id, (case when hi = lo then 0 else greatest(0, least(4, ceil(round((ld - lo) / ((hi - lo) / 5), 9)) - 1)) end + 15)::int as density_token from den join edge using (slice)),
+scaled as (select n.cell_id, n.gene_id, n.value, round(n.value / m.mean, 9) as scaled, g.homo_connect_id, g.gene_type_id from norm n join gene_mean m using (gene_id) join genes g using (gene_id) where m.mean <> 0),
+tok as (select *, row_number() over (partition by cell_id order by scaled desc, gene_id) - 1 as pos from scaled where scaled > 0),
+rows as (select t.cell_id, list(t.gene_id + 20 order by pos) as "X", list(homo_connect_id + 1 order by pos) as "X_connect_comp", list(gene_type_id + 1 order by pos) as "X_rna_type", list(bin order by pos) as "X_deviation_bin", list(round(value, 6) order by pos) as "X_exp" from tok t join bins b on b.cell_id = t.cell_id and b.gene_id = t.gene_id group by 1)
+select rows.*, slice, region, slice::varchar as brain_region, cell_label::varchar as brain_region_main, placed.x as cell_x, placed.y as cell_y, cell_label, 4 as specie_token, 7 as assay_token, density_token from rows join placed using (cell_id) join level using (cell_id)"""
+
+
+@query("K2_tokenize_dataset", K2_SQL, "cells", "expr", "genes")
 def k2(spark, d):
-    return J.tokenize_dataset(*_all(spark, d, "cells", "expr", "genes"))
+    return J.tokenize_dataset(*_all(spark, d, "cells", "expr", "genes"), label="cell_type").drop("chunk").withColumn("X_exp", F.transform("X_exp", lambda v: F.round(v, 6)))
 
 
 @query("L9_prepare_dataset")
 def l9(spark, d):
-    return J.prepare_dataset(*_all(spark, d, "cells", "expr", "genes", "homology"), 50)
+    return J.prepare_dataset(*_all(spark, d, "cells", "expr", "genes", "homology"), 50, force=["T1", "T2"])
 
 
 @query("N8_spatial_impute")
 def n8(spark, d):
-    vec = standin(spark, d, "vec").select("vec_id", "embedding")
-    return J.spatial_impute(*_all(spark, d, "cells", "expr"), scale_pca(vec, 8), 6)
+    return J.impute_dataset(*_all(spark, d, "cells", "expr"), 6, n_pcs=8)
 
 
 COS = "list_dot_product(e, c) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(c, c)))"

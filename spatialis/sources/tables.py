@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Columns that a token table must have, and may have.
 REQUIRED = ("cell_id", "X", "X_connect_comp", "X_rna_type", "X_deviation_bin", "X_exp")
+#: Fixed value: rows of a row group of a token table.
+ROW_GROUP = 1024
 OPTIONAL = ("slice", "region", "cell_label", "split", "density_token", "specie_token", "assay_token")
 
 
@@ -28,7 +30,8 @@ def read_gene_mean(means: DataFrame, assay: str, metacell: bool = False) -> Data
 
 
 def write_tokens(tokens: DataFrame, path: str, mode: str = "errorifexists", partition: str | None = None) -> None:
-    writer = tokens.write.mode(mode)
+    """A token table, in row groups of at most 1,024 rows."""
+    writer = tokens.write.mode(mode).option("parquet.block.row.count.limit", ROW_GROUP)
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
