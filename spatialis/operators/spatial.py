@@ -109,11 +109,10 @@ def quantile_edges(values: DataFrame, by: str, column: str, shares: tuple[float,
     values, so one group may hold all rows."""
     counts = values.groupBy(by, column).agg(F.count(F.lit(1)).alias("k"))
     placed = running_sums(counts, [by], column, "k").withColumn("upto", F.col("before_k") + F.col("k"))
-    size = placed.groupBy(by).agg(F.sum("k").alias("n"))
-    at = [F.lit(q) * (F.col("n") - 1) for q in shares]
+    at = [F.lit(q) * (F.col("total_k") - 1) for q in shares]
     found = lambda i: F.max(F.when((F.col("before_k") <= i) & (i < F.col("upto")), F.col(column)))
     ends = [found(end(x)) for x in at for end in (F.floor, F.ceil)]
-    own = placed.join(size, by).groupBy(by, "n").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
+    own = placed.groupBy(by, "total_k").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
     between = lambda i, x: F.col(f"e{2 * i}") + (F.col(f"e{2 * i + 1}") - F.col(f"e{2 * i}")) * (x - F.floor(x))
     return own.select(by, F.array(*[F.round(between(i, x), 6) for i, x in enumerate(at)]).alias("q"))
 
