@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialis.operators.running import running_sums
@@ -14,54 +14,100 @@ MICRONS = {"XENIUM": 0.2, "STARMAP": 0.1, "SLIDESEQV2": 10.0, "STEREO": 0.5}
 RADIUS = {"STARMAP": 120, "MERFISH": 150, "SLIDESEQV2": 80, "XENIUM": 10, "STEREO": 200}
 
 
-def radius_pairs(cells: DataFrame, radius: float, group: list[str]) -> DataFrame:
-    """(cell_id, nbr_id, dist2) within the radius, self included: squares as wide as the radius, so a
-    cell's neighbours lie in its square and the eight around."""
-    own = cells.select("cell_id", *group, "x", "y").withColumns({"gx": F.floor(F.col("x") / radius).cast("long"), "gy": F.floor(F.col("y") / radius).cast("long")})
-    other = own.select(*group, "gx", "gy", F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+#: Halvings of a group's extent; points nearer than that aren't told apart by squares.
+DEEPEST = 40
+#: Levels of squares that are counted at a time where cells are dense.
+DEEPER = 6
+
+
+def _pair_dist2() -> Column:
+    return (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
+
+
+def _around(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows once for their square (a, b) and for each of the eight around it."""
     steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    spread = own.withColumns({"gx": F.explode(F.transform(steps, lambda s: F.col("gx") + s))}).withColumn("gy", F.explode(F.transform(steps, lambda s: F.col("gy") + s)))
-    d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-    near = spread.join(other, [*group, "gx", "gy"]).withColumn("dist2", d2)
-    return near.where(F.col("dist2") <= float(radius) ** 2).select(*group, "cell_id", "nbr_id", "dist2")
+    return rows.withColumn(a, F.explode(F.transform(steps, lambda s: F.col(a) + s))).withColumn(b, F.explode(F.transform(steps, lambda s: F.col(b) + s)))
+
+
+def radius_pairs(cells: DataFrame, radius: float, group: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """(cell_id, nbr_id, dist2) within the radius, self included, and the neighbour's columns `also`: squares
+    as wide as the radius, so a cell's neighbours lie in its square and the eight around."""
+    own = cells.select("cell_id", *group, "x", "y", *also).withColumns({"gx": F.floor(F.col("x") / radius).cast("long"), "gy": F.floor(F.col("y") / radius).cast("long")})
+    other = own.select(*group, "gx", "gy", F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), *also)
+    near = _around(own.drop(*also), "gx", "gy").join(other, [*group, "gx", "gy"]).withColumn("dist2", _pair_dist2())
+    return near.where(F.col("dist2") <= float(radius) ** 2).select(*group, "cell_id", "nbr_id", "dist2", *also)
+
+
+def _squares(rows: DataFrame) -> DataFrame:
+    """gu, gv: the square of (u, v), from 0 to 1, among the 2^level on a side."""
+    return rows.withColumns({f"g{c}": F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("level"))).cast("long") for c in ("u", "v")})
+
+
+def _levels(places: DataFrame, group: list[str], k: int) -> DataFrame:
+    """Places with `level`, the finest at which their square holds k / 2 places, and `wide`, one coarser than the
+    finest at which it holds k: the eight squares around that one reach farther than k places lie. Levels are
+    counted up to `deep`; where squares are still full there, some more, so a clump costs rows only in its own
+    squares."""
+    left, done = places.withColumns({"level": F.lit(0), "wide": F.lit(0), "low": F.lit(1)}), None
+    square, half, full = [*group, "level", "gu", "gv"], max(2, -(-k // 2)), max(2, k)
+    while True:
+        asked = _squares(left.select(*group, "pid", "u", "v", F.explode(F.sequence("low", "deep")).alias("level"))).drop("u", "v")
+        held = asked.groupBy(*square).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= half)
+        best = asked.join(held, square).groupBy(*group, "pid").agg(F.max("level").alias("best"), F.max(F.when(F.col("held") >= full, F.col("level") - 1)).alias("far"))
+        left = left.join(best, [*group, "pid"], "left").withColumns({"level": F.coalesce("best", "level"), "wide": F.coalesce("far", "wide")}).drop("best", "far")
+        left = staged(left, "levels")
+        on = (F.col("level") == F.col("deep")) & (F.col("deep") < DEEPEST)
+        part = left.where(~on).drop("low", "deep")
+        done = part if done is None else done.unionByName(part)
+        left = left.where(on).withColumns({"low": F.col("deep") + 1, "deep": F.least(F.lit(DEEPEST), F.col("deep") + DEEPER)})
+        if left.isEmpty():
+            return done
+
+
+def _nearest(places: DataFrame, other: DataFrame, k: int, group: list[str]) -> DataFrame:
+    """(group, pid, nbr_id, rank, dist2, sure): each place's first k of `other` in its square and the eight
+    around; `sure` if none farther away can be among them."""
+    there = _squares(other.join(places.select(*group, "level").distinct(), group)).drop("u", "v")
+    pairs = _around(_squares(places).drop("u", "v"), "gu", "gv").join(there, [*group, "level", "gu", "gv"]).withColumn("dist2", _pair_dist2())
+    whole = Window.partitionBy(*group, "pid")
+    top = pairs.withColumn("rank", F.row_number().over(whole.orderBy("dist2", "nbr_id"))).where(F.col("rank") <= k)
+    near = F.sqrt(F.max("dist2").over(whole)) <= F.col("width") / F.pow(F.lit(2.0), F.col("level")) * (1 - 1e-9)
+    sure = (F.max("rank").over(whole) >= F.least(F.lit(k), F.col("size"))) & near | (F.col("level") == 0)
+    return top.withColumn("sure", sure).select(*group, "pid", "nbr_id", "rank", "dist2", "sure")
 
 
 def knn_in_group(cells: DataFrame, k: int, group: list[str]) -> DataFrame:
     """(group, cell_id, nbr_id, rank, dist2): the min(k, size of group) nearest, self included, ties to the
-    smaller id.
+    smaller id. Cells without coordinates take no part.
 
-    Grid squares hold about k cells; a cell looks `reach` squares around. It is settled when its k-th
-    neighbour is no farther than the squares surely reach; the rest look twice as far, until none is left.
-    Cells of a group whose whole extent was looked at are settled as well.
+    Cells at one place have the same neighbours, and no more than k of them can be anyone's: places are
+    searched, each with its k smallest ids. Squares halve for as long as they hold k / 2 places, so dense and
+    empty regions have squares of their own size, and a place meets about 9 k others whatever the density. A
+    place looks at its square and the eight around; it is settled when its k-th neighbour is no farther than a
+    square is wide. The rest look once more, at squares that surely reach their neighbours.
     """
-    size = cells.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.max("x") - F.min("x")).alias("ex"),
-        (F.max("y") - F.min("y")).alias("ey"),
-    )
-    area = F.greatest(F.col("ex"), F.lit(1e-9)) * F.greatest(F.col("ey"), F.lit(1e-9))
-    size = size.withColumn("w", F.greatest(F.sqrt(area * F.lit(float(k)) / F.col("n")), F.greatest("ex", "ey") / 1e6, F.lit(1e-9)))
-    size = size.withColumn("span", (F.floor(F.greatest("ex", "ey") / F.col("w")) + 1).cast("long"))
-    everyone = staged(cells.select("cell_id", *group, "x", "y").join(size.select(*group, "n", "w", "span"), group), "cells")
-    grid = lambda c: F.floor(F.col(c) / F.col("w")).cast("long")
-    other = everyone.select(*group, grid("x").alias("gx"), grid("y").alias("gy"), F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    rank = Window.partitionBy(*group, "cell_id").orderBy("dist2", "nbr_id")
-    d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-    left, reach, found = everyone, 1, None
-    while True:
-        steps = F.sequence(-F.least(F.lit(reach), F.col("span").cast("int")), F.least(F.lit(reach), F.col("span").cast("int")))
-        around = lambda c: F.explode(F.transform(steps, lambda s: F.floor(F.col(c) / F.col("w")).cast("long") + s))
-        spread = left.withColumn("gx", around("x")).withColumn("gy", around("y"))
-        top = spread.join(other, [*group, "gx", "gy"]).withColumn("dist2", d2).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        whole = Window.partitionBy(*group, "cell_id")
-        sure = (F.max("rank").over(whole) >= F.least(F.lit(k), F.col("n"))) & (F.sqrt(F.max("dist2").over(whole)) <= F.col("w") * reach) | (F.col("span") <= reach)
-        top = staged(top.withColumn("sure", sure).select(*group, "cell_id", "nbr_id", "rank", "dist2", "sure"), "top")
-        part = top.where("sure").drop("sure")
-        found = part if found is None else found.unionByName(part)
-        left = staged(left.join(part.select(*group, "cell_id").distinct(), [*group, "cell_id"], "left_anti"), "left")
-        if left.isEmpty():
-            return found
-        reach *= 2
+    cells = cells.select("cell_id", *group, "x", "y").where("x is not null and y is not null")
+    place, span = [*group, "x", "y"], F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    size = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.when(span > 0, span * (1 + 1e-9)).otherwise(1.0).alias("width"))
+    size = size.withColumn("deep", F.least(F.lit(DEEPEST), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / F.lit(float(k))) / 2)) + 3).cast("int"))
+    unit = {"u": (F.col("x") - F.col("x0")) / F.col("width"), "v": (F.col("y") - F.col("y0")) / F.col("width")}
+    # A second cell, if there is one, tells that places and cells differ.
+    first = cells.withColumn("r", F.row_number().over(Window.partitionBy(*place).orderBy("cell_id"))).where(F.col("r") <= max(k, 2))
+    first = staged(first.join(size, group).withColumns(unit).drop("x0", "y0"), "places")
+    points = first.where("r = 1").drop("r").withColumnRenamed("cell_id", "pid")
+    other = first.select(*group, "u", "v", F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    leveled = _levels(points, group, k)
+    top = staged(_nearest(leveled, other, k, group), "top")
+    found, unsure = top.where("sure"), top.where("not sure").select(*group, "pid").distinct()
+    if not unsure.isEmpty():
+        wide = leveled.join(unsure, [*group, "pid"], "left_semi").withColumn("level", F.col("wide"))
+        found = found.unionByName(staged(_nearest(wide, other, k, group), "top"))
+    if first.where("r = 2").isEmpty():
+        found = found.withColumnRenamed("pid", "cell_id")
+    else:
+        found = cells.join(points.select(*place, "pid"), place).select(*group, "cell_id", "pid").join(found, [*group, "pid"])
+    return found.select(*group, "cell_id", "nbr_id", "rank", "dist2")
 
 
 def to_microns(cells: DataFrame, group: list[str]) -> DataFrame:
@@ -77,8 +123,11 @@ def to_microns(cells: DataFrame, group: list[str]) -> DataFrame:
 def density_token(cells: DataFrame, radius: float, group: str = "slice", bins: int = 5) -> DataFrame:
     """density (cells within the radius, self included) and density_token 0 to bins - 1: log1p of density in
     equal bins between the group's least and greatest, closed to the right, the lowest edge included."""
-    pairs = radius_pairs(cells, radius, [group])
-    density = pairs.groupBy(group, "cell_id").agg(F.count(F.lit(1)).alias("density")).withColumn("ld", F.log1p(F.col("density").cast("double")))
+    # Cells at one place have one density, so places meet and not cells.
+    places = staged(cells.groupBy(group, "x", "y").agg(F.min("cell_id").alias("cell_id"), F.count(F.lit(1)).alias("n")), "places")
+    level = radius_pairs(places, radius, [group], ("n",)).groupBy(group, "cell_id").agg(F.sum("n").alias("density"))
+    named = places.withColumnRenamed("cell_id", "pid").join(level.withColumnRenamed("cell_id", "pid"), [group, "pid"]).select(group, "x", "y", "density")
+    density = cells.select(group, "cell_id", "x", "y").join(named, [group, "x", "y"]).withColumn("ld", F.log1p(F.col("density").cast("double")))
     edges = density.groupBy(group).agg(F.greatest(F.lit(0.0), F.min("ld")).alias("lo"), F.max("ld").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     token = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil(F.round((F.col("ld") - F.col("lo")) / width, 9)) - 1)))

@@ -55,6 +55,26 @@ def test_knn_equals_brute_force(spark, k):
         assert [got[i][n] for n in range(1, len(near) + 1)] == [j for _, j in near]
 
 
+def test_a_clump_and_a_crowded_place_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    points = [(0, 7, 7)] * 900 + [(0, *(100 + rng.random(2) * 1e-4)) for _ in range(900)] + [(0, *(rng.random(2) * 1e4)) for _ in range(100)] + [(1, 3, 3)] * 20
+    found = S.knn_in_group(cells(spark, points), 6, ["slice"])
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.cell_id, {})[r.rank] = r.nbr_id
+    place = np.array(points)
+    for i, (s, x, y) in enumerate(points):
+        d = np.where(place[:, 0] == s, (x - place[:, 1]) * (x - place[:, 1]) + (y - place[:, 2]) * (y - place[:, 2]), np.inf)
+        assert [got[i][n] for n in range(1, 7)] == np.argsort(d, kind="stable")[:6].tolist()
+    level = {r.cell_id: r.density for r in S.density_token(cells(spark, points), 1).collect()}
+    assert {level[i] for i in range(1800)} == {900} and level[1900] == 20
+
+
+def test_a_cell_without_a_place_takes_no_part(spark):
+    df = spark.createDataFrame([(1, 0, 1.0, 1.0), (2, 0, None, 1.0)], "cell_id long, slice long, x double, y double")
+    assert [(r.cell_id, r.nbr_id) for r in S.knn_in_group(df, 3, ["slice"]).collect()] == [(1, 1)]
+
+
 def test_a_value_at_an_edge_lies_in_the_lower_bin(spark):
     dev = spark.createDataFrame([(i, 1, float(i)) for i in range(6)], "cell_id long, gene_id long, deviation double")
     assert {r.cell_id: r.deviation_bin for r in S.deviation_bin(dev).collect()} == {0: 1, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
