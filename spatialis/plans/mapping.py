@@ -67,9 +67,10 @@ def u2(spark, d):
     return G.intersect_keys(expr.where("cell_id % 2 = 0"), expr.where("cell_id % 3 = 0"), "gene_id")
 
 
-@query("U3_missing_keys", "select distinct gene_id from markers where gene_id not in (select gene_id from expr where cell_id % 10 = 0)", "markers", "expr")
+@query("U3_missing_keys", "select distinct gene_id from markers where gene_id not in (select gene_id from expr join cells using (cell_id) where slice = 3)", "markers", "expr", "cells")
 def u3(spark, d):
-    return G.missing_keys(standin(spark, d, "markers"), standin(spark, d, "expr").where("cell_id % 10 = 0"), "gene_id")
+    one = standin(spark, d, "cells").where("slice = 3").select("cell_id")
+    return G.missing_keys(standin(spark, d, "markers"), standin(spark, d, "expr").join(one, "cell_id", "left_semi"), "gene_id")
 
 
 @query("U4_all_categories", "select cell_type as category from cells union select region from cells", "cells")
