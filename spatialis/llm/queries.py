@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spatialis.llm import ann, bpe, chat, licenses, minhash, mixing, pii, pivot_topk, substrings, toxicity
+from spatialis.llm import ann, bpe, chat, fim, licenses, minhash, mixing, packing, pii, pivot_topk, substrings, toxicity
 from spatialis.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(spark, docs, model).drop("text")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = fim.restore_text(fim.fill_in_middle(docs).drop("text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pivot_topk": op1_pivot_topk,
     "op2_bpe": op2_bpe,
@@ -73,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
+    "op11_fim": op11_fim,
+    "op13_packing": op13_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_pivot_topk": pivot_topk.SQL, "op4_mixing": mixing.SQL, "op7_chat": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_pivot_topk": pivot_topk.SQL, "op4_mixing": mixing.SQL, "op7_chat": chat.SQL, "op11_fim": fim.SQL}
