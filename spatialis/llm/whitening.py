@@ -142,31 +142,39 @@ def leading(times: Callable[[np.ndarray], np.ndarray], d: int, k: int, seed: int
     block = min(d, k + SPARE)
     values, q, residual = rayleigh_ritz(times, rng.normal(size=(d, block)))
     low = lowest(times, d, 8, rng) if block < d else 0.0
-    before, anew = math.inf, None
+    last, anew = np.full(block, math.inf), None
     for _ in range(STEPS):
         wanted = min(k, int((values > NONE * values[0]).sum()))
         if values[0] <= 0 or not wanted:
             return np.empty(0), np.empty((d, 0))
-        worst = residual[:wanted].max() / values[0]
         if block == d:
             break
-        if anew is not None and worst <= RESIDUAL and np.abs(values[:wanted] - anew[:wanted]).max() <= 1e-12 * values[0]:
-            break
-        if worst <= RESIDUAL and worst > before / 2 and anew is None:
-            # As good as rounding lets it be: once more with other spare columns.
-            anew, q = values, np.column_stack([q[:, :k], rng.normal(size=(d, block - k))])
-        elif anew is not None and worst <= RESIDUAL:
-            anew = None
-        before = worst
-        high = max(values[-1], 1e-3 * values[0])
-        low = min(low, 0.9 * high)
+        # Leading pairs as good as rounding lets them be stay as they are, and the filter works beside them.
+        done = (residual <= RESIDUAL * values[0]) & (residual > last / 2)
+        fixed = wanted if done[:wanted].all() else int(done.argmin())
+        last = residual
+        if fixed == wanted:
+            if anew is not None and np.abs(values[:wanted] - anew[:wanted]).max() <= 1e-12 * values[0]:
+                break
+            # Once more with other spare columns.
+            anew, q = values, np.column_stack([q[:, :wanted], rng.normal(size=(d, block - wanted))])
+        high = max(values[-1], 1e-3 * values[fixed])
+        low = min(low, high - 1e-7 * values[0])
         reach = lambda e: math.acosh(max(1.0, 1 + 2 * (e - high) / (high - low)))
         # The first columns may outgrow the last wanted one by so much that QR still tells them apart.
-        spread = reach(values[0]) - reach(values[wanted - 1])
+        spread = reach(values[fixed]) - reach(values[wanted - 1])
         degree = max(1, min(DEGREE, int(math.log(1e7) / spread) if spread > 0 else DEGREE))
-        values, q, residual = rayleigh_ritz(times, polynomial(times, q, low, high, values[0], degree))
+        kept = q[:, :fixed]
+
+        def beside(y: np.ndarray) -> np.ndarray:
+            image = times(y)
+            # What rounding leaves of the fixed pairs counts as inside the damped range.
+            return image - kept @ (kept.T @ image - (low + high) / 2 * (kept.T @ y))
+
+        rest = q[:, fixed:] - kept @ (kept.T @ q[:, fixed:])
+        values, q, residual = rayleigh_ritz(times, np.column_stack([kept, polynomial(beside, rest, low, high, max(values[fixed], high), degree)]))
     else:
-        raise ArithmeticError(f"no convergence: residual {worst:.1e} after {STEPS} steps")
+        raise ArithmeticError(f"no convergence after {STEPS} steps")
     return values[:wanted].copy(), q[:, :wanted].copy()
 
 
