@@ -147,7 +147,7 @@ def settled(place: list[int], cost: list[int], back: list[int], size: int, final
         first = last
         while first and place[first - 1] >= place[-1] - size:
             first -= 1
-        heap = [-i for i in range(first, len(place))]
+        heap = [-i for i in reversed(range(first, len(place)))]
         known = set(range(first, len(place)))
         while len(heap) > 1:
             i = back[-heapq.heappop(heap)]
