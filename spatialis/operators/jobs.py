@@ -20,6 +20,7 @@ from spatialis.operators import perturb as X
 from spatialis.operators import qc as Q
 from spatialis.operators import spatial as S
 from spatialis.operators import tokens as T
+from spatialis.operators.quantiles import quantiles
 from spatialis.operators.running import running_sums
 from spatialis.operators.transfer import centroids, scale_pca
 from spatialis.sources.staging import staged
@@ -215,7 +216,8 @@ def inject_niche(cells: DataFrame, donors: DataFrame, n: int, spread: float = 1.
     """(cell_name, cell_type, x, y, injected): the cells, and n donors (without replacement), each near a target
     cell drawn from all with replacement: Gaussian noise of the targets' median distance to their nearest
     neighbour times `spread`."""
-    near = S.knn_in_group(cells, 2, ["slice"]).where("rank = 2").agg(F.median(F.sqrt("dist2")).alias("d"))
+    far = S.knn_in_group(cells, 2, ["slice"]).where("rank = 2").select(F.lit(0).alias("all"), F.sqrt("dist2").alias("d"))
+    near = quantiles(staged(far, "distances"), "all", "d", (0.5,)).select(F.col("q")[0].alias("d"))
     taken = donors.orderBy(hashed("cell_id", salt=f"{seed}-donor"), "cell_id").limit(n).select("cell_id", "cell_type")
     places, size = X.numbered(cells.select("cell_id", "x", "y"), f"{seed}-place")
     chosen = taken.crossJoin(size).withColumn("k", X.drawn_number("cell_id", f"{seed}-target")).join(places.select("k", "x", "y"), "k").crossJoin(F.broadcast(near))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from spatialis.operators.running import running_sums
+from spatialis.functions.scalars import hashed
+from spatialis.operators import leaves
+from spatialis.operators.quantiles import quantile_edges
 from spatialis.sources.staging import staged
 
 #: Micrometres for a unit of coordinates, by platform.
@@ -14,10 +21,8 @@ MICRONS = {"XENIUM": 0.2, "STARMAP": 0.1, "SLIDESEQV2": 10.0, "STEREO": 0.5}
 RADIUS = {"STARMAP": 120, "MERFISH": 150, "SLIDESEQV2": 80, "XENIUM": 10, "STEREO": 200}
 
 
-#: Halvings of a group's extent; points nearer than that aren't told apart by squares.
-DEEPEST = 40
-#: Levels of squares that are counted at a time where cells are dense.
-DEEPER = 6
+#: Cells of a square beyond which its pairs are dealt over several tasks.
+HOT = 2048
 
 
 def _pair_dist2() -> Column:
@@ -30,83 +35,124 @@ def _around(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.withColumn(a, F.explode(F.transform(steps, lambda s: F.col(a) + s))).withColumn(b, F.explode(F.transform(steps, lambda s: F.col(b) + s)))
 
 
-def radius_pairs(cells: DataFrame, radius: float, group: list[str], also: tuple[str, ...] = ()) -> DataFrame:
-    """(cell_id, nbr_id, dist2) within the radius, self included, and the neighbour's columns `also`: squares
-    as wide as the radius, so a cell's neighbours lie in its square and the eight around."""
-    own = cells.select("cell_id", *group, "x", "y", *also).withColumns({"gx": F.floor(F.col("x") / radius).cast("long"), "gy": F.floor(F.col("y") / radius).cast("long")})
-    other = own.select(*group, "gx", "gy", F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), *also)
-    near = _around(own.drop(*also), "gx", "gy").join(other, [*group, "gx", "gy"]).withColumn("dist2", _pair_dist2())
-    return near.where(F.col("dist2") <= float(radius) ** 2).select(*group, "cell_id", "nbr_id", "dist2", *also)
-
-
-def _squares(rows: DataFrame) -> DataFrame:
-    """gu, gv: the square of (u, v), from 0 to 1, among the 2^level on a side."""
-    return rows.withColumns({f"g{c}": F.floor(F.col(c) * F.pow(F.lit(2.0), F.col("level"))).cast("long") for c in ("u", "v")})
-
-
-def _levels(places: DataFrame, group: list[str], k: int) -> DataFrame:
-    """Places with `level`, the finest at which their square holds k / 2 places, and `wide`, one coarser than the
-    finest at which it holds k: the eight squares around that one reach farther than k places lie. Levels are
-    counted up to `deep`; where squares are still full there, some more, so a clump costs rows only in its own
-    squares."""
-    left, done = places.withColumns({"level": F.lit(0), "wide": F.lit(0), "low": F.lit(1)}), None
-    square, half, full = [*group, "level", "gu", "gv"], max(2, -(-k // 2)), max(2, k)
-    while True:
-        asked = _squares(left.select(*group, "pid", "u", "v", F.explode(F.sequence("low", "deep")).alias("level"))).drop("u", "v")
-        held = asked.groupBy(*square).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= half)
-        best = asked.join(held, square).groupBy(*group, "pid").agg(F.max("level").alias("best"), F.max(F.when(F.col("held") >= full, F.col("level") - 1)).alias("far"))
-        left = left.join(best, [*group, "pid"], "left").withColumns({"level": F.coalesce("best", "level"), "wide": F.coalesce("far", "wide")}).drop("best", "far")
-        left = staged(left, "levels")
-        on = (F.col("level") == F.col("deep")) & (F.col("deep") < DEEPEST)
-        part = left.where(~on).drop("low", "deep")
-        done = part if done is None else done.unionByName(part)
-        left = left.where(on).withColumns({"low": F.col("deep") + 1, "deep": F.least(F.lit(DEEPEST), F.col("deep") + DEEPER)})
-        if left.isEmpty():
-            return done
-
-
-def _nearest(places: DataFrame, other: DataFrame, k: int, group: list[str]) -> DataFrame:
-    """(group, pid, nbr_id, rank, dist2, sure): each place's first k of `other` in its square and the eight
-    around; `sure` if none farther away can be among them."""
-    there = _squares(other.join(places.select(*group, "level").distinct(), group)).drop("u", "v")
-    pairs = _around(_squares(places).drop("u", "v"), "gu", "gv").join(there, [*group, "level", "gu", "gv"]).withColumn("dist2", _pair_dist2())
-    whole = Window.partitionBy(*group, "pid")
-    top = pairs.withColumn("rank", F.row_number().over(whole.orderBy("dist2", "nbr_id"))).where(F.col("rank") <= k)
-    near = F.sqrt(F.max("dist2").over(whole)) <= F.col("width") / F.pow(F.lit(2.0), F.col("level")) * (1 - 1e-9)
-    sure = (F.max("rank").over(whole) >= F.least(F.lit(k), F.col("size"))) & near | (F.col("level") == 0)
-    return top.withColumn("sure", sure).select(*group, "pid", "nbr_id", "rank", "dist2", "sure")
-
-
-def knn_in_group(cells: DataFrame, k: int, group: list[str]) -> DataFrame:
+def radius_pairs(cells: DataFrame, radius: float, group: list[str]) -> DataFrame:
+    """(group, cell_id, nbr_id, dist2) within the radius, self included: squares as wide as the radius, so a
+    cell's neighbours lie in its square and the eight around. Those who ask in a square of more than HOT
+    cells are dealt over parts by their id, and its cells copied for each part."""
+    square = [*group, "gx", "gy"]
+    own = cells.select("cell_id", *group, "x", "y").withColumns({"gx": F.floor(F.col("x") / radius).cast("long"), "gy": F.floor(F.col("y") / radius).cast("long")})
+    hot = staged(own.groupBy(*square).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(*square, F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "hot")
+    dealt = lambda rows, part: rows.join(hot, square, "left").withColumn("part", part(F.coalesce("parts", F.lit(1)))).drop("parts")
+    asking = dealt(_around(own, "gx", "gy"), lambda n: F.pmod(F.xxhash64("cell_id"), n).cast("int"))
+    other = dealt(own.select(*square, F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny")), lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    near = asking.join(other, [*square, "part"]).withColumn("dist2", _pair_dist2())
+    return near.where(F.col("dist2") <= float(radius) ** 2).select(*group, "cell_id", "nbr_id", "dist2")
+
+
+def _in_leaves(places: DataFrame, group: list[str], leaf: int) -> tuple[DataFrame, list[leaves.Tree]]:
+    """Places with `tree`, the number of their group's tree (null: the group is one leaf), and `leaf`; the
+    trees. Groups of more than `leaf` places, at most LEAVES of them, get a tree of a sample of SAMPLE places in
+    all; where LEAVES such leaves can't hold the table, leaves are larger."""
+    most = max(leaf, -(-places.count() // leaves.LEAVES))
+    large = places.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()
+    if not large:
+        return places.withColumns({"tree": F.lit(None).cast("int"), "leaf": F.lit(0)}), []
+    fields = [places.schema[c] for c in group]
+    known = places.sparkSession.createDataFrame([(*r[: len(group)], i) for i, r in enumerate(large)], T.StructType([*fields, T.StructField("tree", T.IntegerType())]))
+    named = places.join(F.broadcast(known), group, "left")
+    share = leaves.SAMPLE / sum(r["n"] for r in large)
+    drawn = named.where(F.col("tree").isNotNull() & (hashed("x", "y", salt="leaves") < share)).select("tree", "x", "y").toArrow()
+    of, xy = drawn["tree"].to_numpy(), np.column_stack([drawn["x"].to_numpy(), drawn["y"].to_numpy()])
+    trees = [leaves.Tree.of(xy[of == i], r["n"], most) for i, r in enumerate(large)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = b.column("tree").to_numpy(zero_copy_only=False)
+            xy, out = _places(b), np.zeros(b.num_rows, np.int32)
+            for i in np.unique(of[~np.isnan(of)]).astype(int).tolist():
+                out[of == i] = trees[i].leaf_of(xy[of == i])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "leaf"])
+
+    named = named.withColumn("tree", F.col("tree").cast("double"))
+    dealt = named.mapInArrow(deal, T.StructType([*named.schema.fields, T.StructField("leaf", T.IntegerType())]))
+    return staged(dealt.withColumn("tree", F.col("tree").cast("int")), "leaves"), trees
+
+
+def _places(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.column_stack([np.asarray(rows["x"], np.float64), np.asarray(rows["y"], np.float64)])
+
+
+def _keyed(key: tuple, n: int, fields: list[T.StructField], values: dict) -> pa.Table:
+    """A table of the group's key, for n rows, and more columns."""
+    names = [f.name for f in fields]
+    return pa.table({**{c: pa.repeat(v, n) for c, v in zip(names, key)}, **values})
+
+
+def knn_in_group(cells: DataFrame, k: int, group: list[str], leaf: int = leaves.LEAF) -> DataFrame:
     """(group, cell_id, nbr_id, rank, dist2): the min(k, size of group) nearest, self included, ties to the
-    smaller id. Cells without coordinates take no part.
+    smaller id. Cells without coordinates or group take no part.
 
     Cells at one place have the same neighbours, and no more than k of them can be anyone's: places are
-    searched, each with its k smallest ids. Squares halve for as long as they hold k / 2 places, so dense and
-    empty regions have squares of their own size, and a place meets about 9 k others whatever the density. A
-    place looks at its square and the eight around; it is settled when its k-th neighbour is no farther than a
-    square is wide. The rest look once more, at squares that surely reach their neighbours.
-    """
-    cells = cells.select("cell_id", *group, "x", "y").where("x is not null and y is not null")
-    place, span = [*group, "x", "y"], F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
-    size = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("size"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.when(span > 0, span * (1 + 1e-9)).otherwise(1.0).alias("width"))
-    size = size.withColumn("deep", F.least(F.lit(DEEPEST), F.greatest(F.lit(0), F.ceil(F.log2(F.col("size") / F.lit(float(k))) / 2)) + 3).cast("int"))
-    unit = {"u": (F.col("x") - F.col("x0")) / F.col("width"), "v": (F.col("y") - F.col("y0")) / F.col("width")}
+    searched, each with its k smallest ids. A group of up to `leaf` places is searched as it is, a larger one in
+    the leaves of a k-d tree; places whose k-th neighbour lies farther than their leaf's edge then ask the
+    leaves beyond, and what is found is ranked together."""
+    cells = cells.select("cell_id", *group, "x", "y").where(" and ".join(f"`{c}` is not null" for c in ("x", "y", *group)))
+    place, fields, id_type = [*group, "x", "y"], [cells.schema[c] for c in group], cells.schema["cell_id"].dataType
     # A second cell, if there is one, tells that places and cells differ.
-    first = cells.withColumn("r", F.row_number().over(Window.partitionBy(*place).orderBy("cell_id"))).where(F.col("r") <= max(k, 2))
-    first = staged(first.join(size, group).withColumns(unit).drop("x0", "y0"), "places")
-    points = first.where("r = 1").drop("r").withColumnRenamed("cell_id", "pid")
-    other = first.select(*group, "u", "v", F.col("cell_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    leveled = _levels(points, group, k)
-    top = staged(_nearest(leveled, other, k, group), "top")
-    found, unsure = top.where("sure"), top.where("not sure").select(*group, "pid").distinct()
-    if not unsure.isEmpty():
-        wide = leveled.join(unsure, [*group, "pid"], "left_semi").withColumn("level", F.col("wide"))
-        found = found.unionByName(staged(_nearest(wide, other, k, group), "top"))
+    order = F.row_number().over(Window.partitionBy(*place).orderBy("cell_id"))
+    first = staged(cells.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}).withColumn("r", order).where(F.col("r") <= max(k, 2)), "places")
+    dealt, trees = _in_leaves(first.where(F.col("r") <= k), group, leaf)
+    made = lambda *names: T.StructType([*fields, *[T.StructField(n, t) for n, t in names]])
+    long_, double = T.LongType(), T.DoubleType()
+
+    def search(key: tuple, own: pa.Table) -> pa.Table:
+        xy, ids = _places(own), own["cell_id"].combine_chunks()
+        asked = np.flatnonzero(own["r"].to_numpy() == 1)
+        a, p, d2 = leaves.nearest(xy[asked], np.full(len(asked), np.inf), xy, np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1], k)
+        rank = np.arange(len(a)) - np.searchsorted(a, a) + 1
+        reach, asks, to = np.full(len(asked), np.inf), np.empty(0, np.int64), np.empty(0, np.int64)
+        reach[a[rank == k]] = d2[rank == k]
+        if key[-2].as_py() is not None:
+            asks, to = trees[key[-2].as_py()].reached(xy[asked], np.sqrt(reach), key[-1].as_py())
+        open_ = np.isin(a, asks)
+        none = lambda n, t: pa.nulls(n, t)
+        both = lambda x, y: pa.concat_arrays([x, y])
+        n, m = len(a), len(asks)
+        at = xy[asked[asks]]
+        return _keyed(key[:-2], n + m, fields, {
+            "tree": pa.repeat(key[-2], n + m),
+            "leaf": both(none(n, pa.int32()), pa.array(to, pa.int32())),
+            "pid": ids.take(pa.array(np.concatenate([asked[a], asked[asks]]))),
+            "nbr_id": both(ids.take(pa.array(p)), none(m, ids.type)),
+            "rank": both(pa.array(rank, pa.int32()), none(m, pa.int32())),
+            "dist2": both(pa.array(d2), pa.array(reach[asks])),
+            "x": both(none(n, pa.float64()), pa.array(at[:, 0])),
+            "y": both(none(n, pa.float64()), pa.array(at[:, 1])),
+            "open": both(pa.array(open_), pa.array(np.ones(m, bool))),
+        })
+
+    columns = (("tree", T.IntegerType()), ("leaf", T.IntegerType()), ("pid", id_type), ("nbr_id", id_type), ("rank", T.IntegerType()), ("dist2", double), ("x", double), ("y", double), ("open", T.BooleanType()))
+    found = dealt.groupBy(*group, "tree", "leaf").applyInArrow(search, made(*columns))
+    result = [*group, "pid", "nbr_id", "rank", "dist2"]
+    if trees:
+        out = staged(found, "found")
+
+        def answer(key: tuple, asking: pa.Table, own: pa.Table) -> pa.Table:
+            ids = own["cell_id"].combine_chunks()
+            a, p, d2 = leaves.nearest(_places(asking), asking["dist2"].to_numpy(), _places(own), np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1], k)
+            return _keyed(key[:-2], len(a), fields, {"pid": asking["pid"].combine_chunks().take(pa.array(a)), "nbr_id": ids.take(pa.array(p)), "dist2": pa.array(d2)})
+
+        asking = out.where("nbr_id is null").select(*group, "tree", "leaf", "pid", "x", "y", "dist2").groupBy(*group, "tree", "leaf")
+        answers = asking.cogroup(dealt.where("tree is not null").groupBy(*group, "tree", "leaf")).applyInArrow(answer, made(("pid", id_type), ("nbr_id", id_type), ("dist2", double)))
+        whole = Window.partitionBy(*group, "pid").orderBy("dist2", "nbr_id")
+        reopened = out.where("nbr_id is not null and open").select(*answers.columns).unionByName(answers).withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
+        found = out.where("not open").select(*result).unionByName(reopened.select(*result))
+    found = found.select(*result)
     if first.where("r = 2").isEmpty():
         found = found.withColumnRenamed("pid", "cell_id")
     else:
-        found = cells.join(points.select(*place, "pid"), place).select(*group, "cell_id", "pid").join(found, [*group, "pid"])
+        pid = first.where("r = 1").select(*place, F.col("cell_id").alias("pid"))
+        found = cells.join(pid, place).select(*group, "cell_id", "pid").join(found, [*group, "pid"])
     return found.select(*group, "cell_id", "nbr_id", "rank", "dist2")
 
 
@@ -120,18 +166,73 @@ def to_microns(cells: DataFrame, group: list[str]) -> DataFrame:
     return cells.crossJoin(F.broadcast(nearest)).withColumns({"x_um": F.col("x") * factor, "y_um": F.col("y") * factor}).drop("d")
 
 
-def density_token(cells: DataFrame, radius: float, group: str = "slice", bins: int = 5) -> DataFrame:
+def densities(places: DataFrame, radius: float, group: str, leaf: int = leaves.LEAF) -> DataFrame:
+    """(group, x, y, density): the cells within the radius of each place, from places with their number of cells
+    `n`. Boxes of places wholly inside add their totals and only those at the circle's edge are met place by
+    place, in a task and between leaves alike, so rows grow with the places however many lie within a radius."""
+    dealt, trees = _in_leaves(places, [group], leaf)
+    fields = [places.schema[group]]
+    schema = T.StructType([*fields, T.StructField("tree", T.IntegerType()), T.StructField("leaf", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("x", "y")], T.StructField("density", T.LongType())])
+    tight: dict[int, np.ndarray] = {}
+    if trees:
+        # At most LEAVES rows, some more for groups: a leaf's box and its cells.
+        boxes = dealt.where("tree is not null").groupBy("tree", "leaf").agg(F.min("x"), F.min("y"), F.max("x"), F.max("y"), F.sum("n")).collect()
+        tight = {i: np.array([[r[1], *r[2:]] for r in boxes if r[0] == i]) for i in {r[0] for r in boxes}}
+
+    def search(key: tuple, own: pa.Table) -> pa.Table:
+        xy = _places(own)
+        density = leaves.weight_within(xy, xy, own["n"].to_numpy(), radius)
+        at, to = [np.arange(len(xy))], [np.full(len(xy), -1)]
+        boxes = tight.get(key[1].as_py(), np.empty((0, 6)))
+        apart = (np.maximum(np.maximum(boxes[:, 1:3] - xy.max(axis=0), xy.min(axis=0) - boxes[:, 3:5]), 0) ** 2).sum(axis=1)
+        for other, x0, y0, x1, y1, n in boxes[(boxes[:, 0] != key[2].as_py()) & (apart <= radius**2 * (1 + 1e-9))]:
+            gap, span = _gap2(xy, x0, y0, x1, y1), _span2(xy, x0, y0, x1, y1)
+            inside = span <= radius**2 * (1 - 1e-9)
+            density[inside] += int(n)
+            edge = np.flatnonzero(~inside & (gap <= radius**2 * (1 + 1e-9)))
+            at.append(edge)
+            to.append(np.full(len(edge), int(other)))
+        at, to = np.concatenate(at), np.concatenate(to)
+        # A place's own row brings what is known, and one for each leaf asks for the rest.
+        known = np.where(to < 0, density[at], 0)
+        return _keyed(key[:1], len(at), fields, {"tree": pa.repeat(key[1], len(at)), "leaf": pa.array(to, pa.int32()), "x": pa.array(xy[at, 0]), "y": pa.array(xy[at, 1]), "density": pa.array(known, pa.int64())})
+
+    found = dealt.groupBy(group, "tree", "leaf").applyInArrow(search, schema)
+    if not trees:
+        return found.select(group, "x", "y", "density")
+    out = staged(found, "densities")
+
+    def answer(key: tuple, asking: pa.Table, own: pa.Table) -> pa.Table:
+        counted = leaves.weight_within(_places(asking), _places(own), own["n"].to_numpy(), radius)
+        return _keyed(key[:1], len(counted), fields, {"x": asking["x"], "y": asking["y"], "density": pa.array(counted, pa.int64())})
+
+    answers = out.where("leaf >= 0").groupBy(group, "tree", "leaf").cogroup(dealt.where("tree is not null").groupBy(group, "tree", "leaf")).applyInArrow(answer, T.StructType([*fields, *schema.fields[-3:]]))
+    return out.where("leaf < 0").select(*answers.columns).unionByName(answers).groupBy(group, "x", "y").agg(F.sum("density").alias("density"))
+
+
+def _gap2(xy: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
+    """Squared distances of places to a box."""
+    return (np.maximum(np.maximum([x0, y0] - xy, xy - [x1, y1]), 0) ** 2).sum(axis=1)
+
+
+def _span2(xy: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
+    """Squared largest distances of places to a box."""
+    return (np.maximum([x1, y1] - xy, xy - [x0, y0]) ** 2).sum(axis=1)
+
+
+def density_token(cells: DataFrame, radius: float, group: str = "slice", bins: int = 5, leaf: int = leaves.LEAF) -> DataFrame:
     """density (cells within the radius, self included) and density_token 0 to bins - 1: log1p of density in
-    equal bins between the group's least and greatest, closed to the right, the lowest edge included."""
+    equal bins between the group's least and greatest, closed to the right, the lowest edge included. Cells
+    without coordinates or group take no part."""
     # Cells at one place have one density, so places meet and not cells.
-    places = staged(cells.groupBy(group, "x", "y").agg(F.min("cell_id").alias("cell_id"), F.count(F.lit(1)).alias("n")), "places")
-    level = radius_pairs(places, radius, [group], ("n",)).groupBy(group, "cell_id").agg(F.sum("n").alias("density"))
-    named = places.withColumnRenamed("cell_id", "pid").join(level.withColumnRenamed("cell_id", "pid"), [group, "pid"]).select(group, "x", "y", "density")
-    density = cells.select(group, "cell_id", "x", "y").join(named, [group, "x", "y"]).withColumn("ld", F.log1p(F.col("density").cast("double")))
-    edges = density.groupBy(group).agg(F.greatest(F.lit(0.0), F.min("ld")).alias("lo"), F.max("ld").alias("hi"))
+    cells = cells.select(group, "cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(f"x is not null and y is not null and `{group}` is not null")
+    places = staged(cells.groupBy(group, "x", "y").agg(F.count(F.lit(1)).alias("n")), "places")
+    level = staged(densities(places, radius, group, leaf).withColumn("ld", F.log1p(F.col("density").cast("double"))), "density")
+    edges = level.groupBy(group).agg(F.greatest(F.lit(0.0), F.min("ld")).alias("lo"), F.max("ld").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     token = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.ceil(F.round((F.col("ld") - F.col("lo")) / width, 9)) - 1)))
-    return density.join(edges, group).select(group, "cell_id", "density", token.cast("int").alias("density_token"))
+    marked = level.join(edges, group).select(group, "x", "y", "density", token.cast("int").alias("density_token"))
+    return cells.join(marked, [group, "x", "y"]).select(group, "cell_id", "density", "density_token")
 
 
 def neighbor_mean(edges: DataFrame, expr: DataFrame, least: float = 0.0) -> DataFrame:
@@ -153,24 +254,11 @@ def deviation(edges: DataFrame, expr: DataFrame, absolute: bool = False, low: fl
     return own.select("cell_id", "gene_id", F.round(F.abs(d) if absolute else d, 6).alias("deviation"))
 
 
-def quantile_edges(values: DataFrame, by: str, column: str, shares: tuple[float, ...]) -> DataFrame:
-    """(by, q): the quantiles of each group, linearly interpolated and rounded; the order runs over ranges of
-    values, so one group may hold all rows."""
-    counts = values.groupBy(by, column).agg(F.count(F.lit(1)).alias("k"))
-    placed = running_sums(counts, [by], column, "k").withColumn("upto", F.col("before_k") + F.col("k"))
-    at = [F.lit(q) * (F.col("total_k") - 1) for q in shares]
-    found = lambda i: F.max(F.when((F.col("before_k") <= i) & (i < F.col("upto")), F.col(column)))
-    ends = [found(end(x)) for x in at for end in (F.floor, F.ceil)]
-    own = placed.groupBy(by, "total_k").agg(*[e.alias(f"e{i}") for i, e in enumerate(ends)])
-    between = lambda i, x: F.col(f"e{2 * i}") + (F.col(f"e{2 * i + 1}") - F.col(f"e{2 * i}")) * (x - F.floor(x))
-    return own.select(by, F.array(*[F.round(between(i, x), 6) for i, x in enumerate(at)]).alias("q"))
-
-
 def deviation_bin(dev: DataFrame) -> DataFrame:
     """`deviation_bin` 1 to 5 by the gene's quintiles (linear interpolation) over all cells; a value equal to
     an edge lies below it."""
     dev = staged(dev, "deviations")
-    edges = quantile_edges(dev, "gene_id", "deviation", (0.2, 0.4, 0.6, 0.8))
+    edges = staged(quantile_edges(dev, "gene_id", "deviation", (0.2, 0.4, 0.6, 0.8)), "edges")
     return dev.join(edges, "gene_id").select("cell_id", "gene_id", "deviation", (F.size(F.filter("q", lambda q: q < F.col("deviation"))) + 1).alias("deviation_bin"))
 
 
@@ -179,7 +267,7 @@ def gaussian_smooth(edges: DataFrame, expr: DataFrame, sigma: float | str = "mea
     sigma is the mean or the median distance to others, or a number."""
     far = edges.where("cell_id <> nbr_id").select(F.lit(0).alias("all"), F.sqrt("dist2").alias("d"))
     if sigma == "median":
-        far = quantile_edges(far, "all", "d", (0.5,)).select(F.col("q")[0].alias("sigma"))
+        far = quantile_edges(staged(far, "distances"), "all", "d", (0.5,)).select(F.col("q")[0].alias("sigma"))
     else:
         far = far.agg(F.avg("d").alias("sigma"))
     s = F.col("sigma") if isinstance(sigma, str) else F.lit(sigma)
