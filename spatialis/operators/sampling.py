@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spatialis.functions.scalars import hashed
 from spatialis.operators.perturb import numbered
+from spatialis.operators.selection import first_of_groups, group_sizes, take_first
 
 
 def _rank(by: list[str], salt: str, key: str = "cell_id") -> Column:
@@ -21,8 +22,8 @@ def _size(by: list[str]) -> Column:
 
 def split_by_slice(cells: DataFrame, group: str, share: float = 0.1) -> DataFrame:
     """`split`: of each slice max(1, share of its cells) are `valid`, the rest `train`."""
-    n = F.greatest(F.lit(1), F.floor(F.lit(share) * _size([group])))
-    return cells.withColumn("split", F.when(_rank([group], "split") <= n, "valid").otherwise("train"))
+    sizes = group_sizes(cells, [group]).withColumn("target", F.greatest(F.lit(1), F.floor(F.lit(share) * F.col("n"))))
+    return first_of_groups(cells.drop("split"), [group], sizes, "split").withColumn("split", F.when(F.col("_first"), "valid").otherwise("train")).drop("_first")
 
 
 def split_random(cells: DataFrame, share: float = 0.1, seed: int = 42, exact: bool = False) -> DataFrame:
@@ -41,24 +42,20 @@ def _oversample(column: str, factors: dict[str, float] | None) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in factors.items() for x in (k, float(v))]), F.col(column)), F.lit(1.0))
 
 
-def _take(cells: DataFrame, column: str, targets: DataFrame) -> DataFrame:
-    return cells.join(targets, column).withColumn("_r", _rank([column], "subsample")).where("_r <= target").drop("_r", "target")
-
-
 def subsample_fix(cells: DataFrame, column: str, n: int, oversample: dict[str, float] | None = None) -> DataFrame:
     """min(n, size) * factor cells of each class, its size at most."""
-    size = cells.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return _take(cells, column, size.select(column, F.least("n", F.floor(F.least(F.lit(n), F.col("n")) * _oversample(column, oversample))).alias("target")))
+    target = F.least("n", F.floor(F.least(F.lit(n), F.col("n")) * _oversample(column, oversample)))
+    return take_first(cells, [column], group_sizes(cells, [column]).withColumn("target", target), "subsample")
 
 
 def subsample_prop(cells: DataFrame, column: str, rate: float, alpha: float, oversample: dict[str, float] | None = None) -> DataFrame:
     """Classes by weight (share ^ alpha, normalised) of rate * all cells, their size at most."""
-    size = cells.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    size = group_sizes(cells, [column])
     total = size.agg(F.sum("n").alias("total"))
     weighted = size.crossJoin(F.broadcast(total)).withColumn("w", F.pow(F.col("n") / F.col("total"), F.lit(alpha)))
     every = weighted.agg(F.sum("w").alias("every"))
     target = F.floor(F.round(F.col("w") / F.col("every") * F.col("total") * rate, 6) * _oversample(column, oversample))
-    return _take(cells, column, weighted.crossJoin(F.broadcast(every)).select(column, F.least("n", target).alias("target")))
+    return take_first(cells, [column], weighted.crossJoin(F.broadcast(every)).select(column, "n", F.least("n", target).alias("target")), "subsample")
 
 
 def subsample_marker(cells: DataFrame, column: str, score: str, n: int, pool_factor: int = 3) -> DataFrame:
@@ -76,11 +73,12 @@ def pick_slice_capped(cells: DataFrame, group: str, cap: int) -> DataFrame:
 
 def sample_ratio(cells: DataFrame, group: str, ratio: float) -> DataFrame:
     """floor(size * ratio) cells of each group; none where that is 0."""
-    return cells.withColumns({"_r": _rank([group], "cells"), "_n": _size([group])}).where(F.col("_r") <= F.floor(F.col("_n") * ratio)).drop("_r", "_n")
+    return take_first(cells, [group], lambda n: F.floor(n * ratio), "cells")
 
 
 def sample_cells(cells: DataFrame, group: str, n: int) -> DataFrame:
-    return cells.withColumn("_r", _rank([group], "cells")).where(F.col("_r") <= n).drop("_r")
+    """At most n cells of each group."""
+    return take_first(cells, [group], lambda size: F.least(size, F.lit(n)), "cells")
 
 
 def sample_genes_by_sparsity(zero_rates: DataFrame, edges: tuple[float, ...] = (0.75, 0.9, 0.95), n: int = 25) -> DataFrame:

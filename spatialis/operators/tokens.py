@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spatialis.functions.scalars import hashed, log2p1
 from spatialis.operators.normalize import normalize_total
 from spatialis.operators.qc import drop_zero_mean_genes
+from spatialis.operators.running import running_sums
 
 #: Special tokens, first density token, room before gene tokens, longest row, context.
 MASK, PAD, CLS, DENSITY, AUX, MAX_LENGTH, CONTEXT, N_AUX, MASK_P = 0, 1, 2, 15, 20, 4096, 1000, 20, 0.15
@@ -126,6 +127,8 @@ def token_to_ensembl(tokens: DataFrame, genes: DataFrame, default: str = "UNKNOW
 
 
 def assign_batches(cells: DataFrame, batch: str, n: int) -> DataFrame:
-    """Chunks of at most n cells within each batch."""
-    w = Window.partitionBy(batch).orderBy("cell_id")
-    return cells.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / n).cast("int"))
+    """`chunk` of at most n cells within each batch, in the order of cell_id; the order runs over ranges, so a batch
+    may hold all cells. Null is a batch."""
+    one = cells.withColumns({"_one": F.lit(1), "_batch": F.struct(F.col(batch).alias("b"))})
+    placed = running_sums(one, ["_batch"], "cell_id", "_one")
+    return placed.select(*cells.columns, F.floor(F.col("before__one") / n).cast("int").alias("chunk"))
