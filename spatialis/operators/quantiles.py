@@ -19,19 +19,18 @@ def _value(r: Column) -> Column:
     return F.when((r == F.col("start")) | (F.col("lo") == F.col("hi")), F.col("lo")).when(r == F.col("start") + F.col("n") - 1, F.col("hi"))
 
 
-def _within(values: DataFrame, bins: DataFrame, by: str) -> DataFrame:
-    """The rows that lie in a bin, with the bin's start, lo, hi and ranks; bins of a group don't overlap."""
-    lists = bins.groupBy(by).agg(F.collect_list(F.struct("lo", "hi", "start", "ranks")).alias("bins"))
-    held = F.filter("bins", lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"]))
-    return values.join(staged(lists, "bins"), by).select(by, "v", F.get(held, F.lit(0)).alias("b")).where("b is not null").select(by, "v", "b.*")
+def _within(values: DataFrame, bins: DataFrame, by: str, *columns: str) -> DataFrame:
+    """The rows that lie in a bin, with some of the bin's columns; bins of a group don't overlap."""
+    edges = bins.select(F.col(by).alias("_by"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *columns)
+    return values.join(edges, (values[by] == edges["_by"]) & (F.col("v") >= F.col("_lo")) & (F.col("v") <= F.col("_hi"))).select(by, "v", *columns)
 
 
 def _parted(values: DataFrame, bins: DataFrame, by: str) -> DataFrame:
     """The parts of bins that hold a wanted rank: by, start (rows of the group before them), n, lo, hi, ranks."""
     at = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))
-    counted = _within(values, bins, by).groupBy(by, "start", "ranks", at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counted = _within(values, bins, by, "start", "lo", "hi").groupBy(by, "start", at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     upto = F.sum("n").over(Window.partitionBy(by, "start").orderBy("at"))  # at most BINS rows of a bin
-    placed = counted.withColumn("start", F.col("start") + upto - F.col("n"))
+    placed = counted.join(bins.select(by, "start", "ranks"), [by, "start"]).withColumn("start", F.col("start") + upto - F.col("n"))
     ranks = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))
     return placed.select(by, "start", "n", "lo", "hi", ranks.alias("ranks")).where(F.size("ranks") > 0)
 
@@ -60,7 +59,8 @@ def order_statistics(values: DataFrame, by: str, column: str, ranks: list[Column
     left = reduce(DataFrame.unionByName, small)
     if not left.isEmpty():
         rank = F.col("start") + F.row_number().over(Window.partitionBy(by, "start").orderBy("v")) - 1
-        known.append(_within(own, left, by).withColumn("rank", rank.cast("long")).where(F.array_contains("ranks", F.col("rank"))).select(by, "rank", F.col("v").alias("value")))
+        wanted = staged(left.select(by, F.explode("ranks").alias("rank")), "ranks")
+        known.append(_within(own, left, by, "start").select(by, rank.cast("long").alias("rank"), F.col("v").alias("value")).join(wanted, [by, "rank"]))
     found = reduce(DataFrame.unionByName, known).groupBy(by).agg(F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("found"))
     return size.join(found, by)
 

@@ -246,12 +246,16 @@ def neighbor_mean(edges: DataFrame, expr: DataFrame, least: float = 0.0) -> Data
 
 def deviation(edges: DataFrame, expr: DataFrame, absolute: bool = False, low: float | None = None) -> DataFrame:
     """(cell_id, gene_id, deviation): value less neighbour mean wherever one of the two isn't zero, or, with
-    `low`, isn't below it. Rounded, so that bin edges don't hang on the last digits of sums."""
-    own = expr.join(neighbor_mean(edges, expr), ["cell_id", "gene_id"], "full_outer")
-    value, mean = F.coalesce("value", F.lit(0.0)), F.coalesce("nbr_mean", F.lit(0.0))
-    d = value - mean
-    own = own if low is None else own.where((value >= low) | (mean >= low))
-    return own.select("cell_id", "gene_id", F.round(F.abs(d) if absolute else d, 6).alias("deviation"))
+    `low`, isn't below it. Rounded, so that bin edges don't hang on the last digits of sums. A cell's own values
+    and its neighbours' are added up side by side, in one shuffle."""
+    k = edges.groupBy("cell_id").agg(F.count(F.lit(1)).alias("k"))
+    zero = F.lit(0.0)
+    around = edges.select("cell_id", "nbr_id").join(k, "cell_id").join(expr.select(F.col("cell_id").alias("nbr_id"), "gene_id", "value"), "nbr_id")
+    own = expr.select("cell_id", "gene_id", "value", zero.alias("near"), F.lit(1).cast("long").alias("k"))
+    sums = own.unionByName(around.select("cell_id", "gene_id", zero.alias("value"), F.col("value").alias("near"), "k")).groupBy("cell_id", "gene_id").agg(F.sum("value").alias("value"), (F.sum("near") / F.max("k")).alias("mean"))
+    sums = sums if low is None else sums.where((F.col("value") >= low) | (F.col("mean") >= low))
+    d = F.col("value") - F.col("mean")
+    return sums.select("cell_id", "gene_id", F.round(F.abs(d) if absolute else d, 6).alias("deviation"))
 
 
 def deviation_bin(dev: DataFrame) -> DataFrame:
