@@ -5,14 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, BucketedRandomProjectionLSH, StandardScaler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialis.functions.scalars import cosine, distance2
-from spatialis.sources.staging import staged
+from spatialis.operators.inverted import approximate_neighbours
 
 #: Rows of a reference block and of a query block in exact search.
 BLOCK = 2048
@@ -78,20 +78,9 @@ def knn_unassigned(near: DataFrame, votes: DataFrame, k: int, threshold: float,
     return votes.join(mean, "query_id").select("query_id", F.when(F.round("sim", 9) < threshold, "unassigned").otherwise(F.col("pred").cast("string")).alias("pred"))
 
 
-def ann_vote(ref: DataFrame, query: DataFrame, k: int, width: float = 1.0, tables: int = 6, radius: float = 2.0) -> DataFrame:
-    """Plain majority of approximate neighbours, by random projections; queries with fewer than k partners
-    within the radius are answered by the exact search."""
-    vec = lambda df: df.select("vec_id", "label", array_to_vector("embedding").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(vec(ref))
-    pairs = model.approxSimilarityJoin(vec(ref), vec(query), radius, "dist").select(F.col("datasetB.vec_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), F.col("datasetA.label").alias("label"), "dist")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "vec_id"))).where(F.col("rank") <= k)
-    near = staged(ranked, "near")
-    whole = near.where(F.col("rank") == min(k, ref.count())).select(F.col("query_id").alias("vec_id"))
-    short = query.join(whole, "vec_id", "left_anti")
-    if not short.isEmpty():
-        exact = top_neighbours(ref, short, k)
-        near = near.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select("query_id", "vec_id", "label", "dist", "rank").unionByName(exact)
-    return knn_vote(near, weighted=False)
+def ann_vote(ref: DataFrame, query: DataFrame, k: int) -> DataFrame:
+    """Plain majority of approximate neighbours, by inverted lists of quantised codes."""
+    return knn_vote(approximate_neighbours(ref, query, k), weighted=False)
 
 
 def nearest_centroid(centers: DataFrame, query: DataFrame, metric: str = "euclidean") -> DataFrame:
