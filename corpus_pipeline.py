@@ -1,20 +1,38 @@
 """A corpus pipeline: toxic documents go, near duplicates go, personal data is replaced, sources are
-mixed, and the rest is encoded. Each stage is written as Parquet and read again by the next."""
+mixed, and the rest is encoded. Each stage is written as Parquet and read again by the next.
+
+Null texts count as empty in every stage: they are never toxic, never near duplicates, hold no personal
+data, are mixed like others and have no tokens. Null ids and sources are kept (as mixing.py says, rows of null
+id are drawn by their text). Very long texts go through whole. Repeated rows are near duplicates, so one of
+them stays; near duplicates that tie are settled as minhash.py says. Without usable labels nothing is toxic. All
+stages but the last return the columns of the documents as they came, also where an operator has a column
+of that name. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spatialis.llm import bpe, minhash, mixing, pii, toxicity
-from spatialis.llm.common import staged, table
+from spatialis.llm.common import free_name, staged, table
 from spatialis.llm.queries import TOKENIZER
 
 
+def beside(docs: DataFrame, made: tuple[str, ...], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stage returns, with the columns of `docs` alone; those named as columns that the stage makes are
+    put aside under free names meanwhile."""
+    aside = {c: free_name(docs, c) for c in docs.columns if c.lower() in made}
+    out = stage(docs.withColumnsRenamed(aside))
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(spark, docs, model).where("not toxic").select(docs.columns)
+    return beside(docs, tuple(toxicity.SCORES.names), lambda d: toxicity.score_toxicity(spark, d, model).where("not toxic"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +42,15 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and what discloses it, replaced."""
-    replaced = pii.sanitised(pii.with_spans(docs))
+    replaced = beside(docs, pii.KINDS, lambda d: pii.sanitised(pii.with_spans(d)))
+    if "n_chars" not in docs.columns:
+        return replaced
     return replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, repeated and left out by their source's target weight, in random order."""
-    return mixing.mix_sources(docs).select(docs.columns)
+    return beside(docs, ("copy", "shuffle_key"), mixing.mix_sources)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

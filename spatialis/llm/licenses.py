@@ -17,8 +17,10 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -124,12 +126,14 @@ def scan(text: str | None, wanted: dict[str, str] | None = None) -> tuple:
     words = WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
     joined = " ".join(words)
     padded = f" {joined} "
+    # Where each word begins in `joined`.
+    places = list(accumulate((len(w) + 1 for w in words), initial=0))
     starts: list[int] = []
     labels: set[str] = set()
     for phrase, label in BASE.items():
         at = padded.find(f" {phrase} ")
         while at >= 0:
-            starts.append(padded.count(" ", 0, at))
+            starts.append(bisect_left(places, at))
             labels.add(label)
             at = padded.find(f" {phrase} ", at + 1)
     notices, score = [], 1.0 if starts else 0.0
@@ -137,7 +141,7 @@ def scan(text: str | None, wanted: dict[str, str] | None = None) -> tuple:
     for label, a, b, edits in fuzzy_notices(joined, wanted):
         every.add(label)
         score = max(score, 1 - edits / max(1, b - a))
-        notices.append((label, joined.count(" ", 0, a), joined.count(" ", 0, max(a, b - 1)), edits))
+        notices.append((label, bisect_right(places, a) - 1, bisect_right(places, max(a, b - 1)) - 1, edits))
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score, notices
 
 

@@ -415,3 +415,40 @@ def test_toxicity_learns_from_one_text_of_an_id(spark):
     assert (a.weights == b.weights).all() and (a.thresholds == b.thresholds).all()
     sample = toxicity.labelled_sample(docs, labels, chars=100).collect()
     assert 0 < len(sample) < 60 and sum(len(r.text) for r in sample) <= 100
+
+
+def test_toxicity_needs_features_whatever_the_prior(spark):
+    """Half of the labelled rows are toxic: texts without known features aren't, and a plain sum gives each score."""
+    import numpy as np
+
+    rows = [(i, f"vile awful trash w{i % 11}" if i % 2 else f"kind fair sunny w{i % 11}") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    more = [(500, ""), (501, None), (502, "unknown thing"), (503, "so vile and awful"), (504, "kind and fair"), (505, "z" * 500), (506, "vile vile vile")]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark, docs, model).collect()}
+    assert {i for i in got if got[i].toxic} == {i for i, _ in rows if i % 2} | {503, 506}
+    for i, text in rows[:20] + more:
+        score = sum(float(np.float32(model.weights[f])) for f in set(toxicity.features(text)))
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert np.isclose(got[i].p_toxic, above[0]) and np.isclose(got[i].severity, sum(above)) and got[i].grade == sum(p >= 0.5 for p in above)
+        assert got[i].toxic == (score >= toxicity.CUT)
+
+
+def test_a_long_text_does_not_end_the_sample(spark):
+    rows = [(i, "x" * 5000 if i % 10 == 0 else f"vile w{i}" if i % 2 else f"kind w{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.labelled_sample(docs, labels, chars=4000).count() == 54
+
+
+def test_long_license_texts_take_linear_time():
+    import time
+
+    took = []
+    for n in (40_000, 80_000):
+        began = time.process_time()
+        found = licenses.scan("cc by " * n)
+        took.append(time.process_time() - began)
+        assert found[:4] == (2 * n, n, 0, 2 * n - 2)
+    assert took[0] < 3 and took[1] < 3 * took[0] + 0.2
