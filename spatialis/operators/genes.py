@@ -25,9 +25,14 @@ def symbol_map(genes: DataFrame) -> DataFrame:
     return dedupe_first(genes.select("gene_symbol", "ensembl_id", "gene_id"), ["gene_symbol"], [F.desc("gene_id")]).select("gene_symbol", "ensembl_id")
 
 
-def symbol_to_ensembl(named: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Rows with gene_symbol, with their ensembl_id; symbols that aren't known go."""
-    return named.drop("ensembl_id").join(symbols, "gene_symbol")
+def symbol_to_ensembl(named: DataFrame, *sources: DataFrame) -> DataFrame:
+    """Rows with gene_symbol, with their ensembl_id by the first of the sources (gene_symbol, ensembl_id, one row for
+    each symbol) that knows the symbol; what none knows goes."""
+    own, ids = named.drop("ensembl_id"), []
+    for i, symbols in enumerate(sources):
+        ids.append(f"_id{i}")
+        own = own.join(symbols.select("gene_symbol", F.col("ensembl_id").alias(ids[-1])), "gene_symbol", "left")
+    return own.withColumn("ensembl_id", F.coalesce(*ids)).where("ensembl_id is not null").drop(*ids)
 
 
 def resolve_symbol(genes: DataFrame, symbol: str) -> DataFrame:

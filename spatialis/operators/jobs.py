@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialis.functions.scalars import cosine, distance2, hashed
@@ -162,17 +162,72 @@ def spatial_impute(cells: DataFrame, expr: DataFrame, components: DataFrame, k:
     return sums.withColumn("value", F.greatest("value", F.lit(0.0)))
 
 
+def _auroc(votes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, label, auroc) of votes (by, label, v): how well v ranks the rows of a label above the others, ties at
+    their mean rank."""
+    counts = votes.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("k"))
+    ranks = running_sums(counts, by, "v", "k").select(*by, "v", (F.col("before_k") + (F.col("k") + 1) / 2).alias("rank"))
+    own = votes.join(ranks, [*by, "v"]).groupBy(*by, "label").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
+    n, every = F.col("n"), F.sum("n").over(Window.partitionBy(*by))
+    return own.select("label", *by, ((F.col("r") - n * (n + 1) / 2) / (n * F.nullif(every - n, F.lit(0)))).alias("auroc"))
+
+
 def celltype_auroc(ref: DataFrame, query: DataFrame) -> DataFrame:
     """(label, center, auroc): how well a reference centroid's vote (cosine) ranks the query rows of a label
     above the others, ties at their mean rank."""
     centers = centroids(ref, ["label"]).withColumnRenamed("label", "center")
     votes = query.select("vec_id", "label", "embedding").crossJoin(F.broadcast(centers)).select("vec_id", "label", "center", F.round(cosine("embedding", "centroid"), 9).alias("v"))
-    counts = votes.groupBy("center", "v").agg(F.count(F.lit(1)).alias("k"))
-    ranks = running_sums(counts, ["center"], "v", "k").select("center", "v", (F.col("before_k") + (F.col("k") + 1) / 2).alias("rank"))
-    own = votes.join(ranks, ["center", "v"]).groupBy("center", "label").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy("center")
-    n, every = F.col("n"), F.sum("n").over(total)
-    return own.select("label", "center", ((F.col("r") - n * (n + 1) / 2) / (n * (every - n))).alias("auroc"))
+    return _auroc(votes, ["center"])
+
+
+def rank_normalised(expr: DataFrame, n_genes: int) -> DataFrame:
+    """(cell_id, gene_id, r): how far a value's rank within its cell over all n_genes, ties at their mean rank, lies
+    above that of the cell's zeros, in units of the ranks' length after centring. Zeros aren't stored: they share the
+    lowest ranks."""
+    cell = Window.partitionBy("cell_id")
+    own = expr.where("value > 0")
+    nnz, ties = F.count(F.lit(1)).over(cell), F.count(F.lit(1)).over(Window.partitionBy("cell_id", "value"))
+    placed = own.withColumns({"z": F.lit(n_genes) - nnz, "r": F.rank().over(cell.orderBy("value")) + (ties - 1) / 2})
+    centre = (n_genes + 1) / 2
+    at, low = F.col("z") + F.col("r") - centre, (F.col("z") + 1) / 2 - centre
+    length = F.sqrt(F.sum(at * at).over(cell) + F.col("z") * low * low)
+    low = F.when(F.col("z") > 0, low).otherwise(0.0)
+    return placed.select("cell_id", "gene_id", ((at - low) / length).alias("r"), (low / length).alias("zero"))
+
+
+def rank_votes(ref: DataFrame, query: DataFrame, labels: DataFrame, n_genes: int) -> DataFrame:
+    """(cell_id, label, center, v): each query cell's vote for each label of the reference, the product of its
+    rank-normalised values with the label's mean ones. As centred ranks sum to zero, only stored values multiply."""
+    r = rank_normalised(ref, n_genes).join(labels.withColumnRenamed("label", "center"), "cell_id")
+    n = r.select("cell_id", "center", "zero").distinct().groupBy("center").agg(F.count(F.lit(1)).alias("n"), F.sum("zero").alias("base"))
+    # At most labels x genes rows.
+    means = r.groupBy("center", "gene_id").agg(F.sum("r").alias("s")).join(n, "center").select("center", "gene_id", (F.col("s") / F.col("n")).alias("c"), (F.col("base") / F.col("n")).alias("b"))
+    means = staged(means, "means")
+    base = means.select("center", "b").distinct()
+    total = means.groupBy("center").agg(F.sum("c").alias("c")).join(base, "center").select("center", (F.col("c") + n_genes * F.col("b")).alias("all"), "b")
+    asked = staged(rank_normalised(query, n_genes), "asked")
+    cells = asked.groupBy("cell_id").agg(F.sum("r").alias("r"), F.first("zero").alias("zero"))
+    near = asked.withColumnRenamed("r", "own").join(means.drop("b"), "gene_id").groupBy("cell_id", "center").agg(F.sum(F.col("own") * F.col("c")).alias("v"))
+    # The parts that stand for what isn't stored: the query's zeros with all of the centre, and its values with the centre's zeros.
+    every = cells.crossJoin(F.broadcast(total)).join(near, ["cell_id", "center"], "left")
+    v = F.coalesce("v", F.lit(0.0)) + F.col("r") * F.col("b") + F.col("zero") * F.col("all")
+    return every.select("cell_id", "center", F.round(v, 9).alias("v")).join(labels, "cell_id")
+
+
+def celltype_auroc_ranked(ref: DataFrame, query: DataFrame, labels: DataFrame, n_genes: int) -> DataFrame:
+    """(label, center, auroc) by rank-normalised votes."""
+    return _auroc(rank_votes(ref, query, labels, n_genes), ["center"])
+
+
+def one_vs_best(ref: DataFrame, query: DataFrame, labels: DataFrame, n_genes: int) -> DataFrame:
+    """(center, best, second, auroc): for each label of the reference the query label that it ranks highest and the
+    next (ties to the smaller label), and how well its votes tell the cells of these two apart."""
+    votes = staged(rank_votes(ref, query, labels, n_genes), "votes")
+    order = Window.partitionBy("center").orderBy(F.desc(F.round("auroc", 9)), "label")
+    first = _auroc(votes, ["center"]).withColumn("i", F.row_number().over(order)).where("i <= 2")
+    pairs = first.groupBy("center").agg(F.max(F.when(F.col("i") == 1, F.col("label"))).alias("best"), F.max(F.when(F.col("i") == 2, F.col("label"))).alias("second")).where("second is not null")
+    own = votes.join(F.broadcast(pairs), "center").where("label = best or label = second").select("center", "label", "v")
+    return _auroc(own, ["center"]).join(F.broadcast(pairs), "center").where("label = best").select("center", "best", "second", "auroc")
 
 
 def cluster_sweep(vectors: DataFrame, settings: list[int], seed: int = 7) -> DataFrame:
@@ -188,28 +243,39 @@ def cluster_sweep(vectors: DataFrame, settings: list[int], seed: int = 7) -> Dat
     return out
 
 
-def enrichment(genes: DataFrame, sets: DataFrame, universe: DataFrame) -> DataFrame:
+def log_factorial(n: Column) -> Column:
+    """ln n! for whole numbers: Stirling's series from 10 on, to about 1e-13 of the value, products below."""
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + math.log(2 * math.pi) / 2 + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0))) + 1 / (1260 * F.pow(x, F.lit(5.0))) - 1 / (1680 * F.pow(x, F.lit(7.0)))
+    return F.when(n < 10, F.log(F.factorial(F.greatest(n, F.lit(0)).cast("int")).cast("double"))).otherwise(series)
+
+
+def enrichment(genes: DataFrame, sets: DataFrame, universe: DataFrame, cutoff: float | None = None, top: int | None = None) -> DataFrame:
     """(set, overlap, size, p, q) of a gene list in gene sets: upper tail of the hypergeometric distribution,
-    Benjamini-Hochberg over the sets. The numbers of genes are those of a vocabulary."""
+    Benjamini-Hochberg over the sets. The numbers of genes are those of a vocabulary. With `cutoff`, the sets whose q
+    is below it; with `top`, the first so many by p, then by name."""
     n, drawn = universe.count(), genes.count()
     own = sets.groupBy("set").agg(F.count(F.lit(1)).alias("size"))
     hits = sets.join(genes, "gene_id").groupBy("set").agg(F.count(F.lit(1)).alias("overlap"))
-    table = [0.0]
-    for i in range(1, n + 1):
-        table.append(table[-1] + math.log(i))
-    facts = F.lit(table)
-    log_choose = lambda a, b: F.element_at(facts, (a + 1).cast("int")) - F.element_at(facts, (b + 1).cast("int")) - F.element_at(facts, (a - b + 1).cast("int"))
-    size, drawn_c, n_c = F.col("size"), F.lit(drawn), F.lit(n)
-    tail = F.aggregate(
-        F.sequence(F.greatest(F.col("overlap"), size + drawn_c - n_c), F.least(size, F.lit(drawn).cast("bigint"))),
-        F.lit(0.0),
-        lambda s, i: s + F.exp(log_choose(size, i) + log_choose(n_c - size, drawn_c - i) - log_choose(n_c, drawn_c)),
-    )
-    scored = own.join(hits, "set").withColumn("p", F.round(tail, 12))
-    m = F.broadcast(own.agg(F.count(F.lit(1)).alias("m")))
-    w = Window.orderBy("p", "set")
-    ranked = scored.crossJoin(m).withColumn("r", F.row_number().over(w)).withColumn("raw", F.col("p") * F.col("m") / F.col("r"))
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("raw").over(Window.orderBy(F.desc("r"))))).select("set", "overlap", "size", "p", "q")
+    log_choose = lambda a, b: log_factorial(a) - log_factorial(b) - log_factorial(a - b)
+    size, drawn_c, n_c = F.col("size"), F.lit(drawn).cast("bigint"), F.lit(n).cast("bigint")
+    most = F.least(size, drawn_c)
+    # The first term by factorials, each further one by its ratio to the one before.
+    first = F.greatest("overlap", size + drawn_c - n_c)
+    start = F.exp(log_choose(size, first) + log_choose(n_c - size, drawn_c - first) - log_choose(n_c, drawn_c))
+    ratio = lambda i: (size - i + 1) * (drawn_c - i + 1) / (i * (n_c - size - drawn_c + i)).cast("double")
+    state = F.struct(start.alias("term"), start.alias("sum"))
+    following = F.when(first < most, F.sequence(first + 1, most)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(following, state, lambda s, i: F.struct((s["term"] * ratio(i)).alias("term"), (s["sum"] + s["term"] * ratio(i)).alias("sum")), lambda s: s["sum"])
+    scored = staged(own.join(hits, "set").withColumn("p", F.round(tail, 12)), "scores")
+    # Steps of equal p: a step's rank is that of its last set, and its q the least p * m / rank from there on.
+    steps = scored.groupBy("p").agg(F.count(F.lit(1)).alias("k")).withColumn("all", F.lit(0))
+    ranked = running_sums(steps, ["all"], "p", "k").select("p", "before_k", "k", (F.col("p") * F.col("total_k") / (F.col("before_k") + F.col("k"))).alias("raw"))
+    w = Window.orderBy(F.desc("p"))  # a row for each distinct p, of as many as there are sets
+    q = ranked.withColumn("q", F.least(F.lit(1.0), F.min("raw").over(w))).select("p", "q")
+    out = scored.join(q, "p").select("set", "overlap", "size", "p", "q")
+    out = out if cutoff is None else out.where(F.col("q") < cutoff)
+    return out if top is None else out.orderBy("p", "set").limit(top)
 
 
 def inject_niche(cells: DataFrame, donors: DataFrame, n: int, spread: float = 1.0, seed: str = "niche") -> DataFrame:

@@ -13,7 +13,9 @@ from spatialis.operators.transfer import centroids
 
 def perturb_expr(expr: DataFrame, genes: list[int], mode: str, targets: DataFrame | None = None, value: float | None = None, multiplier: float | None = 2.0) -> DataFrame:
     """Knockout: the genes' values go from the target cells. Overexpress: they become `value`, or multiplier
-    times the gene's greatest value over all cells, in every target cell."""
+    times the gene's greatest value over all cells, in every target cell. No target cell at all is an error."""
+    if targets is not None and targets.isEmpty():
+        raise ValueError("no target cells")
     hit = F.col("gene_id").isin(genes)
     cells = (expr if targets is None else targets).select("cell_id").distinct()
     rest = expr.where(~hit).unionByName(expr.where(hit).join(cells, "cell_id", "left_anti"))
@@ -199,8 +201,10 @@ def delta_cosine(vectors: DataFrame, center: DataFrame, baseline: DataFrame, by:
     return scored(drop_other_types(vectors) if by == "cell_type" else vectors).join(base, by).withColumn("delta", F.col("c") - F.col("base")).drop("centroid", "c", "base")
 
 
-def centroid_coords(vectors: DataFrame, young: DataFrame, old: DataFrame) -> DataFrame:
-    """Cosines to two centroids."""
+def centroid_coords(vectors: DataFrame, young: DataFrame, old: DataFrame, by: str | None = None) -> DataFrame:
+    """Cosines to two centroids, of each vector or, with `by`, their means over each type."""
+    if by is not None:
+        return centroid_coords(vectors, young, old).join(vectors.select("vec_id", by), "vec_id").groupBy(by).agg(*[F.avg(c).alias(c) for c in ("cos_young", "cos_old")])
     both = vectors.crossJoin(F.broadcast(young.select(F.col("centroid").alias("cy")))).crossJoin(F.broadcast(old.select(F.col("centroid").alias("co"))))
     return both.select("vec_id", cosine("embedding", "cy").alias("cos_young"), cosine("embedding", "co").alias("cos_old"))
 

@@ -70,15 +70,21 @@ def prefix_aux(rows: DataFrame, specie: Column, assay: Column, density: Column,
     return rows.withColumns({"X": F.concat(F.array(specie, assay, density).cast(rows.schema["X"].dataType), F.col("X")), **{c: zeros(c) for c in others}})
 
 
+def _mask(token: Column, pos: Column, n_tokens: int, p: float, n_aux: int, seed: str) -> dict[str, Column]:
+    """What masking makes of a token at a place of a cell: token (0 becomes 1), hit, masked."""
+    draw = lambda k: hashed(F.col("cell_id"), pos, salt=f"{seed}-{k}")
+    hit = (token > n_aux) & (draw("hit") < p)
+    real = F.when(token == MASK, PAD).otherwise(token)
+    other = (F.floor(draw("which") * (n_tokens - 1)) + n_aux + 1).cast("long")
+    masked = F.when(~hit, real).when(draw("random") < 0.1, other).when(draw("same") < 0.1, real).otherwise(F.lit(MASK))
+    return {"token": real, "hit": hit, "masked": masked.cast("long")}
+
+
 def mask_tokens(tokens: DataFrame, n_tokens: int, p: float = MASK_P, n_aux: int = N_AUX, seed: str = "mask") -> DataFrame:
     """`masked`, `mask` and `attention` for each token: a share p of gene tokens is masked (mask 0); of
     these a tenth becomes a random token, of the rest a tenth keeps its own."""
-    draw = lambda k: hashed("cell_id", "pos", salt=f"{seed}-{k}")
-    token = F.when(F.col("token") == MASK, PAD).otherwise(F.col("token"))
-    hit = (token > n_aux) & (draw("hit") < p)
-    other = (F.floor(draw("which") * (n_tokens - 1)) + n_aux + 1).cast("long")
-    masked = F.when(~hit, token).when(draw("random") < 0.1, other).when(draw("same") < 0.1, token).otherwise(F.lit(MASK))
-    return tokens.withColumns({"masked": masked.cast("long"), "mask": F.when(hit, 0).otherwise(1), "attention": masked == PAD})
+    m = _mask(F.col("token"), F.col("pos"), n_tokens, p, n_aux, seed)
+    return tokens.withColumns({"masked": m["masked"], "mask": F.when(m["hit"], 0).otherwise(1), "attention": m["masked"] == PAD})
 
 
 def model_input(tokens: DataFrame, n_tokens: int, batch: int, context: int = CONTEXT) -> DataFrame:
@@ -90,6 +96,37 @@ def model_input(tokens: DataFrame, n_tokens: int, batch: int, context: int = CON
     return rows.select("cell_id", part("masked").alias("masked_indices"), part("mask").alias("mask"), part("token").alias("real_indices"), part("attention").alias("attention_mask"), F.floor(F.col("cell_id") / batch).alias("batch_id"))
 
 
+def model_rows(rows: DataFrame, n_tokens: int, batch: int, context: int = CONTEXT, prefix: bool = True, p: float = MASK_P) -> DataFrame:
+    """All that a model reads of each cell, from token rows (token_rows with cell_label and, for the prefix,
+    specie_token, assay_token and density_token): cell_raw_index, masked_indices, mask, real_indices, connect_comp,
+    rna_type, neighbor_gene_distribution, exp, attention_mask, cell_label and batch_id.
+
+    Arrays are cut to `context`, then species, assay and density come before the tokens, those of them that the
+    rows have, and zeros before the other arrays; then tokens are masked. Batches are `batch` cells in the order of
+    cell_id, whatever gaps the ids have; all but the last are full."""
+    others = {"X_connect_comp": "connect_comp", "X_rna_type": "rna_type", "X_deviation_bin": "neighbor_gene_distribution", "X_exp": "exp"}
+    own = truncate_context(rows, ["X", *others], context)
+    first = [c for c in ("specie_token", "assay_token", "density_token") if prefix and c in rows.columns]
+    if first:
+        kind = own.schema["X"].dataType
+        own = own.withColumn("X", F.concat(F.array(*first).cast(kind), F.col("X")))
+        own = own.withColumns({c: F.concat(F.array_repeat(F.lit(0), len(first)).cast(own.schema[c].dataType), F.col(c)) for c in others})
+    made = F.transform("X", lambda t, i: F.struct(*[v.alias(k) for k, v in _mask(t, i, n_tokens, p, N_AUX, "mask").items()]))
+    part = lambda f: F.transform("_t", f)
+    numbered = running_sums(own.withColumns({"_t": made, "_all": F.lit(0), "_one": F.lit(1)}), ["_all"], "cell_id", "_one")
+    return numbered.select(
+        "cell_id",
+        F.col("cell_id").cast("string").alias("cell_raw_index"),
+        part(lambda t: t["masked"]).alias("masked_indices"),
+        part(lambda t: F.when(t["hit"], 0).otherwise(1)).alias("mask"),
+        part(lambda t: t["token"]).alias("real_indices"),
+        *[F.col(c).alias(n) for c, n in others.items()],
+        part(lambda t: t["masked"] == PAD).alias("attention_mask"),
+        F.col("cell_label").cast("long").alias("cell_label"),
+        F.floor(F.col("before__one") / batch).cast("long").alias("batch_id"),
+    )
+
+
 def rank_weights(tokens: DataFrame, mode: str = "linear", length: int | None = None) -> DataFrame:
     """`weight` of each token by its place: linear 1 - r/L, decay 0.998^r, softmax exp(-r/300) / sum * L;
     L is the cell's number of tokens, or `length`."""

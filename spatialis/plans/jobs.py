@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spatialis.operators import genes as G
@@ -70,6 +71,43 @@ def l12(spark, d):
     return J.celltype_auroc(vec.where("role = 'ref'"), vec.where("role = 'query'")).withColumn("auroc", F.round("auroc", 6))
 
 
+_RANKED_VOTES = """labels as (select cell_id, cell_type as label, slice from cells where cell_id in (select cell_id from expr where value > 0)),
+dense as (select l.*, g.gene_id, coalesce(e.value, 0) as value from labels l cross join genes g left join expr e on e.cell_id = l.cell_id and e.gene_id = g.gene_id),
+ranked as (select *, rank() over (partition by cell_id order by value) + (count(*) over (partition by cell_id, value) - 1) / 2.0 - (count(*) over (partition by cell_id) + 1) / 2.0 as r from dense),
+unit as (select cell_id, label, slice, gene_id, r / sqrt(sum(r * r) over (partition by cell_id)) as r from ranked),
+mid as (select label as center, gene_id, avg(r) as c from unit where slice < 12 group by 1, 2),
+votes as (select cell_id, label, center, round(sum(r * c), 9) as v from unit join mid using (gene_id) where slice >= 12 group by 1, 2, 3)"""
+_AUROC = lambda rows: f"select center, label, (sum(rank) - count(*) * (count(*) + 1) / 2) / (count(*) * (any_value(every) - count(*))) as auroc from (select *, rank() over (partition by center order by v) + (count(*) over (partition by center, v) - 1) / 2.0 as rank, count(*) over (partition by center) as every from {rows}) group by 1, 2"
+
+
+def _auroc_parts(spark, d):
+    expr, cells, genes = _all(spark, d, "expr", "cells", "genes")
+    side = lambda test: expr.join(cells.where(test).select("cell_id"), "cell_id", "left_semi")
+    return side("slice < 12"), side("slice >= 12"), cells.select("cell_id", F.col("cell_type").alias("label")), genes.count()
+
+
+@query("L12_celltype_auroc_ranked", f"with {_RANKED_VOTES}, a as ({_AUROC('votes')}) select label, center, round(auroc, 6) as auroc from a", "expr", "cells", "genes")
+def l12ranked(spark, d):
+    return J.celltype_auroc_ranked(*_auroc_parts(spark, d)).withColumn("auroc", F.round("auroc", 6))
+
+
+@query("L12_one_vs_best", f"with {_RANKED_VOTES}, a as ({_AUROC('votes')}), o as (select *, row_number() over (partition by center order by round(auroc, 9) desc, label) as i from a), p as (select center, max(label) filter (i = 1) as best, max(label) filter (i = 2) as second from o where i <= 2 group by 1), two as (select v.* from votes v join p using (center) where label in (best, second)), b as ({_AUROC('two')}) select center, best, second, round(auroc, 6) as auroc from b join p using (center) where label = best", "expr", "cells", "genes")
+def l12best(spark, d):
+    return J.one_vs_best(*_auroc_parts(spark, d)).withColumn("auroc", F.round("auroc", 6))
+
+
+@query(
+    "L14_enrichment_terms",
+    "with u as (select gene_id, gene_type_id as set from genes), g as (select gene_id from genes where gene_id % 9 = 0 or gene_type_id = 3 and gene_id % 2 = 0), c as (select count(*) as n, (select count(*) from g) as d from genes), o as (select set, count(*) as size, count(*) filter (gene_id in (select gene_id from g)) as overlap from u group by 1), e as (select *, unnest(range(greatest(overlap, size + d - n), least(size, d) + 1)) as i from o, c where overlap > 0), p as (select set, overlap, size, round(sum(exp(lgamma(size + 1) - lgamma(i + 1) - lgamma(size - i + 1) + lgamma(n - size + 1) - lgamma(d - i + 1) - lgamma(n - size - d + i + 1) - lgamma(n + 1) + lgamma(d + 1) + lgamma(n - d + 1))), 12) as p from e group by 1, 2, 3), r as (select *, p * count(*) over () / count(*) over (order by p) as raw from p), q as (select set, overlap, size, p, least(1, min(raw) over (order by p desc)) as q from r) select set, overlap, size, round(p, 6) as p, round(q, 6) as q from q where q < 0.9 order by round(p, 9), set limit 5",
+    "genes",
+)
+def l14terms(spark, d):
+    genes = standin(spark, d, "genes")
+    listed = genes.where("gene_id % 9 = 0 or gene_type_id = 3 and gene_id % 2 = 0").select("gene_id")
+    out = J.enrichment(listed, genes.select("gene_id", F.col("gene_type_id").alias("set")), genes.select("gene_id"), 0.9, 5)
+    return out.withColumns({c: F.round(c, 6) for c in ("p", "q")})
+
+
 @query("L13_cluster_sweep")
 def l13(spark, d):
     return J.cluster_sweep(standin(spark, d, "vec"), [5, 10])
@@ -161,7 +199,7 @@ def s8(spark, d):
 @query("S9_read_vec", "select vec_id, label, round(embedding[1]::double, 6) + 0.0 as first from vec", "vec")
 def s9(spark, d):
     path = _out(spark, "vec")
-    standin(spark, d, "vec").write.parquet(path)
+    tables.write_vec(standin(spark, d, "vec"), path)
     return spark.read.parquet(path).select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
@@ -183,8 +221,38 @@ def e13(spark, d):
 @query("S7_write_model_input", MODEL_INPUT_SQL, "expr", "genes")
 def s7(spark, d):
     path = _out(spark, "model_input")
-    k3(spark, d).repartition("batch_id").write.partitionBy("batch_id").parquet(path)
-    return spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
+    tables.write_model_input(k3(spark, d), path, 100)
+    return spark.read.parquet(path)
+
+
+_PREFIXED = "aux as (select cell_id, row_number() over (order by cell_id) - 1 as place, dense_rank() over (order by slice) % 5 + 15 as density_token, 4 as specie_token, 7 as assay_token, slice as cell_label from cells where cell_id in (select cell_id from tok)), tall as (select cell_id, pos + 3 as pos, gene_id + 20 as token, homo_connect_id + 1 as h, gene_type_id + 1 as t, gene_id % 6 as b, value as v from tok where pos < 30 union all select cell_id, unnest(range(3))::int, unnest([specie_token, assay_token, density_token])::bigint, 0, 0, 0, 0.0 from aux)"
+_M3 = lambda k: f"(('0x' || substr(md5(concat_ws('|', 'mask-{k}', cell_id::varchar, pos::varchar)), 1, 8))::bigint / 4294967296.0)"
+MODEL_ROWS_SQL = f"""with {RANKED}, {_PREFIXED},
+m as (select *, case when not hit then token when {_M3('random')} < 0.1 then other when {_M3('same')} < 0.1 then token else 0 end as masked from (select *, token > 20 and {_M3('hit')} < 0.15 as hit, (floor({_M3('which')} * 2999) + 21)::bigint as other from tall))
+select m.cell_id, m.cell_id::varchar as cell_raw_index, list(masked::bigint order by pos) as masked_indices, list((case when hit then 0 else 1 end)::int order by pos) as mask, list(token::bigint order by pos) as real_indices, list(h order by pos) as connect_comp, list(t order by pos) as rna_type, list(b::int order by pos) as neighbor_gene_distribution, list(round(v, 6) order by pos) as exp, list(masked = 1 order by pos) as attention_mask, any_value(cell_label)::bigint as cell_label, any_value(place // 64)::bigint as batch_id from m join aux on m.cell_id = aux.cell_id group by m.cell_id"""
+
+
+def _model_rows(spark, d):
+    """Rows with bins of their own, codes and density tokens, cut to 30 tokens, in batches of 64 cells."""
+    expr, genes, cells = _all(spark, d, "expr", "genes", "cells")
+    bins = expr.select("cell_id", "gene_id", (F.col("gene_id") % 6).cast("int").alias("deviation_bin"))
+    rows = T.token_rows(T.token_long(expr, genes, N.gene_nonzero_mean(expr), bins))
+    place = cells.select("slice").distinct().withColumn("density_token", (F.row_number().over(Window.orderBy("slice")) % 5 + 15).cast("long"))
+    obs = cells.join(F.broadcast(place), "slice").select("cell_id", "density_token", F.lit(4).alias("specie_token"), F.lit(7).alias("assay_token"), F.col("slice").alias("cell_label"))
+    return T.model_rows(rows.join(obs, "cell_id"), 3000, 64, 30).withColumn("exp", F.transform("exp", lambda v: F.round(v, 6)))
+
+
+@query("K3_model_rows", MODEL_ROWS_SQL, "expr", "genes", "cells")
+def k3rows(spark, d):
+    return _model_rows(spark, d)
+
+
+@query("S7_model_batches", f"with r as ({MODEL_ROWS_SQL}) select batch_id, count(*) as n, sum(len(real_indices))::bigint as tokens from r group by 1", "expr", "genes", "cells")
+def s7batches(spark, d):
+    path = _out(spark, "model_rows")
+    manifest = tables.write_model_input(_model_rows(spark, d), path, 64)
+    tokens = spark.read.parquet(path).groupBy("batch_id").agg(F.sum(F.size("real_indices")).alias("tokens"))
+    return manifest.groupBy("batch_id").agg(F.sum("n").alias("n")).join(tokens, "batch_id")
 
 
 @query("S10_read_json_meta", "select slice as batch_id, min(n_regionkey)::bigint as dataset_id, count(*) as batch_size, count(*) * 2 as n_genes from (select slice, substr(region, 2)::int as n_regionkey from cells) group by slice", "cells")

@@ -250,6 +250,11 @@ for _mode, _sql in (("linear", "1 - pos / n"), ("decay", "power(0.998, pos)"), (
         return T.rank_weights(_ranked(spark, d), mode).select("cell_id", "pos", F.round("weight", 6).alias("weight"))
 
 
+@query("W3_rank_weights_fixed", f"with {RANKED} select cell_id, pos, round(1 - pos / 4096.0, 6) as weight from tok", "expr", "genes")
+def w3fixed(spark, d):
+    return T.rank_weights(_ranked(spark, d), "linear", T.MAX_LENGTH).select("cell_id", "pos", F.round("weight", 6).alias("weight"))
+
+
 @query("B3_expr_weights", f"with {RANKED} select cell_id, pos, round(case when pos = 2 then 0.02 when pos < 3 then 0 else log2(1 + value) / sum(case when pos >= 3 then log2(1 + value) else 0 end) over (partition by cell_id) end, 6) as weight from tok", "expr", "genes")
 def b3(spark, d):
     return T.expr_weights(_ranked(spark, d)).select("cell_id", "pos", F.round("weight", 6).alias("weight"))

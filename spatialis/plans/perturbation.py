@@ -293,3 +293,9 @@ def x13(spark, d):
 def x14(spark, d):
     out = X.centroid_coords(standin(spark, d, "vec"), _unit_center(spark, d, "young"), _unit_center(spark, d, "old"))
     return out.select("vec_id", F.round("cos_young", 6).alias("cos_young"), F.round("cos_old", 6).alias("cos_old"))
+
+
+@query("X14_centroid_coords_by_type", f"with {UYC}, {_UC('oc', 'oc', 'old')} select label, round(avg({CC}), 6) + 0.0 as cos_young, round(avg(list_dot_product(e, oc) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(oc, oc)))), 6) + 0.0 as cos_old from (select vec_id, label, embedding::double[] as e from vec), yc, oc group by label", "vec")
+def x14type(spark, d):
+    out = X.centroid_coords(standin(spark, d, "vec"), _unit_center(spark, d, "young"), _unit_center(spark, d, "old"), "label")
+    return out.select("label", F.round("cos_young", 6).alias("cos_young"), F.round("cos_old", 6).alias("cos_old"))

@@ -44,6 +44,38 @@ def read_tokens(spark: SparkSession, *paths: str) -> DataFrame:
     return df.select(*REQUIRED, *[c for c in OPTIONAL if c in df.columns])
 
 
+def write_model_input(rows: DataFrame, path: str, batch: int, mode: str = "errorifexists") -> DataFrame:
+    """Model input clustered by batch_id: ranges of batches in a file, sorted, in row groups of `batch` rows, so a
+    batch of that size is a row group by itself. Returns the manifest, written beside as `_manifest` (which readers
+    of the table pass over): batch_id, file, row_group, first_row and n of each batch."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(n, "batch_id").sortWithinPartitions("batch_id", "cell_id").write.mode(mode).option("parquet.block.row.count.limit", batch).parquet(path)
+    back = rows.sparkSession.read.schema(rows.select("batch_id").schema).parquet(path).select("batch_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    manifest = back.groupBy("batch_id", "file").agg(F.floor(F.min("row") / batch).cast("int").alias("row_group"), F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"))
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/_manifest")
+    return read_manifest(rows.sparkSession, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/_manifest")
+
+
+def read_batch(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """One batch of a model input: its file alone is opened, and of that, by the statistics, its row groups."""
+    files = [f"{path}/{r.file}" for r in read_manifest(spark, path).where(F.col("batch_id") == batch_id).select("file").collect()]
+    if not files:
+        raise ValueError(f"no batch {batch_id} in {path}")
+    return spark.read.parquet(*files).where(F.col("batch_id") == batch_id)
+
+
+def write_vec(vectors: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Vectors with an id and what is known of them; a table without id or embedding is an error."""
+    missing = {"embedding"} - set(vectors.columns) or ({"vec_id", "cell_id"} if not {"vec_id", "cell_id"} & set(vectors.columns) else set())
+    if missing:
+        raise ValueError(f"vectors lack {', '.join(sorted(missing))}")
+    vectors.write.mode(mode).parquet(path)
+
+
 def read_many(spark: SparkSession, *paths: str) -> DataFrame:
     """Tables one after another, with the file each row came from."""
     return spark.read.parquet(*paths).withColumn("file", F.col("_metadata.file_name"))
