@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spatialis.operators.quantiles import order_statistics, quantiles
+from spatialis.sources.staging import staged
+
+#: Share of the genes that a local fit sees, and places at which fits are made.
+SPAN, GRID = 0.3, 64
+
 
 def normalize_total(expr: DataFrame, target: float = 1e4) -> DataFrame:
     """value * target / the cell's total; a total of zero counts as one."""
@@ -44,26 +51,58 @@ def zscore_by_gene(values: DataFrame) -> DataFrame:
     return values.join(stats, "gene_id").withColumn("value", F.coalesce((F.col("value") - F.col("m")) / (F.col("s") + 1e-6), F.lit(0.0))).drop("m", "s")
 
 
+def local_trend(points: DataFrame, span: float = SPAN, grid: int = GRID) -> DataFrame:
+    """`points` (with x, y) and `fit`, y's local trend on x: at `grid` quantiles of x a quadratic is fitted to the
+    nearest `span` of the points, weighted by (1 - (distance / reach)^3)^3; between two of them their quadratics are
+    blended. The driver sees a few numbers for each place of the grid."""
+    points = staged(points, "points")
+    n = points.count()
+    if n == 0:
+        return points.withColumn("fit", F.lit(None).cast("double"))
+    places = quantiles(points.select(F.lit(0).alias("all"), "x"), "all", "x", tuple(j / (grid - 1) for j in range(grid))).first()["q"]
+    places = np.unique(places)
+    nearest = min(n, max(3, int(n * span + 1e-5)))
+    listed = F.array(*[F.lit(float(g)) for g in places])
+    apart = staged(points.select("x", "y", F.posexplode(listed).alias("j", "g")).select("j", "y", (F.col("x") - F.col("g")).alias("d")), "apart")
+    reach = order_statistics(apart.select("j", F.abs("d").alias("d")), "j", "d", [F.lit(nearest - 1)]).select("j", F.element_at("found", F.lit(nearest - 1).cast("long")).alias("h"))
+    far = staged(reach.select("j", F.when(F.col("h") > 0, F.col("h")).otherwise(1.0).alias("h")), "reach")
+    u = F.col("d") / F.col("h")
+    w = F.pow(1 - F.pow(F.abs(u), F.lit(3.0)), F.lit(3.0))
+    near = apart.join(far, "j").where(F.abs("d") < F.col("h")).select("j", "h", "y", u.alias("u"), w.alias("w"))
+    power = lambda i: F.col("w") * F.pow("u", F.lit(float(i)))
+    sums = near.groupBy("j", "h").agg(*[F.sum(power(i)).alias(f"s{i}") for i in range(5)], *[F.sum(power(i) * F.col("y")).alias(f"t{i}") for i in range(3)])
+    # A row for each place of the grid.
+    rows = {r["j"]: r for r in sums.collect()}
+    fits, mean = [], points.agg(F.avg("y")).first()[0]
+    for j in range(len(places)):
+        if j not in rows:  # no point nearer than the farthest of a few: their mean
+            rows[j] = {"h": 1.0, "t0": mean, **{f"s{i}": float(i == 0) for i in range(5)}, "t1": 0.0, "t2": 0.0}
+        r = rows[j]
+        matrix = np.array([[r[f"s{a + b}"] for b in range(3)] for a in range(3)])
+        c = np.linalg.lstsq(matrix, np.array([r[f"t{a}"] for a in range(3)]), rcond=1e-12)[0]
+        fits.append(F.struct(F.lit(float(places[j])).alias("g"), F.lit(float(r["h"])).alias("h"), *[F.lit(float(v)).alias(f"c{i}") for i, v in enumerate(c)]))
+    table = F.array(*fits)
+    at = F.greatest(F.lit(1), F.least(F.lit(max(1, len(places) - 1)), F.size(F.filter(listed, lambda g: g <= F.col("x")))))
+    own = points.withColumns({"_a": F.element_at(table, at), "_b": F.element_at(table, F.least(at + 1, F.lit(len(places))))})
+
+    def value(f: str) -> Column:
+        v = (F.col("x") - F.col(f"{f}.g")) / F.col(f"{f}.h")
+        return F.col(f"{f}.c0") + F.col(f"{f}.c1") * v + F.col(f"{f}.c2") * v * v
+
+    width = F.col("_b.g") - F.col("_a.g")
+    t = F.when(width > 0, (F.col("x") - F.col("_a.g")) / width).otherwise(0.0)
+    return own.withColumn("fit", (1 - t) * value("_a") + t * value("_b")).drop("_a", "_b")
+
+
 def highly_variable(expr: DataFrame, n: int, force: DataFrame | None = None) -> DataFrame:
     """The n genes of greatest standardised variance, and those of `force`.
 
-    The variance expected of a mean is a quadratic fit of log10 variance on log10 mean over all genes, in
-    closed form; values are standardised by it and clipped at the root of the number of cells.
+    The variance expected of a mean is the local trend of log10 variance on log10 mean over the genes; values
+    are standardised by it and clipped at the root of the number of cells.
     """
     n_cells = expr.agg(F.countDistinct("cell_id").alias("n"))
-    stats = gene_stats(expr).where("mean > 0 and var > 0").withColumns({"lx": F.log10("mean"), "ly": F.log10("var")})
-    x, y = F.col("lx"), F.col("ly")
-    sums = stats.agg(*[F.sum(F.pow(x, F.lit(float(i)))).alias(f"s{i}") for i in range(5)], *[F.sum(F.pow(x, F.lit(float(i))) * y).alias(f"t{i}") for i in range(3)])
-    s = [F.col(f"s{i}") for i in range(5)]
-    t = [F.col(f"t{i}") for i in range(3)]
-
-    def det(a, b, c):
-        return a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
-
-    rows = [[s[i + j] for j in range(3)] for i in range(3)]
-    whole = det(*rows)
-    fit = sums.select(*[(det(*[[t[i] if j == k else rows[i][j] for j in range(3)] for i in range(3)]) / F.nullif(whole, F.lit(0.0))).alias(f"c{k}") for k in range(3)])
-    expected = stats.crossJoin(F.broadcast(fit)).select("gene_id", "mean", F.sqrt(F.pow(F.lit(10.0), F.coalesce(F.col("c0") + F.col("c1") * x + F.col("c2") * x * x, y))).alias("sd"))
+    stats = gene_stats(expr).where("mean > 0 and var > 0").select("gene_id", "mean", F.log10("mean").alias("x"), F.log10("var").alias("y"))
+    expected = local_trend(stats).select("gene_id", "mean", F.sqrt(F.pow(F.lit(10.0), F.col("fit"))).alias("sd"))
     z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.sqrt("n"))
     zero = F.greatest(-F.col("mean") / F.col("sd"), -F.sqrt("n"))
     parts = expr.where("value <> 0").join(expected, "gene_id").crossJoin(F.broadcast(n_cells)).groupBy("gene_id", "mean", "sd", "n").agg(F.sum(z * z).alias("ss"), F.count(F.lit(1)).alias("k"))
