@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spatialis.operators.quantiles import order_statistics, quantiles
+from spatialis.operators.quantiles import order_statistics
 from spatialis.sources.staging import staged
 
 #: Share of the genes that a local fit sees, and places at which fits are made.
@@ -52,15 +54,15 @@ def zscore_by_gene(values: DataFrame) -> DataFrame:
 
 
 def local_trend(points: DataFrame, span: float = SPAN, grid: int = GRID) -> DataFrame:
-    """`points` (with x, y) and `fit`, y's local trend on x: at `grid` quantiles of x a quadratic is fitted to the
+    """`points` (with x, y) and `fit`, y's local trend on x: at `grid` even steps of x a quadratic is fitted to the
     nearest `span` of the points, weighted by (1 - (distance / reach)^3)^3; between two of them their quadratics are
     blended. The driver sees a few numbers for each place of the grid."""
     points = staged(points, "points")
     n = points.count()
     if n == 0:
         return points.withColumn("fit", F.lit(None).cast("double"))
-    places = quantiles(points.select(F.lit(0).alias("all"), "x"), "all", "x", tuple(j / (grid - 1) for j in range(grid))).first()["q"]
-    places = np.unique(places)
+    low, high, mean = points.agg(F.min("x"), F.max("x"), F.avg("y")).first()
+    places = np.unique(low + (high - low) * np.arange(grid) / (grid - 1))
     nearest = min(n, max(3, int(n * span + 1e-5)))
     listed = F.array(*[F.lit(float(g)) for g in places])
     apart = staged(points.select("x", "y", F.posexplode(listed).alias("j", "g")).select("j", "y", (F.col("x") - F.col("g")).alias("d")), "apart")
@@ -73,25 +75,28 @@ def local_trend(points: DataFrame, span: float = SPAN, grid: int = GRID) -> Data
     sums = near.groupBy("j", "h").agg(*[F.sum(power(i)).alias(f"s{i}") for i in range(5)], *[F.sum(power(i) * F.col("y")).alias(f"t{i}") for i in range(3)])
     # A row for each place of the grid.
     rows = {r["j"]: r for r in sums.collect()}
-    fits, mean = [], points.agg(F.avg("y")).first()[0]
+    fits = []
     for j in range(len(places)):
         if j not in rows:  # no point nearer than the farthest of a few: their mean
             rows[j] = {"h": 1.0, "t0": mean, **{f"s{i}": float(i == 0) for i in range(5)}, "t1": 0.0, "t2": 0.0}
         r = rows[j]
         matrix = np.array([[r[f"s{a + b}"] for b in range(3)] for a in range(3)])
         c = np.linalg.lstsq(matrix, np.array([r[f"t{a}"] for a in range(3)]), rcond=1e-12)[0]
-        fits.append(F.struct(F.lit(float(places[j])).alias("g"), F.lit(float(r["h"])).alias("h"), *[F.lit(float(v)).alias(f"c{i}") for i, v in enumerate(c)]))
-    table = F.array(*fits)
-    at = F.greatest(F.lit(1), F.least(F.lit(max(1, len(places) - 1)), F.size(F.filter(listed, lambda g: g <= F.col("x")))))
-    own = points.withColumns({"_a": F.element_at(table, at), "_b": F.element_at(table, F.least(at + 1, F.lit(len(places))))})
-
-    def value(f: str) -> Column:
-        v = (F.col("x") - F.col(f"{f}.g")) / F.col(f"{f}.h")
-        return F.col(f"{f}.c0") + F.col(f"{f}.c1") * v + F.col(f"{f}.c2") * v * v
-
-    width = F.col("_b.g") - F.col("_a.g")
-    t = F.when(width > 0, (F.col("x") - F.col("_a.g")) / width).otherwise(0.0)
-    return own.withColumn("fit", (1 - t) * value("_a") + t * value("_b")).drop("_a", "_b")
+        fits.append((float(places[j]), float(r["h"]), *map(float, c)))
+    # A row for each span between two places: where it begins and ends, and the quadratics of both ends.
+    pairs = list(zip(fits, fits[1:])) or [(fits[0], fits[0])]
+    spans = [(-math.inf if i == 0 else a[0], math.inf if i == len(pairs) - 1 else b[0], *a, *b) for i, (a, b) in enumerate(pairs)]
+    names = [f"_{side}{c}" for side in "ab" for c in ("g", "h", "c0", "c1", "c2")]
+    table = points.sparkSession.createDataFrame(spans, ", ".join(f"{c} double" for c in ("_from", "_to", *names)))
+    own = points.join(F.broadcast(table), (F.col("x") >= F.col("_from")) & (F.col("x") < F.col("_to")))
+
+    def value(side: str) -> Column:
+        v = (F.col("x") - F.col(f"_{side}g")) / F.col(f"_{side}h")
+        return F.col(f"_{side}c0") + F.col(f"_{side}c1") * v + F.col(f"_{side}c2") * v * v
+
+    width = F.col("_bg") - F.col("_ag")
+    t = F.when(width > 0, (F.col("x") - F.col("_ag")) / width).otherwise(0.0)
+    return own.withColumn("fit", (1 - t) * value("a") + t * value("b")).drop("_from", "_to", *names)
 
 
 def highly_variable(expr: DataFrame, n: int, force: DataFrame | None = None) -> DataFrame:

@@ -184,7 +184,6 @@ def w7(spark, d):
     return N.zscore_by_gene(standin(spark, d, "expr")).select("cell_id", "gene_id", F.round("value", 6).alias("value"))
 
 
-_SHARES = ", ".join(f"{j}/63.0" for j in range(64))
 _DET = lambda a, b, c: f"({a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]}))"
 _COEFFICIENT = lambda k: f"{_DET(*[[f't{i}' if j == k else f's{i + j}' for j in range(3)] for i in range(3)])} / {_DET(*[[f's{i + j}' for j in range(3)] for i in range(3)])} as c{k}"
 _CURVE = lambda f: f"({f}.c0 + {f}.c1 * ((p.x - {f}.g) / {f}.h) + {f}.c2 * ((p.x - {f}.g) / {f}.h) ^ 2)"
@@ -193,7 +192,7 @@ v as (select cell_id, gene_id, ln(1 + value * 1e4 / t) as value from expr join t
 c as (select count(distinct cell_id)::double as n from v),
 stats as (select gene_id, sum(value) / n as mean, (sum(value * value) - n * (sum(value) / n) ^ 2) / (n - 1) as var from v, c group by gene_id, n),
 p as (select gene_id, mean, log10(mean) as x, log10(var) as y from stats where mean > 0 and var > 0),
-grid as (select g, row_number() over (order by g) - 1 as j from (select distinct unnest(quantile_cont(x, [{_SHARES}])) as g from p)),
+grid as (select g, row_number() over (order by g) - 1 as j from (select distinct lo + (hi - lo) * unnest(range(64)) / 63 as g from (select min(x) as lo, max(x) as hi from p))),
 reach as (select j, g, list_sort(list(abs(x - g)))[least(count(*), greatest(3, floor(count(*) * 0.3 + 1e-5)::bigint))] as h from p, grid group by 1, 2),
 near as (select j, g, h, (x - g) / h as u, y, (1 - abs((x - g) / h) ^ 3) ^ 3 as w from p, reach where abs(x - g) < h),
 sums as (select j, g, h, {', '.join(f'sum(w * u ^ {i}) as s{i}' for i in range(5))}, {', '.join(f'sum(w * u ^ {i} * y) as t{i}' for i in range(3))} from near group by 1, 2, 3),
