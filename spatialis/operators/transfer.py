@@ -84,10 +84,15 @@ def ann_vote(ref: DataFrame, query: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_centroid(centers: DataFrame, query: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """The label of the nearest centroid (labels are few, so their table is broadcast)."""
-    pairs = query.select(F.col("vec_id").alias("query_id"), "embedding").crossJoin(F.broadcast(centers))
-    score = -distance2("embedding", "centroid") if metric == "euclidean" else cosine("embedding", "centroid")
-    return pairs.groupBy("query_id").agg(F.max_by("label", F.struct(F.round(score, 9), -F.col("label"))).alias("pred"))
+    """The label of the nearest centroid, ties to the smallest label. Labels are few: their centroids are one row
+    that goes to every task, and a query finds its best in place."""
+    table = F.broadcast(centers.agg(F.collect_list(F.struct("label", "centroid")).alias("centers")))
+    score = (lambda c: -distance2("embedding", c)) if metric == "euclidean" else (lambda c: cosine("embedding", c))
+    scored = F.transform("centers", lambda c: F.struct(F.round(score(c["centroid"]), 9).alias("score"), (-c["label"]).alias("order"), c["label"].alias("label")))
+    best = F.array_max(F.filter(scored, lambda s: s["score"].isNotNull()))
+    # A vector without a score for any centroid, such as one of zeros under the cosine, has the smallest label.
+    least = F.array_min(F.transform("centers", lambda c: c["label"]))
+    return query.select(F.col("vec_id").alias("query_id"), "embedding").crossJoin(table).select("query_id", F.coalesce(best["label"], least).alias("pred"))
 
 
 def logreg(ref: DataFrame, query: DataFrame, c: float = 1.0, max_iter: int = 200) -> DataFrame:

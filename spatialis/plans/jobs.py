@@ -173,11 +173,11 @@ def s4(spark, d):
     return tables.read_csv_map(spark, path, "source_gene string, target_gene string, ord long")
 
 
-@query("S5_write_tokens")
+@query("S5_write_tokens", f"with {RANKED} select cell_id, list(gene_id + 20 order by pos) as \"X\", list(homo_connect_id + 1 order by pos) as \"X_connect_comp\", list(gene_type_id + 1 order by pos) as \"X_rna_type\", list(0 order by pos) as \"X_deviation_bin\", list(round(value, 6) order by pos) as \"X_exp\" from tok group by cell_id", "expr", "genes")
 def s5(spark, d):
     path = _out(spark, "tokens")
     tables.write_tokens(_rows(spark, d), path)
-    return tables.read_tokens(spark, path)
+    return tables.read_tokens(spark, path).withColumn("X_exp", F.transform("X_exp", lambda v: F.round(v, 6)))
 
 
 @query("S6_read_tokens", f"with {RANKED} select cell_id, (cell_id % 3)::int as slice, count(*)::int as n from tok group by cell_id", "expr", "genes")

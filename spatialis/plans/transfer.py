@@ -70,6 +70,16 @@ def l7(spark, d):
     return L.logreg(*_parts(spark, d), max_iter=20)
 
 
+@query("L8_label_transfer_native", f"with {NEAR.replace('rank <= 10', 'rank <= 30')}, {VOTE} select query_id, pred from pred", "vec")
+def l8native(spark, d):
+    return L.label_transfer(*_parts(spark, d), method="native")
+
+
+@query("L8_label_transfer_flat", f"with {NEAR.replace('rank <= 10', 'rank <= 30')} select query_id, label as pred from (select query_id, label, count(*) as w from near group by 1, 2) qualify row_number() over (partition by query_id order by w desc, label) = 1", "vec")
+def l8flat(spark, d):
+    return L.label_transfer(*_parts(spark, d), method="flat")
+
+
 @query("L8_label_transfer", f"with {CPRED} select query_id, pred from cpred", "vec")
 def l8(spark, d):
     return L.label_transfer(*_parts(spark, d), method="prototype")
