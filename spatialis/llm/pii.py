@@ -39,6 +39,38 @@ TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
+#: Items of a list that are gone through at a time: a list that grows by one item is copied at each step.
+STRIDE = 128
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _strides(items: Column) -> Column:
+    """A list in parts of STRIDE items, one at least."""
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / STRIDE)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * STRIDE + 1, F.lit(STRIDE)))
+
+
+def _scanned(items: Column, zero: Column, out: str, step: Callable[[Column, Column], tuple[Column, Column, Column]]) -> Column:
+    """The items that `step` (state, item) -> (state, made, whether it is kept) makes of a list in its order; `out`
+    is the type of their list. Parts are gone through one after another and then joined, so the time for a list
+    grows little faster than the list."""
+
+    def own(acc: Column, item: Column) -> Column:
+        state, made, kept = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.when(kept, F.concat(acc["out"], F.array(made).cast(out))).otherwise(acc["out"]).alias("out"))
+
+    def part(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["state"].alias("state"), F.array().cast(out).alias("out")), own)
+        return _bound(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["outs"], F.array(d["out"])).alias("outs")))
+
+    start = F.struct(zero.alias("state"), F.array().cast(f"array<{out}>").alias("outs"))
+    return _bound(items, lambda x: F.aggregate(_strides(x), start, part, lambda acc: F.flatten(acc["outs"])))
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -63,16 +95,14 @@ def find_all(text: Column, pattern: str | Column, fits: Callable[[Column], Colum
     give the places of the matches."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        a = acc["at"] + F.length(F.coalesce(p["gap"], F.lit("")))
+    def step(at: Column, p: Column) -> tuple[Column, Column, Column]:
+        a = at + F.length(F.coalesce(p["gap"], F.lit("")))
         b = a + F.length(F.coalesce(p["hit"], F.lit("")))
-        own = F.array(F.struct(a.alias("start"), b.alias("end"), p["hit"].alias("value"))).cast(_SPANS)
         good = p["hit"].isNotNull() & (fits(p["hit"]) if fits else F.lit(True))
-        return F.struct(b.alias("at"), F.when(good, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+        return b, F.struct(a.alias("start"), b.alias("end"), p["hit"].alias("value")), good
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return _scanned(pieces, F.lit(0), _SPANS, step)
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -154,7 +184,17 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     terms = disclosing_terms(own).withColumnsRenamed({"pii_a": a, "pii_b": b})
     base = F.concat(*[F.col(k) for k in KINDS[:4]])
     has = F.size(base) > 0
-    apart = F.filter("term", lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    # A term meets a base span if, of those that begin before its end, one ends after its start: in the order of
+    # these places, the greatest end so far tells.
+    place = lambda pos, order, x, value, removed: F.struct(pos.alias("pos"), F.lit(order).alias("order"), x["start"].alias("start"), x["end"].alias("end"), value.alias("value"), removed.alias("removed"))
+    begun = F.transform(base, lambda x: place(x["start"], 1, x, F.lit(None).cast("string"), F.lit(None).cast("boolean")))
+    ended = F.transform("term", lambda x: place(x["end"], 0, x, x["value"], x["removed"]))
+
+    def meet(end: Column, x: Column) -> tuple[Column, Column, Column]:
+        term = x["order"] == 0
+        return F.when(term, end).otherwise(F.greatest(end, x["end"])), F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["removed"].alias("removed")), term & (end <= x["start"])
+
+    apart = _scanned(F.array_sort(F.concat(begun, ended)), F.lit(0), "array<struct<start:int,end:int,value:string,removed:boolean>>", meet)
     none = F.array().cast("array<struct<start:int,end:int,value:string,removed:boolean>>")
     return found.join(terms, [a, b], "left").withColumn("term", F.when(has & F.col("term").isNotNull(), apart).otherwise(none)).drop(a, b)
 
@@ -171,12 +211,18 @@ def sanitised(spanned: DataFrame, text: str = "text") -> DataFrame:
     tag = lambda k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), (F.lit(TAGS[k]) if k != "term" else F.when(s["removed"], TAGS["removed"]).otherwise(TAGS["generalised"])).alias("tag")))
     every = F.array_sort(F.concat(*[tag(k) for k in KINDS]))
     t = F.col(text)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        clear = s["start"] >= acc["at"]
-        piece = F.concat(F.substr(t, acc["at"] + 1, s["start"] - acc["at"]), s["tag"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(clear, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column, Column]:
+        piece = F.struct(at.alias("from"), s["start"].alias("to"), s["tag"].alias("tag"))
+        return F.greatest(at, s["end"]), piece, s["start"] >= at
+
+    def cut(some: Column) -> Column:
+        """The gaps and tags of a part: its stretch of the text is taken once, and gaps from there."""
+        first = F.get(some, F.lit(0))["from"]
+        stretch = F.substr(t, first + 1, F.get(some, F.size(some) - 1)["to"] - first)
+        return _bound(stretch, lambda own: F.array_join(F.transform(some, lambda p: F.concat(F.substr(own, p["from"] - first + 1, p["to"] - p["from"]), p["tag"])), ""))
 
-    whole = F.aggregate(every, first, step, lambda acc: F.concat(acc["out"], F.substr(t, acc["at"] + 1)))
+    pieces = _scanned(every, F.lit(0), "array<struct<from:int,to:int,tag:string>>", step)
+    last = F.array_max(F.transform(every, lambda s: s["end"]))
+    whole = F.concat(_bound(pieces, lambda x: F.array_join(F.transform(_strides(x), cut), "")), F.substr(t, last + 1))
     return spanned.withColumn(text, F.when(F.size(every) > 0, whole).otherwise(t))

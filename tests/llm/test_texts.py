@@ -452,3 +452,21 @@ def test_long_license_texts_take_linear_time():
         took.append(time.process_time() - began)
         assert found[:4] == (2 * n, n, 0, 2 * n - 2)
     assert took[0] < 3 and took[1] < 3 * took[0] + 0.2
+
+
+def test_long_texts_with_many_spans(spark, monkeypatch):
+    """Twice the spans take about twice the time, and parts of any length give the same."""
+    import time
+
+    made = lambda n: spark.createDataFrame([(1, " ".join(f"a{i}@ex.com x" for i in range(n)))], "doc_id long, text string")
+    run = lambda df: pii.sanitised(df.withColumns(pii.base_spans(F.col("text"))).withColumn("term", F.array().cast("array<struct<start:int,end:int,value:string,removed:boolean>>"))).select("text", F.size("email").alias("n")).first()
+    assert run(made(500)).text == " ".join(["[EMAIL] x"] * 500)
+    took = []
+    for n in (16_000, 32_000):
+        df = made(n)
+        began = time.time()
+        assert run(df).n == n
+        took.append(time.time() - began)
+    assert took[1] < 3 * took[0] + 1
+    monkeypatch.setattr(pii, "STRIDE", 3)
+    assert run(made(50)).text == " ".join(["[EMAIL] x"] * 50)
