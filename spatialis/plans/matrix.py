@@ -342,6 +342,11 @@ def m10(spark, d):
     return M.holdout_entries(standin(spark, d, "expr"), 0.1, 0.1).select("cell_id", "gene_id", "part")
 
 
+@query("M10_holdout_weighted", f"with n as (select *, count(*) over (partition by cell_id) as nnz, row_number() over (partition by cell_id order by -ln(greatest({_H('holdout', 'cell_id', 'gene_id')}, 1e-12)) / exp(-value / 40.0), gene_id) as r from expr) select cell_id, gene_id, case when nnz <= 5 then 'train' when r <= floor(0.1 * nnz) then 'test' when r <= floor(0.1 * nnz) + floor(0.1 * nnz) then 'valid' else 'train' end as part from n", "expr")
+def m10weighted(spark, d):
+    return M.holdout_entries(standin(spark, d, "expr"), 0.1, 0.1, scale=40.0).select("cell_id", "gene_id", "part")
+
+
 @query("M11_mask_entries", f"select cell_id, gene_id, case when {_H('mask-cell')} < 0.5 and {_H('mask-entry', 'cell_id', 'gene_id')} < 0.2 then 0 else value end as value from expr", "expr")
 def m11(spark, d):
     return M.mask_entries(standin(spark, d, "expr"), 0.5, 0.2)
