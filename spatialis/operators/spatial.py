@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,13 @@ def radius_pairs(cells: DataFrame, radius: float, group: list[str]) -> DataFrame
     return near.where(F.col("dist2") <= float(radius) ** 2).select(*group, "cell_id", "nbr_id", "dist2")
 
 
+def _placed_cells(cells: DataFrame, group: list[str]) -> DataFrame:
+    """Cells with a group and finite coordinates."""
+    finite = lambda c: F.abs(c) < float("inf")  # noqa: E731  # neither null nor NaN is
+    known = [F.col(c).isNotNull() for c in group]
+    return cells.where(reduce(lambda a, b: a & b, known, finite(F.col("x").cast("double")) & finite(F.col("y").cast("double"))))
+
+
 def _in_leaves(places: DataFrame, group: list[str], leaf: int) -> tuple[DataFrame, list[leaves.Tree]]:
     """Places with `tree`, the number of their group's tree (null: the group is one leaf), and `leaf`; the
     trees. Groups of more than `leaf` places, at most LEAVES of them, get a tree of a sample of SAMPLE places in
@@ -96,7 +104,7 @@ def knn_in_group(cells: DataFrame, k: int, group: list[str], leaf: int = leaves.
     searched, each with its k smallest ids. A group of up to `leaf` places is searched as it is, a larger one in
     the leaves of a k-d tree; places whose k-th neighbour lies farther than their leaf's edge then ask the
     leaves beyond, and what is found is ranked together."""
-    cells = cells.select("cell_id", *group, "x", "y").where(" and ".join(f"`{c}` is not null" for c in ("x", "y", *group)))
+    cells = _placed_cells(cells.select("cell_id", *group, "x", "y"), group)
     place, fields, id_type = [*group, "x", "y"], [cells.schema[c] for c in group], cells.schema["cell_id"].dataType
     # A second cell, if there is one, tells that places and cells differ.
     order = F.row_number().over(Window.partitionBy(*place).orderBy("cell_id"))
@@ -225,7 +233,7 @@ def density_token(cells: DataFrame, radius: float, group: str = "slice", bins: i
     equal bins between the group's least and greatest, closed to the right, the lowest edge included. Cells
     without coordinates or group take no part."""
     # Cells at one place have one density, so places meet and not cells.
-    cells = cells.select(group, "cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(f"x is not null and y is not null and `{group}` is not null")
+    cells = _placed_cells(cells.select(group, "cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), [group])
     places = staged(cells.groupBy(group, "x", "y").agg(F.count(F.lit(1)).alias("n")), "places")
     level = staged(densities(places, radius, group, leaf).withColumn("ld", F.log1p(F.col("density").cast("double"))), "density")
     edges = level.groupBy(group).agg(F.greatest(F.lit(0.0), F.min("ld")).alias("lo"), F.max("ld").alias("hi"))

@@ -52,6 +52,8 @@ def test_groups_of_several_columns_and_missing_values(spark):
         for i, s, p, x, y in own:
             near = sorted(((x - a) ** 2 + (y - b) ** 2, j) for j, t, q, a, b in own if (t, q) == (s, p))[:3]
             assert sorted(got[s, p, i]) == [(n, j) for n, (_, j) in enumerate(near, 1)]
+    odd = spark.createDataFrame([(1, 0, float("nan"), 1.0), (2, 0, float("inf"), 1.0), (3, 0, 1.0, 1.0), (4, None, 1.0, 1.0)], "cell_id long, slice long, x double, y double")
+    assert [(r.cell_id, r.nbr_id) for r in S.knn_in_group(odd, 2, ["slice"]).collect()] == [(3, 3)] and [(r.cell_id, r.density) for r in S.density_token(odd, 9).collect()] == [(3, 1)]
     assert S.knn_in_group(df.where("false"), 3, ["slice"]).count() == 0 and S.density_token(df.where("false"), 3).count() == 0
 
 
