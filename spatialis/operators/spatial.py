@@ -111,7 +111,7 @@ def knn_in_group(cells: DataFrame, k: int, group: list[str], leaf: int = leaves.
     first = staged(cells.withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")}).withColumn("r", order).where(F.col("r") <= max(k, 2)), "places")
     dealt, trees = _in_leaves(first.where(F.col("r") <= k), group, leaf)
     made = lambda *names: T.StructType([*fields, *[T.StructField(n, t) for n, t in names]])
-    long_, double = T.LongType(), T.DoubleType()
+    double = T.DoubleType()
 
     def search(key: tuple, own: pa.Table) -> pa.Table:
         xy, ids = _places(own), own["cell_id"].combine_chunks()
