@@ -144,7 +144,8 @@ def x12(spark, d):
 def x2(spark, d):
     genes = standin(spark, d, "genes")
     one = genes.groupBy("gene_symbol").agg(F.count(F.lit(1)).alias("n")).where("n = 1").agg(F.min("gene_symbol")).first()[0]
-    return G.resolve_symbol(genes, one)
+    # Where every symbol is that of several genes there is none to resolve.
+    return genes.select("gene_id").where("false") if one is None else G.resolve_symbol(genes, one)
 
 
 @query("J8_condition_lookup", "with c as (select gene_id, case gene_id % 3 when 0 then gene_symbol when 1 then lower(gene_symbol) else gene_symbol || '?' end as name from genes), e as (select gene_symbol, min(gene_id) as hit from genes group by 1), l as (select lower(gene_symbol) as low, min(gene_id) as hit from genes group by 1) select c.gene_id, coalesce(e.hit, l.hit) as hit from c left join e on c.name = e.gene_symbol left join l on lower(c.name) = l.low", "genes")
