@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from spatialis.functions.scalars import cosine, distance2
 from spatialis.operators.inverted import approximate_neighbours
+from spatialis.sources.staging import staged
 
-#: Rows of a reference block and of a query block in exact search.
+#: Rows of a block of vectors of which all pairs are met.
 BLOCK = 2048
+#: Rows of a reference block and of a query block in exact search, and distances held at a time.
+REF_BLOCK, QUERY_BLOCK, CELLS = 65_536, 8192, 1 << 22
 
 
 def centroids(vectors: DataFrame, by: list[str], embedding: str = "embedding") -> DataFrame:
@@ -24,38 +27,83 @@ def centroids(vectors: DataFrame, by: list[str], embedding: str = "embedding") -
     return rows.groupBy(*by).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centroid"))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64, copy=False)
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, dist) of each query's k nearest rows by distances rounded to 9 decimals, then ids. Products of
+    matrices tell which rows can be among them; only those get their distance as differences give it."""
+    euclidean, finite = metric == "euclidean", lambda x: np.where(np.isfinite(x), x, 0)
+    norms, own = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    columns = np.ascontiguousarray((x if euclidean else x / np.sqrt(norms)[:, None]).T)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    some = max(1, CELLS // max(1, len(x)))
+    for i in range(0, len(q), some):
+        v = q[i : i + some]
+        if euclidean:
+            about = own[i : i + some, None] + norms[None] - 2 * (v @ columns)
+            slack = 1e-12 * (finite(own[i : i + some]) + finite(norms).max(initial=0))
+        else:
+            about = 1 - (v / np.sqrt(own[i : i + some])[:, None]) @ columns
+            slack = np.full(len(v), 1e-12)
+        np.nan_to_num(about, copy=False, nan=np.inf)
+        most = np.full(len(v), np.inf)
+        if len(x) > k:
+            # The k-th of some rows bounds that of all; few rows lie below it.
+            first = about[:, : max(k, min(len(x), 4096))]
+            most = np.partition(first, k - 1, axis=1)[:, k - 1]
+        row, column = np.nonzero(about <= _looser(most, slack, euclidean)[:, None])
+        near = about[row, column]
+        if len(x) > k:
+            order = np.lexsort((near, row))
+            start = np.searchsorted(row[order], np.arange(len(v)))
+            row, column, near = row[order], column[order], near[order]
+            keep = near <= _looser(near[start + k - 1], slack, euclidean)[row]
+            row, column = row[keep], column[keep]
+        exact = np.empty(len(row))
+        for j in range(0, len(row), CELLS // 64):
+            a, b = v[row[j : j + CELLS // 64]], x[column[j : j + CELLS // 64]]
+            exact[j : j + CELLS // 64] = np.sqrt(((b - a) ** 2).sum(axis=1)) if euclidean else 1 - (a * b).sum(axis=1) / np.sqrt((b * b).sum(axis=1) * (a * a).sum(axis=1))
+        exact = np.nan_to_num(exact, nan=np.inf)
+        order = np.lexsort((ids[column], np.round(exact, 9), row))
+        row, column, exact = row[order], column[order], exact[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((row[keep] + i, column[keep], exact[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _looser(most: np.ndarray, slack: np.ndarray, euclidean: bool) -> np.ndarray:
+    """A bound on (squared) distances that outweighs their errors and those of rounding distances to 9 decimals."""
+    return most + slack + (4e-9 * np.sqrt(np.maximum(most + slack, 0)) + 4e-18 if euclidean else 4e-9)
+
+
 def top_neighbours(ref: DataFrame, query: DataFrame, k: int, metric: str = "euclidean") -> DataFrame:
     """(query_id, vec_id, label, rank, dist): each query's k nearest reference rows, ties to the smaller id.
 
-    Both sides are dealt into blocks; a pair of blocks keeps k rows of each query before the blocks meet,
-    so at most k times the number of reference blocks rows of a query are ranked together.
-    """
-    n_ref = max(1, -(-ref.count() // BLOCK))
-    n_query = max(1, -(-query.count() // BLOCK))
+    Both sides are dealt into blocks of a fixed size, a task for each pair of blocks, whose products of matrices
+    leave k rows of each query; these are ranked together. Work grows with the product of both sides, memory
+    doesn't: reference rows are copied for each QUERY_BLOCK queries, and queries for each REF_BLOCK rows."""
+    n_ref = max(1, -(-ref.count() // REF_BLOCK))
+    n_query = max(1, -(-query.count() // QUERY_BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    vector = F.col("embedding").cast("array<double>").alias("e")
-    r = ref.select("vec_id", "label", vector).withColumn("rb", block("vec_id", n_ref)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
-    q = query.select(F.col("vec_id").alias("query_id"), vector).withColumn("qb", block("query_id", n_query)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_ref - 1))))
-    names = ["query_id", "rb", "vec_id", "label", "dist"]
-
-    def nearest(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        x = np.array(there["e"].tolist(), np.float64)
-        ids = there[["rb", "vec_id", "label"]]
-        for query_id, v in zip(asked["query_id"], asked["e"]) if len(x) else ():
-            d = np.sqrt(((x - v) ** 2).sum(axis=1)) if metric == "euclidean" else 1 - x @ v / np.sqrt((x * x).sum(axis=1) * (v @ v))
-            d = np.nan_to_num(d, nan=np.inf)
-            # What may be among the first k once distances are rounded.
-            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1] + 1e-8) if len(d) > k else np.arange(len(d))
-            out.append(ids.iloc[near].assign(query_id=query_id, dist=d[near])[names])
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in names})
-
-    types = f"query_id long, rb int, vec_id long, label {ref.schema['label'].dataType.simpleString()}, dist double"
-    pairs = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(nearest, types).withColumn("dist", F.round("dist", 9))
-    own = Window.partitionBy("query_id", "rb").orderBy("dist", "vec_id")
+    r = ref.where("embedding is not null").select("vec_id", "label", F.col("embedding").alias("e")).withColumn("rb", block("vec_id", n_ref)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))))
+    q = query.where("embedding is not null").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e")).withColumn("qb", block("query_id", n_query)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_ref - 1))))
+
+    def nearest(asked: pa.Table, there: pa.Table) -> pa.Table:
+        ids = there["vec_id"].to_numpy()
+        own, row, dist = [], [], []
+        if asked.num_rows and there.num_rows:
+            with np.errstate(all="ignore"):
+                own, row, dist = _nearest(_matrix(asked["e"]), _matrix(there["e"]), ids, k, metric)
+        own, row = pa.array(own, pa.int64()), pa.array(row, pa.int64())
+        return pa.table({"query_id": asked["query_id"].take(own), "vec_id": there["vec_id"].take(row), "label": there["label"].take(row), "dist": pa.array(dist, pa.float64())})
+
+    types = f"query_id long, vec_id long, label {ref.schema['label'].dataType.simpleString()}, dist double"
+    pairs = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(nearest, types).withColumn("dist", F.round("dist", 9))
     every = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    near = pairs.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k)
-    return near.withColumn("rank", F.row_number().over(every)).where(F.col("rank") <= k).select("query_id", "vec_id", "label", "rank", "dist")
+    return pairs.withColumn("rank", F.row_number().over(every)).where(F.col("rank") <= k).select("query_id", "vec_id", "label", "rank", "dist")
 
 
 def knn_vote(near: DataFrame, weighted: bool = True) -> DataFrame:
