@@ -9,6 +9,7 @@ from spatialis.operators import metrics as E
 from spatialis.operators import sampling as M
 from spatialis.operators import transfer as L
 from spatialis.plans.registry import query
+from spatialis.sources.staging import staged
 from spatialis.sources.standins import standin
 
 DIST = "sqrt(list_sum(list_transform(list_zip(r.embedding, q.embedding), lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))))"
@@ -47,7 +48,7 @@ UNASSIGNED = f"{NEAR}, {VOTE}, e as (select min(dist) as lo, max(dist) as hi fro
 
 @query("L4_knn_unassigned", f"with {UNASSIGNED} select query_id, pred from said", "vec")
 def l4(spark, d):
-    near = _near(spark, d)
+    near = staged(_near(spark, d), "near")
     return L.knn_unassigned(near, L.knn_vote(near), 10, 0.4)
 
 
