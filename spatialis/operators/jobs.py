@@ -383,8 +383,11 @@ def shift_to_young(before: DataFrame, after: DataFrame, young: str, old: str, ce
     if any(df.isEmpty() for df in (there, *sides.values())):
         raise ValueError("no vectors to compare")
     out = X.shift_to_reference(sides["before"], sides["after"], centroids(there, []))
+    vectors = E.distinct_vectors(there, "vectors")
+    own = staged(E.kernel_mean(vectors, None, gamma, "bb"), "own")
     for name, df in sides.items():
-        out = out.crossJoin(E.emd_per_dim(df, there).withColumnRenamed("emd", f"emd_{name}")).crossJoin(E.mmd_rbf(df, there, gamma).withColumnRenamed("mmd", f"mmd_{name}"))
+        mmd = E.mmd_of_distinct(E.distinct_vectors(df, name), vectors, gamma, own)
+        out = out.crossJoin(E.emd_per_dim(df, there).withColumnRenamed("emd", f"emd_{name}")).crossJoin(mmd.withColumnRenamed("mmd", f"mmd_{name}"))
     return out.withColumns({f"{c}_change": F.col(f"{c}_after") - F.col(f"{c}_before") for c in ("cos", "dist", "emd", "mmd")})
 
 

@@ -6,14 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spatialis.operators.normalize import log_normalize
 from spatialis.operators.running import running_sums
-from spatialis.operators.transfer import BLOCK, centroids
+from spatialis.operators.transfer import centroids, matrix
 from spatialis.sources.staging import staged
 
+#: Distinct vectors of a block of which all pairs are met.
+KERNEL_BLOCK = 16_384
+
 
 def confusion(df: DataFrame, true: str = "truth", pred: str = "pred") -> DataFrame:
     """(truth, pred, n, share): counts and shares of the true label."""
@@ -162,31 +166,55 @@ def emd_per_dim(a: DataFrame, b: DataFrame) -> DataFrame:
     return placed.withColumn("d", gap * (F.col("following") - F.col("v"))).groupBy("dim").agg(F.sum("d").alias("d")).agg(F.avg("d").alias("emd"))
 
 
-def _kernel(a: DataFrame, b: DataFrame, gamma: float, name: str) -> DataFrame:
-    """One row: the mean of the Gaussian kernel over all pairs, in pairs of blocks of at most about BLOCK distinct
-    vectors. Equal vectors are one, with their number as weight."""
-    distinct = lambda df: staged(df.where("embedding is not null").groupBy(F.col("embedding").cast("array<double>").alias("e")).agg(F.count(F.lit(1)).cast("double").alias("w")), "vectors")
-    a, b = distinct(a), distinct(b)
-    na, nb = (max(1, -(-df.count() // BLOCK)) for df in (a, b))
+def distinct_vectors(df: DataFrame, name: str) -> DataFrame:
+    """(e, w): the distinct vectors and their numbers, written."""
+    return staged(df.where("embedding is not null").groupBy(F.col("embedding").cast("array<double>").alias("e")).agg(F.count(F.lit(1)).cast("double").alias("w")), name)
+
+
+def block_pairs(a: DataFrame, b: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides' vectors in their blocks (i, j), once for each block of the other side; of one table alone only
+    blocks with j from i on."""
+    na = max(1, -(-a.count() // KERNEL_BLOCK))
+    nb = na if b is None else max(1, -(-b.count() // KERNEL_BLOCK))
     block = lambda n: F.pmod(F.xxhash64("e"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = a.withColumn("i", block(na)).withColumn("j", every(nb))
-    other = b.withColumn("j", block(nb)).withColumn("i", every(na))
-
-    def part(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame({"s": [], "n": []}, dtype="float64")
-        e, f = np.array(x["e"].tolist()), np.array(y["e"].tolist())
-        d2 = np.maximum((e * e).sum(1)[:, None] + (f * f).sum(1)[None] - 2 * e @ f.T, 0.0)
-        return pd.DataFrame({"s": [x["w"].to_numpy() @ np.exp(-gamma * d2) @ y["w"].to_numpy()], "n": [x["w"].sum() * y["w"].sum()]})
-
-    sums = own.groupBy("i", "j").cogroup(other.groupBy("i", "j")).applyInPandas(part, "s double, n double")
+    every = lambda low, high: F.explode(F.sequence(low, high))
+    # Columns of their own: a cogroup takes those of one table for the same on both sides.
+    apart = (a if b is None else b).select(F.col("e").alias("e"), F.col("w").alias("w"))
+    own, other = a.withColumn("i", block(na)), apart.withColumn("j", block(nb))
+    return own.withColumn("j", every(F.lit(0) if b is not None else F.col("i"), F.lit(nb - 1))), other.withColumn("i", every(F.lit(0), F.lit(na - 1) if b is not None else F.col("j")))
+
+
+def kernel_mean(a: DataFrame, b: DataFrame | None, gamma: float, name: str) -> DataFrame:
+    """One row: the mean of the Gaussian kernel over all pairs of two tables (e, w), or of one with itself, in pairs of
+    blocks of about KERNEL_BLOCK vectors. A pair of one table's blocks is met once and counts twice."""
+    own, other = block_pairs(a, b)
+    one = b is None
+
+    def part(x: pa.Table, y: pa.Table) -> pa.Table:
+        total, n = [], []
+        if x.num_rows and y.num_rows:
+            e, f, v, w = matrix(x["e"]), matrix(y["e"]), x["w"].to_numpy(), y["w"].to_numpy()
+            twice = 2.0 if one and x["i"][0].as_py() != x["j"][0].as_py() else 1.0
+            columns, norms, s = np.ascontiguousarray(f.T), (f * f).sum(axis=1), 0.0
+            for k in range(0, len(e), 256):
+                d2 = np.maximum((e[k : k + 256] ** 2).sum(axis=1)[:, None] + norms[None] - 2 * (e[k : k + 256] @ columns), 0.0)
+                s += v[k : k + 256] @ np.exp(-gamma * d2) @ w
+            total, n = [twice * s], [twice * v.sum() * w.sum()]
+        return pa.table({"s": pa.array(total, pa.float64()), "n": pa.array(n, pa.float64())})
+
+    sums = own.groupBy("i", "j").cogroup(other.groupBy("i", "j")).applyInArrow(part, "s double, n double")
     return sums.agg((F.sum("s") / F.sum("n")).alias(name))
 
 
 def mmd_rbf(a: DataFrame, b: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """One row: mean k(a, a) + mean k(b, b) - 2 mean k(a, b), in pairs of blocks."""
-    every = _kernel(a, a, gamma, "aa").crossJoin(_kernel(b, b, gamma, "bb")).crossJoin(_kernel(a, b, gamma, "ab"))
+    """One row: mean k(a, a) + mean k(b, b) - 2 mean k(a, b), in pairs of blocks. Equal vectors are one, with their
+    number as weight."""
+    return mmd_of_distinct(distinct_vectors(a, "a"), distinct_vectors(b, "b"), gamma)
+
+
+def mmd_of_distinct(a: DataFrame, b: DataFrame, gamma: float = 1.0, bb: DataFrame | None = None) -> DataFrame:
+    """`mmd_rbf` of tables (e, w); `bb` is b's own mean, if it is known."""
+    every = kernel_mean(a, None, gamma, "aa").crossJoin(kernel_mean(b, None, gamma, "bb") if bb is None else bb).crossJoin(kernel_mean(a, b, gamma, "ab"))
     return every.select((F.col("aa") + F.col("bb") - 2 * F.col("ab")).alias("mmd"))
 
 

@@ -15,8 +15,6 @@ from spatialis.functions.scalars import cosine, distance2
 from spatialis.operators.inverted import approximate_neighbours
 from spatialis.sources.staging import staged
 
-#: Rows of a block of vectors of which all pairs are met.
-BLOCK = 2048
 #: Rows of a reference block and of a query block in exact search, and distances held at a time.
 REF_BLOCK, QUERY_BLOCK, CELLS = 65_536, 8192, 1 << 22
 
@@ -27,7 +25,8 @@ def centroids(vectors: DataFrame, by: list[str], embedding: str = "embedding") -
     return rows.groupBy(*by).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centroid"))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long arrays as one matrix of doubles."""
     column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64, copy=False)
 
@@ -96,7 +95,7 @@ def top_neighbours(ref: DataFrame, query: DataFrame, k: int, metric: str = "eucl
         own, row, dist = [], [], []
         if asked.num_rows and there.num_rows:
             with np.errstate(all="ignore"):
-                own, row, dist = _nearest(_matrix(asked["e"]), _matrix(there["e"]), ids, k, metric)
+                own, row, dist = _nearest(matrix(asked["e"]), matrix(there["e"]), ids, k, metric)
         own, row = pa.array(own, pa.int64()), pa.array(row, pa.int64())
         return pa.table({"query_id": asked["query_id"].take(own), "vec_id": there["vec_id"].take(row), "label": there["label"].take(row), "dist": pa.array(dist, pa.float64())})
 
