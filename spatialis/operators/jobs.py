@@ -88,7 +88,7 @@ def tokenize_dataset(
         obs = obs.join(level, "cell_id")
     bins = None
     if niche and not nuclei:
-        edges = S.knn_in_group(placed, k, ["brain_region", "brain_region_main"])
+        edges = S.knn_in_group(placed, k, ["brain_region", "brain_region_main"], part=True)
         bins = S.deviation_bin(S.deviation(edges, N.normalize_total(good), absolute, 1e-4 if absolute else None))
     else:
         obs = obs.withColumn("density_token", F.lit(0))
@@ -104,7 +104,7 @@ def prepare_dataset(cells: DataFrame, expr: DataFrame, genes: DataFrame, homolog
     placed = Q.filter_finite_coords(cells)
     values = expr.join(placed.select("cell_id"), "cell_id", "left_semi")
     if smooth_k is not None:
-        values = S.gaussian_smooth(S.knn_in_group(placed, smooth_k + 1, ["slice"]), values, "median")
+        values = S.gaussian_smooth(S.knn_in_group(placed, smooth_k + 1, ["slice"], part=True), values, "median")
     least = F.least(F.lit(200), F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * 0.01)))
     n = int(genes.agg(least.alias("n")).first()["n"])
     good = staged(Q.filter_genes_min_cells(Q.filter_cells_min_genes(staged(values, "smooth"), n), 3), "good")

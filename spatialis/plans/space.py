@@ -15,13 +15,13 @@ DEV = "dev as (select coalesce(e.cell_id, n.cell_id) as cell_id, coalesce(e.gene
 ORDERED = "(a.slice = b.slice and a.cell_type = b.cell_type)"
 
 
-def _edges(spark, d, k=5):
-    return S.knn_in_group(standin(spark, d, "cells"), k, ["slice"])
+def _edges(spark, d, k=5, part=True):
+    return S.knn_in_group(standin(spark, d, "cells"), k, ["slice"], part=part)
 
 
 @query("N1_knn_in_group", f"with {EDGES} select slice, cell_id, nbr_id, rank::int as rank, dist2 from edges", "cells")
 def n1(spark, d):
-    return _edges(spark, d)
+    return _edges(spark, d, part=False)
 
 
 @query("J9_knn_join", f"select a.slice, a.cell_type, a.cell_id, b.cell_id as nbr_id, (row_number() over (partition by a.cell_id order by {D2}, b.cell_id))::int as rank, {D2} as dist2 from cells a join cells b on {ORDERED} qualify rank <= 50", "cells")
