@@ -46,12 +46,12 @@ def _pool_sql(weight):
 
 @query("B1_pool_mean", _pool_sql("1.0::double"), "expr", "genes", "vec")
 def b1(spark, d):
-    return _rounded(V.pool_mean(V.token_vectors(_tokens(spark, d), _gene_vec(spark, d))))
+    return _rounded(V.pool_mean(_tokens(spark, d), _gene_vec(spark, d)))
 
 
 @query("B2_pool_weighted", _pool_sql("power(0.998, t.pos)"), "expr", "genes", "vec")
 def b2(spark, d):
-    return _rounded(V.pool_weighted(V.token_vectors(T.rank_weights(_tokens(spark, d), "decay"), _gene_vec(spark, d))))
+    return _rounded(V.pool_weighted(T.rank_weights(_tokens(spark, d), "decay"), _gene_vec(spark, d)))
 
 
 @query("B4_score_tokens", f"with {RANKED} select cell_id, sum(token)::double as score from (select cell_id, gene_id + 20 as token from tok) group by 1", "expr", "genes")
