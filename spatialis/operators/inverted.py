@@ -2,8 +2,8 @@
 
 Coarse centroids, and for each part of the dimensions a codebook of residuals, are fitted on a bounded sample. Every
 reference row goes to the list of its nearest centroid as a code of one byte a part. A query visits the lists of its
-nearest centroids, as many as sampled queries need; there, distances come from a table of its residual to
-the codebooks, and the best candidates are ranked by their true distances."""
+nearest centroids, as many as sampled queries need; there, distances are those to the codes, and the best candidates of
+a group of lists are ranked by their true distances where they lie."""
 
 from __future__ import annotations
 
@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spatialis.functions.scalars import distance2
 from spatialis.sources.staging import staged
 
 #: Sampled rows; most lists, rows a list is meant to hold; dimensions of a part; candidates for each neighbour;
-#: share of sampled neighbours that the visited lists must hold; rows and queries of a task.
-SAMPLE, LISTS, LIST_ROWS, PART, CANDIDATES, HELD, ROWS, QUERIES = 16_384, 1024, 256, 4, 12, 0.98, 65_536, 1024
+#: share of sampled neighbours that the visited lists must hold; rows and queries of a task, queries at a time.
+SAMPLE, LISTS, LIST_ROWS, PART, CANDIDATES, HELD, ROWS, QUERIES, STEP = 16_384, 1024, 256, 4, 12, 0.98, 32_768, 16_384, 64
 
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,13 +76,9 @@ class Index:
         codes = [_closest(rest[:, a:b], book) for a, b, book in zip(self.cuts, self.cuts[1:], self.books)]
         return at, np.column_stack(codes).astype(np.uint8) if len(x) else np.empty((0, len(self.books)), np.uint8)
 
-    def distances(self, query: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances of a query to the codes of a list, by table look-ups."""
-        rest = query - self.centers[at]
-        out = np.zeros(len(codes))
-        for i, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books)):
-            out += ((book - rest[a:b]) ** 2).sum(axis=1)[codes[:, i]]
-        return out
+    def decode(self, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that lists and codes stand for."""
+        return self.centers[at] + np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -93,8 +88,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def approximate_neighbours(ref: DataFrame, query: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, label, rank, dist): about the k nearest reference rows of each query, by Euclidean
-    distance, ties to the smaller id. Rows without a vector take no part. A list of more than ROWS rows, or that
-    more than QUERIES queries visit, is dealt over several tasks."""
+    distance, ties to the smaller id. Rows without a vector take no part. Lists are searched in groups; one of more than twice
+    ROWS rows, or that more than QUERIES queries visit, is dealt over several tasks."""
     vector = F.col("embedding").cast("array<double>").alias("e")
     rows = staged(ref.where("embedding is not null").select("vec_id", "label", vector), "reference")
     asked = query.where("embedding is not null").select(F.col("vec_id").alias("query_id"), vector)
@@ -107,52 +102,81 @@ def approximate_neighbours(ref: DataFrame, query: DataFrame, k: int) -> DataFram
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, codes = index.encode(_matrix(b.column("e")) if b.num_rows else np.empty((0, index.cuts[-1])))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "list", "code"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], names=[*b.schema.names, "list", "code"])
 
-    codes = staged(rows.select("vec_id", "e").mapInArrow(encode, "vec_id long, list int, code binary"), "codes")
-    counts = lambda df: dict(map(tuple, df.groupBy("list").count().collect()))  # noqa: E731  # at most LISTS rows
-    held = counts(codes)
+    label = rows.schema["label"].dataType.simpleString()
+    codes = staged(rows.mapInArrow(encode, f"vec_id long, label {label}, e array<double>, list int, code binary"), "codes")
+    counts = lambda df, by: dict(map(tuple, df.groupBy(by).count().collect()))  # noqa: E731  # at most LISTS rows
+    held = counts(codes, "list")
     filled = np.array(sorted(held))
     # Whichever lists a query visits, they hold k rows.
     visits = min(len(filled), max(index.visits, int(np.searchsorted(np.cumsum(sorted(held.values())), min(k, sum(held.values())))) + 1))
+    # Lists lie together in groups of about ROWS rows, in which a query has one row and leaves k.
+    group_of = np.zeros(int(filled[-1]) + 1, np.int32)
+    group_of[filled] = (np.cumsum([held[i] for i in filled.tolist()]) - 1) // ROWS
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 gap = _squared(_matrix(b.column("e")), index.centers[filled])
-                lists = filled[np.argsort(gap, axis=1, kind="stable")[:, :visits].ravel()]
-                own = pa.array(np.repeat(np.arange(b.num_rows), visits))
-                yield pa.RecordBatch.from_arrays([b.column("query_id").take(own), b.column("e").take(own), pa.array(lists, pa.int32())], names=["query_id", "e", "list"])
-
-    visited = staged(asked.mapInArrow(visit, "query_id long, e array<double>, list int"), "visits")
+                lists = filled[np.argsort(gap, axis=1, kind="stable")[:, :visits]]
+                lists = np.sort(lists, axis=1)  # groups are ranges of lists
+                begin = np.diff(group_of[lists], axis=1, prepend=-1) != 0
+                own = pa.array(np.nonzero(begin)[0])
+                ends = [*np.flatnonzero(begin.ravel()), lists.size]
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(own), b.column("e").take(own), pa.array(group_of[lists[begin]], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(lists.ravel(), pa.int32()))], names=["query_id", "e", "group", "lists"])
+
+    visited = staged(asked.mapInArrow(visit, "query_id long, e array<double>, group int, lists array<int>"), "visits")
     parts = lambda known, n: {i: -(-c // n) for i, c in known.items()}
-    of_rows, of_queries = parts(held, ROWS), parts(counts(visited), QUERIES)
-    number = lambda known: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("list")), F.lit(1)) if known else F.lit(1)
+    sizes: dict[int, int] = {}
+    for i, n in held.items():
+        sizes[int(group_of[i])] = sizes.get(int(group_of[i]), 0) + n
+    of_rows, of_queries = parts(sizes, 2 * ROWS), parts(counts(visited, "group"), QUERIES)
+    number = lambda known: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.col("group")), F.lit(1)) if known else F.lit(1)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), n).cast("int")
     n_rows: Column = number(of_rows)
     n_queries: Column = number(of_queries)
-    left = codes.withColumn("rp", dealt("vec_id", n_rows)).withColumn("qp", every(n_queries))
+    group = F.element_at(F.array(*[F.lit(int(g)) for g in group_of]), F.col("list") + 1)
+    left = codes.withColumn("group", group).withColumn("rp", dealt("vec_id", n_rows)).withColumn("qp", every(n_queries))
     right = visited.withColumn("qp", dealt("query_id", n_queries)).withColumn("rp", every(n_rows))
 
     def search(there: pa.Table, asking: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)])
         if there.num_rows and asking.num_rows:
-            at, ids = there["list"][0].as_py(), there["vec_id"].to_numpy()
+            at, ids, x = there["list"].to_numpy(), there["vec_id"].to_numpy(), _matrix(there["e"])
             code = np.frombuffer(b"".join(there["code"].to_pylist()), np.uint8).reshape(len(ids), width)
-            for query_id, x in zip(asking["query_id"].to_pylist(), _matrix(asking["e"])):
-                d = index.distances(x, at, code)
-                near = np.flatnonzero(d <= np.partition(d, wanted - 1)[wanted - 1]) if len(d) > wanted else np.arange(len(d))
-                near = near[np.lexsort((ids[near], d[near]))[:wanted]]
-                out[0].append(np.full(len(near), query_id))
-                out[1].append(ids[near])
-                out[2].append(d[near])
-        cat = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-        return pa.table({"query_id": cat(out[0], pa.int64()), "vec_id": cat(out[1], pa.int64()), "about": cat(out[2], pa.float64())})
-
-    found = left.groupBy("list", "rp", "qp").cogroup(right.groupBy("list", "rp", "qp")).applyInArrow(search, "query_id long, vec_id long, about double")
-    best = Window.partitionBy("query_id").orderBy("about", "vec_id")
-    few = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= wanted).select("query_id", "vec_id")
-    exact = few.join(rows, "vec_id").join(asked.select("query_id", F.col("e").alias("q")), "query_id").select("query_id", "vec_id", "label", F.round(F.sqrt(distance2("e", "q")), 9).alias("dist"))
+            # A distance to a row's code is that to its centroid and its codebooks' entries put together.
+            made = index.decode(at, code)
+            asks, lists = _matrix(asking["e"]), asking["lists"].to_pylist()
+            order = sorted(range(len(lists)), key=lambda i: lists[i])
+            for i in range(0, len(order), STEP):
+                some = order[i : i + STEP]
+                sees = np.zeros((len(some), len(group_of)), bool)
+                for j, q in enumerate(some):
+                    sees[j, lists[q]] = True
+                near = np.flatnonzero(sees.any(axis=0)[at])
+                if not len(near):
+                    continue
+                about = np.where(sees[:, at[near]], _squared(asks[some], made[near]), np.inf)
+                most = np.partition(about, wanted - 1, axis=1)[:, wanted - 1] if len(near) > wanted else np.full(len(some), np.inf)
+                # Equal codes are equal but for the last digits of products; of them the smaller ids come first.
+                row, column = np.nonzero((about <= (most + 1e-9 * (1 + most))[:, None]) & (about < np.inf))
+                by = np.lexsort((ids[near[column]], np.round(about[row, column], 9), row))
+                by = by[np.arange(len(by)) - np.searchsorted(row, row[by]) < wanted]
+                row, column = row[by], near[column[by]]
+                dist = np.sqrt(((x[column] - asks[some][row]) ** 2).sum(axis=1))
+                by = np.lexsort((ids[column], np.round(dist, 9), row))
+                by = by[np.arange(len(by)) - np.searchsorted(row[by], row[by]) < k]
+                out[0].append(np.array(some)[row[by]])
+                out[1].append(column[by])
+                out[2].append(dist[by])
+        own, row, dist = map(np.concatenate, out)
+        if not len(own):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "label": pa.array([], there["label"].type if there.num_rows else pa.int32()), "dist": pa.array([], pa.float64())})
+        return pa.table({"query_id": asking["query_id"].take(pa.array(own)), "vec_id": there["vec_id"].take(pa.array(row)), "label": there["label"].take(pa.array(row)), "dist": pa.array(dist)})
+
+    found = left.groupBy("group", "rp", "qp").cogroup(right.groupBy("group", "rp", "qp")).applyInArrow(search, f"query_id long, vec_id long, label {label}, dist double")
+    exact = found.withColumn("dist", F.round("dist", 9))
     first = Window.partitionBy("query_id").orderBy("dist", "vec_id")
     return exact.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("query_id", "vec_id", "label", "rank", "dist")
