@@ -14,7 +14,7 @@ from spatialis.plans.matrix import MODEL_INPUT_SQL, RANKED, k3
 from spatialis.plans.perturbation import _R, PLAIN, _after
 from spatialis.plans.registry import query
 from spatialis.sources import tables
-from spatialis.sources.staging import shared_folder
+from spatialis.sources.staging import shared_folder, staged
 from spatialis.sources.standins import standin
 
 
@@ -236,6 +236,7 @@ select m.cell_id, m.cell_id::varchar as cell_raw_index, list(masked::bigint orde
 def _model_rows(spark, d):
     """Rows with bins of their own, codes and density tokens, cut to 30 tokens, in batches of 64 cells."""
     expr, genes, cells = _all(spark, d, "expr", "genes", "cells")
+    expr = staged(expr, "expr")  # read for tokens, means and bins
     bins = expr.select("cell_id", "gene_id", (F.col("gene_id") % 6).cast("int").alias("deviation_bin"))
     rows = T.token_rows(T.token_long(expr, genes, N.gene_nonzero_mean(expr), bins))
     place = cells.select("slice").distinct().withColumn("density_token", (F.row_number().over(Window.orderBy("slice")) % 5 + 15).cast("long"))
