@@ -102,22 +102,28 @@ def prepare_dataset(cells: DataFrame, expr: DataFrame, genes: DataFrame, homolog
     homology), those with an id in `symbols` (gene_symbol, ensembl_id), of a repeated name the first, and of
     these the most variable and those named by `force`."""
     placed = Q.filter_finite_coords(cells)
-    values = expr.join(placed.select("cell_id"), "cell_id", "left_semi")
-    if smooth_k is not None:
-        values = S.gaussian_smooth(S.knn_in_group(placed, smooth_k + 1, ["slice"], part=True), values, "median")
+    values = expr.join(placed.select("cell_id").hint("merge"), "cell_id", "left_semi")
     least = F.least(F.lit(200), F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * 0.01)))
     n = int(genes.agg(least.alias("n")).first()["n"])
-    good = staged(Q.filter_genes_min_cells(Q.filter_cells_min_genes(staged(values, "smooth"), n), 3), "good")
-    if homology is None:
-        first = G.dedupe_first(genes.select("gene_id", "gene_symbol").join(good.select("gene_id").distinct(), "gene_id", "left_semi"), ["gene_symbol"], ["gene_id"])
-        named = good.join(first, "gene_id").select("cell_id", F.col("gene_symbol").alias("gene_id"), "value")
+
+    def names(good: DataFrame) -> DataFrame:
+        if homology is None:
+            first = G.dedupe_first(genes.select("gene_id", "gene_symbol").join(good.select("gene_id").distinct(), "gene_id", "left_semi"), ["gene_symbol"], ["gene_id"])
+            named = good.join(first, "gene_id").select("cell_id", F.col("gene_symbol").alias("gene_id"), "value")
+        else:
+            named = G.map_homologs(good, genes, homology).withColumnRenamed("target_gene", "gene_id")
+        if symbols is not None:
+            named = named.join(symbols.select(F.col("gene_symbol").alias("gene_id")).distinct(), "gene_id", "left_semi")
+        return named
+
+    if smooth_k is None:
+        named = staged(names(staged(Q.filter_genes_min_cells(Q.filter_cells_min_genes(staged(values, "values"), n), 3), "good")), "named")
     else:
-        named = G.map_homologs(good, genes, homology).withColumnRenamed("target_gene", "gene_id")
-    if symbols is not None:
-        named = named.join(symbols.select(F.col("gene_symbol").alias("gene_id")).distinct(), "gene_id", "left_semi")
-    named = staged(named, "named")
+        edges = S.gaussian_weights(staged(S.knn_in_group(placed, smooth_k + 1, ["slice"], part=True).select("_part", "cell_id", "nbr_id", "dist2"), "near"), "median")
+        named = staged(S.filtered_smooth(edges, values, n, 3, names), "named")
     forced = None if force is None else named.select("gene_id").distinct().where(F.col("gene_id").isin(force))
-    return named.join(N.highly_variable(N.log_normalize(named), n_hvg, forced), "gene_id", "left_semi")
+    # As many rows as are asked for.
+    return named.join(F.broadcast(N.highly_variable(N.log_normalize(named, known=None if smooth_k is None else "total"), n_hvg, forced)), "gene_id", "left_semi").select("cell_id", "gene_id", "value")
 
 
 def expression_components(expr: DataFrame, genes: DataFrame, n: int) -> DataFrame:

@@ -15,14 +15,14 @@ from spatialis.sources.staging import staged
 SPAN, GRID = 0.3, 64
 
 
-def normalize_total(expr: DataFrame, target: float = 1e4) -> DataFrame:
-    """value * target / the cell's total; a total of zero counts as one."""
-    total = F.sum("value").over(Window.partitionBy("cell_id"))
+def normalize_total(expr: DataFrame, target: float = 1e4, known: str | None = None) -> DataFrame:
+    """value * target / the cell's total, that of the column `known` where one is named; a total of zero counts as one."""
+    total = F.col(known) if known else F.sum("value").over(Window.partitionBy("cell_id"))
     return expr.withColumn("value", F.col("value") * target / F.when(total == 0, 1.0).otherwise(total))
 
 
-def log_normalize(expr: DataFrame, target: float = 1e4) -> DataFrame:
-    return normalize_total(expr, target).withColumn("value", F.log1p("value"))
+def log_normalize(expr: DataFrame, target: float = 1e4, known: str | None = None) -> DataFrame:
+    return normalize_total(expr, target, known).withColumn("value", F.log1p("value"))
 
 
 def gene_stats(expr: DataFrame, n_cells: int | None = None) -> DataFrame:
