@@ -69,8 +69,9 @@ def tokenize_dataset(
         good = staged(good, "good")
         good = good.join(N.highly_variable(N.log_normalize(good), n_hvg), "gene_id", "left_semi")
     placed = placed if split is None else placed.where(F.col("split") == split)
-    good = staged(good.join(placed.select("cell_id"), "cell_id", "left_semi"), "good")
-    placed = placed.join(good.select("cell_id").distinct(), "cell_id", "left_semi")
+    # Tables of cells are merged, not broadcast: their files are far smaller than their rows in memory.
+    good = staged(good.join(placed.select("cell_id").hint("merge"), "cell_id", "left_semi"), "good")
+    placed = placed.join(good.select("cell_id").distinct().hint("merge"), "cell_id", "left_semi")
     if label is None:
         placed = placed.withColumn("cell_label", F.lit(0).cast("bigint"))
     else:
@@ -85,7 +86,7 @@ def tokenize_dataset(
     if density and not nuclei:
         um = S.to_microns(placed.withColumn("platform", F.lit(assay.upper())), ["slice"]).select("cell_id", "slice", F.col("x_um").alias("x"), F.col("y_um").alias("y"))
         level = S.density_token(um, S.RADIUS.get(assay.upper(), 200)).select("cell_id", (F.col("density_token") + T.DENSITY).alias("density_token"))
-        obs = obs.join(level, "cell_id")
+        obs = obs.join(level.hint("merge"), "cell_id")
     bins = None
     if niche and not nuclei:
         edges = S.knn_in_group(placed, k, ["brain_region", "brain_region_main"], part=True)
@@ -93,7 +94,7 @@ def tokenize_dataset(
     else:
         obs = obs.withColumn("density_token", F.lit(0))
     tokens = T.token_long(good, Q.check_ensembl(genes), N.gene_nonzero_mean(good) if means is None else means, bins, max_length)
-    return T.token_rows(tokens).join(obs, "cell_id")
+    return T.token_rows(tokens).join(obs.hint("merge"), "cell_id")
 
 
 def prepare_dataset(cells: DataFrame, expr: DataFrame, genes: DataFrame, homology: DataFrame | None, n_hvg: int, smooth_k: int | None = 25, symbols: DataFrame | None = None, force: list[str] | None = None) -> DataFrame:
