@@ -90,7 +90,7 @@ def tokenize_dataset(
     bins = None
     if niche and not nuclei:
         edges = S.knn_in_group(placed, k, ["brain_region", "brain_region_main"], part=True)
-        bins = S.deviation_bin(S.deviation(edges, N.normalize_total(good), absolute, 1e-4 if absolute else None))
+        bins = S.held_bins(edges, N.normalize_total(good), absolute, 1e-4 if absolute else None)
     else:
         obs = obs.withColumn("density_token", F.lit(0))
     tokens = T.token_long(good, Q.check_ensembl(genes), N.gene_nonzero_mean(good) if means is None else means, bins, max_length)
